@@ -60,17 +60,22 @@ class OrderedGroups:
 
     def running_sum(self, name: str, value: Column) -> OrderedGroups:
         """Sum of ``value`` up to and including the row."""
+        return self._running(name, value, F.sum, lambda here, carry: here + F.coalesce(carry, F.lit(0)))
+
+    def running_max(self, name: str, value: Column) -> OrderedGroups:
+        """Largest ``value`` up to and including the row."""
+        return self._running(name, value, F.max, F.greatest)
+
+    def _running(self, name: str, value: Column, total, combine) -> OrderedGroups:
         frame = self.window().rowsBetween(Window.unboundedPreceding, 0)
         if not self.hot:
-            self.df = self.df.withColumn(name, F.sum(value).over(frame))
+            self.df = self.df.withColumn(name, total(value).over(frame))
             return self
         self.df = self.df.withColumn("_value", value)
-        totals = self._chunks().agg(F.sum("_value").alias("_carry"))
+        totals = self._chunks().agg(total("_value").alias("_carry"))
         before = Window.partitionBy(*self.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        carried = self._carry(totals.withColumn("_carry", F.sum("_carry").over(before)))
-        self.df = carried.withColumn(name, F.sum("_value").over(frame) + F.coalesce("_carry", F.lit(0))).drop(
-            "_value", "_carry"
-        )
+        carried = self._carry(totals.withColumn("_carry", total("_carry").over(before)))
+        self.df = carried.withColumn(name, combine(total("_value").over(frame), F.col("_carry"))).drop("_value", "_carry")
         return self
 
     def previous(self, name: str, value: Column) -> OrderedGroups:
