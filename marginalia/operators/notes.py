@@ -22,6 +22,7 @@ from marginalia.functions.text import (
     without_extension,
     yaml_escaped,
 )
+from marginalia.session import durable
 
 DOC_PAGE = ["doc", "page"]
 
@@ -364,6 +365,8 @@ def preserve_typed_notes(pairs: DataFrame, markers: tuple[Markers, ...] = MARKER
 
     Notes without a slot end up in a callout at the end of the managed section; none is lost.
     """
+    # Both bodies are read for their blocks and again for the result.
+    pairs = durable(pairs)
     old = anchor_blocks(pairs.filter(F.col("old_body").isNotNull()), markers, "old_body")
     touched = old.filter(F.col("content") != "").select("doc").distinct()
     affected = pairs.join(touched, "doc", "left_semi")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marginalia.session import durable
+
 RAW = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -303,6 +305,10 @@ INPUTS: dict[str, str | tuple[str, str]] = {
 }
 
 
+# Notes are files in a store: they are written once and read back, not recomputed wherever a query looks at them.
+STORED = ("old_notes", "new_sections", "fresh_notes")
+
+
 class Tables:
     """Given and derived tables by name, as DataFrames."""
 
@@ -321,11 +327,22 @@ class Tables:
                     if other != name and _mentions(text, other):
                         self(other)
                 df = self.spark.sql(text)
+                df = durable(df) if name in STORED else df
             df.createOrReplaceTempView(name)
             self.bound.add(name)
         return self.spark.table(name)
 
 
+def streamed(tables: Tables, raw: str, name: str) -> DataFrame:
+    """The derived table ``name`` as a stream over the files of the given table ``raw``."""
+    spark = tables.spark
+    schema = spark.read.parquet(f"{tables.folder}/{raw}.parquet").schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", f"{raw}.parquet").parquet(tables.folder)
+    files.createOrReplaceTempView(raw)
+    tables.bound.discard(raw)
+    return spark.sql(INPUTS[name])
+
+
 def _mentions(text: str, name: str) -> bool:
     words = text.replace(",", " ").replace("(", " ").replace(")", " ").split()
     return any(a in ("FROM", "JOIN") and b == name for a, b in zip(words, words[1:]))
