@@ -28,8 +28,8 @@ NL = "chr(10)"
 LINE_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate"
 START = "CASE WHEN doc_id % 2 = 0 THEN '<!-- marginalia:start -->' ELSE '<!-- marginalia-v0:start -->' END"
 END = "CASE WHEN doc_id % 2 = 0 THEN '<!-- marginalia:end -->' ELSE '<!-- marginalia-v0:end -->' END"
-Q1 = f"replace(substring(text, 1, 40), {NL}, ' ')"
-Q2 = f"replace(substring(text, 41, 40), {NL}, ' ')"
+Q1 = "text"
+Q2 = "concat('Re: ', text)"
 TYPED = "'<!-- notes -->'"
 TYPED_END = "'<!-- /notes -->'"
 
@@ -39,7 +39,7 @@ def typed(content: str) -> str:
 
 
 def quote(text: str, page: str) -> str:
-    return f"'> ', {text}, {NL}, '> -- [[', {U}, '.pdf#page=', {page}, '|Page ', {page}, ']]', {NL}"
+    return f"'> ', replace({text}, {NL}, concat({NL}, '> ')), {NL}, '> -- [[', {U}, '.pdf#page=', {page}, '|Page ', {page}, ']]', {NL}"
 
 
 def header(count: str) -> str:
@@ -55,7 +55,7 @@ FILE_NAME = f"""concat({U}, CASE doc_id % 7 WHEN 0 THEN '.metadata' WHEN 1 THEN
 INPUTS: dict[str, str | tuple[str, str]] = {
     # --- catalogue
     "entries": f"""
-        SELECT 's0' AS source_id, {U} AS uuid, substring(text, 1, 20) AS name,
+        SELECT 's0' AS source_id, {U} AS uuid, concat(lang, ' ', CAST(n_chars AS STRING)) AS name,
             CASE WHEN doc_id = 190 THEN {uuid_of('191')} WHEN doc_id = 191 THEN {uuid_of('190')}
                 WHEN doc_id > 40 AND doc_id % 31 = 0 THEN 'trash' WHEN doc_id < 3 THEN ''
                 ELSE {uuid_of(div('doc_id', 3))} END AS parent,
@@ -69,9 +69,9 @@ INPUTS: dict[str, str | tuple[str, str]] = {
             CASE doc_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'epub' WHEN 2 THEN '' WHEN 3 THEN 'notebook' WHEN 4 THEN 'PDF' ELSE 'djvu' END
                 AS file_type,
             CAST(1 + n_chars % 9 AS INT) AS page_count, doc_id % 17 = 0 AS is_corrupt
-        FROM documents WHERE doc_id % 10 <> 9""",
+        FROM documents WHERE lang <> 'de'""",
     "library": f"""
-        SELECT concat('s', CAST(doc_id % 3 AS STRING)) AS source_id, {U} AS uuid, substring(text, 1, 25) AS name,
+        SELECT concat('s', CAST(doc_id % 3 AS STRING)) AS source_id, {U} AS uuid, concat(upper(lang), ' ', CAST(n_chars AS STRING), ' ', source) AS name,
             CASE doc_id % 4 WHEN 0 THEN 'epub' WHEN 1 THEN 'notebook' ELSE 'pdf' END AS doc_type,
             n_chars * 1000 AS last_modified, n_chars % 5 AS highlight_count, concat(source, '/', lang) AS folder_path,
             CASE WHEN doc_id % 11 = 0 THEN 'pending' WHEN doc_id % 11 = 1 THEN 'error' WHEN doc_id % 11 = 2 THEN 'archived'
@@ -108,22 +108,22 @@ INPUTS: dict[str, str | tuple[str, str]] = {
     "listing": f"""
         SELECT {FILE_NAME} AS name, doc_id % 7 = 6 AS is_dir FROM documents
         UNION ALL SELECT CASE doc_id % 4 WHEN 0 THEN '.stignore' WHEN 1 THEN '.stfolder' WHEN 2 THEN concat({U}, '.cache') ELSE '.local' END, doc_id % 4 IN (1, 2)
-        FROM documents WHERE doc_id % 10 = 0""",
+        FROM documents""",
     "remote": f"""
         SELECT concat('s', CAST(doc_id % 2 AS STRING)) AS source_id, {U} AS uuid, concat({U}, k.ext) AS path, concat({U}, k.ext) AS name,
             k.ext AS ext, CASE WHEN k.ext = '' THEN 0 ELSE n_chars + k.n END AS size, 1700000000 + n_chars AS mtime_s, k.ext = '' AS is_dir
         FROM documents JOIN (SELECT 0 AS n, '.metadata' AS ext UNION ALL SELECT 1, '.content' UNION ALL SELECT 2, '.pdf' UNION ALL SELECT 3, '') k
-            ON (doc_id + k.n) % 9 <> 8""",
+            ON doc_id >= 0""",
     "local": f"""
         SELECT concat('s', CAST(doc_id % 2 AS STRING)) AS source_id, {U} AS uuid, concat({U}, k.ext) AS path, concat({U}, k.ext) AS name,
             k.ext AS ext, CASE WHEN k.ext = '' THEN 0 WHEN doc_id % 11 = 0 THEN n_chars + k.n + 1 ELSE n_chars + k.n END AS size,
             1700000000 + n_chars - CASE WHEN doc_id % 13 = 0 THEN 5 ELSE 0 END AS mtime_s, k.ext = '' AS is_dir
         FROM documents JOIN (SELECT 0 AS n, '.metadata' AS ext UNION ALL SELECT 1, '.content' UNION ALL SELECT 2, '.pdf' UNION ALL SELECT 3, '') k
-            ON (doc_id + 2 * k.n) % 7 <> 0""",
+            ON NOT (lang = 'es' AND k.ext IN ('.metadata', '')) AND NOT (lang = 'de' AND k.ext = '.content') AND NOT (lang = 'fr' AND k.ext = '.pdf')""",
     "store_files": f"""
         SELECT 's0' AS source_id, {U} AS uuid, concat({U}, k.tail) AS path, n_chars % 40 AS size, FALSE AS is_dir, doc_id
         FROM documents JOIN (SELECT '.metadata' AS tail UNION ALL SELECT '.content' UNION ALL SELECT '.pdf' UNION ALL SELECT '/p1.rm'
-            UNION ALL SELECT '.cache/p1.png' UNION ALL SELECT '.pagedata') k ON doc_id % 19 <> 18""",
+            UNION ALL SELECT '.cache/p1.png' UNION ALL SELECT '.pagedata') k ON doc_id >= 0""",
     "kept_files": """
         SELECT source_id, uuid, path, CASE WHEN doc_id % 11 = 0 AND path LIKE '%.rm' THEN size + 1 ELSE size END AS size, is_dir
         FROM store_files WHERE NOT (doc_id % 5 = 0 AND path LIKE '%.pdf') AND NOT (doc_id % 7 = 0 AND path LIKE '%.content')
@@ -136,11 +136,11 @@ INPUTS: dict[str, str | tuple[str, str]] = {
     "stores": "SELECT 's0' AS source_id, CAST(sum(n_chars) AS BIGINT) AS used, CAST(sum(n_chars) AS DOUBLE) / 0.9 AS capacity FROM documents",
     "registry": f"""
         SELECT {U} AS uuid, concat(lang, CASE WHEN doc_id % 2 = 0 THEN '' ELSE CAST(doc_id AS STRING) END) AS base_name,
-            n_chars % 4 AS highlight_count FROM documents WHERE doc_id % 3 = 0""",
+            n_chars % 4 AS highlight_count FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""",
     "named_docs": f"""
-        SELECT {U} AS uuid, CASE WHEN doc_id % 4 = 0 THEN concat(substring(text, 1, 4), '.pdf') WHEN doc_id % 4 = 1 THEN concat(lang, ': ?')
+        SELECT {U} AS uuid, CASE WHEN doc_id % 4 = 0 THEN concat(text, '.pdf') WHEN doc_id % 4 = 1 THEN concat(lang, ': ?')
             ELSE concat(' ', lang, ' <', CAST(doc_id AS STRING), '>.EPUB') END AS visible_name FROM documents""",
-    "owned_docs": f"SELECT {U} AS uuid, concat(lang, CAST(doc_id % 20 AS STRING)) AS base_name FROM documents WHERE doc_id % 2 = 0",
+    "owned_docs": f"SELECT {U} AS uuid, concat(lang, CAST(doc_id % 20 AS STRING)) AS base_name FROM documents",
     "owned_files": f"""
         SELECT concat('f/', k.head, CASE k.kind WHEN 0 THEN {U} WHEN 1 THEN {U} WHEN 2 THEN concat(lang, CAST(doc_id % 20 AS STRING))
             ELSE concat(lang, CAST(doc_id AS STRING)) END, k.tail) AS path,
@@ -160,7 +160,7 @@ INPUTS: dict[str, str | tuple[str, str]] = {
             FROM (SELECT {div('l_orderkey', 8)} AS doc, l_partkey, l_suppkey,
                     CAST(row_number() OVER (PARTITION BY {div('l_orderkey', 8)} ORDER BY {LINE_ORDER}) - 1 AS BIGINT) AS rn FROM lineitem) d
             JOIN part ON d.l_partkey = p_partkey) f""",
-    "fragment_gutters": "SELECT DISTINCT doc, page, CAST(250.0 AS DOUBLE) AS gutter_x FROM fragments WHERE doc % 3 = 0",
+    "fragment_gutters": "SELECT doc, page, CAST(250.0 AS DOUBLE) AS gutter_x FROM fragments GROUP BY doc, page HAVING count(*) < 12",
     "doc_words": (
         "SELECT doc_id, CAST(pos AS BIGINT) AS pos, word FROM documents LATERAL VIEW posexplode(split(text, ' ')) w AS pos, word",
         "SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)",
@@ -169,11 +169,12 @@ INPUTS: dict[str, str | tuple[str, str]] = {
         SELECT doc_id AS doc, CAST(1 + FLOOR(pos / 480) AS INT) AS page, pos AS word_id, word, CAST(50 * (pos % 12) AS DOUBLE) AS x0,
             CAST(14 * FLOOR((pos % 480) / 12) AS DOUBLE) AS y0, CAST(50 * (pos % 12) + 45 AS DOUBLE) AS x1,
             CAST(14 * FLOOR((pos % 480) / 12) + 12 AS DOUBLE) AS y1 FROM doc_words""",
-    "rects": f"""
-        SELECT doc, page, word_id AS hl_id, k.rect_id, CAST(60 - 60 * k.rect_id AS DOUBLE) AS x, y0 + 2 + 13 * k.rect_id AS y,
+    "lines": "SELECT doc, page, CAST(FLOOR(word_id / 12) AS BIGINT) AS hl_id, max(y0) AS y0 FROM words GROUP BY doc, page, CAST(FLOOR(word_id / 12) AS BIGINT)",
+    "rects": """
+        SELECT doc, page, hl_id, k.rect_id, CAST(60 - 60 * k.rect_id AS DOUBLE) AS x, y0 + 2 + 13 * k.rect_id AS y,
             CAST(300 - 180 * k.rect_id AS DOUBLE) AS w, CAST(8 AS DOUBLE) AS h
-        FROM words JOIN (SELECT 0 AS rect_id UNION ALL SELECT 1) k ON word_id % 60 = 0""",
-    "page_gutters": "SELECT DISTINCT doc, page, CAST(306.0 AS DOUBLE) AS gutter_x FROM words WHERE doc % 3 = 0",
+        FROM lines JOIN (SELECT 0 AS rect_id UNION ALL SELECT 1) k ON hl_id >= 0""",
+    "page_gutters": "SELECT doc, page, CAST(306.0 AS DOUBLE) AS gutter_x FROM words GROUP BY doc, page HAVING count(*) < 400",
     "blocks": f"""
         SELECT doc_id AS doc, CAST(1 + FLOOR(pos / 480) AS INT) AS page, word AS text, CAST(612.0 AS DOUBLE) AS page_width,
             CAST(CASE (FLOOR(pos / 40) + doc_id) % (2 + doc_id % 3) WHEN 0 THEN 40 WHEN 1 THEN 332 ELSE 100 END AS DOUBLE) AS x0,
@@ -206,13 +207,13 @@ INPUTS: dict[str, str | tuple[str, str]] = {
             CASE WHEN o_custkey % 2 = 0 AND o_orderkey % 4 <> 0 THEN CAST(o_orderkey % 5 AS INT) END AS pdf_idx FROM orders""",
     "page_files": f"""
         SELECT 's0' AS source_id, {uuid_of('o_custkey')} AS uuid, concat('p', CAST(o_orderkey AS STRING), '.rm') AS name, '.rm' AS ext,
-            CAST(FLOOR(o_totalprice) AS BIGINT) % 300 AS size FROM orders WHERE o_orderkey % 3 <> 0""",
+            CAST(FLOOR(o_totalprice) AS BIGINT) % 300 AS size FROM orders WHERE o_orderstatus <> 'P'""",
     "page_strokes": f"""
         SELECT 's0' AS source_id, p.uuid, p.page_idx FROM doc_pages p JOIN lineitem ON l_orderkey = p.page_key""",
     "page_tag_rows": f"""
         SELECT 's0' AS source_id, {uuid_of('o_custkey')} AS uuid, concat('p', CAST(o_orderkey AS STRING)) AS page_id, k.tag_idx,
             concat(lower(o_orderstatus), CAST(k.tag_idx AS STRING)) AS tag
-        FROM orders JOIN (SELECT 0 AS tag_idx UNION ALL SELECT 1) k ON (o_orderkey + k.tag_idx) % 3 = 0""",
+        FROM orders JOIN (SELECT 0 AS tag_idx UNION ALL SELECT 1) k ON k.tag_idx = 0 OR o_orderstatus = 'F'""",
     "turn_words": (
         "SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos, word FROM conversations LATERAL VIEW posexplode(split(text, ' ')) w AS pos, word",
         "SELECT conv_id, turn, unnest(range(len(w))) AS pos, unnest(w) AS word FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)",
@@ -232,20 +233,20 @@ INPUTS: dict[str, str | tuple[str, str]] = {
         SELECT doc_id AS doc, concat('<!-- marginalia:start -->', {NL}, '### Page 1', {NL}, {NL},
                 CASE WHEN doc_id % 3 = 0 THEN concat({quote(Q2, "'9'")}) ELSE concat({quote(Q1, "'1'")}, {TYPED}, {NL}, {TYPED_END}, {NL}) END, {NL},
                 '![[', lang, '_p1_b2c1.png|500]]', {NL}, {TYPED}, {TYPED_END}, {NL}, '<!-- marginalia:end -->') AS section,
-            n_chars % 50 AS highlight_count FROM documents WHERE doc_id % 10 <> 9""",
+            n_chars % 50 AS highlight_count FROM documents""",
     "fresh_notes": f"""
         SELECT s.doc, concat('---', {NL}, 'title: "new"', {NL}, 'highlight_count: ', CAST(s.highlight_count AS STRING), {NL}, '---', {NL}, {NL}, s.section, {NL})
             AS body, s.section, s.highlight_count FROM new_sections s""",
     "page_highlights": """
-        SELECT doc, page, seq, text, CASE WHEN seq % 7 = 0 THEN NULL ELSE color END AS color FROM fragments WHERE doc % 4 <> 3""",
-    "drawings": "SELECT DISTINCT doc, CAST(page + doc % 2 AS INT) AS page, concat('d', CAST(doc AS STRING), '_p', CAST(page + doc % 2 AS STRING), '.png') AS filename FROM fragments WHERE doc % 5 = 0",
-    "page_ocr": f"SELECT DISTINCT doc, page, concat('written', {NL}, 'by {{{{hand}}}} ', CAST(doc AS STRING)) AS ocr_text FROM fragments WHERE doc % 6 = 0",
+        SELECT doc, page, seq, text, CASE WHEN seq % 7 = 0 THEN NULL ELSE color END AS color FROM fragments""",
+    "drawings": "SELECT DISTINCT doc, CAST(page + doc % 2 AS INT) AS page, concat('d', CAST(doc AS STRING), '_p', CAST(page + doc % 2 AS STRING), '.png') AS filename FROM fragments WHERE color = 'pink'",
+    "page_ocr": f"SELECT DISTINCT doc, page, concat('written', {NL}, 'by {{{{hand}}}} ', CAST(doc AS STRING)) AS ocr_text FROM fragments WHERE x IS NULL",
     "section_docs": f"""
         SELECT DISTINCT {div('o_orderkey', 8)} AS doc, concat('d', CAST({div('o_orderkey', 8)} AS STRING), '.pdf') AS pdf_name,
             {div('o_orderkey', 8)} % 9 = 0 AS is_notebook FROM orders""",
-    "section_tags": "SELECT DISTINCT doc, page, concat('t', CAST(doc % 3 AS STRING)) AS tag FROM fragments WHERE doc % 7 = 0",
+    "section_tags": "SELECT DISTINCT doc, page, concat('t', CAST(doc % 3 AS STRING)) AS tag FROM fragments WHERE text LIKE 'hot%'",
     "note_docs": f"""
-        SELECT doc_id AS doc, {U} AS uuid, concat(replace(substring(text, 1, 12), '"', '~'), CASE WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '"q"' END) AS name,
+        SELECT doc_id AS doc, {U} AS uuid, concat(replace(text, '"', '~'), CASE WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '"q"' END) AS name,
             CASE WHEN doc_id % 5 = 0 THEN 'notebook' ELSE 'pdf' END AS doc_type, n_chars * 86400000 AS last_modified,
             CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS source_label, lang, source, n_chars FROM documents""",
     "note_inputs": f"""
@@ -284,12 +285,13 @@ INPUTS: dict[str, str | tuple[str, str]] = {
         SELECT doc_id AS doc, concat('p', CAST(doc_id AS STRING)) AS page_id, concat('f', CAST(n_chars AS STRING)) AS filename,
             n_chars + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS rm_mtime, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE lang END AS template,
             CASE WHEN doc_id % 2 = 0 THEN source END AS ocr_text, CASE WHEN doc_id % 11 = 0 THEN 'old' ELSE 'now' END AS settings
-        FROM documents WHERE doc_id % 5 <> 4""",
+        FROM documents WHERE lang <> 'de'""",
     "changes": f"""
         SELECT CAST(ts AS TIMESTAMP) AS ts, concat('s', CAST(user_id % 3 AS STRING)) AS source_id,
             concat({uuid_of('user_id')}, CASE event_type WHEN 'click' THEN '.metadata' WHEN 'view' THEN '.content' WHEN 'error' THEN '.tmp'
                 WHEN 'signup' THEN '.sync-conflict.metadata' ELSE '/page.rm' END) AS path FROM events""",
-    "ignored": f"SELECT DISTINCT {uuid_of('user_id')} AS uuid FROM events WHERE user_id % 10 = 0",
+    "ignored": f"""
+        SELECT {uuid_of('user_id')} AS uuid FROM events GROUP BY user_id HAVING sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) * 4 > count(*)""",
     "outcomes": "SELECT user_id AS key, CAST(ts AS TIMESTAMP) AS ts, event_id AS seq, event_type IN ('error', 'view', 'click') AS failed FROM events",
     "log_text": f"""
         SELECT doc_id AS id, concat(text, CASE WHEN doc_id % 50 = 0 THEN concat(' curl -H ''x-api-key: tok', CAST(doc_id AS STRING), ''' SSHPASS=hunter2 rsync; sshpass -p hunter',

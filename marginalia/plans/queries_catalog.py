@@ -132,9 +132,9 @@ def since_cursor(t):
     return catalog.since(t("library"), t("cursors")).select("uuid", "last_modified")
 
 
-@query("search_library", "library", "", "SELECT uuid, name FROM library WHERE contains(lower(name), 'er') OR contains(lower(folder_path), 'er')")
+@query("search_library", "library", "", "SELECT uuid, name FROM library WHERE contains(lower(name), 'fr 1') OR contains(lower(folder_path), 'fr 1')")
 def search_library(t):
-    return catalog.search_library(t("library"), "Er").select("uuid", "name")
+    return catalog.search_library(t("library"), "Fr 1").select("uuid", "name")
 
 
 @query("filter_source", "library", "", "SELECT uuid FROM library WHERE source_id = 's1' AND sync_status <> 'archived'")

@@ -102,13 +102,12 @@ def merge_stroke_regions(t):
     "merge_highlight_sources",
     "page_highlights",
     "",
-    """SELECT DISTINCT CAST(doc AS VARCHAR) || ':' || CAST(seq AS VARCHAR) AS id, text FROM page_highlights WHERE doc % 2 = 0
-    UNION SELECT CAST(doc AS VARCHAR) || ':' || CAST(seq AS VARCHAR), text FROM page_highlights WHERE doc % 3 = 0""",
+    "SELECT CAST(doc AS VARCHAR) || ':' || CAST(seq AS VARCHAR) AS id, text FROM page_highlights",
 )
 def merge_highlight_sources(t):
-    named = t("page_highlights").select("doc", F.concat(F.col("doc").cast("string"), F.lit(":"), F.col("seq").cast("string")).alias("id"), "text")
-    one, two = (named.filter(F.col("doc") % n == 0).drop("doc") for n in (2, 3))
-    return merge.merge_highlight_sources(one, two)
+    named = t("page_highlights").select("color", F.concat(F.col("doc").cast("string"), F.lit(":"), F.col("seq").cast("string")).alias("id"), "text")
+    drawn = named.filter(F.col("color") == "pink")
+    return merge.merge_highlight_sources(named.drop("color"), drawn.drop("color"))
 
 
 # --- text under boxes ------------------------------------------------------------------------------------------------
