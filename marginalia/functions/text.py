@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Blanks as the note format counts them, and characters no file name may hold.
-BLANK = "[\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+# Blanks as the note format counts them, as a pattern and as a set, and characters no file name may hold.
+BLANK = "[\\s\\p{Z}\\ufeff]"
+BLANK_IN_LINE = "[ \\t\\x0B\\f\\r\\p{Z}\\ufeff]"
+BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 UNSAFE = '[\\x00-\\x1f<>:"/\\\\|?*]'
 UNSAFE_PRINTABLE = '[<>:"/\\\\|?*]'
 
 
 def trimmed(text: Column) -> Column:
     """Without leading and trailing blanks of any kind."""
-    return F.regexp_replace(F.regexp_replace(text, f"^{BLANK}+", ""), f"{BLANK}+\\z", "")
+    return F.trim(text, F.lit(BLANKS))
+
+
+def without_tail(text: Column) -> Column:
+    """Without trailing blanks of any kind."""
+    return F.rtrim(text, F.lit(BLANKS))
 
 
 def single_spaced(text: Column) -> Column:

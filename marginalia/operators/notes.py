@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.text import (
     BLANK,
+    BLANK_IN_LINE,
     day,
     note_name,
     ordered_join,
@@ -20,6 +21,7 @@ from marginalia.functions.text import (
     trimmed,
     with_pdf_extension,
     without_extension,
+    without_tail,
     yaml_escaped,
 )
 from marginalia.session import durable
@@ -64,7 +66,6 @@ BLOCK_CLOSE = "<!-- /notes -->"
 BLOCK = f"(?s){BLOCK_OPEN}(.*?){BLOCK_CLOSE}"
 SECTION_START_KEY = "__section-start__"
 MIN_CONFIDENCE = 30
-TRAILING_BLANKS = f"{BLANK}+\\z"
 
 
 # --- the managed section ---------------------------------------------------------------------------------------------
@@ -110,15 +111,19 @@ def parse_highlights(notes: DataFrame, markers: tuple[Markers, ...] = MARKERS) -
     """
     lines = F.filter(F.split("managed", "\n"), lambda line: line.startswith("> "))
     quote = F.array_join(F.transform(lines, lambda line: F.substring(line, 3, 1_000_000_000)), "\n")
-    closing = f"(?md)^--{BLANK.replace(chr(92) + 'n', '')}+[^\\n]*#page=?(\\d+)[^\\n]*$"
+    closing = f"(?md)^--{BLANK_IN_LINE}+[^\\n]*#page=?(\\d+)[^\\n]*$"
     texts = F.split("quote", closing)
     pages = F.regexp_extract_all("quote", F.lit(closing), F.lit(1))
-    sections = split_managed_section(notes, markers).filter(F.col("managed").isNotNull()).withColumn("quote", quote)
-    pieces = sections.select(
-        "doc", F.posexplode(F.arrays_zip(F.slice(texts, F.lit(1), F.size(pages)).alias("text"), pages.alias("page"))).alias("pos", "h")
-    )
+    sections = split_managed_section(notes, markers).withColumn("quote", quote).select("doc", texts.alias("texts"), pages.alias("pages"))
+    pieces = sections.select("doc", _each(F.arrays_zip(F.slice("texts", F.lit(1), F.size("pages")).alias("text"), F.col("pages").alias("page")), "h"))
     found = pieces.select("doc", "pos", trimmed(F.col("h.text")).alias("text"), F.col("h.page").cast("int").alias("page"))
-    return found.filter(F.col("text") != "")
+    return found.filter(F.col("pos").isNotNull() & (F.col("text") != ""))
+
+
+def _each(array: Column, name: str) -> Column:
+    """Elements with their position.  The outer form, as for the inner one Spark infers a filter that computes the
+    array a second time; a note without any gives one row with a null position."""
+    return F.posexplode_outer(array).alias("pos", name)
 
 
 def group_by_page(highlights: DataFrame, drawings: DataFrame, ocr: DataFrame) -> DataFrame:
@@ -256,7 +261,7 @@ def merge_notes(existing: DataFrame, fresh: DataFrame, overwrite: bool = False,
     old = split_managed_section(existing.select("doc", F.col("body").alias("old_body")), markers, "old_body")
     joined = fresh.join(old, "doc", "left")
     spliced = F.concat(_with_count(F.col("before"), F.col("highlight_count")), F.col("section"), F.col("after"))
-    appended = F.concat(F.regexp_replace("old_body", TRAILING_BLANKS, ""), F.lit("\n\n"), F.col("section"), F.lit("\n"))
+    appended = F.concat(without_tail(F.col("old_body")), F.lit("\n\n"), F.col("section"), F.lit("\n"))
     kept = F.col("body") if overwrite else F.coalesce(spliced, appended)
     merged = joined.select("doc", "old_body", F.when(F.col("old_body").isNull(), F.col("body")).otherwise(kept).alias("body"))
     return preserve_typed_notes(merged, markers)
@@ -269,7 +274,7 @@ def _structural(markers: tuple[Markers, ...]) -> str:
 
 def _lines_above(text: Column, markers: tuple[Markers, ...]) -> Column:
     """The unbroken run of content lines at the end of a text, blank lines after it aside."""
-    lines = F.split(F.regexp_replace(text, TRAILING_BLANKS, ""), "\n")
+    lines = F.split(without_tail(text), "\n")
     stops = F.transform(
         lines, lambda line, i: F.when((trimmed(line) == "") | trimmed(line).rlike(_structural(markers)), i + 1).otherwise(F.lit(0))
     )
@@ -287,7 +292,7 @@ def anchor_key(anchor: Column) -> Column:
 
 def anchor_blocks(notes: DataFrame, markers: tuple[Markers, ...] = MARKERS, body: str = "body") -> DataFrame:
     """Typed blocks ``(doc, pos, key, anchor_text, content)`` of the managed section, with the lines they hang on."""
-    sections = split_managed_section(notes.select("doc", body), markers, body).filter(F.col("managed").isNotNull())
+    sections = split_managed_section(notes.select("doc", body), markers, body)
     section = F.concat("start_marker", "managed", "end_marker")
     sections = sections.select("doc", section.alias("section"))
     sections = sections.withColumn("gaps", F.split("section", BLOCK)).withColumn("inner", F.regexp_extract_all("section", F.lit(BLOCK), F.lit(1)))
@@ -295,18 +300,19 @@ def anchor_blocks(notes: DataFrame, markers: tuple[Markers, ...] = MARKERS, body
         "doc",
         "gaps",
         "inner",
-        F.posexplode(F.col("inner")).alias("pos", "typed"),
-    )
+        _each(F.col("inner"), "typed"),
+    ).filter(F.col("pos").isNotNull())
     gap = F.get("gaps", F.col("pos"))
     # The block before ends in a marker line, where the anchor stops, unless text follows on that very line.
     marker_line = F.concat(F.substring_index(F.get("inner", F.col("pos") - 1), "\n", -1), F.lit(BLOCK_CLOSE))
     near = F.when(F.col("pos") == 0, gap).otherwise(F.concat(marker_line, gap))
+    blocks = blocks.withColumn("near", without_tail(near)).withColumn("above", _lines_above(F.col("near"), markers))
     upto = F.slice(F.arrays_zip(F.col("gaps").alias("gap"), F.col("inner").alias("typed")), F.lit(1), F.col("pos"))
     written = F.transform(upto, lambda p: F.concat(p["gap"], F.lit(BLOCK_OPEN), p["typed"], F.lit(BLOCK_CLOSE)))
     whole = F.concat(F.array_join(written, ""), gap)
-    runs_on = _lines_above(near, markers) == F.regexp_replace(near, TRAILING_BLANKS, "")
-    above = F.when((F.col("pos") > 0) & runs_on, _lines_above(whole, markers)).otherwise(_lines_above(near, markers))
-    return blocks.select("doc", "pos", above.alias("anchor_text"), trimmed(F.col("typed")).alias("content")).select(
+    runs_on = (F.col("pos") > 0) & (F.col("above") == F.col("near"))
+    anchor = F.when(runs_on, _lines_above(whole, markers)).otherwise(F.col("above"))
+    return blocks.select("doc", "pos", anchor.alias("anchor_text"), trimmed(F.col("typed")).alias("content")).select(
         "doc", "pos", anchor_key(F.col("anchor_text")).alias("key"), "anchor_text", "content"
     )
 
@@ -391,9 +397,9 @@ def preserve_typed_notes(pairs: DataFrame, markers: tuple[Markers, ...] = MARKER
     appendix = F.concat(F.lit(ORPHAN_HEAD), F.array_join(F.transform(homeless, _orphan_text), "\n"))
     df = df.withColumn("rebuilt", rebuilt).withColumn("appendix", F.when(F.size("left") > 0, appendix))
     open_section = F.substring(F.col("rebuilt"), F.lit(1), F.length("rebuilt") - F.length("end_marker"))
-    closed = F.concat(F.regexp_replace(open_section, TRAILING_BLANKS, ""), F.lit("\n\n"), F.col("appendix"), F.lit("\n"), F.col("end_marker"))
+    closed = F.concat(without_tail(open_section), F.lit("\n\n"), F.col("appendix"), F.lit("\n"), F.col("end_marker"))
     managed = F.when(F.col("appendix").isNull(), F.col("rebuilt")).otherwise(closed)
-    homeless_note = F.concat(F.regexp_replace("body", TRAILING_BLANKS, ""), F.lit("\n\n"), F.col("appendix"), F.lit("\n"))
+    homeless_note = F.concat(without_tail(F.col("body")), F.lit("\n\n"), F.col("appendix"), F.lit("\n"))
     body = (
         F.when(F.col("fills").isNull(), F.col("body"))
         .when(F.col("managed").isNull(), F.coalesce(homeless_note, F.col("body")))
