@@ -18,7 +18,8 @@ WRAP_GAP_LINES = 1.0
 WRAP_INDENT = 20.0
 SHADOW_GAP = 100.0
 
-# Pages up to this many fragments are folded in one row; larger ones are cut up.
+# Pages up to these sizes are compared pair by pair, and folded in one row; larger ones are cut up.
+PAIR_ROWS = 2_000
 PAGE_ROWS = 20_000
 GRAM = 3
 SHADOW_CELL = 128
@@ -112,7 +113,7 @@ def _dropped_by_rounds(pairs: DataFrame) -> DataFrame:
     return dropped
 
 
-def drop_shadowed(fragments: DataFrame, gutters: DataFrame, max_gap: float = SHADOW_GAP, limit: int = PAGE_ROWS) -> DataFrame:
+def drop_shadowed(fragments: DataFrame, gutters: DataFrame, max_gap: float = SHADOW_GAP, limit: int = PAIR_ROWS) -> DataFrame:
     """Drop fragments whose text is part of a longer one near them in the same column; boxless ones stay."""
     boxed = with_side(fragments.filter(F.col("x").isNotNull()), gutters)
     cold, hot, _ = split_hot(boxed, PAGE, limit)

@@ -45,8 +45,8 @@ class OrderedGroups:
         cold, hot, rows = split_hot(df, keys, limit)
         self.hot = hot is not None
         if self.hot:
-            parts = max(2, math.ceil(2 * rows / limit))
-            chunked = hot.repartitionByRange(parts, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
+            self.chunks = max(2, math.ceil(2 * rows / limit))
+            chunked = hot.repartitionByRange(self.chunks, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
             self.df = cold.withColumn(CHUNK, F.lit(-1)).unionByName(durable(chunked))
         else:
             self.df = cold
@@ -100,12 +100,12 @@ class OrderedGroups:
         return self.df.filter(F.col(CHUNK) >= 0).groupBy(*self.keys, CHUNK)
 
     def _carry(self, summary: DataFrame) -> DataFrame:
-        """Attach ``_carry``.  A range chunk continues at most one group, so at most one row per chunk is sent."""
+        """Attach ``_carry``.  A range chunk continues at most one group, so the summary has at most one row per chunk."""
         keys = self.keys + [CHUNK]
         side = summary.filter(F.col("_carry").isNotNull()).select(*[F.col(k).alias(f"_c_{k}") for k in keys], "_carry")
-        return self.df.join(F.broadcast(side), same_keys(self.df, side, keys, "_c_"), "left").drop(
-            *[f"_c_{k}" for k in keys]
-        )
+        if self.chunks <= BROADCAST_ROWS:
+            side = F.broadcast(side)
+        return self.df.join(side, same_keys(self.df, side, keys, "_c_"), "left").drop(*[f"_c_{k}" for k in keys])
 
 
 def centred_mean(

@@ -137,6 +137,7 @@ INPUTS: dict[str, str | tuple[str, str]] = {
     "registry": f"""
         SELECT {U} AS uuid, concat(lang, CASE WHEN doc_id % 2 = 0 THEN '' ELSE CAST(doc_id AS STRING) END) AS base_name,
             n_chars % 4 AS highlight_count FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""",
+    "note_headers": "SELECT uuid, concat('notes/', base_name, '.md') AS path, base_name FROM registry",
     "named_docs": f"""
         SELECT {U} AS uuid, CASE WHEN doc_id % 4 = 0 THEN concat(text, '.pdf') WHEN doc_id % 4 = 1 THEN concat(lang, ': ?')
             ELSE concat(' ', lang, ' <', CAST(doc_id AS STRING), '>.EPUB') END AS visible_name FROM documents""",

@@ -427,12 +427,12 @@ def select_archive_candidates(t):
         WHERE NOT EXISTS (SELECT 1 FROM registry r WHERE r.base_name = o.base_name AND r.uuid <> o.uuid))""",
     """SELECT o.uuid, f.path, 'store' AS kind FROM owned_files f JOIN owned_docs o ON f.name = o.uuid || '.pdf'
     UNION ALL SELECT o.uuid, f.path, 'cache' FROM owned_files f JOIN owned_docs o ON f.name = '.render-cache-' || o.uuid || '.json'
-    UNION ALL SELECT n.uuid, f.path, 'note' FROM owned_files f JOIN noted n ON f.name = n.base_name || '.md'
+    UNION ALL SELECT uuid, 'notes/' || base_name || '.md', 'note' FROM noted
     UNION ALL SELECT b.uuid, f.path, 'image' FROM owned_files f JOIN bases b ON b.base_name = regexp_extract(f.name, '^(.*)_p[0-9]+(_[0-9a-fA-F]{4})?[.]png([.]bak)?$', 1)
         WHERE f.name LIKE '%.png%'""",
 )
 def collect_artifacts(t):
-    return sync.collect_artifacts(t("owned_docs"), t("owned_files"), t("registry")).select("uuid", "path", "kind")
+    return sync.collect_artifacts(t("owned_docs"), t("owned_files"), t("note_headers")).select("uuid", "path", "kind")
 
 
 # --- names -----------------------------------------------------------------------------------------------------------
@@ -457,12 +457,12 @@ def stable_names(t):
     "image_names",
     "named_docs",
     "",
-    f"""SELECT uuid, CASE WHEN trim(b) = '' THEN 'Untitled' ELSE trim(b) END || '_p1_' || right('0000' || lower(to_base(length(visible_name) * 70000 & 65535, 16)), 4) || '.png' AS image
+    f"""SELECT uuid, CASE WHEN trim(b) = '' THEN 'Untitled' ELSE trim(b) END || '_p1_' || right('0000' || lower(to_base(CAST(length(visible_name) AS BIGINT) * 70000 & 65535, 16)), 4) || '.png' AS image
     FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(visible_name, '[<>:"/\\\\|?*]', '', 'g'),
         '[\\x1c-\\x1f\\x{{85}}{BL}]+', ' ', 'g'), '^ +', ''), ' +$', ''), '[.](pdf|PDF)$', ''), '[.](epub|EPUB)$', '') AS b FROM named_docs)""",
 )
 def image_names(t):
-    mtime = F.length("visible_name") * 70000
+    mtime = F.length("visible_name").cast("bigint") * 70000
     image = text.page_image(text.image_name(F.col("visible_name")), F.lit(1), mtime)
     return t("named_docs").select("uuid", image.alias("image"))
 

@@ -77,18 +77,24 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 
-def read_note_registry(notes: DataFrame, uuid_key: str = "remarkable_uuid") -> DataFrame:
-    """(uuid, base_name, highlight_count) from the note headers; of several notes the first name wins."""
+def read_note_headers(notes: DataFrame, uuid_key: str = "remarkable_uuid") -> DataFrame:
+    """(uuid, path, base_name, highlight_count) of every note ``(path, body)`` whose header names a document."""
     uuid = F.regexp_extract("body", f"(?m)^{uuid_key}:\\s*([0-9a-fA-F-]{{36}})\\s*$", 1)
     count = F.regexp_extract("body", "(?m)^highlight_count:\\s*(\\d+)$", 1)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "\\.md\\z", "")
     headers = notes.filter(F.col("path").endswith(".md")).select(
         F.lower(uuid).alias("uuid"),
+        "path",
         name.alias("base_name"),
         F.coalesce(F.nullif(count, F.lit("")).cast("bigint"), F.lit(0)).alias("highlight_count"),
     )
+    return headers.filter(F.col("uuid") != "")
+
+
+def read_note_registry(notes: DataFrame, uuid_key: str = "remarkable_uuid") -> DataFrame:
+    """(uuid, base_name, highlight_count), one row per document; of several notes the first name wins."""
     first = F.min(F.struct("base_name", "highlight_count")).alias("first")
-    return headers.filter(F.col("uuid") != "").groupBy("uuid").agg(first).select("uuid", "first.*")
+    return read_note_headers(notes, uuid_key).groupBy("uuid").agg(first).select("uuid", "first.*")
 
 
 def write_notes(notes: DataFrame, folder: str, run_id: str) -> None:
