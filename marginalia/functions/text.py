@@ -124,6 +124,7 @@ def day(epoch_ms: Column) -> Column:
 
 def millis(epoch: Column) -> Column:
     """Epoch seconds or milliseconds, as milliseconds."""
+    epoch = epoch.cast("bigint")
     return F.when(epoch > 1000000000000, epoch).otherwise(epoch * 1000)
 
 
