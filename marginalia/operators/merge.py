@@ -21,7 +21,7 @@ SHADOW_GAP = 100.0
 # Pages up to these sizes are compared pair by pair, and folded in one row; larger ones are cut up.
 PAIR_ROWS = 2_000
 PAGE_ROWS = 20_000
-GRAM = 3
+GRAM = 4
 SHADOW_CELL = 128
 
 BOX = ["x", "y", "w", "h"]
@@ -90,13 +90,19 @@ def _dropped_by_fold(pairs: DataFrame) -> DataFrame:
     return pages.select(*PAGE, F.explode(gone).alias("seq"))
 
 
-def _dropped_by_rounds(pairs: DataFrame) -> DataFrame:
-    """The same decision without gathering a page.  Each round settles fragments whose earlier holders are settled."""
-    pairs = durable(pairs)
+def _dropped_on_large_pages(boxed: DataFrame, max_gap: float) -> DataFrame:
+    """The same decision without gathering a page.
+
+    Copies, alike in text and box, have the same holders.  A copy before the last holder goes; those after it share
+    one fate: they go if some holder is kept.  So copies are one node, known by its last ``seq``, and each round
+    settles the nodes whose holders are settled.
+    """
+    alike = PAGE + ["side", "text", *BOX]
+    nodes = durable(boxed.groupBy(*alike).agg(F.max("seq").alias("seq")))
+    pairs = durable(_shadow_pairs_on_large_pages(nodes, max_gap))
     node = PAGE + ["seq"]
-    a_node = [*PAGE, F.col("a_seq").alias("seq")]
-    held_later = pairs.filter(F.col("b_seq") > F.col("a_seq")).select(*a_node).distinct()
-    dropped = durable(held_later)
+    last_holder = pairs.groupBy(*PAGE, F.col("a_seq").alias("seq")).agg(F.max("b_seq").alias("last_holder"))
+    dropped = durable(last_holder.filter(F.col("last_holder") > F.col("seq")).select(*node))
     waiting = durable(pairs.join(dropped.withColumnRenamed("seq", "a_seq"), PAGE + ["a_seq"], "left_anti"))
     while not waiting.isEmpty():
         gone = dropped.select(*PAGE, F.col("seq").alias("b_seq"), F.lit(True).alias("gone"))
@@ -110,16 +116,19 @@ def _dropped_by_rounds(pairs: DataFrame) -> DataFrame:
         )
         dropped = durable(dropped.unionByName(settled.filter("goes").select(*node)))
         waiting = durable(waiting.join(settled.select(*PAGE, F.col("seq").alias("a_seq")), PAGE + ["a_seq"], "left_anti"))
-    return dropped
+    fates = last_holder.join(dropped.withColumn("dropped", F.lit(True)), node, "left")
+    known = nodes.join(fates, node).select(*alike, "last_holder", "dropped")
+    goes = F.col("dropped").isNotNull() | (F.col("seq") < F.col("last_holder"))
+    return boxed.join(known, alike).filter(goes).select(*node)
 
 
 def drop_shadowed(fragments: DataFrame, gutters: DataFrame, max_gap: float = SHADOW_GAP, limit: int = PAIR_ROWS) -> DataFrame:
     """Drop fragments whose text is part of a longer one near them in the same column; boxless ones stay."""
     boxed = with_side(fragments.filter(F.col("x").isNotNull()), gutters)
-    cold, hot, _ = split_hot(boxed, PAGE, limit)
+    cold, hot, _ = split_hot(boxed, PAGE, limit, fragments)
     dropped = _dropped_by_fold(_shadow_pairs(cold, cold, PAGE, max_gap))
     if hot is not None:
-        dropped = dropped.unionByName(_dropped_by_rounds(_shadow_pairs_on_large_pages(hot, max_gap)))
+        dropped = dropped.unionByName(_dropped_on_large_pages(hot, max_gap))
     return fragments.join(dropped, PAGE + ["seq"], "left_anti")
 
 
@@ -269,14 +278,17 @@ def _merge_large_pages(boxed: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def merge_fragments(fragments: DataFrame, gutters: DataFrame, limit: int = PAGE_ROWS) -> DataFrame:
+def merge_fragments(
+    fragments: DataFrame, gutters: DataFrame, limit: int = PAGE_ROWS, sizes: DataFrame | None = None
+) -> DataFrame:
     """Fragments of one page and colour that continue each other, along a line or on the next, as whole highlights.
 
-    A highlight keeps the ``seq`` of its first fragment.  Boxless fragments pass unchanged.
+    A highlight keeps the ``seq`` of its first fragment.  Boxless fragments pass unchanged.  ``sizes`` may name a
+    cheaper table, with at least the same rows per page, to find large pages by.
     """
     boxless = fragments.filter(F.col("x").isNull()).withColumn("fragments", F.lit(1))
     boxed = with_side(fragments.filter(F.col("x").isNotNull()), gutters)
-    cold, hot, _ = split_hot(boxed, PAGE, limit)
+    cold, hot, _ = split_hot(boxed, PAGE, limit, fragments if sizes is None else sizes)
     merged = _merge_small_pages(cold)
     if hot is not None:
         merged = merged.unionByName(_merge_large_pages(hot, limit))
@@ -286,7 +298,7 @@ def merge_fragments(fragments: DataFrame, gutters: DataFrame, limit: int = PAGE_
 
 def whole_highlights(fragments: DataFrame, gutters: DataFrame) -> DataFrame:
     """Shadowed fragments out, the rest merged."""
-    return merge_fragments(drop_shadowed(fragments, gutters), gutters)
+    return merge_fragments(drop_shadowed(fragments, gutters), gutters, sizes=fragments)
 
 
 # --- strokes and sources ---------------------------------------------------------------------------------------------

@@ -25,9 +25,14 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[prefix + k]) for k in keys])
 
 
-def split_hot(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None, int]:
-    """(ordinary rows, rows of groups above ``limit`` or None, how many such rows)."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+def split_hot(
+    df: DataFrame, keys: list[str], limit: int = HOT_ROWS, sizes: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None, int]:
+    """(ordinary rows, rows of groups above ``limit`` or None, how many such rows).
+
+    ``sizes`` is counted instead of ``df``: a cheaper table that has at least the groups' rows.
+    """
+    counts = (df if sizes is None else sizes).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
     groups, rows = counts.agg(F.count(F.lit(1)), F.sum("_n")).first()
     if not groups:
         return df, None, 0
@@ -40,9 +45,11 @@ def split_hot(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> tuple[Da
 class OrderedGroups:
     """Running columns over ``keys`` in a total ``order``; ``df`` holds the result so far."""
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str], limit: int = HOT_ROWS):
+    def __init__(
+        self, df: DataFrame, keys: list[str], order: list[str], limit: int = HOT_ROWS, sizes: DataFrame | None = None
+    ):
         self.keys, self.order = keys, order
-        cold, hot, rows = split_hot(df, keys, limit)
+        cold, hot, rows = split_hot(df, keys, limit, sizes)
         self.hot = hot is not None
         if self.hot:
             self.chunks = max(2, math.ceil(2 * rows / limit))

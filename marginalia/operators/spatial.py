@@ -58,7 +58,7 @@ def union_boxes(rects: DataFrame, keys: tuple[str, ...] = ("doc", "page", "hl_id
 
 def reading_order(df: DataFrame, gutters: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
     """Adds ``rank``, 1-based: column, then top to bottom, left to right, ``seq`` on ties.  Boxless rows come first."""
-    return OrderedGroups(with_side(df, gutters), PAGE, ["side", "y", "x", "seq"], limit).row_number("rank").result()
+    return OrderedGroups(with_side(df, gutters), PAGE, ["side", "y", "x", "seq"], limit, df).row_number("rank").result()
 
 
 def _cells(low: Column, high: Column, size: int) -> Column:

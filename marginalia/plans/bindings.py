@@ -330,7 +330,7 @@ class Tables:
                     if other != name and _mentions(text, other):
                         self(other)
                 df = self.spark.sql(text)
-                df = durable(df) if name in STORED else df
+                df = durable(df.repartition("doc")) if name in STORED else df
             df.createOrReplaceTempView(name)
             self.bound.add(name)
         return self.spark.table(name)

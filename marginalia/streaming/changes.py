@@ -43,7 +43,7 @@ def debounced_changes(
         counted = kept.withWatermark("ts", watermark).groupBy("source_id", session.alias("s")).agg(F.count(F.lit(1)).alias("changes"))
         return counted.select("source_id", F.col("s.start").alias("first_ts"), F.col("s.end").alias("due_ts"), "changes")
     # Equal times never cut a period, so their order among each other does not matter.
-    groups = OrderedGroups(kept, ["source_id"], ["ts", "path"], limit).previous("_before", F.col("ts"))
+    groups = OrderedGroups(kept, ["source_id"], ["ts", "path"], limit, changes).previous("_before", F.col("ts"))
     quiet = F.col("_before").isNull() | (F.col("ts") >= F.col("_before") + gap)
     periods = groups.running_sum("_period", F.when(quiet, 1).otherwise(0)).result()
     return (
