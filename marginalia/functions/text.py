@@ -119,7 +119,12 @@ def page_link(source: Column, page: Column, style: str = "pdfpp") -> Column:
 
 def day(epoch_ms: Column) -> Column:
     """UTC calendar day of an epoch in milliseconds."""
-    return F.date_format(F.timestamp_millis(epoch_ms), "yyyy-MM-dd")
+    return F.date_format(utc_date(epoch_ms), "yyyy-MM-dd")
+
+
+def utc_date(epoch_ms: Column) -> Column:
+    """The date, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(epoch_ms / 86400000).cast("int"))
 
 
 def millis(epoch: Column) -> Column:
@@ -144,7 +149,7 @@ def relative_time(epoch: Column, now_ms: Column, style: str = "short") -> Column
             .when(hours < 24, ago(hours, "h"))
             .otherwise(ago(days, "d"))
         )
-    moment, today = F.timestamp_millis(millis(epoch)), F.timestamp_millis(now_ms)
+    moment, today = utc_date(millis(epoch)), utc_date(now_ms)
     dated = F.when(F.year(moment) == F.year(today), F.date_format(moment, "MMM d")).otherwise(
         F.date_format(moment, "MMM d, yyyy")
     )

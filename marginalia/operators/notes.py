@@ -374,9 +374,7 @@ def preserve_typed_notes(pairs: DataFrame, markers: tuple[Markers, ...] = MARKER
     # Both bodies are read for their blocks and again for the result.
     pairs = durable(pairs)
     old = anchor_blocks(pairs.filter(F.col("old_body").isNotNull()), markers, "old_body")
-    touched = old.filter(F.col("content") != "").select("doc").distinct()
-    affected = pairs.join(touched, "doc", "left_semi")
-    carried = carry_notes_forward(old, anchor_blocks(affected, markers, "body")).join(touched, "doc", "left_semi")
+    carried = carry_notes_forward(old, anchor_blocks(pairs, markers, "body"))
     per_doc = carried.groupBy("doc").agg(
         F.array_sort(F.flatten(F.collect_list("fills"))).alias("fills"),
         F.array_sort(F.collect_list(F.when(F.size("orphans") > 0, F.struct("first_pos", "orphans")))).alias("left"),
@@ -449,14 +447,12 @@ def stable_names(docs: DataFrame, registry: DataFrame) -> DataFrame:
     named = docs.select("uuid", "visible_name", F.lower("uuid").alias("k")).join(
         registry.select(F.col("uuid").alias("k"), F.col("base_name").alias("has")), "k", "left"
     )
-    pending = named.filter(F.col("has").isNull()).withColumn("base", note_name(F.col("visible_name")))
-    wanted = pending.groupBy("base").agg(F.count(F.lit(1)).alias("wanted_by"))
-    used = named.filter(F.col("has").isNotNull()).select(F.col("has").alias("base")).distinct().withColumn("used", F.lit(True))
-    judged = pending.join(wanted.join(used, "base", "left"), "base")
+    wanted = named.select("uuid", "has", F.coalesce("has", note_name(F.col("visible_name"))).alias("base"))
+    names = wanted.groupBy("base").agg(F.count_if(F.col("has").isNull()).alias("new"), F.count("has").alias("used"))
     ending = F.concat(F.lit(" ("), F.substring("uuid", 1, 8), F.lit(")"))
-    collides = F.coalesce("used", F.lit(False)) | (F.col("wanted_by") > 1)
-    fresh = judged.select("uuid", F.when(collides, F.concat("base", ending)).otherwise(F.col("base")).alias("base_name"))
-    return named.filter(F.col("has").isNotNull()).select("uuid", F.col("has").alias("base_name")).unionByName(fresh)
+    collides = F.col("has").isNull() & ((F.col("used") > 0) | (F.col("new") > 1))
+    name = F.when(collides, F.concat("base", ending)).otherwise(F.col("base"))
+    return wanted.join(names, "base").select("uuid", name.alias("base_name"))
 
 
 def assemble_ocr_text(words: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
