@@ -1,11 +1,14 @@
 """Canonical input tables derived from the given tables.
 
 Each text is valid in Spark SQL and in ANSI engines alike, so that a query and its oracle read the same rows; only
-exploding a text into words is written twice.  No text uses a backslash, which the engines read differently.
+exploding a text into words is written twice.  ``EACH(name: a, b)`` repeats a row for every listed value.  No text uses
+a backslash, which the engines read differently.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.session import durable
@@ -24,6 +27,7 @@ def div(a: str, b: int) -> str:
 
 
 U = uuid_of("doc_id")
+STORE = f"concat('s', substring({U}, 1, 1))"
 NL = "chr(10)"
 LINE_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate"
 START = "CASE WHEN doc_id % 2 = 0 THEN '<!-- marginalia:start -->' ELSE '<!-- marginalia-v0:start -->' END"
@@ -48,6 +52,7 @@ def header(count: str) -> str:
     )
 
 
+FILE_NUMBER = "CASE ext WHEN '.metadata' THEN 0 WHEN '.content' THEN 1 WHEN '.pdf' THEN 2 ELSE 3 END"
 FILE_NAME = f"""concat({U}, CASE doc_id % 7 WHEN 0 THEN '.metadata' WHEN 1 THEN '.content' WHEN 2 THEN '.pdf'
     WHEN 3 THEN '.epub' WHEN 4 THEN '.pagedata' WHEN 5 THEN '.sync-conflict-1.metadata' ELSE '' END)"""
 
@@ -55,7 +60,7 @@ FILE_NAME = f"""concat({U}, CASE doc_id % 7 WHEN 0 THEN '.metadata' WHEN 1 THEN
 INPUTS: dict[str, str | tuple[str, str]] = {
     # --- catalogue
     "entries": f"""
-        SELECT 's0' AS source_id, {U} AS uuid, concat(lang, ' ', CAST(n_chars AS STRING)) AS name,
+        SELECT {STORE} AS source_id, {U} AS uuid, concat(lang, ' ', CAST(n_chars AS STRING)) AS name,
             CASE WHEN doc_id = 190 THEN {uuid_of('191')} WHEN doc_id = 191 THEN {uuid_of('190')}
                 WHEN doc_id > 40 AND doc_id % 31 = 0 THEN 'trash' WHEN doc_id < 3 THEN ''
                 ELSE {uuid_of(div('doc_id', 3))} END AS parent,
@@ -65,7 +70,7 @@ INPUTS: dict[str, str | tuple[str, str]] = {
             n_chars * 800 AS created, doc_id > 40 AND doc_id % 23 = 0 AS deleted
         FROM documents""",
     "contents": f"""
-        SELECT 's0' AS source_id, {U} AS uuid,
+        SELECT {STORE} AS source_id, {U} AS uuid,
             CASE doc_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'epub' WHEN 2 THEN '' WHEN 3 THEN 'notebook' WHEN 4 THEN 'PDF' ELSE 'djvu' END
                 AS file_type,
             CAST(1 + n_chars % 9 AS INT) AS page_count, doc_id % 17 = 0 AS is_corrupt
@@ -110,30 +115,28 @@ INPUTS: dict[str, str | tuple[str, str]] = {
         UNION ALL SELECT CASE doc_id % 4 WHEN 0 THEN '.stignore' WHEN 1 THEN '.stfolder' WHEN 2 THEN concat({U}, '.cache') ELSE '.local' END, doc_id % 4 IN (1, 2)
         FROM documents""",
     "remote": f"""
-        SELECT concat('s', CAST(doc_id % 2 AS STRING)) AS source_id, {U} AS uuid, concat({U}, k.ext) AS path, concat({U}, k.ext) AS name,
-            k.ext AS ext, CASE WHEN k.ext = '' THEN 0 ELSE n_chars + k.n END AS size, 1700000000 + n_chars AS mtime_s, k.ext = '' AS is_dir
-        FROM documents JOIN (SELECT 0 AS n, '.metadata' AS ext UNION ALL SELECT 1, '.content' UNION ALL SELECT 2, '.pdf' UNION ALL SELECT 3, '') k
-            ON doc_id >= 0""",
+        SELECT concat('s', CAST(doc_id % 2 AS STRING)) AS source_id, {U} AS uuid, concat({U}, ext) AS path, concat({U}, ext) AS name,
+            ext, CASE WHEN ext = '' THEN 0 ELSE n_chars + {FILE_NUMBER} END AS size, 1700000000 + n_chars AS mtime_s, ext = '' AS is_dir
+        FROM documents EACH(ext: '.metadata', '.content', '.pdf', '')""",
     "local": f"""
-        SELECT concat('s', CAST(doc_id % 2 AS STRING)) AS source_id, {U} AS uuid, concat({U}, k.ext) AS path, concat({U}, k.ext) AS name,
-            k.ext AS ext, CASE WHEN k.ext = '' THEN 0 WHEN doc_id % 11 = 0 THEN n_chars + k.n + 1 ELSE n_chars + k.n END AS size,
-            1700000000 + n_chars - CASE WHEN doc_id % 13 = 0 THEN 5 ELSE 0 END AS mtime_s, k.ext = '' AS is_dir
-        FROM documents JOIN (SELECT 0 AS n, '.metadata' AS ext UNION ALL SELECT 1, '.content' UNION ALL SELECT 2, '.pdf' UNION ALL SELECT 3, '') k
-            ON NOT (lang = 'es' AND k.ext IN ('.metadata', '')) AND NOT (lang = 'de' AND k.ext = '.content') AND NOT (lang = 'fr' AND k.ext = '.pdf')""",
+        SELECT concat('s', CAST(doc_id % 2 AS STRING)) AS source_id, {U} AS uuid, concat({U}, ext) AS path, concat({U}, ext) AS name,
+            ext, CASE WHEN ext = '' THEN 0 WHEN doc_id % 11 = 0 THEN n_chars + {FILE_NUMBER} + 1 ELSE n_chars + {FILE_NUMBER} END AS size,
+            1700000000 + n_chars - CASE WHEN doc_id % 13 = 0 THEN 5 ELSE 0 END AS mtime_s, ext = '' AS is_dir
+        FROM documents EACH(ext: '.metadata', '.content', '.pdf', '')
+        WHERE NOT (lang = 'es' AND ext IN ('.metadata', '')) AND NOT (lang = 'de' AND ext = '.content') AND NOT (lang = 'fr' AND ext = '.pdf')""",
     "store_files": f"""
-        SELECT 's0' AS source_id, {U} AS uuid, concat({U}, k.tail) AS path, n_chars % 40 AS size, FALSE AS is_dir, doc_id
-        FROM documents JOIN (SELECT '.metadata' AS tail UNION ALL SELECT '.content' UNION ALL SELECT '.pdf' UNION ALL SELECT '/p1.rm'
-            UNION ALL SELECT '.cache/p1.png' UNION ALL SELECT '.pagedata') k ON doc_id >= 0""",
+        SELECT 's0' AS source_id, {U} AS uuid, concat({U}, tail) AS path, n_chars % 40 AS size, FALSE AS is_dir, doc_id
+        FROM documents EACH(tail: '.metadata', '.content', '.pdf', '/p1.rm', '.cache/p1.png', '.pagedata')""",
     "kept_files": """
         SELECT source_id, uuid, path, CASE WHEN doc_id % 11 = 0 AND path LIKE '%.rm' THEN size + 1 ELSE size END AS size, is_dir
         FROM store_files WHERE NOT (doc_id % 5 = 0 AND path LIKE '%.pdf') AND NOT (doc_id % 7 = 0 AND path LIKE '%.content')
             AND path NOT LIKE '%cache%' AND path NOT LIKE '%.pagedata'""",
     "transfers": f"""
-        SELECT 's0' AS source_id, {U} AS uuid, concat({U}, k.ext) AS path, k.ext, k.ext = '.rm' AS is_page, k.ext = '.rm' AND doc_id % 4 = 0 AS failed
-        FROM documents JOIN (SELECT '.metadata' AS ext UNION ALL SELECT '.content' UNION ALL SELECT '.pdf' UNION ALL SELECT '.rm') k ON doc_id >= 0""",
-    "sizes": f"SELECT 's0' AS source_id, {U} AS uuid, n_chars AS size FROM documents",
-    "verified": f"SELECT 's0' AS source_id, {U} AS uuid, doc_id % 6 <> 0 AS verified FROM documents",
-    "stores": "SELECT 's0' AS source_id, CAST(sum(n_chars) AS BIGINT) AS used, CAST(sum(n_chars) AS DOUBLE) / 0.9 AS capacity FROM documents",
+        SELECT 's0' AS source_id, {U} AS uuid, concat({U}, ext) AS path, ext, ext = '.rm' AS is_page, ext = '.rm' AND doc_id % 4 = 0 AS failed
+        FROM documents EACH(ext: '.metadata', '.content', '.pdf', '.rm')""",
+    "sizes": f"SELECT {STORE} AS source_id, {U} AS uuid, n_chars AS size FROM documents",
+    "verified": f"SELECT {STORE} AS source_id, {U} AS uuid, doc_id % 6 <> 0 AS verified FROM documents",
+    "stores": f"SELECT {STORE} AS source_id, CAST(sum(n_chars) AS BIGINT) AS used, CAST(sum(n_chars) AS DOUBLE) / 0.9 AS capacity FROM documents GROUP BY {STORE}",
     "registry": f"""
         SELECT {U} AS uuid, concat(lang, CASE WHEN doc_id % 2 = 0 THEN '' ELSE CAST(doc_id AS STRING) END) AS base_name,
             n_chars % 4 AS highlight_count FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""",
@@ -143,12 +146,10 @@ INPUTS: dict[str, str | tuple[str, str]] = {
             ELSE concat(' ', lang, ' <', CAST(doc_id AS STRING), '>.EPUB') END AS visible_name FROM documents""",
     "owned_docs": f"SELECT {U} AS uuid, concat(lang, CAST(doc_id % 20 AS STRING)) AS base_name FROM documents",
     "owned_files": f"""
-        SELECT concat('f/', k.head, CASE k.kind WHEN 0 THEN {U} WHEN 1 THEN {U} WHEN 2 THEN concat(lang, CAST(doc_id % 20 AS STRING))
-            ELSE concat(lang, CAST(doc_id AS STRING)) END, k.tail) AS path,
-            concat(k.head, CASE k.kind WHEN 0 THEN {U} WHEN 1 THEN {U} WHEN 2 THEN concat(lang, CAST(doc_id % 20 AS STRING))
-            ELSE concat(lang, CAST(doc_id AS STRING)) END, k.tail) AS name
-        FROM documents JOIN (SELECT 0 AS kind, '' AS head, '.pdf' AS tail UNION ALL SELECT 1, '.render-cache-', '.json'
-            UNION ALL SELECT 2, '', '_p3_a4af.png' UNION ALL SELECT 3, '', '.md' UNION ALL SELECT 3, '', '_p1.png.bak') k ON doc_id >= 0""",
+        SELECT concat('f/', name) AS path, name FROM (SELECT concat(CASE kind WHEN 1 THEN '.render-cache-' ELSE '' END,
+                CASE WHEN kind < 2 THEN {U} WHEN kind = 2 THEN concat(lang, CAST(doc_id % 20 AS STRING)) ELSE concat(lang, CAST(doc_id AS STRING)) END,
+                CASE kind WHEN 0 THEN '.pdf' WHEN 1 THEN '.json' WHEN 2 THEN '_p3_a4af.png' WHEN 3 THEN '.md' ELSE '_p1.png.bak' END) AS name
+            FROM documents EACH(kind: 0, 1, 2, 3, 4)) f""",
     # --- pages, words, strokes
     "fragments": f"""
         SELECT doc, page, rn AS seq, CASE WHEN rn % 6 = 0 THEN substring(p_name, 4, 3) ELSE p_name END AS text, color,
@@ -172,9 +173,9 @@ INPUTS: dict[str, str | tuple[str, str]] = {
             CAST(14 * FLOOR((pos % 480) / 12) + 12 AS DOUBLE) AS y1 FROM doc_words""",
     "lines": "SELECT doc, page, CAST(FLOOR(word_id / 12) AS BIGINT) AS hl_id, max(y0) AS y0 FROM words GROUP BY doc, page, CAST(FLOOR(word_id / 12) AS BIGINT)",
     "rects": """
-        SELECT doc, page, hl_id, k.rect_id, CAST(60 - 60 * k.rect_id AS DOUBLE) AS x, y0 + 2 + 13 * k.rect_id AS y,
-            CAST(300 - 180 * k.rect_id AS DOUBLE) AS w, CAST(8 AS DOUBLE) AS h
-        FROM lines JOIN (SELECT 0 AS rect_id UNION ALL SELECT 1) k ON hl_id >= 0""",
+        SELECT doc, page, hl_id, rect_id, CAST(60 - 60 * rect_id AS DOUBLE) AS x, y0 + 2 + 13 * rect_id AS y,
+            CAST(300 - 180 * rect_id AS DOUBLE) AS w, CAST(8 AS DOUBLE) AS h
+        FROM lines EACH(rect_id: 0, 1)""",
     "page_gutters": "SELECT doc, page, CAST(306.0 AS DOUBLE) AS gutter_x FROM words GROUP BY doc, page HAVING count(*) < 400",
     "blocks": f"""
         SELECT doc_id AS doc, CAST(1 + FLOOR(pos / 480) AS INT) AS page, word AS text, CAST(612.0 AS DOUBLE) AS page_width,
@@ -212,9 +213,9 @@ INPUTS: dict[str, str | tuple[str, str]] = {
     "page_strokes": f"""
         SELECT 's0' AS source_id, p.uuid, p.page_idx FROM doc_pages p JOIN lineitem ON l_orderkey = p.page_key""",
     "page_tag_rows": f"""
-        SELECT 's0' AS source_id, {uuid_of('o_custkey')} AS uuid, concat('p', CAST(o_orderkey AS STRING)) AS page_id, k.tag_idx,
-            concat(lower(o_orderstatus), CAST(k.tag_idx AS STRING)) AS tag
-        FROM orders JOIN (SELECT 0 AS tag_idx UNION ALL SELECT 1) k ON k.tag_idx = 0 OR o_orderstatus = 'F'""",
+        SELECT 's0' AS source_id, {uuid_of('o_custkey')} AS uuid, concat('p', CAST(o_orderkey AS STRING)) AS page_id, tag_idx,
+            concat(lower(o_orderstatus), CAST(tag_idx AS STRING)) AS tag
+        FROM orders EACH(tag_idx: 0, 1) WHERE tag_idx = 0 OR o_orderstatus = 'F'""",
     "turn_words": (
         "SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos, word FROM conversations LATERAL VIEW posexplode(split(text, ' ')) w AS pos, word",
         "SELECT conv_id, turn, unnest(range(len(w))) AS pos, unnest(w) AS word FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)",
@@ -312,6 +313,19 @@ INPUTS: dict[str, str | tuple[str, str]] = {
 STORED = ("old_notes", "new_sections", "fresh_notes")
 
 
+EACH = re.compile(r"EACH\((\w+): ([^)]*)\)")
+
+
+def spark_text(name: str) -> str:
+    text = INPUTS[name]
+    return EACH.sub(r"LATERAL VIEW explode(array(\2)) each_\1 AS \1", text if isinstance(text, str) else text[0])
+
+
+def oracle_text(name: str) -> str:
+    text = INPUTS[name]
+    return EACH.sub(r"CROSS JOIN (SELECT unnest([\2]) AS \1) each_\1", text if isinstance(text, str) else text[1])
+
+
 class Tables:
     """Given and derived tables by name, as DataFrames."""
 
@@ -324,8 +338,7 @@ class Tables:
             if name in RAW:
                 df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
             else:
-                text = INPUTS[name]
-                text = text if isinstance(text, str) else text[0]
+                text = spark_text(name)
                 for other in (*RAW, *INPUTS):
                     if other != name and _mentions(text, other):
                         self(other)
@@ -343,7 +356,7 @@ def streamed(tables: Tables, raw: str, name: str) -> DataFrame:
     files = spark.readStream.schema(schema).option("pathGlobFilter", f"{raw}.parquet").parquet(tables.folder)
     files.createOrReplaceTempView(raw)
     tables.bound.discard(raw)
-    return spark.sql(INPUTS[name])
+    return spark.sql(spark_text(name))
 
 
 def _mentions(text: str, name: str) -> bool:
@@ -356,10 +369,8 @@ def oracle_ctes(names: list[str]) -> str:
     ordered: list[str] = []
 
     def add(name: str) -> None:
-        text = INPUTS[name]
-        text = text if isinstance(text, str) else text[1]
         for other in INPUTS:
-            if other != name and _mentions(text, other):
+            if other != name and _mentions(oracle_text(name), other):
                 add(other)
         if name not in ordered:
             ordered.append(name)
@@ -367,8 +378,4 @@ def oracle_ctes(names: list[str]) -> str:
     for name in names:
         add(name)
 
-    def text_of(name: str) -> str:
-        text = INPUTS[name]
-        return text if isinstance(text, str) else text[1]
-
-    return ",\n".join(f"{n} AS ({text_of(n)})" for n in ordered)
+    return ",\n".join(f"{name} AS ({oracle_text(name)})" for name in ordered)

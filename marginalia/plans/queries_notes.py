@@ -320,7 +320,7 @@ def render_with_template(t):
     return rendered.select("doc", "body")
 
 
-@query("write_notes")
+@query("write_notes", "old_notes", "", "SELECT path, body FROM old_notes")
 def write_notes(t):
     folder = f"{shared_folder(t.spark)}/notes"
     store.write_notes(t("old_notes").select("path", "body"), folder, "run-1")
