@@ -21,8 +21,8 @@ SHADOW_GAP = 100.0
 # Pages up to these sizes are compared pair by pair, and folded in one row; larger ones are cut up.
 PAIR_ROWS = 2_000
 PAGE_ROWS = 5_000
-GRAM = 4
-SHADOW_CELL = 128
+GRAM = 3
+SHADOW_CELL = 256
 
 BOX = ["x", "y", "w", "h"]
 RUN = ["doc", "page", "color"]
