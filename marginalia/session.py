@@ -2,44 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", name: str = "marginalia") -> SparkSession:
-    """A session for tests and benches; on a cluster the caller brings their own."""
+def local_session(cpus: int | str = "*", name: str = "marginalia", shared: str | None = None) -> SparkSession:
+    """A session for tests and benches, with ``shared`` as its shared folder; on a cluster the caller brings their own."""
     cores = 8 if cpus == "*" else int(cpus)
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "20g")
+        .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.streaming.forceDeleteTempCheckpointLocation", "true")
-        .getOrCreate()
     )
+    spark = (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The reliable folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a folder of this machine.
-    """
+    """The reliable folder the cluster names in ``spark.checkpoint.dir``, else one in the warehouse, which is shared too."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="marginalia-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def durable(df: DataFrame) -> DataFrame:
