@@ -10,7 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLANKS = "[ \\x09-\\x0D]"
+BLANKS = " \t\n\x0b\x0c\r"
+BLANK = "[ \\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
@@ -39,9 +40,9 @@ RULES = (
     Rule("word_length_high", "word_chars", "n_words", most=1200),
     Rule("symbols", "n_symbols", "n_words", most=30),
     Rule("stop_words", "n_stop_words", "n_words", least=3),
-    Rule("letters", "n_letter_words", "n_words", least=70),
     Rule("repeated_lines", "n_dup_lines", "n_lines", most=30),
-    Rule("marked_lines", "n_marked_lines", "n_lines", most=90),
+    Rule("bullet_lines", "n_bullet_lines", "n_lines", most=90),
+    Rule("cut_lines", "n_cut_lines", "n_lines", most=30),
 )
 BASE_RULES = (
     Rule("too_few_words", "n_words", "one", least=2000),
@@ -56,26 +57,26 @@ def bind(value: Column, body) -> Column:
 
 def words_of(text: Column) -> Column:
     """Words between blanks, tabs and line ends; none for null."""
-    split = F.split(F.coalesce(text, F.lit("")), f"{BLANKS}+")
-    return F.filter(split, lambda w: w != "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK))
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
-    """Words lying in a run of ``window`` words that occurs twice or more, the first occurrence included."""
+    """Words in runs of ``window`` words, a power of two, that occur twice or more, the first occurrence included.
+
+    Runs are compared by a 64-bit hash, built from the hashes of their halves.
+    """
 
     def covered(found: Column) -> Column:
-        """``found``: sorted starts of repeated windows; each covers up to the next start, at most ``window`` words."""
+        """``found``: sorted starts of repeated runs; each covers up to the next start, at most ``window`` words."""
         steps = F.transform(
             found, lambda p, i: F.when(i + 1 < F.size(found), F.least(F.lit(window), F.get(found, i + 1) - p)).otherwise(F.lit(window))
         )
         return F.aggregate(steps, F.lit(0), lambda total, step: total + step)
 
     def repeated(runs: Column) -> Column:
-        """Starts of windows with an equal neighbour in ``runs``, windows sorted with their starts."""
-        twin = F.filter(
-            runs,
-            lambda r, i: (F.get(runs, i - 1)["w"] == r["w"]) | (F.get(runs, i + 1)["w"] == r["w"]),
-        )
+        """Starts of runs with an equal neighbour in ``runs``, which are sorted and carry their start."""
+        twin = F.filter(runs, lambda r, i: (F.get(runs, i - 1)["w"] == r["w"]) | (F.get(runs, i + 1)["w"] == r["w"]))
         return F.array_sort(F.transform(twin, lambda r: r["i"]))
 
     def count(hashes: Column) -> Column:
@@ -83,39 +84,43 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         some = bind(F.array_sort(pairs), lambda runs: bind(repeated(runs), covered))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(some)
 
-    def windows(all_words: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(all_words) - window)
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(all_words, i + 1, window)))
+    def joined(hashes: Column, reach: int) -> Column:
+        """Hashes of runs of 2 * ``reach`` words from those of ``reach``."""
+        if reach == window:
+            return count(F.filter(hashes, lambda h, i: i + window <= F.size(hashes)))
+        return bind(F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + reach))), lambda longer: joined(longer, 2 * reach))
+
+    counted = bind(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: joined(hashes, 1))
+    return F.when(F.size(words) < window, F.lit(0)).otherwise(counted).cast("long")
 
-    counted = bind(words, lambda w: F.when(F.size(w) < window, F.lit(0)).otherwise(bind(windows(w), count)))
-    return counted.cast("long")
 
+def listed(docs: DataFrame, *kept: Column | str) -> DataFrame:
+    """``kept`` with the text, its words and its lines that hold a word."""
+    whole = docs.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_whole"))
+    lines = F.filter(F.split("_whole", "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
+    return whole.select("*", words_of(F.col("_whole")).alias("_words"), lines.alias("_lines"))
 
-def measures(text: Column) -> dict[str, Column]:
-    """The figures of a text; lengths are in code points, windows are compared by a 64-bit hash of their words."""
-    whole = F.coalesce(text, F.lit(""))
-    words = words_of(text)
-    lines = F.filter(F.split(whole, "\n"), lambda line: line.rlike("[^ \\x09-\\x0D]"))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+
+def measures() -> dict[str, Column]:
+    """The figures of a row of ``listed``; lengths are in code points."""
     count = lambda array: F.size(array).cast("long")
+    words, lines = F.col("_words"), F.col("_lines")
+    stop = [form for w in dict.fromkeys(STOP_WORDS) for form in (w, w.capitalize())]
+    start = lambda line: F.ltrim(line)
     return {
         "n_words": count(words),
-        "word_chars": F.length(F.regexp_replace(whole, f"{BLANKS}+", "")).cast("long"),
-        "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace("_whole", f"[^{SYMBOLS}]+", "")).cast("long"),
         "n_lines": count(lines),
-        "n_dup_lines": bind(lines, lambda found: F.size(found) - F.size(F.array_distinct(found))).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": repeated_words(words),
-        "n_stop_words": count(F.regexp_extract_all(F.lower(whole), F.lit(stop_pattern()), 0)),
-        "n_letter_words": count(F.filter(words, lambda w: w.rlike("\\p{L}"))),
-        "n_marked_lines": count(F.filter(lines, lambda line: line.rlike("^[ \\x09-\\x0D]*[-*•]") | line.rlike("(\\.\\.\\.|…)[ \\x09-\\x0D]*$"))),
+        "n_stop_words": count(F.filter(words, lambda w: w.isin(*stop))),
+        "n_bullet_lines": count(F.filter(lines, lambda line: start(line).startswith("- ") | start(line).startswith("• "))),
+        "n_cut_lines": count(F.filter(lines, lambda line: line.endswith("...") | line.endswith("…"))),
         "one": F.lit(1).cast("long"),
     }
 
 
-def stop_pattern() -> str:
-    return "(?<![\\p{L}\\p{N}])(?:" + "|".join(dict.fromkeys(STOP_WORDS)) + ")(?![\\p{L}\\p{N}])"
-
-
 def failed(rule: Rule) -> Column:
     """False where there is nothing to measure."""
     share, base = F.lit(100) * F.col(rule.numerator), F.col(rule.denominator)
@@ -136,7 +141,7 @@ def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[
 
     A null or empty text has no words and fails the base rules.  Further columns of ``docs`` are ignored.
     """
-    measured = docs.select("doc_id", *[c.alias(n) for n, c in measures(F.col("text")).items()])
+    measured = listed(docs, "doc_id").select("doc_id", *[c.alias(n) for n, c in measures().items()])
     names = F.filter(F.array(*[F.when(failed(r), F.lit(r.name)) for r in rules]), lambda n: n.isNotNull())
     judged = measured.withColumn("base_failed", any_failed(base)).withColumn("failed_rules", names)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("one")
@@ -144,5 +149,5 @@ def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with all their columns."""
-    measured = docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in measures(F.col("text")).items()])
+    measured = listed(docs, F.struct("*").alias("row")).select("row", *[c.alias(n) for n, c in measures().items()])
     return measured.filter(~any_failed(base) & ~any_failed(rules)).select("row.*")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import licenses, quality, sharding, token_rollups, url_rules
+from marginalia.llm import decontaminate, language, licenses, neardup, packing, quality, sharding, substrings, token_rollups, tokens, url_rules
 from marginalia.llm.common import table
 from marginalia.session import shared_folder
 
@@ -51,6 +51,85 @@ def shards(spark, folder):
     )
 
 
+# --- 2
+
+UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def benchmark_sql() -> str:
+    words = f"regexp_extract_all(translate(text, '{UPPER}', '{SMALL}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+        WITH items AS (SELECT item_id, {words} AS words FROM benchmark),
+        sized AS (SELECT item_id, words, CAST(least(10, len(words)) AS BIGINT) AS size FROM items WHERE len(words) > 0),
+        windows AS (SELECT DISTINCT item_id, size, array_to_string(words[i + 1:i + size], ' ') AS w
+            FROM (SELECT *, unnest(generate_series(0, len(words) - size)) AS i FROM sized)),
+        split AS (SELECT row_number() OVER () AS r, doc_id, coalesce({words}, []) AS words FROM documents),
+        spread AS (SELECT r, words, size, unnest(generate_series(0, len(words) - size)) AS i
+            FROM split JOIN (SELECT DISTINCT size FROM windows) ON len(words) >= size),
+        hits AS (SELECT r, i, size, item_id FROM
+            (SELECT r, i, size, array_to_string(words[i + 1:i + size], ' ') AS w FROM spread) JOIN windows USING (size, w)),
+        hit AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(generate_series(i, i + size - 1)) AS place FROM hits) GROUP BY r),
+        named AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+            FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY r)
+        SELECT doc_id, len(words) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+            sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+        FROM split LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""
+
+
+@query("op2_benchmark_words", benchmark_sql())
+def benchmark_words(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.find_benchmark(docs, table(spark, folder, "benchmark"), carry=["doc_id"])
+    hit = decontaminate.hit_words(F.col("spans"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+# --- 3
+
+TOKENIZER, CAPACITY, END_TOKEN = "word_bpe_49k.json", 4096, 1
+
+
+@query("op3_packing")
+def packed(spark, folder):
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents")
+    pieces = tokens.cut_documents(docs, public_tokenizers.path(TOKENIZER), CAPACITY, END_TOKEN)
+    return packing.pack(pieces, CAPACITY)
+
+
+# --- 4
+
+
+def near_sql() -> str:
+    return f"""
+        WITH RECURSIVE split AS (SELECT row_number() OVER () AS r, doc_id,
+            list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS words
+            FROM documents),
+        shingles AS (SELECT DISTINCT r, array_to_string(words[i + 1:i + 2], ' ') AS s
+            FROM (SELECT r, words, unnest(generate_series(0, greatest(0, len(words) - 2))) AS i FROM split WHERE len(words) > 0)),
+        sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+        shared AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM shingles a JOIN shingles b USING (s) WHERE a.r < b.r GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(r, other) AS (SELECT r, r FROM split UNION SELECT reach.r, b FROM reach JOIN both_ways ON other = a),
+        least_of AS (SELECT reach.r, min(split.doc_id) AS component_id FROM reach JOIN split ON split.r = other GROUP BY reach.r)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM split JOIN least_of USING (r) LEFT JOIN sizes USING (r)"""
+
+
+@query("op4_near_duplicates", near_sql())
+def near_duplicates(spark, folder):
+    return neardup.near_duplicates(table(spark, folder, "documents"), words=2, percent=80)
+
+
 # --- 5
 
 
@@ -78,6 +157,17 @@ def license_scan(spark, folder):
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
 
+# --- 6
+
+
+@query("op6_languages")
+def languages(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.learn(docs.filter(~language.held_out(F.col("doc_id"))))
+    named = docs.select("doc_id", "text", language.held_out(F.col("doc_id")).alias("held_out"))
+    return language.identify(named, model)
+
+
 # --- 7
 
 WORDS_SQL = "list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '')"
@@ -90,8 +180,7 @@ def quality_sql() -> str:
         return "(" + " OR ".join(parts) + ")"
 
     named = ", ".join(f"CASE WHEN {test(r)} THEN '{r.name}' END" for r in quality.RULES)
-    stop = "|".join(dict.fromkeys(quality.STOP_WORDS))
-    bare = "[^\\p{L}\\p{N}]+"
+    stop = quoted(form for w in dict.fromkeys(quality.STOP_WORDS) for form in (w, w.capitalize()))
     return f"""
         WITH split AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS whole, {WORDS_SQL} AS words,
             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\x09-\\x0D]')) AS lines FROM documents),
@@ -103,9 +192,9 @@ def quality_sql() -> str:
         figures AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(whole, '[ \\x09-\\x0D]+', '', 'g')) AS word_chars,
             length(whole) - length(translate(whole, '{quality.SYMBOLS}', '')) AS n_symbols, len(lines) AS n_lines,
             len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
-            len(list_filter(regexp_split_to_array(lower(whole), '{bare}'), lambda x: regexp_matches(x, '^({stop})$'))) AS n_stop_words,
-            len(list_filter(words, lambda x: regexp_matches(x, '\\p{{L}}'))) AS n_letter_words,
-            len(list_filter(lines, lambda x: regexp_matches(x, '^[ \\x09-\\x0D]*[-*•]|(\\.\\.\\.|…)[ \\x09-\\x0D]*$'))) AS n_marked_lines,
+            len(list_filter(words, lambda x: x IN ({stop}))) AS n_stop_words,
+            len(list_filter(lines, lambda x: starts_with(ltrim(x, ' '), '- ') OR starts_with(ltrim(x, ' '), '• '))) AS n_bullet_lines,
+            len(list_filter(lines, lambda x: ends_with(x, '...') OR ends_with(x, '…'))) AS n_cut_lines,
             1 AS one FROM split LEFT JOIN covered USING (r)),
         judged AS (SELECT *, {' OR '.join(test(r) for r in quality.BASE_RULES)} AS base_failed,
             list_filter([{named}], lambda x: x IS NOT NULL) AS failed_rules FROM figures)
@@ -120,6 +209,35 @@ def quality_rules(spark, folder):
     return judged.select("doc_id", *figures, "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+# --- 8
+
+
+def substring_sql() -> str:
+    return """
+        WITH hexed AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        windows AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS w
+            FROM (SELECT r, doc_id, h, unnest(generate_series(0, len(h) // 2 - 50)) AS i FROM hexed WHERE len(h) >= 100)),
+        later AS (SELECT r, i FROM windows JOIN (SELECT w, min(doc_id) AS least_id FROM windows GROUP BY w) USING (w) WHERE doc_id > least_id),
+        marked AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 50, true) AS fresh FROM later),
+        numbered AS (SELECT r, i, sum(CAST(fresh AS INT)) OVER (PARTITION BY r ORDER BY i) AS span FROM marked),
+        spans AS (SELECT r, span, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY r, span),
+        gaps AS (SELECT r, span, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans),
+        cut AS (SELECT r, count(*) AS n, CAST(sum(b - a) AS BIGINT) AS removed, max(b) AS stop,
+            string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM gaps JOIN hexed USING (r) GROUP BY r)
+        SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(n, 0) AS n_spans,
+            sha256(unhex(coalesce(head || substr(h, 2 * stop + 1), h))) AS kept_sha256
+        FROM hexed LEFT JOIN cut USING (r)"""
+
+
+@query("op8_substrings", substring_sql())
+def substring_dedup(spark, folder):
+    docs = table(spark, folder, "documents")
+    cut = substrings.duplicate_spans(docs, 50, carry=["doc_id"])
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    spans = F.size("spans").cast("long")
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 # --- 9
 
 CLEAN = "[#*$%&|<>]"
@@ -165,11 +283,10 @@ def url_sql() -> str:
     rules = url_rules.HOST_RULES + url_rules.PATTERN_RULES
     values = ", ".join(f"({quoted([r.name, url_rules.regex(r.pattern), r.verdict])}, {r.rank})" for r in rules)
     rest = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
         WITH rules(rule, regex, verdict, rank) AS (VALUES {values}),
         cut AS (SELECT row_number() OVER () AS r, page_id, coalesce({rest}, '') AS rest FROM pages),
-        parsed AS (SELECT r, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{lower}') AS host,
+        parsed AS (SELECT r, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{SMALL}') AS host,
             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
         best AS (SELECT r, arg_max(rule, (rank, rule)) AS rule, arg_max(verdict, (rank, rule)) AS verdict
             FROM parsed JOIN rules ON regexp_matches(host || path, regex) GROUP BY r)
