@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import ALPHANUMERIC, LOWER, Hasher, Texts, batches
+from marginalia.llm.common import ALPHANUMERIC, LOWER, Hasher, Texts, batches, runs
 
 WINDOW = 10
 ITEM_BYTES = 8 << 20
@@ -133,9 +133,8 @@ def matches(tests: TestSuffixes, texts: list[bytes]) -> dict[str, list]:
     columns |= {"longest": [0] * len(texts), "longest_item": [None] * len(texts), "longest_start": [None] * len(texts)}
     order = np.argsort(text, kind="stable")
     text, start, suffix = text[order], start[order], suffix[order]
-    cuts = np.nonzero(np.diff(text, prepend=-1))[0]
-    for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True):
-        t, s, x = int(text[a]), start[a:b], suffix[a:b]
+    for t, part in runs(text):
+        s, x = start[part], suffix[part]
         columns["items"][t] = sorted({tests.names[i] for i in np.unique(tests.item[x]) if tests.names[i] is not None})
         columns["spans"][t] = union(s, s + tests.length[x])
         item, diagonal = tests.item[x], s - tests.offset[x]

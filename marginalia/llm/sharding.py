@@ -55,7 +55,7 @@ def communication_matrix(sizes: list[int], shards: int, seed: int) -> np.ndarray
     return matrix
 
 
-def shuffle_into_shards(rows: DataFrame, shards: int, seed: int = 0, block_rows: int = 200_000) -> DataFrame:
+def shuffle_into_shards(rows: DataFrame, shards: int, seed: int = 0, block_rows: int = 20_000) -> DataFrame:
     """``rows`` with ``shard`` and ``slot``: a uniform permutation, cut into shards whose counts differ by one at most.
 
     All columns are carried; input columns named ``shard`` or ``slot`` are replaced.  Nulls and repeated rows are rows
