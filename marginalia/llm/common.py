@@ -19,6 +19,7 @@ from marginalia.session import shared_folder
 
 # Bytes of text that one Python task holds at a time; one longer text is held alone.
 BATCH_BYTES = 4 << 20
+ARROW_BYTES = 8 << 20
 
 _RANDOM = np.random.default_rng(20240607)
 BYTE_CODES = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
@@ -41,6 +42,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def in_arrow(rows: DataFrame, function, schema) -> DataFrame:
+    """``rows.mapInArrow`` with batches that fit a small worker however long the texts: the session's limit is lowered
+    to ARROW_BYTES if it is higher."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = int(conf.get(name).removesuffix("b"))
+    if size <= 0 or size > ARROW_BYTES:
+        conf.set(name, f"{ARROW_BYTES}b")
+    return rows.mapInArrow(function, schema)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 

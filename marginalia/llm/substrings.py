@@ -30,15 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import END, Hasher, Texts, batches, runs, stored
+from marginalia.llm.common import END, Hasher, Texts, batches, in_arrow, runs, stored
 from marginalia.llm.suffixes import shared_prefix, suffix_order
 
 LENGTH = 50
 GRAM = 20
 HOT_ANCHORS = 50_000
 LEAST_HOT = 5_000
-HOME_BYTES, COUNT_BYTES, SORT_BYTES = 12 << 20, 32 << 20, 4 << 20
-PORTION = 2 << 20
+HOME_BYTES, COUNT_BYTES, SORT_BYTES = 8 << 20, 32 << 20, 2 << 20
+PORTION = 1 << 20
+TASKS = 4096
 
 
 def _portions(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -114,9 +115,9 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, carry: list[str] | No
     homes, counters, sorters = (int(-(-total // size)) or 1 for size in (HOME_BYTES, COUNT_BYTES, SORT_BYTES))
     rows = rows.withColumn("home", F.pmod(F.xxhash64("doc", "text"), F.lit(homes)).cast("int"))
 
-    repeated = stored(_repeated_anchors(rows.filter("doc is not null"), length, counters), "repeated-anchors")
     limit = max(LEAST_HOT, total // GRAM // HOT_ANCHORS)
-    hot = [r["anchor"] for r in repeated.filter("home is null").filter(F.col("texts") > limit).select("anchor").collect()]
+    repeated = stored(_repeated_anchors(rows.filter("doc is not null"), length, counters, limit), "repeated-anchors")
+    hot = [r["anchor"] for r in repeated.filter("home is null").select("anchor").collect()]
     hot_anchors = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(hot, dtype=np.int64).view(np.uint64)))
     wanted = repeated.filter("home is not null").select("home", "anchors")
 
@@ -124,7 +125,7 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, carry: list[str] | No
         return _pieces(left, right, length, hot_anchors.value, counters, sorters)
 
     pieces = rows.groupBy("home").cogroup(wanted.groupBy("home")).applyInArrow(cut, PIECES)
-    spans = pieces.repartition(sorters, "sorter").mapInArrow(lambda stream: _sorted_spans(stream, length), SPANS)
+    spans = in_arrow(dealt(pieces, sorters, "sorter"), lambda stream: _sorted_spans(stream, length), SPANS)
 
     added = "n_bytes long, spans array<struct<start:long,end:long>>, " + ("text string" if as_text else "kept binary")
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(added)])
@@ -144,11 +145,11 @@ def _short(anchors: np.ndarray, counters: int) -> np.ndarray:
     return ((anchors >> np.uint64(32)) % np.uint64(counters) << np.uint64(32)) | (anchors & np.uint64(0xFFFFFFFF))
 
 
-def _repeated_anchors(rows: DataFrame, length: int, counters: int) -> DataFrame:
+def _repeated_anchors(rows: DataFrame, length: int, counters: int, limit: int) -> DataFrame:
     """Rows (home, anchors) to look for, and rows (anchor, texts) for the anchors of many texts."""
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rest, texts in batches(stream, 2 * HOME_BYTES // 3):
+        for rest, texts in batches(stream, HOME_BYTES // 2):
             windows = Windows(texts, length)
             anchor, text = _short(windows.hash, counters), windows.text
             home = rest.column("home").to_numpy()[text].astype(np.int64)
@@ -176,35 +177,57 @@ def _repeated_anchors(rows: DataFrame, length: int, counters: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
     def gather(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, none = _arrow(REPEATED), lambda count, kind: pa.nulls(count, kind)
-        anchors, owners, shares = [], [], []
-        for batch in stream:
-            passed = batch.filter(pc.is_valid(batch.column("home")))
-            empty = pa.nulls(passed.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([passed.column("home"), passed.column("anchors"), empty, empty], schema=schema)
-            for counter, low, homes, texts in _lists(batch.filter(pc.is_null(batch.column("home"))), "counter", "low", "homes", "texts"):
-                anchors.append((np.uint64(counter) << np.uint64(32)) | low.view(np.uint32).astype(np.uint64))
-                owners.append(homes)
-                shares.append(texts)
-        if not anchors:
-            return
-        anchor, owner, n = (np.concatenate(v) for v in (anchors, owners, shares))
-        order = np.argsort(anchor, kind="stable")
-        anchor, owner, n = anchor[order], owner[order].astype(np.int64), n[order].astype(np.int64)
-        first = np.nonzero(np.diff(anchor, prepend=~anchor[:1]))[0]
-        texts = np.add.reduceat(n, first)
-        many = texts > LEAST_HOT
-        hot = [none(many.sum(), pa.int32()), none(many.sum(), pa.list_(pa.int64()))]
-        hot += [pa.array(anchor[first[many]].view(np.int64)), pa.array(texts[many])]
-        yield pa.RecordBatch.from_arrays(hot, schema=schema)
-        all_texts = np.repeat(texts, np.diff(np.concatenate([first, [len(anchor)]])))
-        pairs = _pairs(owner, anchor, (all_texts > 1) & (n == 1))
-        parts = list(runs(pairs[:, 0].astype(np.int64)))
-        found = [pa.array([h for h, _ in parts], pa.int32()), pa.array([pairs[p, 1].view(np.int64) for _, p in parts], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*found, none(len(parts), pa.int64()), none(len(parts), pa.int64())], schema=schema)
-
-    counted = rows.select("home", "text").mapInArrow(count, COUNTED)
-    return counted.repartition(counters, "counter").mapInArrow(gather, REPEATED)
+        for batch in grouped(stream, "counter"):
+            yield from _repeated(batch, limit)
+
+    counted = in_arrow(rows.select("home", "text"), count, COUNTED)
+    return in_arrow(dealt(counted, counters, "counter"), gather, REPEATED)
+
+
+def _repeated(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of REPEATED for one counter; anchors of more than ``limit`` texts get a row of their own."""
+    schema = _arrow(REPEATED)
+    passed = batch.filter(pc.is_valid(batch.column("home")))
+    empty = pa.nulls(passed.num_rows, pa.int64())
+    yield pa.RecordBatch.from_arrays([passed.column("home"), passed.column("anchors"), empty, empty], schema=schema)
+    lists = list(_lists(batch.filter(pc.is_null(batch.column("home"))), "counter", "low", "homes", "texts"))
+    if not lists:
+        return
+    anchor = np.concatenate([(np.uint64(c) << np.uint64(32)) | low.view(np.uint32).astype(np.uint64) for c, low, _, _ in lists])
+    owner, n = (np.concatenate([row[k] for row in lists]) for k in (2, 3))
+    order = np.argsort(anchor, kind="stable")
+    anchor, owner, n = anchor[order], owner[order].astype(np.int64), n[order].astype(np.int64)
+    first = np.nonzero(np.diff(anchor, prepend=~anchor[:1]))[0]
+    texts = np.add.reduceat(n, first)
+    many = texts > limit
+    hot = [pa.nulls(many.sum(), pa.int32()), pa.nulls(many.sum(), pa.list_(pa.int64()))]
+    hot += [pa.array(anchor[first[many]].view(np.int64)), pa.array(texts[many])]
+    yield pa.RecordBatch.from_arrays(hot, schema=schema)
+    all_texts = np.repeat(texts, np.diff(np.concatenate([first, [len(anchor)]])))
+    pairs = _pairs(owner, anchor, (all_texts > 1) & (n == 1))
+    parts = list(runs(pairs[:, 0].astype(np.int64)))
+    found = [pa.array([h for h, _ in parts], pa.int32()), pa.array([pairs[p, 1].view(np.int64) for _, p in parts], pa.list_(pa.int64()))]
+    none = pa.nulls(len(parts), pa.int64())
+    yield pa.RecordBatch.from_arrays([*found, none, none], schema=schema)
+
+
+def dealt(rows: DataFrame, values: int, column: str) -> DataFrame:
+    """``rows`` with those of each of ``values`` numbers together; many numbers share a task, one after the other."""
+    tasks = values if values <= TASKS else max(TASKS, values // 8)
+    return rows.repartition(tasks, column).sortWithinPartitions(column)
+
+
+def grouped(stream: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of each value of ``column``, by which the stream is sorted."""
+    held: list[pa.RecordBatch] = []
+    for batch in stream:
+        for value, part in runs(batch.column(column).to_numpy()):
+            if held and held[0].column(column)[0].as_py() != value:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            held.append(batch.slice(part.start, part.stop - part.start))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def _pairs(homes: np.ndarray, anchors: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -276,11 +299,11 @@ def _pieces(left: pa.Table, right: pa.Table, length: int, hot: np.ndarray, count
     sorter = ((key ^ (key >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(20)) % np.uint64(sorters)
     chosen = np.nonzero(owner)[0]
     chosen = chosen[np.argsort(sorter[chosen], kind="stable")]
-    packer = zstandard.ZstdCompressor(level=1)
+    packer, mark = zstandard.ZstdCompressor(level=1), bytes([END])
     whole = data.tobytes()
     for to, part in runs(sorter[chosen].astype(np.int64)):
         mine = chosen[part]
-        blob = packer.compress(b"".join([whole[a:b] for a, b in zip(first[mine].tolist(), end[mine].tolist(), strict=True)]))
+        blob = packer.compress(mark.join([whole[a:b] for a, b in zip(first[mine].tolist(), end[mine].tolist(), strict=True)]) + mark)
         sent = {"docs": doc[row[mine]], "rows": row[mine], "starts": start[mine], "sizes": (end - first)[mine]}
         add(sorter=to, home=home, bytes=blob, **sent)
     return pa.Table.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
@@ -311,29 +334,25 @@ def _equal_pieces(data: np.ndarray, first: np.ndarray, end: np.ndarray, doc: np.
 
 
 def _sorted_spans(stream: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    for batch in grouped(stream, "sorter"):
+        yield from _repetitions(batch, length)
+
+
+def _repetitions(batch: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
+    """The rows of SPANS for one sorter."""
     schema = _arrow(SPANS)
-    blobs, docs, rows, starts, sizes, homes = [], [], [], [], [], []
-    unpack = zstandard.ZstdDecompressor()
-    for batch in stream:
-        passed = batch.filter(pc.is_null(batch.column("bytes")))
-        found = [passed.column(n) for n in ("home", "found_rows", "found_starts", "found_ends")]
-        yield pa.RecordBatch.from_arrays(found, schema=schema)
-        sent = batch.filter(pc.is_valid(batch.column("bytes")))
-        blobs += [unpack.decompress(b) for b in sent.column("bytes").to_pylist()]
-        for home, *arrays in _lists(sent, "home", "docs", "rows", "starts", "sizes"):
-            for held, array in zip((docs, rows, starts, sizes), arrays, strict=True):
-                held.append(array)
-            homes.append(np.full(len(arrays[0]), home, np.int64))
-    if not blobs:
+    passed = batch.filter(pc.is_null(batch.column("bytes")))
+    yield pa.RecordBatch.from_arrays([passed.column(n) for n in ("home", "found_rows", "found_starts", "found_ends")], schema=schema)
+    sent = batch.filter(pc.is_valid(batch.column("bytes")))
+    if not sent.num_rows:
         return
-    doc, row, start, size, home = (np.concatenate(v) for v in (docs, rows, starts, sizes, homes))
+    unpack = zstandard.ZstdDecompressor()
+    data = np.frombuffer(b"".join([unpack.decompress(b) for b in sent.column("bytes").to_pylist()]), dtype=np.uint8)
+    lists = list(_lists(sent, "home", "docs", "rows", "starts", "sizes"))
+    doc, row, start, size = (np.concatenate([one[k] for one in lists]) for k in range(1, 5))
+    home = np.repeat([one[0] for one in lists], [len(one[1]) for one in lists])
     size = size.astype(np.int64)
-    # Each piece is followed by a byte of its own.
-    joined = np.frombuffer(b"".join(blobs), dtype=np.uint8)
-    begin = np.cumsum(size + 1) - size - 1
-    data = np.full(int(size.sum() + len(size)), END, dtype=np.uint8)
-    inside = np.arange(len(joined)) + np.repeat(np.arange(len(size)), size)
-    data[inside] = joined
+    begin = np.cumsum(size + 1) - size - 1  # a byte of its own follows each piece
     n = size - length + 1
     piece = np.repeat(np.arange(len(size)), n)
     offset = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)

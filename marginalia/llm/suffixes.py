@@ -7,6 +7,9 @@ import numpy as np
 from marginalia.llm.common import runs
 
 
+PORTION = 1 << 19
+
+
 class Bytes:
     """Bytes that can be read eight at a time from any place; ``room`` zeros follow."""
 
@@ -20,10 +23,16 @@ class Bytes:
 
 def smaller_than_next(data: np.ndarray) -> np.ndarray:
     """Marks the suffixes that are smaller than the one starting a byte later; the last counts as such."""
-    size = len(data)
-    changes = np.nonzero(data[:-1] != data[1:])[0]
-    rises = np.concatenate([data[changes] < data[changes + 1], [True]])
-    return rises[np.searchsorted(changes, np.arange(size))] if size else np.zeros(0, bool)
+    marks = np.ones(len(data), bool)
+    end = len(data) - 1
+    while end > 0:  # portions from the end, so that runs of one byte take the mark of what follows them
+        begin = max(0, end - PORTION)
+        part = data[begin : end + 1]
+        changes = np.nonzero(part[:-1] != part[1:])[0]
+        rises = np.concatenate([part[changes] < part[changes + 1], marks[end : end + 1]])
+        marks[begin:end] = rises[np.searchsorted(changes, np.arange(end - begin))]
+        end = begin
+    return marks
 
 
 def sort_directly(text: Bytes, places: np.ndarray, depth: int) -> np.ndarray:
