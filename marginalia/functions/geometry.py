@@ -77,14 +77,6 @@ def axis_gap(start1: Column, size1: Column, start2: Column, size2: Column) -> Co
     return F.greatest(F.lit(0.0), start2 - (start1 + size1), start1 - (start2 + size2))
 
 
-def box_gap(a: str, b: str) -> Column:
-    """Horizontal plus vertical gap of the boxes in columns ``a.x`` … and ``b.x`` …"""
-    c = F.col
-    return axis_gap(c(f"{a}.x"), c(f"{a}.w"), c(f"{b}.x"), c(f"{b}.w")) + axis_gap(
-        c(f"{a}.y"), c(f"{a}.h"), c(f"{b}.y"), c(f"{b}.h")
-    )
-
-
 def column_side(x: Column, w: Column, gutter: Column) -> Column:
     """0 on an undivided page or left of the gutter, 1 right of it."""
     return F.when(gutter.isNull() | (x + w / 2.0 < gutter), F.lit(0)).otherwise(F.lit(1))

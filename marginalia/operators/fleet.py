@@ -85,13 +85,14 @@ def device_health(devices: DataFrame, budgets: DataFrame) -> DataFrame:
     """One row per device and check with severity and result; ``device_passed`` when no check of severity error failed.
 
     ``budgets (model, sync_memory_mb, min_free_memory_mb, min_free_storage_mb)``; a model without a budget takes the
-    one of ``unknown``.
+    one of ``unknown``, and where there is none either, no limits hold.
     """
     named = budgets.withColumnRenamed("model", "b_model")
     known = budgets.select(F.col("model").alias("b_model"))
     matched = devices.join(known.withColumn("has_budget", F.lit(True)), devices["model"] == F.col("b_model"), "left").drop("b_model")
     matched = matched.withColumn("b_model", F.when(F.col("has_budget"), F.col("model")).otherwise(F.lit("unknown")))
-    df = version_support(matched.join(named, "b_model"))
+    limits = ["sync_memory_mb", "min_free_memory_mb", "min_free_storage_mb"]
+    df = version_support(matched.join(named, "b_model", "left").fillna(0, limits))
 
     def mount(path: str) -> Column:
         return F.get(F.filter("storage", lambda s: s["mount"] == path), F.lit(0))

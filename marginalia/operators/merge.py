@@ -136,7 +136,8 @@ def drop_shadowed(fragments: DataFrame, gutters: DataFrame, max_gap: float = SHA
 
 
 def joined_text(left: Column, right: Column) -> Column:
-    """One blank between the texts, unless an edge is blank already."""
+    """One blank between the texts, unless an edge is blank already; an absent text is empty."""
+    left, right = F.coalesce(left, F.lit("")), F.coalesce(right, F.lit(""))
     edge = left.endswith(" ") | right.startswith(" ")
     closed = F.replace(F.concat(left, right), F.lit("  "), F.lit(" "))
     return F.when(left == "", right).when(right == "", left).when(edge, closed).otherwise(F.concat(left, F.lit(" "), right))
@@ -324,6 +325,6 @@ def merge_stroke_regions(strokes: DataFrame, gap: float = 40.0, limit: int = HOT
 
 
 def merge_highlight_sources(a: DataFrame, b: DataFrame, dedupe: bool = True) -> DataFrame:
-    """Highlights of two extractors; each identifier once unless ``dedupe`` is off."""
-    both = a.unionByName(b)
-    return both.dropDuplicates(["id"]) if dedupe else both
+    """Highlights of two extractors; unless ``dedupe`` is off, those of ``b`` whose identifier ``a`` has are left out."""
+    rest = b.join(a.select("id").distinct(), "id", "left_anti") if dedupe else b
+    return a.unionByName(rest)

@@ -66,8 +66,8 @@ class OrderedGroups:
         return self.running_sum(name, F.lit(1))
 
     def running_sum(self, name: str, value: Column) -> OrderedGroups:
-        """Sum of ``value`` up to and including the row."""
-        return self._running(name, value, F.sum, lambda here, carry: here + F.coalesce(carry, F.lit(0)))
+        """Sum of ``value`` up to and including the row; null as long as all values are."""
+        return self._running(name, value, F.sum, lambda here, carry: F.coalesce(here + carry, here, carry))
 
     def running_max(self, name: str, value: Column) -> OrderedGroups:
         """Largest ``value`` up to and including the row."""

@@ -9,13 +9,11 @@ from marginalia.session import durable
 
 KEY = ["source_id", "uuid"]
 CHAIN = "array<struct<uuid:string,name:string>>"
-# Fixed value: folders above a document that go into its path.
-MAX_DEPTH = 20
 
 
-def parent_chains(nodes: DataFrame) -> DataFrame:
+def parent_chains(nodes: DataFrame, whole: bool = True) -> DataFrame:
     """For nodes ``(source_id, uuid, parent, name)``: ``chain`` from the root down to the node, and ``stop``, the
-    first parent that is no node.
+    first parent that is no node.  With ``whole`` off the chains are not built and empty.
 
     Pointers double each round, so a tree of depth d takes about log2(d) joins.  Nodes on a parent cycle, or below
     one, never reach a stop: their chain is empty and their stop null.
@@ -29,7 +27,7 @@ def parent_chains(nodes: DataFrame) -> DataFrame:
             "uuid",
             F.when(F.col("found"), F.col("next")).alias("next"),
             F.when(F.col("found").isNull(), F.col("next")).alias("stop"),
-            F.array(F.struct("uuid", "name")).alias("chain"),
+            (F.array(F.struct("uuid", "name")) if whole else F.array().cast(CHAIN)).alias("chain"),
         )
     )
     unresolved = None
@@ -64,7 +62,7 @@ def parent_chains(nodes: DataFrame) -> DataFrame:
 def trashed_ids(entries: DataFrame) -> DataFrame:
     """Entries whose parent, or any ancestor, is ``'trash'``.  A parent cycle is not trashed."""
     parents = entries.select("source_id", F.col("parent").alias("uuid")).distinct()
-    inner = parent_chains(entries.select("source_id", "uuid", "parent", "name").join(parents, KEY, "left_semi"))
+    inner = parent_chains(entries.select("source_id", "uuid", "parent", "name").join(parents, KEY, "left_semi"), whole=False)
     in_trash = inner.filter(F.col("stop") == "trash").select("source_id", F.col("uuid").alias("parent"), F.lit(True).alias("below"))
     marked = entries.select("source_id", "uuid", "parent").join(in_trash, ["source_id", "parent"], "left")
     return marked.filter((F.col("parent") == "trash") | F.col("below")).select("source_id", "uuid")
@@ -85,10 +83,9 @@ def _with_chain(entries: DataFrame, chains: DataFrame) -> DataFrame:
     return entries.join(above, ["source_id", "parent"], "left")
 
 
-def resolve_folder_paths(entries: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def resolve_folder_paths(entries: DataFrame) -> DataFrame:
     """Adds ``folder_path``, the names of the folders above an entry; ``''`` at the root or when the parent is unknown."""
-    names = F.transform(F.slice("chain", F.greatest(F.size("chain") - max_depth + 1, F.lit(1)), max_depth), lambda f: f["name"])
-    path = F.when(F.size("chain") > 0, F.array_join(names, "/"))
+    path = F.when(F.size("chain") > 0, F.array_join(F.col("chain.name"), "/"))
     return _with_chain(entries, folder_chains(entries)).withColumn("folder_path", F.coalesce(path, F.lit(""))).drop("chain")
 
 

@@ -10,8 +10,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marginalia.session import durable
+from marginalia.streaming.run import run_batches
 
 RAW = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -114,6 +116,9 @@ INPUTS: dict[str, str | tuple[str, str]] = {
         SELECT {FILE_NAME} AS name, doc_id % 7 = 6 AS is_dir FROM documents
         UNION ALL SELECT CASE doc_id % 4 WHEN 0 THEN '.stignore' WHEN 1 THEN '.stfolder' WHEN 2 THEN concat({U}, '.cache') ELSE '.local' END, doc_id % 4 IN (1, 2)
         FROM documents""",
+    "inventory": f"""
+        SELECT concat(CASE WHEN doc_id % 10 = 9 THEN '/elsewhere/' ELSE '/store/' END, {U}, tail) AS path, n_chars AS size, 1700000000 + n_chars AS mtime_s
+        FROM documents EACH(tail: '.metadata', '.content', '.pdf', '/p1.rm', '/p2.rm', '.textconversion/a.txt')""",
     "remote": f"""
         SELECT concat('s', CAST(doc_id % 2 AS STRING)) AS source_id, {U} AS uuid, concat({U}, ext) AS path, concat({U}, ext) AS name,
             ext, CASE WHEN ext = '' THEN 0 ELSE n_chars + {FILE_NUMBER} END AS size, 1700000000 + n_chars AS mtime_s, ext = '' AS is_dir
@@ -273,6 +278,11 @@ INPUTS: dict[str, str | tuple[str, str]] = {
     "cursor_docs": """
         SELECT source AS source_id, n_chars * 1000 AS last_modified,
             CASE WHEN source IN ('src1', 'src3') AND doc_id % 50 = 1 THEN 'pending_missing' ELSE 'ready' END AS readiness FROM documents""",
+    "upkeep_arrivals": f"""
+        SELECT doc_id * 7 % 3 AS arrival, source AS source_id, {U} AS uuid, n_chars * 1000 AS last_modified,
+            CASE WHEN source IN ('src1', 'src3', 'src6') AND doc_id % 50 < 3 THEN 'pending_missing' ELSE 'ready' END AS readiness FROM documents
+        UNION ALL SELECT 3 + doc_id % 2, source, {U}, n_chars * 1000, 'ready'
+        FROM documents WHERE source IN ('src1', 'src6') AND doc_id % 50 < 3""",
     "source_runs": """
         SELECT source AS source_id, max(CASE WHEN source = 'src4' THEN 0 ELSE 1 END) = 1 AS full_scan,
             max(CASE WHEN source = 'src5' THEN 2 ELSE 0 END) AS errors, TRUE AS clean_transfer FROM documents GROUP BY source""",
@@ -359,6 +369,14 @@ def streamed(tables: Tables, raw: str, name: str) -> DataFrame:
     return spark.sql(spark_text(name))
 
 
+def run_arrivals(df: DataFrame, part: str, folder: str, handle) -> None:
+    """``df`` arrives in the order of its column ``part``; each part is one batch of a stream started anew for it."""
+    for number in [r[0] for r in df.select(part).distinct().orderBy(part).collect()]:
+        df.filter(F.col(part) == number).write.mode("append").parquet(f"{folder}/arrivals")
+        stream = df.sparkSession.readStream.schema(df.schema).parquet(f"{folder}/arrivals")
+        run_batches(stream, "append", folder, handle)
+
+
 def _mentions(text: str, name: str) -> bool:
     words = text.replace(",", " ").replace("(", " ").replace(")", " ").split()
     return any(a in ("FROM", "JOIN") and b == name for a, b in zip(words, words[1:]))

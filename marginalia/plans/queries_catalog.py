@@ -24,7 +24,7 @@ tree(uuid, names, ids, keys) AS (
     FROM folders f JOIN tree t ON f.parent = t.uuid)"""
 
 PATHS = """
-paths AS (SELECT l.*, coalesce(array_to_string(t.names[greatest(len(t.names) - 19, 1):], '/'), '') AS folder_path
+paths AS (SELECT l.*, coalesce(array_to_string(t.names, '/'), '') AS folder_path
     FROM live l LEFT JOIN tree t ON l.parent = t.uuid)"""
 
 
@@ -315,6 +315,20 @@ def emit_results_json(t):
 # --- stores ----------------------------------------------------------------------------------------------------------
 
 
+@query(
+    "manifest_rows",
+    "inventory",
+    """files AS (SELECT substr(path, 8) AS path, size, mtime_s FROM inventory WHERE starts_with(path, '/store/')),
+    every AS (SELECT path, size, mtime_s, FALSE AS is_dir FROM files
+        UNION ALL SELECT split_part(path, '/', 1), 0, max(mtime_s), TRUE FROM files WHERE contains(path, '/') GROUP BY ALL)""",
+    """SELECT path, split_part(path, '/', -1) AS name, lower(regexp_extract(split_part(path, '/', 1), '^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}')) AS uuid,
+        CASE WHEN is_dir THEN '' ELSE lower(regexp_extract(split_part(path, '/', -1), '[.][^.]*$')) END AS ext, CAST(size AS BIGINT) AS size, mtime_s, is_dir
+    FROM every""",
+)
+def manifest_rows(t):
+    return store.manifest_rows(t("inventory"), "/store", "s0").drop("source_id", "side")
+
+
 @query("scan_manifest")
 def scan_manifest(t):
     return store.scan_manifest(t.spark, t.folder, "tables").select("name", "ext", "size", "is_dir")

@@ -149,7 +149,7 @@ YAML = "replace(replace(replace({0}, chr(92), chr(92) || chr(92)), '\"', chr(92)
         || 'highlight_count: ' || highlight_count || {NL} || 'remarkable_uuid: ' || uuid || {NL}
         || CASE WHEN source_label IS NULL THEN '' ELSE 'source: "' || {YAML.format("source_label")} || '"' || {NL} END
         || CASE WHEN doc_type = 'notebook' THEN '' ELSE 'tags:' || {NL} || '  - ' || lang || {NL} || '  - x' || {NL} END || '---' || {NL} || {NL}
-        || '<!-- Note: Highlights between the %% markers are auto-generated and will be overwritten on re-extraction. Add your own notes outside the markers. -->' || {NL} || {NL}
+        || '<!-- The part between the start and end comments is written anew on every run; write above or below it. -->' || {NL} || {NL}
         || section || {NL} || CASE WHEN n_chars % 2 = 0 THEN {NL} || '## Extraction Notes' || {NL} || {NL} || '- ' || source || {NL} ELSE '' END AS body
     FROM note_docs n JOIN new_sections s USING (doc)""",
 )
@@ -227,7 +227,7 @@ MERGED = (
     rebuilt AS (SELECT *, CASE WHEN managed IS NULL THEN section ELSE parts[1] || array_to_string(list_transform(range(2, len(parts) + 1), lambda i: '<!-- notes -->'
             || CASE WHEN took[i - 1] THEN fills[i - 1] || substring(parts[i], instr(parts[i], '<!-- /notes -->')) ELSE parts[i] END), '') END AS s FROM pieces),
     closed AS (SELECT *, CASE WHEN managed IS NULL OR lost IS NULL THEN s ELSE regexp_replace(left(s, length(s) - 23), '[ ' || {NL} || ']+$', '') || {NL} || {NL}
-        || '> [!warning] Preserved notes' || {NL} || '> These typed notes could not be matched to their original position after re-extraction. Move them where they belong; they will keep being preserved here until then.'
+        || '> [!warning] Preserved notes' || {NL} || '> The passages these notes stood under are gone. The notes stay here until you give them a new place.'
         || {NL} || {NL} || lost || {NL} || '<!-- marginalia:end -->' END AS final FROM rebuilt)"""
 )
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text
 from marginalia.operators import catalog, fleet, merge, review, runs, tree
-from marginalia.plans.bindings import streamed
+from marginalia.plans.bindings import run_arrivals, streamed
 from marginalia.plans.queries_catalog import FOLDERS, PATHS, TRASH
 from marginalia.plans.queries_notes import ORDER, STATE
 from marginalia.plans.queries_pages import RUNS
@@ -215,8 +215,11 @@ def debounced_changes_stream(t):
 
 @query("dedupe_highlights_stream", "review_events", "", "SELECT DISTINCT highlight_id AS id FROM review_events")
 def dedupe_highlights_stream(t):
-    found = streamed(t, "events", "review_events").select("ts", F.col("highlight_id").alias("id"))
-    return run_to_table(feeds.dedupe_highlights(found, "60 days"), "append", new_folder(t.spark)).select("id")
+    """In batches whose times lie months apart, each with identifiers of the ones before."""
+    folder = new_folder(t.spark)
+    found = t("review_events").select(F.col("highlight_id").alias("id"), "ts", F.month("ts").alias("month"))
+    run_arrivals(found, "month", folder, feeds.publish_new_highlights(f"{folder}/published"))
+    return t.spark.read.parquet(f"{folder}/published").select("id")
 
 
 @query("review_state_stream", "review_events", STATE, "SELECT highlight_id, status, edited_text FROM state")
@@ -233,26 +236,38 @@ def streak_alerts_stream(t):
     return alerts.select("key", F.unix_micros("ts").alias("at_us"), "streak")
 
 
+# Cursors move at the end of any batch after which no document of the source waits.
+UPKEEP = """
+steps AS (SELECT DISTINCT arrival AS step FROM upkeep_arrivals),
+late AS (SELECT uuid, max(arrival) AS done FROM upkeep_arrivals WHERE readiness = 'ready' GROUP BY uuid),
+seen AS (SELECT step, source_id, max(last_modified) FILTER (readiness = 'ready') AS observed,
+        count(*) FILTER (readiness <> 'ready' AND (done IS NULL OR done > step)) AS waiting
+    FROM steps JOIN upkeep_arrivals ON arrival <= step LEFT JOIN late USING (uuid) GROUP BY step, source_id),
+moved AS (SELECT source_id, max(observed) AS observed FROM seen JOIN source_runs r USING (source_id)
+    WHERE waiting = 0 AND r.full_scan AND r.clean_transfer AND r.errors = 0 GROUP BY source_id)"""
+
+
 @query(
     "incremental_upkeep",
-    "cursor_docs source_runs source_prev source_paths",
-    NEXT.format(docs="cursor_docs"),
-    """SELECT 'cursor' AS part, source_id, cursor_ms AS value, CAST(1 AS BIGINT) AS n FROM advanced
-    UNION ALL SELECT 'published', source_id, last_modified, count(*) FROM cursor_docs LEFT JOIN source_prev USING (source_id)
+    "upkeep_arrivals source_runs source_prev source_paths",
+    UPKEEP,
+    """SELECT 'cursor' AS part, source_id, CASE WHEN observed IS NULL THEN cursor_ms ELSE greatest(coalesce(cursor_ms, 0), observed) END AS value,
+        CAST(1 AS BIGINT) AS n FROM source_paths LEFT JOIN source_prev USING (source_id) LEFT JOIN moved USING (source_id)
+    UNION ALL SELECT 'published', source_id, last_modified, count(*) FROM upkeep_arrivals LEFT JOIN source_prev USING (source_id)
         WHERE readiness = 'ready' AND (cursor_ms IS NULL OR last_modified > cursor_ms) GROUP BY source_id, last_modified""",
 )
 def incremental_upkeep(t):
-    folder, prev, paths, outcome = new_folder(t.spark), t("source_prev"), t("source_paths"), t("source_runs")
+    """Five batches; documents arrive out of order, some not ready, of those some ready in a later batch."""
+    folder, outcome = new_folder(t.spark), t("source_runs")
 
     def publish(due, number):
         due.write.mode("overwrite").parquet(f"{folder}/published/batch={number}")
         return outcome
 
-    def write_cursors(cursors, number):
-        cursors.write.mode("overwrite").parquet(f"{folder}/cursors/batch={number}")
-
-    arriving = streamed(t, "documents", "cursor_docs").withColumn("doc_type", F.lit("pdf"))
-    run_batches(arriving, "append", folder, feeds.incremental_upkeep(publish, lambda: prev, write_cursors, paths))
-    cursors = t.spark.read.parquet(f"{folder}/cursors").select(F.lit("cursor").alias("part"), "source_id", F.col("cursor_ms").alias("value"), F.lit(1).cast("bigint").alias("n"))
+    arriving = t("upkeep_arrivals").withColumn("doc_type", F.lit("pdf"))
+    run_arrivals(arriving, "arrival", folder, feeds.incremental_upkeep(folder, publish, t("source_prev"), t("source_paths")))
+    last = F.max_by("cursor_ms", "batch").alias("value")
+    cursors = t.spark.read.parquet(f"{folder}/cursors").groupBy("source_id").agg(last)
+    cursors = cursors.select(F.lit("cursor").alias("part"), "source_id", "value", F.lit(1).cast("bigint").alias("n"))
     published = t.spark.read.parquet(f"{folder}/published").groupBy("source_id", F.col("last_modified").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     return cursors.unionByName(published.withColumn("part", F.lit("published")))

@@ -53,13 +53,28 @@ def debounced_changes(
     )
 
 
-def dedupe_highlights(highlights: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Each highlight ``id`` once; a stream remembers identifiers for the watermark's length."""
-    if highlights.isStreaming:
-        return highlights.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["id"])
+def dedupe_highlights(highlights: DataFrame) -> DataFrame:
+    """Each highlight ``id`` of a batch once."""
     return highlights.dropDuplicates(["id"])
 
 
+def publish_new_highlights(folder: str) -> Callable[[DataFrame, int], None]:
+    """Function for ``foreachBatch``: highlights whose ``id`` no earlier batch had go to ``folder/batch=n``.
+
+    Identifiers are never forgotten: each batch is held against all that was published, of which only the identifiers
+    are read.  A repeated batch looks at the batches before it alone, so it writes the same again.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        fresh = dedupe_highlights(batch)
+        if number:
+            before = batch.sparkSession.read.parquet(*[f"{folder}/batch={n}" for n in range(number)])
+            fresh = fresh.join(before.select("id"), "id", "left_anti").select(*batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return run
+
+
 def streak_step(batch: DataFrame, state: DataFrame, n: int = 3) -> tuple[DataFrame, DataFrame]:
     """One micro-batch of ``(key, ts, seq, failed)`` on top of ``state (key, streak)``: (alerts, new state)."""
     order = ("ts", "seq")
@@ -95,25 +110,43 @@ def pending_hold(entries: DataFrame, contents: DataFrame, runs: DataFrame, prev:
 
 
 def incremental_upkeep(
-    publish: Callable[[DataFrame, int], DataFrame],
-    read_cursors: Callable[[], DataFrame],
-    write_cursors: Callable[[DataFrame, int], None],
-    paths: DataFrame,
+    folder: str, publish: Callable[[DataFrame, int], DataFrame], start: DataFrame, paths: DataFrame
 ) -> Callable[[DataFrame, int], None]:
-    """Function for ``foreachBatch`` over arriving documents ``(source_id, uuid, doc_type, last_modified, readiness, …)``.
+    """Function for ``foreachBatch`` over arriving documents ``(source_id, uuid, doc_type, last_modified, readiness)``.
 
-    Each batch publishes what is newer than the cursor and only then moves the cursor, under the rules of
-    ``next_cursor``.  ``publish`` returns ``runs (source_id, full_scan, errors, clean_transfer)`` and must overwrite
-    its output for the same batch number, so a repeated batch changes nothing.
+    ``start (source_id, cursor_ms, path_hash)`` says what was published before the stream began; whatever arrives
+    ready and is newer than that is published, in whatever order it comes.  A document that is not ready waits in a
+    table until it arrives ready; while any document of a source waits, the source's cursor stays, and when none does
+    it moves to the newest document seen ready in any batch, under the rules of ``next_cursor``.
+
+    ``publish`` returns ``runs (source_id, full_scan, errors, clean_transfer)`` and must overwrite its output for the
+    same batch number.  The waiting documents and the cursors of each batch lie in ``folder/waiting`` and
+    ``folder/cursors``; a batch reads those of the one before and writes its own, the cursors last, so a repeated
+    batch changes nothing.
     """
+    columns = ["source_id", "uuid", "last_modified", "readiness"]
 
     def run(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        prev = read_cursors()
-        due = since(batch.filter(F.col("readiness") == "ready"), prev)
-        runs = publish(due, number)
-        advanced = next_cursor(batch, runs, prev, paths)
-        write_cursors(advanced.select("source_id", "cursor_ms", "path_hash"), number)
+        spark = batch.sparkSession
+        batch = batch.persist()
+        arrived = batch.select(*columns)
+        cursors, held = start, arrived.limit(0)
+        if number:
+            cursors = spark.read.parquet(f"{folder}/cursors/batch={number - 1}")
+            held = spark.read.schema(arrived.schema).parquet(f"{folder}/waiting/batch={number - 1}")
+        outcome = publish(since(batch.filter(F.col("readiness") == "ready"), start), number)
+        # Of a document in one batch the newest row counts; what is held without a uuid is the newest time seen ready.
+        latest = F.max_by("readiness", F.struct("last_modified", F.col("readiness") == "ready")).alias("readiness")
+        fresh = arrived.groupBy("source_id", "uuid").agg(F.max("last_modified").alias("last_modified"), latest)
+        left = held.filter("uuid is not null").join(fresh, ["source_id", "uuid"], "left_anti")
+        waiting = left.unionByName(fresh.filter("readiness <> 'ready'"))
+        ready = arrived.filter("readiness = 'ready'").unionByName(held.filter("uuid is null"))
+        newest = ready.groupBy("source_id").agg(F.max("last_modified").alias("last_modified"))
+        newest = newest.withColumns({"uuid": F.lit(None).cast("string"), "readiness": F.lit("ready")})
+        waiting.unionByName(newest).write.mode("overwrite").parquet(f"{folder}/waiting/batch={number}")
+        known = spark.read.schema(arrived.schema).parquet(f"{folder}/waiting/batch={number}")
+        advanced = next_cursor(known, outcome, cursors, paths)
+        advanced.select("source_id", "cursor_ms", "path_hash").write.mode("overwrite").parquet(f"{folder}/cursors/batch={number}")
         batch.unpersist()
 
     return run

@@ -75,11 +75,11 @@ def test_paths(spark):
     assert paths["orphan"] == "" and paths["in-cycle"] == ""
 
 
-def test_deep_path_keeps_the_nearest_folders(spark):
+def test_deep_path_is_whole(spark):
     rows = [(f"f{i}", f"n{i}", f"f{i - 1}" if i else "", True, False) for i in range(70)]
     df = entries(spark, *rows, ("doc", "d", "f69", False, False))
     path = tree.resolve_folder_paths(df).filter("uuid = 'doc'").first().folder_path
-    assert path == "/".join(f"n{i}" for i in range(50, 70))
+    assert path == "/".join(f"n{i}" for i in range(70))
 
 
 @pytest.mark.parametrize(
@@ -150,8 +150,8 @@ def test_manifest_scan_reads_no_content(spark, tmp_path):
     (tmp_path / uuid).mkdir()
     (tmp_path / uuid / "p1.rm").write_bytes(b"reMarkable .lines file, version=6          ")
     manifest = store.scan_manifest(spark, str(tmp_path), "s")
-    assert {(r.name, r.ext, r.size) for r in manifest.collect()} == {(f"{uuid}.pdf", ".pdf", 5), ("p1.rm", ".rm", 43)}
-    assert manifest.filter("ext = '.pdf'").first().uuid == uuid
+    assert {(r.path, r.ext, r.size) for r in manifest.collect()} == {(f"{uuid}.pdf", ".pdf", 5), (f"{uuid}/p1.rm", ".rm", 43), (uuid, "", 0)}
+    assert {r.uuid for r in manifest.collect()} == {uuid}
     plan = manifest._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[1]
     sniffed = store.sniff_stroke_format(spark.read.format("binaryFile").load(f"{tmp_path}/{uuid}").select("path", "content"))

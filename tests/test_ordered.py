@@ -47,3 +47,15 @@ def test_centred_mean(rows):
         return {r.i: round(r["mean"], 9) for r in df.collect()}
 
     assert result(plain) == result(cut)
+
+
+@pytest.mark.parametrize("limit", [5, 20, 1000])
+def test_running_columns_over_nulls(spark, limit):
+    data = [("k", i, None if i < 7 or 20 < i < 45 or i % 4 == 0 else i) for i in range(60)] + [("n", i, None) for i in range(30)]
+    df = spark.createDataFrame(data, "k string, i bigint, v bigint").repartition(3)
+    w = Window.partitionBy("k").orderBy("i")
+    w = w.rowsBetween(Window.unboundedPreceding, 0)
+    groups = OrderedGroups(df, ["k"], ["i"], limit).running_sum("s", F.col("v")).running_max("m", F.col("v")).previous("p", F.col("v"))
+    expected = df.select("k", "i", F.sum("v").over(w).alias("s"), F.max("v").over(w).alias("m"), F.lag("v").over(Window.partitionBy("k").orderBy("i")).alias("p"))
+    columns = ["k", "i", "s", "m", "p"]
+    assert sorted(groups.result().select(columns).collect(), key=str) == sorted(expected.collect(), key=str)

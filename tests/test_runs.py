@@ -154,9 +154,9 @@ def test_debounce_stream(spark, tmp_path):
     assert [(r.first_ts, r.due_ts, r.changes) for r in run()] == [(at(0), at(22), 3), (at(23), at(33), 1)]
 
 
-def test_upkeep_is_repeatable(spark):
+def upkeep(spark):
+    """(run a batch, uuids published by batch, cursors after a batch)"""
     folder = new_folder(spark)
-    docs = spark.createDataFrame([("s", "u", "pdf", 7, "ready"), ("s", "v", "pdf", 3, "ready"), ("t", "w", "pdf", 9, "ready"), ("t", "x", "pdf", 9, "pending_missing")], "source_id string, uuid string, doc_type string, last_modified bigint, readiness string")
     prev = spark.createDataFrame([("s", 5, "h"), ("t", 5, "h")], "source_id string, cursor_ms bigint, path_hash string")
     paths = prev.select("source_id", F.lit("h").alias("current_hash"))
     outcome = prev.select("source_id", F.lit(True).alias("full_scan"), F.lit(0).alias("errors"), F.lit(True).alias("clean_transfer"))
@@ -165,11 +165,42 @@ def test_upkeep_is_repeatable(spark):
         due.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
         return outcome
 
-    handle = feeds.incremental_upkeep(publish, lambda: prev, lambda c, n: c.write.mode("overwrite").parquet(f"{folder}/cursors/batch={n}"), paths)
+    handle = feeds.incremental_upkeep(folder, publish, prev, paths)
+
+    def run(number, *rows):
+        schema = "source_id string, uuid string, doc_type string, last_modified bigint, readiness string"
+        handle(spark.createDataFrame([(s, u, "pdf", m, r) for s, u, m, r in rows], schema), number)
+        cursors = spark.read.parquet(f"{folder}/cursors/batch={number}").collect()
+        published = spark.read.parquet(f"{folder}/out/batch={number}").collect()
+        return sorted(r.uuid for r in published), {r.source_id: r.cursor_ms for r in cursors}
+
+    return run
+
+
+def test_upkeep_is_repeatable(spark):
+    run = upkeep(spark)
+    rows = [("s", "u", 7, "ready"), ("s", "v", 3, "ready"), ("t", "w", 9, "ready"), ("t", "x", 9, "pending_missing")]
+    for _ in range(2):
+        assert run(0, *rows) == (["u", "w"], {"s": 7, "t": 5})
+
+
+def test_upkeep_loses_nothing_over_batches(spark):
+    run = upkeep(spark)
+    assert run(0, ("s", "late", 10, "pending_missing"), ("s", "x", 20, "ready")) == (["x"], {"s": 5, "t": 5})
     for _ in range(2):
-        handle(docs, 0)
-        assert {r.uuid for r in spark.read.parquet(f"{folder}/out").collect()} == {"u", "w"}
-        assert {r.source_id: r.cursor_ms for r in spark.read.parquet(f"{folder}/cursors").collect()} == {"s": 7, "t": 5}
+        assert run(1, ("s", "y", 30, "ready")) == (["y"], {"s": 5, "t": 5})
+    assert run(2, ("s", "late", 10, "ready")) == (["late"], {"s": 30, "t": 5})
+    assert run(3, ("s", "old", 25, "ready"), ("t", "z", 8, "ready")) == (["old", "z"], {"s": 30, "t": 8})
+
+
+def test_highlights_are_published_once_however_late(spark):
+    folder = new_folder(spark)
+    handle = feeds.publish_new_highlights(folder)
+    for number, (day, ids) in enumerate([(1, "ab"), (200, "bc"), (2, "ac"), (400, "ad")]):
+        batch = spark.createDataFrame([(i, day) for i in ids], "id string, day int")
+        handle(batch, number)
+        handle(batch, number)
+    assert sorted(r.id for r in spark.read.parquet(folder).collect()) == ["a", "b", "c", "d"]
 
 
 FOLDER = "/root/testdata/sf0.001"
