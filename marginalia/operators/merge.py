@@ -305,9 +305,14 @@ def whole_highlights(fragments: DataFrame, gutters: DataFrame) -> DataFrame:
 # --- strokes and sources ---------------------------------------------------------------------------------------------
 
 
-def merge_stroke_regions(strokes: DataFrame, gap: float = 40.0, limit: int = HOT_ROWS) -> DataFrame:
-    """Strokes of a page from top to bottom; a new region begins after a gap or with another colour."""
-    groups = OrderedGroups(strokes, PAGE, ["y", "stroke_id"], limit)
+def merge_stroke_regions(
+    strokes: DataFrame, gap: float = 40.0, limit: int = HOT_ROWS, sizes: DataFrame | None = None
+) -> DataFrame:
+    """Strokes of a page from top to bottom; a new region begins after a gap or with another colour.
+
+    ``sizes`` is counted for large pages instead of ``strokes``, when those are costly to read.
+    """
+    groups = OrderedGroups(strokes, PAGE, ["y", "stroke_id"], limit, sizes)
     groups.previous("_above", F.struct((F.col("y") + F.col("h")).alias("bottom"), "color"))
     far = (F.col("y") - F.col("_above.bottom") > gap) | ~F.col("color").eqNullSafe(F.col("_above.color"))
     groups.running_sum("region", F.when(F.col("_above").isNull() | far, 1).otherwise(0))

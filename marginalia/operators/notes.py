@@ -123,10 +123,13 @@ def _each(array: Column, name: str) -> Column:
 
 
 def group_by_page(highlights: DataFrame, drawings: DataFrame, ocr: DataFrame) -> DataFrame:
-    """Every page with content: its highlights in order, its drawing, its recognised handwriting."""
+    """Every page with content: its highlights in order, its drawing, its recognised handwriting.
+
+    ``created_at``, the epoch in milliseconds of a highlight, is carried if ``highlights`` has it.
+    """
     none = F.lit(None).cast("string")
-    entry = F.struct("seq", "text", "color")
-    blank = F.lit(None).cast("struct<seq:bigint,text:string,color:string>")
+    entry = F.struct("seq", "text", "color", *[c for c in ("created_at",) if c in highlights.columns])
+    blank = F.lit(None).cast(highlights.select(entry.alias("h")).schema["h"].dataType)
     parts = (
         highlights.select(*DOC_PAGE, entry.alias("h"), none.alias("filename"), none.alias("ocr_text"))
         .unionByName(drawings.select(*DOC_PAGE, blank.alias("h"), "filename", none.alias("ocr_text")))

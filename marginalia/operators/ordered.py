@@ -116,13 +116,20 @@ class OrderedGroups:
 
 
 def centred_mean(
-    df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, half: int, limit: int = HOT_ROWS
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    value: Column,
+    name: str,
+    half: int,
+    limit: int = HOT_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Mean of ``value`` over the rows at most ``half`` before and after, cut at the group's ends.
 
     A large group is cut into blocks of rows; each block also gets the ``half`` rows beside it.
     """
-    cold, hot, _ = split_hot(df, keys, limit)
+    cold, hot, _ = split_hot(df, keys, limit, sizes)
     mean = F.avg(value)
     result = cold.withColumn(name, mean.over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-half, half)))
     if hot is None:

@@ -115,10 +115,14 @@ def stroke_stats(strokes: DataFrame, points: DataFrame) -> DataFrame:
     return joined.withColumn("points", F.coalesce("points", F.lit(0))).withColumn("drawn_width", drawn)
 
 
+def drawn_points(strokes: DataFrame, points: DataFrame) -> DataFrame:
+    """Points of all strokes but erasers."""
+    return points.join(strokes.filter(~F.col("pen_type").isin(ERASERS)).select(*STROKE), STROKE, "left_semi")
+
+
 def page_stroke_box(strokes: DataFrame, points: DataFrame, padding: float = 20.0) -> DataFrame:
     """Box of all strokes of a page but erasers, padded; the whole screen when there are none."""
-    kept = points.join(strokes.filter(~F.col("pen_type").isin(ERASERS)).select(*STROKE), STROKE, "left_semi")
-    box = kept.groupBy("doc", "page").agg(
+    box = drawn_points(strokes, points).groupBy("doc", "page").agg(
         (F.min("x") - padding).alias("x"), (F.min("y") - padding).alias("y"), (F.max("x") + padding).alias("r"), (F.max("y") + padding).alias("b")
     )
     pages = strokes.select("doc", "page").distinct().join(box, ["doc", "page"], "left")
@@ -132,8 +136,11 @@ def page_stroke_box(strokes: DataFrame, points: DataFrame, padding: float = 20.0
     )
 
 
-def canvas_shift(points: DataFrame) -> DataFrame:
-    """Smallest shift per page that brings far-off content in, unless it would push other content out."""
+def canvas_shift(strokes: DataFrame, points: DataFrame) -> DataFrame:
+    """Smallest shift per page that brings far-off content in, unless it would push other content out.
+
+    Erasers are no content; a page without any is not shifted.
+    """
 
     def shift(low: Column, high: Column, size: int) -> Column:
         return F.when((low < -50) & (high - low <= size), -low).otherwise(F.lit(0.0))
@@ -144,17 +151,24 @@ def canvas_shift(points: DataFrame) -> DataFrame:
     def high(c: str) -> Column:
         return F.greatest(F.lit(0.0), F.max(c))
 
-    return points.groupBy("doc", "page").agg(
+    shifts = drawn_points(strokes, points).groupBy("doc", "page").agg(
         shift(low("x"), high("x"), SCREEN_WIDTH).alias("shift_x"), shift(low("y"), high("y"), SCREEN_HEIGHT).alias("shift_y")
     )
+    return strokes.select("doc", "page").distinct().join(shifts, ["doc", "page"], "left").fillna(0.0, ["shift_x", "shift_y"])
 
 
 def page_extent(
-    points: DataFrame, rects: DataFrame, truncate: bool = True, scale: float = 1.0, origin_x: float = SCREEN_WIDTH / 2
+    strokes: DataFrame,
+    points: DataFrame,
+    rects: DataFrame,
+    truncate: bool = True,
+    scale: float = 1.0,
+    origin_x: float = SCREEN_WIDTH / 2,
 ) -> DataFrame:
     """Canvas of a page without background: shifted when content lies off its left or top edge, grown to the right
-    and bottom, and cropped when the content ends in the upper half."""
-    corners = points.select("doc", "page", "x", "y").unionByName(
+    and bottom, and cropped when the content ends in the upper half.  Erasers are no content; a page with nothing
+    else is left out."""
+    corners = drawn_points(strokes, points).select("doc", "page", "x", "y").unionByName(
         rects.select("doc", "page", F.inline(F.array(F.struct("x", "y"), F.struct((F.col("x") + F.col("w")).alias("x"), (F.col("y") + F.col("h")).alias("y")))))
     )
     box = corners.groupBy("doc", "page").agg(
@@ -190,9 +204,9 @@ def segment_width(pen: Column, pen_width: Column, raw_width: Column, tilt: Colum
     return F.when(pen.isin(HIGHLIGHTERS), F.greatest(F.lit(8.0), pen_width)).otherwise(clamped)
 
 
-def _smoothed(df: DataFrame, value: str, name: str, half: int, limit: int) -> DataFrame:
+def _smoothed(df: DataFrame, value: str, name: str, half: int, limit: int, sizes: DataFrame) -> DataFrame:
     """Centred mean of strokes with three points or more (column ``n``); shorter strokes keep their values."""
-    mean = centred_mean(df, STROKE, ["pt"], F.col(value), "_mean", half, limit)
+    mean = centred_mean(df, STROKE, ["pt"], F.col(value), "_mean", half, limit, sizes)
     return mean.withColumn(name, F.when(F.col("n") < 3, F.col(value)).otherwise(F.col("_mean"))).drop("_mean", "n")
 
 
@@ -202,7 +216,7 @@ def smooth_widths(strokes: DataFrame, points: DataFrame, limit: int = HOT_ROWS)
     pens = strokes.select(*STROKE, "pen_type", F.col("width").alias("pen_width")).join(sized, STROKE)
     width = segment_width(F.col("pen_type"), F.col("pen_width"), F.col("width"), F.col("tilt"))
     raw = points.join(pens, STROKE).select(*STROKE, "pt", "n", width.alias("raw_width"))
-    return _smoothed(raw, "raw_width", "smooth_width", 2, limit)
+    return _smoothed(raw, "raw_width", "smooth_width", 2, limit, points)
 
 
 def smooth_tilts(points: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
@@ -220,4 +234,4 @@ def smooth_tilts(points: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
         .otherwise(F.col("tilt"))
     )
     raw = points.join(ends, STROKE).select(*STROKE, "pt", "n", filled.alias("filled_tilt"))
-    return _smoothed(raw, "filled_tilt", "smooth_tilt", 4, limit)
+    return _smoothed(raw, "filled_tilt", "smooth_tilt", 4, limit, points)

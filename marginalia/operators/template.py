@@ -73,15 +73,18 @@ def render_with_template(
     link_style: str = "pdfpp",
     colours: bool = True,
 ) -> DataFrame:
-    """(doc, body, highlight_count) for ``docs (doc, uuid, name, doc_type, last_modified, source_label, pdf_name, tags)``."""
+    """A highlight's ``created_at`` is its own day if ``highlights`` has one, else the document's.
+
+    Gives (doc, body, highlight_count) for ``docs (doc, uuid, name, doc_type, last_modified, source_label, pdf_name, tags)``."""
     texts = F.coalesce("ocr_text", F.lit(""))
+    fields = ["text", "color", *[c for c in ("created_at",) if c in highlights.columns]]
     pages = group_by_page(highlights, drawings, ocr).withColumn("ocr_text", neutralised(texts))
     page = F.struct("page", "highlights", F.coalesce("filename", F.lit("")).alias("filename"), "ocr_text")
     per_doc = pages.groupBy("doc").agg(F.array_sort(F.collect_list(page)).alias("pages"))
     page_type = per_doc.schema["pages"].dataType.simpleString()
     df = docs.join(per_doc, "doc", "left").withColumn("pages", F.coalesce("pages", F.array().cast(page_type)))
     flat = F.flatten(
-        F.transform("pages", lambda p: F.transform(p["highlights"], lambda h: F.struct(p["page"].alias("page"), h["text"].alias("text"), h["color"].alias("color"))))
+        F.transform("pages", lambda p: F.transform(p["highlights"], lambda h: F.struct(p["page"].alias("page"), *[h[f].alias(f) for f in fields])))
     )
     df = df.withColumn("flat", flat).withColumn("highlight_count", F.size("flat"))
     c = F.col
@@ -128,7 +131,7 @@ def render_with_template(
             "page": page_number.cast("string"),
             "color": colour,
             "pdf_link": page_link(c("pdf_name"), page_number, link_style),
-            "created_at": dated,
+            "created_at": F.coalesce(day(h["created_at"]), dated) if "created_at" in fields else dated,
             "index": (index + 1).cast("string"),
         }
 

@@ -301,15 +301,18 @@ def quarantine_invalid(t):
 @query(
     "emit_results_json",
     "note_docs page_highlights",
-    """h AS (SELECT doc, list({'text': text, 'page_number': page, 'color': color} ORDER BY seq) AS hs FROM page_highlights GROUP BY doc)""",
-    """SELECT n.doc, CAST(to_json({'uuid': n.uuid, 'visible_name': n.lang, 'doc_type': n.doc_type, 'last_modified': n.n_chars, 'page_count': n.n_chars % 9,
-        'highlights': coalesce(h.hs, [])}) AS VARCHAR) AS value FROM note_docs n LEFT JOIN h USING (doc)""",
+    """h AS (SELECT doc, list({'text': text, 'page_number': page, 'color': color, 'bounds': NULL, 'created_at': created_at} ORDER BY seq) AS hs FROM (SELECT *, page * 86400000 AS created_at FROM page_highlights) GROUP BY doc)""",
+    """SELECT n.doc, CAST(to_json({'uuid': n.uuid, 'visible_name': n.lang, 'folder_path': 'a/' || n.lang, 'doc_type': n.doc_type, 'last_modified': n.n_chars,
+        'page_count': n.n_chars % 9, 'has_pdf': n.doc_type = 'pdf', 'highlights': coalesce(h.hs, []), 'error': NULL, 'warnings': [], 'tags': [n.lang],
+        'page_tags': []}) AS VARCHAR) AS value FROM note_docs n LEFT JOIN h USING (doc)""",
 )
 def emit_results_json(t):
     docs = t("note_docs").select(
-        "doc", "uuid", F.col("lang").alias("visible_name"), "doc_type", F.col("n_chars").alias("last_modified"), (F.col("n_chars") % 9).alias("page_count")
+        "doc", "uuid", F.col("lang").alias("visible_name"), "doc_type", F.col("n_chars").alias("last_modified"), (F.col("n_chars") % 9).alias("page_count"),
+        F.concat(F.lit("a/"), "lang").alias("folder_path"), F.array("lang").alias("tags"),
     )
-    return sidecars.emit_results_json(docs, t("page_highlights"))
+    dated = t("page_highlights").withColumn("created_at", F.col("page").cast("bigint") * 86400000)
+    return sidecars.emit_results_json(docs, dated)
 
 
 # --- stores ----------------------------------------------------------------------------------------------------------

@@ -95,7 +95,7 @@ def reading_order(t):
 )
 def merge_stroke_regions(t):
     boxes = strokes.padded_stroke_boxes(t("strokes"), t("stroke_points"))
-    return rounded(merge.merge_stroke_regions(boxes), "x", "y", "w", "h")
+    return rounded(merge.merge_stroke_regions(boxes, sizes=t("strokes")), "x", "y", "w", "h")
 
 
 @query(
@@ -255,25 +255,27 @@ def page_stroke_box(t):
 
 @query(
     "canvas_shift",
-    "stroke_points",
-    """b AS (SELECT doc, page, least(0, min(x)) AS x0, least(0, min(y)) AS y0, greatest(0, max(x)) AS x1, greatest(0, max(y)) AS y1 FROM stroke_points GROUP BY doc, page)""",
-    """SELECT doc, page, CASE WHEN x0 < -50 AND x1 - x0 <= 1404 THEN -x0 ELSE 0.0 END AS shift_x, CASE WHEN y0 < -50 AND y1 - y0 <= 1872 THEN -y0 ELSE 0.0 END AS shift_y FROM b""",
+    "strokes stroke_points",
+    """b AS (SELECT doc, page, least(0, min(x)) AS x0, least(0, min(y)) AS y0, greatest(0, max(x)) AS x1, greatest(0, max(y)) AS y1
+        FROM stroke_points JOIN strokes USING (doc, page, stroke_id) WHERE pen_type NOT IN (6, 8) GROUP BY doc, page)""",
+    """SELECT doc, page, CASE WHEN x0 < -50 AND x1 - x0 <= 1404 THEN -x0 ELSE 0.0 END AS shift_x, CASE WHEN y0 < -50 AND y1 - y0 <= 1872 THEN -y0 ELSE 0.0 END AS shift_y
+    FROM (SELECT DISTINCT doc, page FROM strokes) LEFT JOIN b USING (doc, page)""",
 )
 def canvas_shift(t):
-    return strokes.canvas_shift(t("stroke_points"))
+    return strokes.canvas_shift(t("strokes"), t("stroke_points"))
 
 
 @query(
     "page_extent",
-    "stroke_points rects",
-    """c AS (SELECT doc, page, x, y FROM stroke_points UNION ALL SELECT doc, page, x, y FROM rects UNION ALL SELECT doc, page, x + w, y + h FROM rects),
+    "strokes stroke_points rects",
+    """c AS (SELECT doc, page, x, y FROM stroke_points JOIN strokes USING (doc, page, stroke_id) WHERE pen_type NOT IN (6, 8) UNION ALL SELECT doc, page, x, y FROM rects UNION ALL SELECT doc, page, x + w, y + h FROM rects),
     b AS (SELECT doc, page, min(x) + 702 AS l, max(x) + 702 AS r, min(y) AS t, max(y) AS b FROM c GROUP BY doc, page),
     s AS (SELECT doc, page, CASE WHEN l < 0 THEN 8 - l ELSE 0 END AS sx, CASE WHEN t < 0 THEN 8 - t ELSE 0 END AS sy, r, b FROM b)""",
     """SELECT doc, page, CAST(sx AS DOUBLE) AS shift_x, CAST(sy AS DOUBLE) AS shift_y, CAST(CASE WHEN r + sx > 1404 THEN ceil(r + sx) + 8 ELSE 1404 END AS BIGINT) AS width,
         CAST(CASE WHEN b + sy + 8 < 936 THEN greatest(ceil(b + sy + 8), 240) WHEN b + sy > 1872 THEN ceil(b + sy) + 8 ELSE 1872 END AS BIGINT) AS height FROM s""",
 )
 def page_extent(t):
-    return strokes.page_extent(t("stroke_points"), t("rects"))
+    return strokes.page_extent(t("strokes"), t("stroke_points"), t("rects"))
 
 
 @query(

@@ -217,14 +217,44 @@ def quarantine_invalid(json_df: DataFrame, strict: bool = False) -> DataFrame:
     )
 
 
+BOUNDS = "struct<x:double,y:double,width:double,height:double>"
+# Optional fields of a document's record: type and value when the table does not have them.
+RECORD = {
+    "folder_path": ("string", ""),
+    "has_pdf": ("boolean", None),
+    "error": ("string", None),
+    "warnings": ("array<string>", ()),
+    "tags": ("array<string>", ()),
+    "page_tags": ("array<struct<page:int,tags:array<string>>>", ()),
+}
+
+
 def emit_results_json(documents: DataFrame, highlights: DataFrame) -> DataFrame:
-    """One JSON record per document with its highlights nested in order."""
-    nested = highlights.groupBy("doc").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "text", "page", "color"))).alias("h")
-    )
-    shaped = F.transform(
-        F.coalesce("h", F.array().cast("array<struct<seq:bigint,text:string,page:int,color:string>>")),
-        lambda h: F.struct(h["text"].alias("text"), h["page"].alias("page_number"), h["color"].alias("color")),
-    )
-    record = F.struct("uuid", "visible_name", "doc_type", "last_modified", "page_count", shaped.alias("highlights"))
-    return documents.join(nested, "doc", "left").select("doc", F.to_json(record, {"ignoreNullFields": "false"}).alias("value"))
+    """One JSON record per document with its highlights nested in order, in the form ``quarantine_invalid`` accepts.
+
+    ``documents (doc, uuid, visible_name, doc_type, last_modified, page_count)`` may have the columns of RECORD, and
+    ``highlights (doc, seq, text, page, color)`` bounds and created_at; what is absent is empty, ``has_pdf`` follows
+    the document's type.
+    """
+
+    def own(df: DataFrame, name: str, kind: str) -> Column:
+        return (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
+
+    bounds, created = own(highlights, "bounds", BOUNDS), own(highlights, "created_at", "bigint")
+    rows = highlights.select("doc", F.struct("seq", "text", F.col("page").alias("page_number"), "color", bounds, created).alias("h"))
+    nested = rows.groupBy("doc").agg(F.array_sort(F.collect_list("h")).alias("h"))
+    listed = F.coalesce("h", F.array().cast(nested.schema["h"].dataType))
+    shaped = F.transform(listed, lambda h: h.dropFields("seq"))
+    joined = documents.join(nested, "doc", "left")
+    fields = {}
+    for name, (kind, absent) in RECORD.items():
+        value = own(documents, name, kind)
+        if name == "has_pdf":
+            value = F.coalesce(value, F.col("doc_type") == "pdf")
+        elif absent is not None:
+            value = F.coalesce(value, (F.array() if absent == () else F.lit(absent)).cast(kind))
+        fields[name] = value.alias(name)
+    head = ["uuid", "visible_name", fields["folder_path"], "doc_type", "last_modified", "page_count", fields["has_pdf"]]
+    tail = [fields[n] for n in ("error", "warnings", "tags", "page_tags")]
+    record = F.struct(*head, shaped.alias("highlights"), *tail)
+    return joined.select("doc", F.to_json(record, {"ignoreNullFields": "false"}).alias("value"))

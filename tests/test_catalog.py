@@ -167,6 +167,14 @@ def test_classify(spark):
     assert store.relevant_entries(df, include_epub=False).filter("name = 'a.epub'").count() == 0
 
 
+def test_emitted_results_are_accepted(spark):
+    docs = spark.createDataFrame([(1, "u", "v", "pdf", 5, 2), (2, "w", "x", "notebook", 5, 0)], "doc int, uuid string, visible_name string, doc_type string, last_modified bigint, page_count int")
+    marks = spark.createDataFrame([(1, 0, "t", 1, None, (1.0, 2.0, 3.0, 4.0))], "doc int, seq bigint, text string, page int, color string, bounds struct<x:double,y:double,width:double,height:double>")
+    records = sidecars.emit_results_json(docs, marks)
+    payload = records.select(F.col("doc").alias("payload_id"), F.concat(F.lit('{"success":true,"errors":[],"documents":['), "value", F.lit("]}")).alias("value"))
+    assert [(r.reason, r.accepted) for r in sidecars.quarantine_invalid(payload).collect()] == [(None, True)] * 2
+
+
 def test_quarantine(spark):
     good = '{"uuid":"u","visible_name":"v","folder_path":"","doc_type":"pdf","last_modified":1,"page_count":2,"has_pdf":true,"highlights":[%s],"error":null}'
     mark = '{"text":"t","page_number":1,"color":null,"bounds":%s,"created_at":null}'

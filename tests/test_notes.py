@@ -229,3 +229,12 @@ def test_ocr(spark):
     words = spark.createDataFrame([("d", p, b, 0, ln, pos, w, c) for p, b, ln, pos, w, c in rows], "doc string, page int, block int, par int, line int, pos int, word string, conf double")
     found = {r.page: tuple(r)[2:] for r in notes.assemble_ocr_text(words).collect()}
     assert found == {1: ("Hello world\nnext", 60.0, False), 2: ("faint", 20.0, True), 3: ("", 0.0, False)}
+
+
+def test_template_has_the_highlights_own_day(spark):
+    docs = spark.createDataFrame([("d", "u", "T", "pdf", 86400000, None, "p.pdf", [])], "doc string, uuid string, name string, doc_type string, last_modified bigint, source_label string, pdf_name string, tags array<string>")
+    h = spark.createDataFrame([("d", 1, 0, "one", None, 3 * 86400000), ("d", 2, 1, "two", "pink", None)], "doc string, page int, seq bigint, text string, color string, created_at bigint")
+    d = spark.createDataFrame([], "doc string, page int, filename string")
+    o = spark.createDataFrame([], "doc string, page int, ocr_text string")
+    body = template.render_with_template(docs, h, d, o, "{{#each highlights}}{{created_at}};{{/each}}").first().body
+    assert body.split("\n") == ["1970-01-04;", "1970-01-02;"]

@@ -99,16 +99,19 @@ def test_padded_boxes(spark):
 @pytest.mark.parametrize("ys, crop, low, high", [((100, 300), True, 300, 340), ((100, 300), False, 1872, 1872), ((100, 1700), True, 1872, 1872), ((20, 50), True, 240, 240), ((100, 1900), True, 1908, 1908)])
 def test_page_height(spark, ys, crop, low, high):
     none = spark.createDataFrame([], RECT)
-    extent = strokes.page_extent(points(spark, {1: [(0, y, 1, 0) for y in ys]}), none, truncate=crop).first()
+    extent = strokes.page_extent(pens(spark, {1: 1}), points(spark, {1: [(0, y, 1, 0) for y in ys]}), none, truncate=crop).first()
     assert low <= extent.height <= high and extent.width == 1404
 
 
 def test_page_shift(spark):
     rect = spark.createDataFrame([("d", 1, "h", 0, -800.0, 10.0, 1600.0, 5.0)], RECT)
-    extent = strokes.page_extent(points(spark, {1: [(0, -3, 1, 0)]}), rect).first()
+    extent = strokes.page_extent(pens(spark, {1: 1, 2: 6}), points(spark, {1: [(0, -3, 1, 0)], 2: [(-5000, 9000, 1, 0)]}), rect).first()
     assert (extent.shift_x, extent.shift_y) == (106.0, 11.0) and extent.width == 800 + 702 + 106 + 8
-    shift = strokes.canvas_shift(points(spark, {1: [(-60, -40, 1, 0), (1000, 0, 1, 0)]})).first()
+    drawn = points(spark, {1: [(-60, -40, 1, 0), (1000, 0, 1, 0)], 2: [(-70, -90, 1, 0)]})
+    shift = strokes.canvas_shift(pens(spark, {1: 1, 2: 8}), drawn).first()
     assert (shift.shift_x, shift.shift_y) == (60.0, 0.0)
+    erased = strokes.canvas_shift(pens(spark, {1: 6, 2: 8}), drawn).first()
+    assert (erased.shift_x, erased.shift_y) == (0.0, 0.0)
 
 
 def test_redirects(spark):
