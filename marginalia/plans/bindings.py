@@ -29,7 +29,9 @@ def div(a: str, b: int) -> str:
 
 
 U = uuid_of("doc_id")
-STORE = f"concat('s', substring({U}, 1, 1))"
+# Three sources; each has a tree of its own, in which the children of number k are 3 k, 3 k + 1 and 3 k + 2.
+STORE = "concat('s', CAST(doc_id % 3 AS STRING))"
+ABOVE = f"3 * {div('doc_id', 9)} + doc_id % 3"
 NL = "chr(10)"
 LINE_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate"
 START = "CASE WHEN doc_id % 2 = 0 THEN '<!-- marginalia:start -->' ELSE '<!-- marginalia-v0:start -->' END"
@@ -63,10 +65,10 @@ INPUTS: dict[str, str | tuple[str, str]] = {
     # --- catalogue
     "entries": f"""
         SELECT {STORE} AS source_id, {U} AS uuid, concat(lang, ' ', CAST(n_chars AS STRING)) AS name,
-            CASE WHEN doc_id = 190 THEN {uuid_of('191')} WHEN doc_id = 191 THEN {uuid_of('190')}
+            CASE WHEN doc_id = 190 THEN {uuid_of('193')} WHEN doc_id = 193 THEN {uuid_of('190')}
                 WHEN doc_id > 40 AND doc_id % 31 = 0 THEN 'trash' WHEN doc_id < 3 THEN ''
-                ELSE {uuid_of(div('doc_id', 3))} END AS parent,
-            CASE WHEN doc_id > 0 AND doc_id * 3 <= (SELECT max(doc_id) FROM documents) THEN 'CollectionType'
+                ELSE {uuid_of(ABOVE)} END AS parent,
+            CASE WHEN 9 * {div('doc_id', 3)} + 3 + doc_id % 3 <= (SELECT max(doc_id) FROM documents) THEN 'CollectionType'
                 ELSE 'DocumentType' END AS entry_type,
             n_chars * 1000 AS last_modified, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE n_chars * 900 END AS last_opened,
             n_chars * 800 AS created, doc_id > 40 AND doc_id % 23 = 0 AS deleted
@@ -75,8 +77,11 @@ INPUTS: dict[str, str | tuple[str, str]] = {
         SELECT {STORE} AS source_id, {U} AS uuid,
             CASE doc_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'epub' WHEN 2 THEN '' WHEN 3 THEN 'notebook' WHEN 4 THEN 'PDF' ELSE 'djvu' END
                 AS file_type,
-            CAST(1 + n_chars % 9 AS INT) AS page_count, doc_id % 17 = 0 AS is_corrupt
-        FROM documents WHERE lang <> 'de'""",
+            CAST(1 + n_chars % 9 AS INT) AS page_count, doc_id % 17 = 0 AND doc_id % 3 <> 2 AS is_corrupt
+        FROM documents WHERE lang <> 'de' OR doc_id % 3 = 2""",
+    "all_contents": f"""
+        SELECT {U} AS uuid, CASE doc_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'epub' WHEN 2 THEN '' WHEN 3 THEN 'notebook' WHEN 4 THEN 'PDF' ELSE 'djvu' END
+            AS file_type FROM documents""",
     "library": f"""
         SELECT concat('s', CAST(doc_id % 3 AS STRING)) AS source_id, {U} AS uuid, concat(upper(lang), ' ', CAST(n_chars AS STRING), ' ', source) AS name,
             CASE doc_id % 4 WHEN 0 THEN 'epub' WHEN 1 THEN 'notebook' ELSE 'pdf' END AS doc_type,

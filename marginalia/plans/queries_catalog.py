@@ -28,7 +28,7 @@ paths AS (SELECT l.*, coalesce(array_to_string(t.names, '/'), '') AS folder_path
     FROM live l LEFT JOIN tree t ON l.parent = t.uuid)"""
 
 
-@query("trashed_ids", "entries", TRASH, "SELECT 's0' AS source_id, uuid FROM trash")
+@query("trashed_ids", "entries", TRASH, "SELECT source_id, uuid FROM trash JOIN entries USING (uuid)")
 def trashed_ids(t):
     return tree.trashed_ids(t("entries"))
 
@@ -93,7 +93,7 @@ def pending_count(t):
     "entries contents remote",
     TRASH + "," + FOLDERS.format(source="live") + "," + PATHS,
     """SELECT p.uuid, p.folder_path, CASE WHEN c.file_type IN ('pdf', 'epub') THEN c.file_type ELSE 'notebook' END AS doc_type,
-        p.uuid IN (SELECT uuid FROM remote WHERE ext = '.pdf' AND source_id = 's0') AS has_pdf
+        EXISTS (SELECT 1 FROM remote r WHERE r.ext = '.pdf' AND r.source_id = p.source_id AND r.uuid = p.uuid) AS has_pdf
     FROM paths p JOIN contents c USING (source_id, uuid)
     WHERE entry_type <> 'CollectionType' AND NOT c.is_corrupt AND coalesce(c.file_type, '') IN ('pdf', 'epub', '', 'notebook')""",
 )
@@ -104,15 +104,15 @@ def discover_documents(t):
 
 @query(
     "document_types",
-    "contents",
+    "all_contents",
     "",
-    """SELECT uuid, 'drop' AS mode, CASE WHEN file_type IN ('pdf', 'epub') THEN file_type ELSE 'notebook' END AS doc_type FROM contents
+    """SELECT uuid, 'drop' AS mode, CASE WHEN file_type IN ('pdf', 'epub') THEN file_type ELSE 'notebook' END AS doc_type FROM all_contents
         WHERE coalesce(file_type, '') IN ('pdf', 'epub', '', 'notebook')
-    UNION ALL SELECT uuid, 'notebook', CASE WHEN lower(file_type) IN ('pdf', 'epub') THEN lower(file_type) ELSE 'notebook' END FROM contents""",
+    UNION ALL SELECT uuid, 'notebook', CASE WHEN lower(file_type) IN ('pdf', 'epub') THEN lower(file_type) ELSE 'notebook' END FROM all_contents""",
 )
 def document_types(t):
-    dropping = catalog.with_document_type(t("contents")).select("uuid", F.lit("drop").alias("mode"), "doc_type")
-    tolerant = catalog.with_document_type(t("contents"), "notebook").select("uuid", F.lit("notebook").alias("mode"), "doc_type")
+    dropping = catalog.with_document_type(t("all_contents")).select("uuid", F.lit("drop").alias("mode"), "doc_type")
+    tolerant = catalog.with_document_type(t("all_contents"), "notebook").select("uuid", F.lit("notebook").alias("mode"), "doc_type")
     return dropping.unionByName(tolerant)
 
 
@@ -425,10 +425,10 @@ def verify_backup_strict(t):
 @query(
     "select_archive_candidates",
     "entries sizes verified stores",
-    """idle AS (SELECT e.uuid, greatest(last_opened, last_modified) AS activity, s.size FROM entries e JOIN sizes s USING (source_id, uuid) JOIN verified v USING (source_id, uuid)
+    """idle AS (SELECT e.source_id, e.uuid, greatest(last_opened, last_modified) AS activity, s.size FROM entries e JOIN sizes s USING (source_id, uuid) JOIN verified v USING (source_id, uuid)
         WHERE v.verified AND greatest(last_opened, last_modified) <= 20000000 AND (last_opened <> 0 OR created <= 20000000)),
-    r AS (SELECT *, CAST(sum(size) OVER (ORDER BY activity, uuid ROWS UNBOUNDED PRECEDING) AS BIGINT) AS freed FROM idle)""",
-    """SELECT r.uuid, r.activity, r.size, r.freed FROM r JOIN stores ON TRUE WHERE 100.0 * (used - (freed - size)) / capacity >= 80""",
+    r AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source_id ORDER BY activity, uuid ROWS UNBOUNDED PRECEDING) AS BIGINT) AS freed FROM idle)""",
+    """SELECT r.uuid, r.activity, r.size, r.freed FROM r JOIN stores USING (source_id) WHERE 100.0 * (used - (freed - size)) / capacity >= 80""",
 )
 def select_archive_candidates(t):
     now = 20000000 + 7 * sync.DAY_MS

@@ -77,9 +77,9 @@ def run_cursors(t):
 @query(
     "pending_hold",
     "entries contents",
-    """r AS (SELECT last_modified, CASE WHEN c.uuid IS NULL OR c.is_corrupt THEN 1 ELSE 0 END AS pending FROM entries e LEFT JOIN contents c USING (source_id, uuid)
+    """r AS (SELECT e.source_id, last_modified, CASE WHEN c.uuid IS NULL OR c.is_corrupt THEN 1 ELSE 0 END AS pending FROM entries e LEFT JOIN contents c USING (source_id, uuid)
         WHERE entry_type <> 'CollectionType')""",
-    "SELECT 's0' AS source_id, CASE WHEN sum(pending) > 0 THEN 5 ELSE max(last_modified) END AS cursor_ms, sum(pending) = 0 AS advanced FROM r",
+    "SELECT source_id, CASE WHEN sum(pending) > 0 THEN 5 ELSE max(last_modified) END AS cursor_ms, sum(pending) = 0 AS advanced FROM r GROUP BY source_id",
 )
 def pending_hold(t):
     one = t("entries").select("source_id").distinct()
