@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import END, Texts, batches
+from marginalia.llm.common import END, Texts, batches, in_arrow, runs
 
 BUCKETS = 1 << 16
 MOST_LANGUAGES = 500
@@ -64,16 +64,18 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
 
         for rest, texts in batches(stream):
             buckets, firsts = features(texts)
-            langs = rest.column("lang").to_pylist()
-            for i, lang in enumerate(langs):
-                if lang not in held:
-                    held[lang] = np.zeros(BUCKETS, np.int64)
-                held[lang] += np.bincount(buckets[firsts[i] : firsts[i + 1]], minlength=BUCKETS)
+            coded = rest.column("lang").combine_chunks().dictionary_encode()
+            owner = np.repeat(coded.indices.to_numpy().astype(np.int64), np.diff(firsts))
+            order = np.argsort(owner, kind="stable")
+            for number, part in runs(owner[order]):
+                lang = coded.dictionary[number].as_py()
+                counts = np.bincount(buckets[order[part]], minlength=BUCKETS)
+                held[lang] = held[lang] + counts if lang in held else counts
             if len(held) > 50:
                 yield from flushed()
         yield from flushed()
 
-    return docs.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return in_arrow(docs, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class Mixture:
@@ -157,4 +159,4 @@ def identify(docs: DataFrame, model: Mixture) -> DataFrame:
 
     rows = docs.select(F.struct(F.lit(0), *kept).alias("row"), docs["text"].cast("string").alias("text"))
     schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(predict, schema).select(*[F.col("row")[c].alias(c) for c in kept], "lang_pred", "score")
+    return in_arrow(rows, predict, schema).select(*[F.col("row")[c].alias(c) for c in kept], "lang_pred", "score")
