@@ -374,12 +374,13 @@ def streamed(tables: Tables, raw: str, name: str) -> DataFrame:
     return spark.sql(spark_text(name))
 
 
-def run_arrivals(df: DataFrame, part: str, folder: str, handle) -> None:
-    """``df`` arrives in the order of its column ``part``; each part is one batch of a stream started anew for it."""
+def run_arrivals(df: DataFrame, part: str, folder: str, handle, operator=lambda rows: rows, mode: str = "append") -> None:
+    """``df`` arrives in the order of its column ``part``; the stream is started anew for each part and goes on where it
+    was.  ``operator`` makes the stream of results that ``handle`` gets."""
     for number in [r[0] for r in df.select(part).distinct().orderBy(part).collect()]:
         df.filter(F.col(part) == number).write.mode("append").parquet(f"{folder}/arrivals")
         stream = df.sparkSession.readStream.schema(df.schema).parquet(f"{folder}/arrivals")
-        run_batches(stream, "append", folder, handle)
+        run_batches(operator(stream), mode, folder, handle)
 
 
 def _mentions(text: str, name: str) -> bool:

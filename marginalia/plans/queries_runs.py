@@ -12,7 +12,7 @@ from marginalia.plans.queries_notes import ORDER, STATE
 from marginalia.plans.queries_pages import RUNS
 from marginalia.plans.registry import query
 from marginalia.streaming import changes as feeds
-from marginalia.streaming.run import new_folder, run_batches, run_to_table
+from marginalia.streaming.run import new_folder, newest_rows, run_batches, run_to_table, to_folder
 
 
 @query(
@@ -213,19 +213,38 @@ def debounced_changes_stream(t):
     return as_micros(run_to_table(stream, "complete", new_folder(t.spark)))
 
 
+@query(
+    "debounced_changes_append",
+    "changes ignored",
+    QUIET,
+    QUIET_ROWS + " HAVING max(ts) + INTERVAL 600 SECONDS <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM kept)",
+)
+def debounced_changes_append(t):
+    """In append mode: each quiet period once, when the watermark of 10 minutes has passed it."""
+    folder, ignored = new_folder(t.spark), t("ignored")
+    arriving = t("changes").withColumn("part", F.floor(F.dayofmonth("ts") / 10))
+    handle = to_folder(f"{folder}/due")
+    run_arrivals(arriving, "part", folder, handle, lambda rows: feeds.debounced_changes(rows.drop("part"), ignored, 600))
+    return as_micros(t.spark.read.parquet(f"{folder}/due"))
+
+
 @query("dedupe_highlights_stream", "review_events", "", "SELECT DISTINCT highlight_id AS id FROM review_events")
 def dedupe_highlights_stream(t):
-    """In batches whose times lie months apart, each with identifiers of the ones before."""
+    """In batches whose times lie days apart, each with identifiers of the ones before."""
     folder = new_folder(t.spark)
-    found = t("review_events").select(F.col("highlight_id").alias("id"), "ts", F.month("ts").alias("month"))
-    run_arrivals(found, "month", folder, feeds.publish_new_highlights(f"{folder}/published"))
+    found = t("review_events").select(F.col("highlight_id").alias("id"), "ts", F.floor(F.dayofmonth("ts") / 10).alias("part"))
+    run_arrivals(found, "part", folder, feeds.publish_new_highlights(f"{folder}/published"))
     return t.spark.read.parquet(f"{folder}/published").select("id")
 
 
 @query("review_state_stream", "review_events", STATE, "SELECT highlight_id, status, edited_text FROM state")
 def review_state_stream(t):
-    state = review.reduce_review(streamed(t, "events", "review_events"), ORDER)
-    return run_to_table(state, "complete", new_folder(t.spark))
+    """In update mode: each batch hands on the highlights it changed, the table keeps the last row of each."""
+    folder = new_folder(t.spark)
+    arriving = t("review_events").withColumn("part", F.floor(F.dayofmonth("ts") / 10))
+    handle = to_folder(f"{folder}/state")
+    run_arrivals(arriving, "part", folder, handle, lambda events: review.reduce_review(events, ORDER), "update")
+    return newest_rows(t.spark, f"{folder}/state", ["highlight_id"]).select("highlight_id", "status", "edited_text")
 
 
 @query("streak_alerts_stream", "outcomes", STREAKS, "SELECT key, epoch_us(ts) AS at_us, streak FROM streaks WHERE failed AND streak = 3")

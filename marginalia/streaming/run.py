@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marginalia.session import shared_folder
 
@@ -26,6 +27,22 @@ def run_to_table(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     return df.select(*stream.columns)
 
 
+def to_folder(folder: str):
+    """Function for ``foreachBatch``: a subfolder per batch, written again when the batch is."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return write
+
+
+def newest_rows(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """Of the rows that batches in update mode left in ``folder``, the last of each key."""
+    rows = spark.read.parquet(folder)
+    columns = [c for c in rows.columns if c != "batch"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("row")).select("row.*")
+
+
 def run_batches(stream: DataFrame, mode: str, folder: str, handle) -> None:
     """Hand every batch that is available to ``handle`` and wait for the last."""
     query = (
