@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from marginalia.session import shared_folder
 
 # Bytes of text that one Python task holds at a time; one longer text is held alone.
-BATCH_BYTES = 4 << 20
-ARROW_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
+ARROW_BYTES = 4 << 20
 
 _RANDOM = np.random.default_rng(20240607)
 BYTE_CODES = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import ALPHANUMERIC, LOWER, Hasher, Texts, batches, runs
+from marginalia.llm.common import ALPHANUMERIC, LOWER, Hasher, Texts, batches, in_arrow, runs
 
 WINDOW = 10
 ITEM_BYTES = 8 << 20
@@ -214,7 +214,7 @@ def _find_block(rows: DataFrame, block: DataFrame, window: int, number: int, las
                 columns[f"{name}_{number}"] = pa.array(values, kinds.get(name, pa.int64()))
             yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], names=[f.name for f in schema])
 
-    return rows.mapInArrow(search, schema)
+    return in_arrow(rows, search, schema)
 
 
 def _merged(blocks: int) -> list:

@@ -1,17 +1,18 @@
 """Near-duplicate documents by SetSketch registers (operator 4).
 
-A document is the set of its distinct word shingles.  Register i of its sketch holds floor(1 - log_b x), cut to a byte,
+A document is the set of its distinct word shingles.  Register i of its sketch holds floor(1 - log_b x), cut to 16 bits,
 where x is the least of the exponential values (rate RATE) that function i gives to the set's shingles: minima on an
 exponential scale.  Registers of a union are the larger ones, and two sets agree in a register the more often the more
-alike they are: with probability of at least log_b(1 + J (b - 1)) = 0.811 at Jaccard similarity J = 0.8.
+alike they are: with probability of at least log_b(1 + J (b - 1)), 0.800 at Jaccard similarity J = 0.8.  Sets with nothing
+in common agree with probability (b - 1) / (b + 1), which for b = 1.001 keeps them out of each other's buckets.
 
 Search: the 128 registers form 32 bands of 4; sets that agree in a band share a bucket.  A pair at J = 0.8 shares none
-with probability (1 - 0.811 ** 4) ** 32 = 1.3e-8.  Pairs from buckets are estimated by the joint likelihood of
+with probability (1 - 0.8 ** 4) ** 32 = 4.7e-8.  Pairs from buckets are estimated by the joint likelihood of
 how many registers are greater, less and equal; an estimate under CUTOFF is more than five standard deviations from
 0.8 and is dropped.  The rest are confirmed on the full sets.
 
-Equal sets are one node.  In a bucket each node meets the smallest first, then what is not yet connected: buckets whose
-nodes are one component are done, in the others the nodes of different components are compared register by register
+Equal sets are one node.  Each node meets the smallest of each of its buckets first, and the most alike of these is
+confirmed.  Then what is not connected meets: buckets whose nodes are one component are done, in the others the nodes of different components are compared register by register
 within blocks, so that no pair inside a component and no list of all pairs is ever written.
 
 Shingles are 64-bit hashes of their words; all sets stay apart unless those collide.
@@ -22,19 +23,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import LOWER, UNBLANK, Hasher, Texts, batches, mixed, stored
-from marginalia.llm.components import components
+from marginalia.llm.common import LOWER, UNBLANK, Hasher, Texts, batches, in_arrow, mixed, stored
+from marginalia.llm.components import chains, connected
 
 REGISTERS, BANDS = 128, 32
-SCALE, RATE = 1.15, 20.0
+SCALE, RATE = 1.001, 20.0
 CUTOFF = 0.6
 BLOCK = 512
+FEW_NODES = 200_000
+SENT_BYTES = 16 << 20
 
 _FACTORS = np.random.default_rng(11).integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -68,7 +70,7 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     begins = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     least = np.stack([np.minimum.reduceat(values * factor, begins) for factor in _FACTORS], axis=1)
     exponential = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64)
-    return np.clip(np.floor(1 - np.log(np.maximum(exponential, 1e-300) / RATE) / np.log(SCALE)), 0, 255).astype(np.uint8)
+    return np.clip(np.floor(1 - np.log(np.maximum(exponential, 1e-300) / RATE) / np.log(SCALE)), 0, 65535).astype("<u2")
 
 
 def similarity(greater: np.ndarray, less: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -84,6 +86,14 @@ def similarity(greater: np.ndarray, less: np.ndarray, n: np.ndarray, m: np.ndarr
     return np.take_along_axis(grid, likelihood.argmax(axis=1)[:, None], axis=1)[:, 0]
 
 
+def alike(first: np.ndarray, second: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    both = np.concatenate([first, second])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
 SIGNED = "doc long, n long, high long, low long, registers binary"
 
 
@@ -104,22 +114,14 @@ def sign(docs: DataFrame, words: int) -> DataFrame:
             columns += [pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(registers, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "high", "low", "registers"])
 
-    return docs.mapInArrow(signed, SIGNED)
+    return in_arrow(docs, signed, SIGNED)
 
 
 def band_keys(registers: Column) -> Column:
-    width = REGISTERS // BANDS
+    width = 2 * REGISTERS // BANDS
     return F.array(*[F.xxhash64(F.lit(b), F.substring(registers, b * width + 1, width)) for b in range(BANDS)])
 
 
-def estimate(a: pd.Series, n: pd.Series, b: pd.Series, m: pd.Series) -> pd.Series:
-    """Similarity by the registers ``a`` and ``b`` of sets of sizes ``n`` and ``m``."""
-    first = np.frombuffer(b"".join(a), dtype=np.uint8).reshape(-1, REGISTERS)
-    second = np.frombuffer(b"".join(b), dtype=np.uint8).reshape(-1, REGISTERS)
-    greater, less = (first > second).sum(axis=1), (first < second).sum(axis=1)
-    return pd.Series(similarity(greater, less, n.to_numpy(float), m.to_numpy(float)))
-
-
 class Search:
     """Near duplicates among ``docs`` (doc, text), both without nulls in doc."""
 
@@ -129,7 +131,7 @@ class Search:
         full = self.signed.filter("n > 0")
         nodes = full.groupBy("high", "low", "n").agg(F.min("doc").alias("node"), F.any_value("registers").alias("registers"))
         self.nodes = stored(nodes, "shingle-sets")
-        banded = self.nodes.select(F.explode(band_keys(F.col("registers"))).alias("key"), "node")
+        banded = self.nodes.select(F.posexplode(band_keys(F.col("registers"))).alias("band", "key"), "node")
         hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
         self.buckets = stored(banded.join(hubs.select("key", "hub"), "key"), "buckets")
 
@@ -137,14 +139,26 @@ class Search:
         """(node, component) of the nodes that have a link."""
         stars = self.buckets.filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
         stars = stored(self.likely(stars), "candidates")
-        shingles = self.shingles(self.buckets.select("node").distinct())
+        nodes = stored(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+        shingles = self.shingles(nodes)
         best = stars.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
-        links = stored(self.confirmed(best, shingles), "links")
-        found = components(links)
-        for candidates in (lambda c: stars.select("a", "b"), self.across):
-            apart = self.apart(candidates(found), found)
-            links = links.unionByName(stored(self.confirmed(apart, shingles), "links"))
-            found = components(links)
+        found = stored(chains(self.confirmed(best, shingles)), "components")
+        lists, others = self.across(found)
+        lists, others = stored(lists, "candidates"), stored(others, "nodes")
+        if lists.isEmpty():
+            return found
+        more = lists.select("node").union(others).distinct().join(nodes, "node", "left_anti")
+        shingles = shingles.unionByName(self.shingles(stored(more, "nodes")))
+        sent = others.join(self.nodes, "node").agg(F.coalesce(F.sum(8 * F.col("n")), F.lit(0))).first()[0]
+        if sent <= SENT_BYTES:
+            return connected(found, self.confirmed_lists(lists, others.join(shingles, "node"), shingles))
+        left = stored(self.likely(lists.select(F.col("node").alias("one"), F.explode("others").alias("two")).select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()), "candidates")
+        # One link between two components is enough, so the most alike are tried first.
+        for best_only in (True, True, False):
+            tried = stored(self.most_alike(left, found), "candidates") if best_only else left
+            found = stored(connected(found, self.confirmed(tried, shingles)), "components")
+            if best_only:
+                left = stored(self.apart(left, found).join(tried, ["a", "b"], "left_anti"), "candidates")
         return found
 
     def likely(self, pairs: DataFrame) -> DataFrame:
@@ -152,9 +166,17 @@ class Search:
         side = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
         known = pairs.join(side("a"), "a").join(side("b"), "b")
         sized = known.filter(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-        estimated = F.pandas_udf(estimate, "double")
-        scored = sized.select("a", "b", estimated("r_a", "n_a", "r_b", "n_b").alias("estimate"))
-        return scored.filter(F.col("estimate") >= CUTOFF)
+
+        def estimate(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in stream:
+                registers = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("r_a", "r_b")]
+                greater, less = (registers[0] > registers[1]).sum(axis=1), (registers[0] < registers[1]).sum(axis=1)
+                sizes = [batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b")]
+                value = similarity(greater, less, *sizes) if batch.num_rows else np.zeros(0)
+                columns = [batch.column("a"), batch.column("b"), pa.array(value)]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "estimate"]).filter(pa.array(value >= CUTOFF))
+
+        return in_arrow(sized.select("a", "b", "n_a", "n_b", "r_a", "r_b"), estimate, "a long, b long, estimate double")
 
     def shingles(self, nodes: DataFrame) -> DataFrame:
         """(node, shingles) of the documents ``nodes``, as sorted 64-bit numbers."""
@@ -165,8 +187,10 @@ class Search:
                 values = [s.tobytes() for s in shingle_sets(texts, words)]
                 yield pa.RecordBatch.from_arrays([rest.column("doc").combine_chunks(), pa.array(values, pa.binary())], names=["node", "shingles"])
 
-        asked = nodes.select(F.col("node").alias("doc")).hint("shuffle_hash")
-        return stored(self.docs.join(asked, "doc", "left_semi").mapInArrow(listed, "node long, shingles binary"), "shingles")
+        asked = nodes.select(F.col("node").alias("doc"))
+        few = nodes.count() <= FEW_NODES
+        asked = F.broadcast(asked) if few else asked.hint("shuffle_hash")
+        return stored(in_arrow(self.docs.join(asked, "doc", "left_semi"), listed, "node long, shingles binary"), "shingles")
 
     def confirmed(self, pairs: DataFrame, shingles: DataFrame) -> DataFrame:
         """``pairs`` (a, b) that reach the similarity on their full sets."""
@@ -174,31 +198,59 @@ class Search:
 
         def check(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in stream:
-                alike = []
+                right = []
                 for a, b in zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist(), strict=True):
-                    first, second = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                    shared = len(np.intersect1d(first, second, assume_unique=True))
-                    alike.append(100 * shared >= percent * (len(first) + len(second) - shared))
-                yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+                    right.append(alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent))
+                yield batch.select(["a", "b"]).filter(pa.array(right, pa.bool_()))
 
         side = lambda c: shingles.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
         both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "s_a", "s_b")
-        return both.mapInArrow(check, "a long, b long").distinct()
+        return in_arrow(both, check, "a long, b long").distinct()
 
-    def apart(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
-        """``pairs`` whose sides are not connected yet."""
+    def named(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """``pairs`` with the components ``c_a`` and ``c_b`` of their sides."""
         side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
         known = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-        return known.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+        return known.select(*pairs.columns, F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b"))
+
+    def confirmed_lists(self, lists: DataFrame, others: DataFrame, shingles: DataFrame) -> DataFrame:
+        """Links (a, b) of ``lists`` (node, others): the sets of ``others`` (node, shingles) go to all tasks."""
+        percent = self.percent
+        known = self.docs.sparkSession.sparkContext.broadcast({r["node"]: bytes(r["shingles"]) for r in others.distinct().collect()})
+
+        def check(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in stream:
+                one, two = [], []
+                for node, mine, asked in zip(*[batch.column(c).to_pylist() for c in ("node", "shingles", "others")], strict=True):
+                    first = np.frombuffer(mine, np.uint64)
+                    for other in asked:
+                        second = np.frombuffer(known.value[other], np.uint64)
+                        if alike(first, second, percent):
+                            one.append(min(node, other))
+                            two.append(max(node, other))
+                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["a", "b"])
+
+        return in_arrow(lists.join(shingles, "node").select("node", "shingles", "others"), check, "a long, b long").distinct()
+
+    def apart(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """``pairs`` whose sides are not connected yet."""
+        return self.named(pairs, found).filter("c_a <> c_b").select(*pairs.columns)
+
+    def most_alike(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """For each node and each component it has pairs with, the pair of the highest estimate."""
+        known = self.named(pairs, found)
+        ways = F.array(F.struct(F.col("a").alias("one"), F.col("c_b").alias("to")), F.struct(F.col("b").alias("one"), F.col("c_a").alias("to")))
+        best = known.select("a", "b", "estimate", F.explode(ways).alias("way")).groupBy("way").agg(F.max(F.struct("estimate", "a", "b")).alias("best"))
+        return best.select("best.a", "best.b").distinct()
 
-    def across(self, found: DataFrame) -> DataFrame:
-        """Likely pairs of buckets between different components.
+    def across(self, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Likely pairs of buckets between different components, as (node, others), and the nodes that may be others.
 
         Of each bucket the largest component's nodes meet the others' and the others' meet one another, in blocks of
         BLOCK nodes; a cell of two blocks is one group.
         """
-        labelled = self.buckets.select("key", "node").join(found, "node", "left")
-        labelled = labelled.select("key", "node", F.coalesce("component", "node").alias("component"))
+        labelled = self.buckets.select("key", "band", "node").join(found, "node", "left")
+        labelled = labelled.select("key", "band", "node", F.coalesce("component", "node").alias("component"))
         per = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         whole = per.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("big")).filter("all > big.n")
         whole = whole.select("key", F.col("big.component").alias("main"), F.ceil(F.col("big.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("big.n")) / BLOCK).cast("int").alias("others"))
@@ -214,29 +266,31 @@ class Search:
             span(own, F.col("others") - 1, lambda y: cell(1, own, y, True)),
             span(zero, own, lambda x: cell(1, x, own, False)),
         )
-        cells = rows.select("key", "node", "component", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_other)).alias("c"))
-        met = cells.select("key", "node", "component", "c.*").join(self.nodes.select("node", "n", "registers"), "node")
+        cells = rows.select("key", "band", "node", "component", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_other)).alias("c"))
+        met = cells.select("key", "band", "node", "component", "c.*").join(self.nodes.select("node", "n", "registers"), "node")
         percent = self.percent
 
         def compare(group: pa.Table) -> pa.Table:
             left, right = group.filter(group.column("left")), group.filter(pc.invert(group.column("left")))
             get = lambda t, c: t.column(c).to_numpy()
-            lines = lambda t: np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            lines = lambda t: np.frombuffer(b"".join(t.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
             a, b, ca, cb = get(left, "node"), get(right, "node"), get(left, "component"), get(right, "component")
             na, nb, ra, rb = get(left, "n"), get(right, "n"), lines(left), lines(right)
-            found_a, found_b = [], []
+            band = group.column("band")[0].as_py()
+            found_nodes, found_others = [], []
             for i in range(len(a)):
                 fit = (ca[i] != cb) & (100 * np.minimum(na[i], nb) >= percent * np.maximum(na[i], nb))
                 spot = np.nonzero(fit)[0]
-                spot = spot[(ra[i] == rb[spot]).sum(axis=1) >= CUTOFF * REGISTERS]
-                found_a.append(np.full(len(spot), a[i]))
-                found_b.append(b[spot])
-            none = np.zeros(0, np.int64)
-            one, two = np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
-            return pa.table({"a": np.minimum(one, two), "b": np.maximum(one, two)})
-
-        close = met.groupBy("key", "kind", "x", "y").applyInArrow(compare, "a long, b long").distinct()
-        return self.likely(close)
+                same = ra[i] == rb[spot]
+                first = same.reshape(len(spot), BANDS, REGISTERS // BANDS).all(axis=2).argmax(axis=1)  # a pair counts in its first band only
+                spot = spot[(same.sum(axis=1) >= CUTOFF * REGISTERS) & (first == band)]
+                if len(spot):
+                    found_nodes.append(a[i])
+                    found_others.append(b[spot])
+            return pa.table([pa.array(found_nodes, pa.int64()), pa.array(found_others, pa.list_(pa.int64()))], names=["node", "others"])
+
+        lists = met.groupBy("key", "kind", "x", "y").applyInArrow(compare, "node long, others array<long>")
+        return lists, rows.filter("not is_main").select("node").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from marginalia.llm import neardup
-from marginalia.llm.components import components
+from marginalia.llm.components import chains, components, connected
 from marginalia.llm.neardup import keep_one, near_duplicates, shingle_sets, similarity, sketch
 from tests.llm.rows import awkward, documents, prose
 
@@ -105,6 +105,26 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_chains_and_added_links(spark):
+    parents = [(0, 1), (1, 2), (2, 9), (9, 11), (3, 4), (20, 21)]
+    found = chains(spark.createDataFrame(parents, "a long, b long"))
+    expected = {**dict.fromkeys([0, 1, 2, 9, 11], 0), 3: 3, 4: 3, 20: 20, 21: 20}
+    assert {r["node"]: r["component"] for r in found.collect()} == expected
+    more = connected(found, spark.createDataFrame([(4, 11), (30, 21), (31, 32)], "a long, b long"))
+    expected |= {3: 0, 4: 0, 30: 20, 31: 31, 32: 31}
+    assert {r["node"]: r["component"] for r in more.collect()} == expected and more.count() == len(expected)
+    nothing = found.select("node", "component").limit(0)
+    assert connected(nothing, spark.createDataFrame([], "a long, b long")).count() == 0
+    assert chains(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 24])
+def test_sets_sent_or_joined(spark, monkeypatch, sent):
+    monkeypatch.setattr(neardup, "SENT_BYTES", sent)
+    rows = list(enumerate(prose(11, 160, words=40, vocabulary=30)))
+    assert found(near_duplicates(documents(spark, rows), 2)) == brute(rows, 2, 80)
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c d e f g"), (3, "a b c d e f g"), (3, "a b c d e f g"), (9, "other words are here too"), (None, "x"), (None, "x"), (4, None)]
     docs = documents(spark, rows)
