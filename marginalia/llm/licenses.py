@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 BANDS, ROWS = 48, 2
+BROADCAST_TEMPLATES = 1000
 LEAST = 80
 
 
@@ -128,8 +129,8 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
 
     ``n_found`` is the most distinct shingles of the template in one window, which must be 80 % of them;
     ``first_word`` is where the first such window starts.  Null and empty texts hold none; rows that share a doc_id,
-    null included, are reported together.  Further columns are ignored.  The templates are a parameter and small: at
-    most one row per template and window form is broadcast.
+    null included, are reported together.  Further columns are ignored.  Up to BROADCAST_TEMPLATES templates are
+    broadcast, more are joined by a shuffle.
     """
     spark = docs.sparkSession
     words = sorted({w for t in templates if t.words for w in t.gate})
@@ -146,7 +147,9 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     keyed = cut.withColumn("band", F.explode(bands_of(F.col("window"))))
     known = templates_table(spark, templates)
     banded = known.withColumn("band", F.explode(bands_of(F.col("known"))))
-    met = keyed.join(F.broadcast(banded.select("license_id", "length", "step", "band", "known", "total")), ["length", "step", "band"])
+    sought = banded.select("license_id", "length", "step", "band", "known", "total")
+    sought = F.broadcast(sought) if len(templates) <= BROADCAST_TEMPLATES else sought
+    met = keyed.join(sought, ["length", "step", "band"])
     found = met.withColumn("n", F.size(F.array_intersect("window", "known")).cast("long"))
     hits = found.filter(100 * F.col("n") >= LEAST * F.col("total"))
     best = hits.groupBy("doc_id", "license_id").agg(
