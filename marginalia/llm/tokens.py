@@ -7,14 +7,16 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marginalia.llm.common import batches
+from marginalia.llm.common import batches, in_arrow
 
-CACHED = 300_000
+CACHED = 600_000
 JOINED = 1000
 
 # The form of tokenizer file the short way below knows: fixed values.
@@ -48,7 +50,7 @@ class Encoder:
         parts = (form.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         known = form.get("normalizer") == NORMALIZER and parts[0].get("pattern") == {"Regex": SPLIT} and len(parts) == 2
         self.short = known and parts[1].get("type") == "ByteLevel" and not form.get("post_processor")
-        self.word = Tokenizer.from_file(path)
+        self.word = Tokenizer(self.whole.model)
         self.word.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
@@ -73,18 +75,24 @@ class Encoder:
             self.parts.clear()
         if len(self.words) > CACHED:
             self.words.clear()
-        fresh = {p for s in split for p in s if p not in self.parts}
-        found = {p: WORDS.findall(p) for p in fresh}
-        unknown = list({w for ws in found.values() for w in ws if w not in self.words})
+        fresh = list(set(chain.from_iterable(split)).difference(self.parts))
+        found = list(map(WORDS.findall, fresh))
+        unknown = list(set(chain.from_iterable(found)).difference(self.words))
         for begin in range(0, len(unknown), JOINED):
             group = unknown[begin : begin + JOINED]
             encoding = self.word.encode(" ".join(group), add_special_tokens=False)
             ids, owner = np.asarray(encoding.ids, dtype="<u4"), np.asarray(encoding.word_ids)
-            cuts = np.searchsorted(owner, np.arange(len(group) + 1)) * 4
+            cuts = (np.searchsorted(owner, np.arange(len(group) + 1)) * 4).tolist()
             raw = ids.tobytes()
-            self.words.update({w: raw[a:b] for w, a, b in zip(group, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)})
-        get = self.words.__getitem__
-        self.parts.update({p: b"".join(map(get, ws)) for p, ws in found.items()})
+            self.words.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        words = self.words
+        self.parts.update(zip(fresh, [words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws]) for ws in found], strict=True))
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, ids: bool = False) -> DataFrame:
@@ -98,7 +106,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, i
     wanted = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if ids else "")
 
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         end, step = int(end_id).to_bytes(4, "little"), 4 * capacity
         for rest, texts in batches(stream):
             row, piece, start, length, crc, values = [], [], [], [], [], []
@@ -119,4 +127,4 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, i
                 columns.append(pa.array(values, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(cut, wanted)
+    return in_arrow(docs.select("doc_id", docs["text"].cast("string").alias("text")), cut, wanted)
