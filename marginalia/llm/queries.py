@@ -290,9 +290,15 @@ def url_sql() -> str:
             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
         best AS (SELECT r, arg_max(rule, (rank, rule)) AS rule, arg_max(verdict, (rank, rule)) AS verdict
             FROM parsed JOIN rules ON regexp_matches(host || path, regex) GROUP BY r)
-        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parsed LEFT JOIN best USING (r)"""
+        SELECT page_id, host, path, CASE WHEN rule IN ({quoted(r.name for r in url_rules.HOST_RULES)}) THEN rule END AS rule,
+            CASE WHEN rule IN ({quoted(r.name for r in url_rules.PATTERN_RULES)}) THEN rule END AS pattern,
+            coalesce(verdict, 'allow') AS verdict FROM parsed LEFT JOIN best USING (r)"""
 
 
 @query("op10_url_rules", url_sql())
 def urls(spark, folder):
-    return url_rules.judge_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    """``rule`` is the host rule that decides, ``pattern`` the pattern rule that does where no host rule fits."""
+    judged = url_rules.judge_urls(table(spark, folder, "pages"))
+    by_host = F.col("rule").isin([r.name for r in url_rules.HOST_RULES])
+    rule, pattern = F.when(by_host, F.col("rule")), F.when(~by_host, F.col("rule"))
+    return judged.select("page_id", "host", "path", rule.alias("rule"), pattern.alias("pattern"), "verdict")
