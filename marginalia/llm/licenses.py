@@ -1,14 +1,13 @@
-"""License scans (operator 5): MinHash bands over overlapping windows, verified by shingle containment.
+"""License scans (operator 5): exact retrieval by shared shingles, containment of 80 % in a window at any start.
 
 Built of DataFrame functions only.  Words are runs of ASCII letters and digits in lower case, a shingle is five words.
-A template of s shingles is sought in windows of w = s + s // 2 shingles (w = s below four), one starting every
-w - s + 1 shingles, so that every run of s shingles lies whole in some window.  Where a window holds 80 % of a
-template, their Jaccard similarity is at least 0.8 s / (w + 0.2 s) >= 0.47; one band of two of the MINHASHES values
-agrees with probability 0.47 ** 2 = 0.22, so 48 bands miss with probability under 1e-5 (none below four shingles,
-where the window must equal the template).
-
-Before that, texts and windows that cannot hold any template are passed over without loss: a few words of each template
-are chosen so that each of its shingles contains one, so where none of these stands there is none of its shingles.
+A template of s shingles is sought in every window of s + s // 2 shingles (s below four), whatever its start, so that up
+to s // 2 shingles of inserted words do not hide it at any place of a text.  Shingles of a text are joined with those of
+the templates, so every window that holds one is known; how many distinct ones it holds is a running sum: a shingle at
+place q, last met at place p, counts for the starts after max(p, q - length) up to q.
+
+Before that, texts that cannot hold any template are passed over without loss: the longest words of each template that
+stand in more of its shingles than a match may lack.  Where none of these words stands there is no match.
 """
 
 from __future__ import annotations
@@ -16,13 +15,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.llm.quality import bind
+
 SHINGLE = 5
-BANDS, ROWS = 48, 2
-BROADCAST_TEMPLATES = 1000
+BROADCAST_SHINGLES = 200_000
 LEAST = 80
 
 
@@ -37,16 +36,19 @@ class Template:
 
     @property
     def shingles(self) -> int:
+        return len(self.distinct)
+
+    @property
+    def distinct(self) -> set[tuple[str, ...]]:
         """Distinct shingles; a text of under five words is one."""
         words = self.words
-        return len({tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))})
+        return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
 
     @property
     def window(self) -> tuple[int, int]:
-        """(length in shingles, step)."""
+        """(length in shingles, step): windows start at every shingle."""
         size = max(1, len(self.words) - SHINGLE + 1)
-        length = size + size // 2 if size >= 4 else size
-        return length, length - size + 1
+        return size + size // 2 if size >= 4 else size, 1
 
     @property
     def gate(self) -> list[str]:
@@ -66,6 +68,18 @@ class Template:
                 return chosen
         return []
 
+    @property
+    def anchors(self) -> list[str]:
+        """Words of ``gate``, the longest, that stand in more shingles than a match may lack: each match has one."""
+        left, chosen = self.distinct, []
+        least = -(-LEAST * self.shingles // 100)
+        for word in sorted(set(self.gate), key=lambda w: (-len(w), w)):
+            if len(left) < least:
+                break
+            chosen.append(word)
+            left = {shingle for shingle in left if word not in shingle}
+        return chosen
+
 
 # Notices in common use: fixed values.
 TEMPLATES = (
@@ -89,39 +103,36 @@ def shingles_of(words: Column) -> Column:
     return F.when(F.size(words) > 0, every).otherwise(F.array().cast("array<bigint>"))
 
 
-def nearest(shingles: Column, point: int) -> Column:
-    """A MinHash value: the least shingle after an exclusive or, that is the one nearest to a fixed random point."""
-    return F.array_min(F.transform(shingles, lambda h: h.bitwiseXOR(F.lit(point))))
-
-
-def bands_of(shingles: Column) -> Column:
-    """Band keys of a set of shingles."""
-    points = [int(p) for p in np.random.default_rng(5).integers(0, 2**63, BANDS * ROWS)]
-    least = [nearest(shingles, p) for p in points]
-    return F.array(*[F.xxhash64(F.lit(b), *least[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
-
-
-WINDOWS = "array<struct<length:int,step:int,start:int,part:array<string>>>"
+def templates_table(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
+    """(template, license_id, length, total, shingle), a row per distinct shingle of a template."""
+    lines = [(i, t.license_id, t.words, t.window[0], t.shingles) for i, t in enumerate(templates) if t.words]
+    table = spark.createDataFrame(lines, "template int, license_id string, words array<string>, length int, total long")
+    shingle = F.explode(F.array_distinct(shingles_of(F.col("words")))).alias("shingle")
+    return table.select("template", "license_id", "length", "total", shingle)
 
 
-def windows_near(length: int, step: int) -> Column:
-    """The windows of one form that hold a word at one of ``places``, with their words."""
-    words_long = length + SHINGLE - 1
+def fullest(hits: Column, length: Column, total: Column) -> Column:
+    """(n, best, first) of ``hits`` (shingle, place): the most distinct shingles of a window and the first start with enough."""
 
-    def starts(place: Column) -> Column:
-        first = F.ceil(F.greatest(F.lit(0), place - (words_long - 1)) / step).cast("int") * step
-        end = F.least(place, F.col("last"))
-        return F.when(first <= end, F.sequence(first, end, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    def counted(ordered: Column) -> Column:
+        def change(hit: Column, i: Column) -> Column:
+            twin = F.get(ordered, i - 1)
+            before = F.when(twin["shingle"] == hit["shingle"], twin["place"]).otherwise(F.lit(-1))
+            enters = F.greatest(F.lit(0), before + 1, hit["place"] - length + 1)
+            step = lambda at, by: F.struct(at.alias("at"), F.lit(by).cast("long").alias("by"))
+            return F.array(step(enters, 1), step(hit["place"] + 1, -1))
 
-    every = F.array_distinct(F.flatten(F.transform("places", starts)))
-    shape = [F.lit(length).alias("length"), F.lit(step).alias("step")]
-    return F.transform(every, lambda s: F.struct(*shape, s.alias("start"), F.slice("words", s + 1, words_long).alias("part")))
+        return F.array_sort(F.flatten(F.transform(ordered, change)))
 
+    def swept(state: Column, event: Column) -> Column:
+        n = state["n"] + event["by"]
+        first = F.coalesce(state["first"], F.when(100 * n >= LEAST * total, event["at"].cast("long")))
+        return F.struct(n.alias("n"), F.greatest(state["best"], n).alias("best"), first.alias("first"))
 
-def templates_table(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
-    lines = [(t.license_id, t.words, *t.window, t.shingles) for t in templates if t.words]
-    table = spark.createDataFrame(lines, "license_id string, words array<string>, length int, step int, total long")
-    return table.withColumn("known", F.array_distinct(shingles_of(F.col("words")))).drop("words")
+    zero = F.lit(0).cast("long")
+    # Of events at one place those that take away come first, so no sum on the way is more than that of a start.
+    start = F.struct(zero.alias("n"), zero.alias("best"), F.lit(None).cast("long").alias("first"))
+    return F.aggregate(bind(F.array_sort(hits), counted), start, swept)
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -129,30 +140,22 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
 
     ``n_found`` is the most distinct shingles of the template in one window, which must be 80 % of them;
     ``first_word`` is where the first such window starts.  Null and empty texts hold none; rows that share a doc_id,
-    null included, are reported together.  Further columns are ignored.  Up to BROADCAST_TEMPLATES templates are
-    broadcast, more are joined by a shuffle.
+    null included, are reported together.  Further columns are ignored.  Templates of up to BROADCAST_SHINGLES shingles
+    are broadcast, more are joined by a shuffle.  One document's shingles in one template are held by one task.
     """
-    spark = docs.sparkSession
-    words = sorted({w for t in templates if t.words for w in t.gate})
+    words = sorted({w for t in templates if t.words for w in t.anchors})
     gate = "(?<![a-z0-9])(?:" + "|".join(words) + ")(?![a-z0-9])" if words else "(?!)"
     lower = docs.select("doc_id", F.lower(F.col("text").cast("string")).alias("lower")).filter(F.col("lower").rlike(gate))
-    split = lower.select("doc_id", F.regexp_extract_all("lower", F.lit("[a-z0-9]+"), 0).alias("words"))
-    gates = F.array(*[F.lit(w) for w in words]).cast("array<string>")
-    place = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(gates, w), i)), lambda i: i.isNotNull())
-    placed = split.select("doc_id", "words", place.alias("places"), F.greatest(F.lit(0), F.size("words") - SHINGLE).alias("last"))
-    forms = sorted({t.window for t in templates if t.words})
-    cut = F.flatten(F.array(*[windows_near(n, s) for n, s in forms]).cast(f"array<{WINDOWS}>"))
-    cut = placed.select("doc_id", F.explode(cut).alias("w")).select("doc_id", "w.*")
-    cut = cut.select("doc_id", "length", "step", "start", shingles_of(F.col("part")).alias("window"))
-    keyed = cut.withColumn("band", F.explode(bands_of(F.col("window"))))
-    known = templates_table(spark, templates)
-    banded = known.withColumn("band", F.explode(bands_of(F.col("known"))))
-    sought = banded.select("license_id", "length", "step", "band", "known", "total")
-    sought = F.broadcast(sought) if len(templates) <= BROADCAST_TEMPLATES else sought
-    met = keyed.join(sought, ["length", "step", "band"])
-    found = met.withColumn("n", F.size(F.array_intersect("window", "known")).cast("long"))
-    hits = found.filter(100 * F.col("n") >= LEAST * F.col("total"))
-    best = hits.groupBy("doc_id", "license_id").agg(
-        F.max("n").alias("n_found"), F.max("total").alias("n_shingles"), F.min(F.col("start").cast("long")).alias("first_word")
+    # Rows of one doc_id and text have the same hits, so these two name a row.
+    split = lower.select("doc_id", F.md5("lower").alias("row"), F.regexp_extract_all("lower", F.lit("[a-z0-9]+"), 0).alias("words"))
+    spread = split.select("doc_id", "row", F.posexplode(shingles_of(F.col("words"))).alias("place", "shingle"))
+    known = templates_table(docs.sparkSession, templates)
+    known = F.broadcast(known) if sum(t.shingles for t in templates) <= BROADCAST_SHINGLES else known
+    met = spread.join(known, "shingle").groupBy("doc_id", "row", "template", "license_id", "length", "total")
+    held = met.agg(F.collect_set(F.struct("shingle", "place")).alias("hits"))
+    held = held.filter(100 * F.size(F.array_distinct("hits.shingle")) >= LEAST * F.col("total"))
+    found = held.select("doc_id", "license_id", "total", fullest(F.col("hits"), F.col("length"), F.col("total")).alias("w"))
+    best = found.filter(F.col("w.first").isNotNull()).groupBy("doc_id", "license_id").agg(
+        F.max("w.best").alias("n_found"), F.max("total").alias("n_shingles"), F.min("w.first").alias("first_word")
     )
     return best.withColumn("containment", F.col("n_found") / F.col("n_shingles"))

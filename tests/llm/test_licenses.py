@@ -1,3 +1,5 @@
+import random
+
 from marginalia.llm.licenses import TEMPLATES, Template, scan_licenses
 from tests.llm.rows import awkward, documents
 
@@ -39,3 +41,43 @@ def test_empty_and_native(spark):
     assert scan_licenses(documents(spark, [])).count() == 0
     plan = scan_licenses(documents(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+STANDARD_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+    'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
+    "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software "
+    "is furnished to do so, subject to the following conditions:"
+)
+
+
+def test_inserted_words_at_every_offset(spark):
+    notice = (next(t for t in TEMPLATES if t.license_id == "MIT-notice" and t.shingles == 23),)
+    rows = [(i, " ".join(f"w{k}" for k in range(i)) + " " + STANDARD_MIT) for i in range(40)]
+    assert found(scan_licenses(documents(spark, rows), notice)) == {(str(i), "MIT-notice"): (19, 23, 19 / 23) for i in range(40)}
+
+
+def test_every_start_by_brute_force(spark):
+    rng = random.Random(4)
+    template = Template("own", " ".join(f"t{i % 19}" for i in range(24)))
+    known, (length, _) = template.distinct, template.window
+    rows, expected = [], {}
+    for doc in range(200):
+        words = [f"w{i}" for i in range(rng.randrange(30))]
+        for _ in range(rng.choice([1, 1, 2])):
+            for w in template.words:
+                words += [f"x{rng.randrange(9)}"] * (rng.random() < 0.03) + [w] * (rng.random() > 0.03)
+        text = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        counts = [len(known & set(text[i : i + length])) for i in range(len(text))]
+        rows.append((doc, " ".join(words)))
+        if counts and 100 * max(counts) >= 80 * len(known):
+            expected[doc] = (max(counts), next(i for i, n in enumerate(counts) if 100 * n >= 80 * len(known)))
+    got = scan_licenses(documents(spark, rows + rows[:50]), (template,)).collect()
+    assert {r["doc_id"]: (r["n_found"], r["first_word"]) for r in got} == expected
+    assert 20 < len(expected) < 180
+
+
+def test_no_match_without_an_anchor():
+    for t in TEMPLATES:
+        without = sum(not set(s) & set(t.anchors) for s in t.distinct)
+        assert 100 * without < 80 * t.shingles
