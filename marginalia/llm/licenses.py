@@ -13,7 +13,10 @@ stand in more of its shingles than a match may lack.  Where none of these words
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +33,7 @@ class Template:
     license_id: str
     text: str
 
-    @property
+    @cached_property
     def words(self) -> list[str]:
         return re.findall("[a-z0-9]+", self.text.lower())
 
@@ -38,7 +41,7 @@ class Template:
     def shingles(self) -> int:
         return len(self.distinct)
 
-    @property
+    @cached_property
     def distinct(self) -> set[tuple[str, ...]]:
         """Distinct shingles; a text of under five words is one."""
         words = self.words
@@ -50,7 +53,7 @@ class Template:
         size = max(1, len(self.words) - SHINGLE + 1)
         return size + size // 2 if size >= 4 else size, 1
 
-    @property
+    @cached_property
     def gate(self) -> list[str]:
         """Words of which every shingle holds one: as long ones as possible, then as few as possible."""
         words = self.words
@@ -68,12 +71,13 @@ class Template:
                 return chosen
         return []
 
-    @property
+    @cached_property
     def anchors(self) -> list[str]:
-        """Words of ``gate``, the longest, that stand in more shingles than a match may lack: each match has one."""
+        """Words of ``gate``, long ones in many shingles first, that stand in more than a match may lack: each match has one."""
         left, chosen = self.distinct, []
         least = -(-LEAST * self.shingles // 100)
-        for word in sorted(set(self.gate), key=lambda w: (-len(w), w)):
+        often = Counter(word for shingle in self.distinct for word in set(shingle))
+        for word in sorted(set(self.gate), key=lambda w: (len(w) < 6, -often[w], w)):
             if len(left) < least:
                 break
             chosen.append(word)
@@ -81,7 +85,16 @@ class Template:
         return chosen
 
 
-# Notices in common use: fixed values.
+def given() -> tuple[Template, ...]:
+    """The folder license_texts: whole texts, a file each, and notices, a line of id and wording each."""
+    folder = files("marginalia.llm") / "license_texts"
+    texts = sorted((f for f in folder.iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    lines = (folder / "notices.tsv").read_text(encoding="utf-8").splitlines()
+    whole = [Template(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in texts]
+    return (*whole, *(Template(*line.split("\t")) for line in lines))
+
+
+# Notices in common use: fixed values.  Texts of one license_id differ in their number of shingles or have one.
 TEMPLATES = (
     Template("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -93,6 +106,7 @@ TEMPLATES = (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files, to deal in the Software without restriction",
     ),
+    *given(),
 )
 
 

@@ -81,3 +81,32 @@ def test_no_match_without_an_anchor():
     for t in TEMPLATES:
         without = sum(not set(s) & set(t.anchors) for s in t.distinct)
         assert 100 * without < 80 * t.shingles
+
+
+def test_usual_wordings_and_whole_texts(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    wordings = {
+        "Licensed under the MIT License": "MIT",
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "MIT",
+        "// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+        "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+        "This text is licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+        "see https://creativecommons.org/licenses/by/4.0/": "CC-BY-4.0",
+        "subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0",
+        "Released under the ISC license.": "ISC",
+        gpl: "GPL-3.0",
+        gpl.replace("General", "Lesser General"): "LGPL-3.0",
+        gpl.replace("version 3", "version 2"): "GPL-2.0",
+    }
+    rows = list(enumerate(wordings)) + [(100 + i, "some words " + t.text) for i, t in enumerate(TEMPLATES) if t.shingles > 60]
+    got = found(scan_licenses(documents(spark, rows)))
+    for i, license_id in enumerate(wordings.values()):
+        assert (str(i), license_id) in got
+    assert not {("9", "GPL-3.0"), ("10", "GPL-3.0")} & set(got)
+    whole = {license_id for (doc, license_id) in got if int(doc) >= 100}
+    assert whole >= {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "MIT-notice", "BSD-notice", "ISC", "CC0-1.0"}
+
+
+def test_texts_of_one_license_are_told_apart():
+    sizes = [(t.license_id, t.shingles) for t in TEMPLATES if t.shingles > 1]
+    assert len(sizes) == len(set(sizes))
