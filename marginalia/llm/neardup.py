@@ -94,11 +94,11 @@ def alike(first: np.ndarray, second: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(both) - shared)
 
 
-SIGNED = "doc long, n long, high long, low long, registers binary"
+SIGNED = "doc long, id long, n long, high long, low long, registers binary"
 
 
 def sign(docs: DataFrame, words: int) -> DataFrame:
-    """(doc, n, high, low, registers) per row of ``docs`` (doc, text): size, digest and sketch of its shingle set."""
+    """(doc, id, n, high, low, registers) per row of ``docs`` (doc, id, text): size, digest and sketch of its shingle set."""
 
     def signed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rest, texts in batches(stream):
@@ -110,9 +110,9 @@ def sign(docs: DataFrame, words: int) -> DataFrame:
                     registers[i] = line.tobytes()
             sums = [(mixed(s).sum(dtype=np.uint64), mixed(s * _STEP).sum(dtype=np.uint64)) for s in sets]
             digests = np.array(sums, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            columns = [rest.column("doc").combine_chunks(), pa.array([len(s) for s in sets], pa.int64())]
+            columns = [rest.column(c).combine_chunks() for c in ("doc", "id")] + [pa.array([len(s) for s in sets], pa.int64())]
             columns += [pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(registers, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "high", "low", "registers"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "id", "n", "high", "low", "registers"])
 
     return in_arrow(docs, signed, SIGNED)
 
@@ -123,13 +123,13 @@ def band_keys(registers: Column) -> Column:
 
 
 class Search:
-    """Near duplicates among ``docs`` (doc, text), both without nulls in doc."""
+    """Near duplicates among ``docs`` (doc, id, text): ``doc`` names an id and its text, so two texts of one id are two nodes."""
 
     def __init__(self, docs: DataFrame, words: int, percent: int):
         self.docs, self.words, self.percent = docs, words, percent
         self.signed = stored(sign(docs, words), "sketches")
         full = self.signed.filter("n > 0")
-        nodes = full.groupBy("high", "low", "n").agg(F.min("doc").alias("node"), F.any_value("registers").alias("registers"))
+        nodes = full.groupBy("high", "low", "n").agg(F.min("doc").alias("node"), F.min("id").alias("id"), F.any_value("registers").alias("registers"))
         self.nodes = stored(nodes, "shingle-sets")
         banded = self.nodes.select(F.posexplode(band_keys(F.col("registers"))).alias("band", "key"), "node")
         hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
@@ -301,29 +301,50 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Rows with equal sets belong together; a row is ``kept`` if its doc_id is its component's.  Further columns are
     ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    search = Search(rows.filter("doc is not null"), words, percent)
-    known = search.nodes.select("high", "low", "n", "node").join(search.components(), "node", "left")
-    classes = known.select("high", "low", "n", F.coalesce("component", "node").alias("component"))
-    named = search.signed.join(classes, ["high", "low", "n"], "left")
-    component = F.coalesce("component", "doc")
-    result = named.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    result = result.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    missing = sign(rows.filter("doc is null"), words)
-    missing = missing.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"), F.lit(True).alias("kept"))
+    rows = identified(docs)
+    named = judged_rows(rows, words, percent).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    result = named.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    missing = sign(rows.filter("id is null"), words)
+    missing = missing.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     return result.unionByName(missing)
 
 
+def row_key() -> Column:
+    """A 64-bit hash of a row's doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    return docs.select(row_key().alias("doc"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+
+
+def judged_rows(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc, id, n, component, component_id) of ``rows`` that have an id; ``component`` is null for texts without words."""
+    search = Search(rows.filter("id is not null"), words, percent)
+    known = search.nodes.select("high", "low", "n", "node", F.col("id").alias("own"))
+    linked = known.join(search.components(), "node", "left")
+    least = linked.filter("component is not null").groupBy("component").agg(F.min("own").alias("least"))
+    classes = linked.join(least, "component", "left")
+    classes = classes.select("high", "low", "n", F.coalesce("component", "node").alias("component"), F.coalesce("least", "own").alias("least"))
+    named = search.signed.join(classes, ["high", "low", "n"], "left")
+    return named.select("doc", "id", "n", "component", F.coalesce("least", "id").alias("component_id"))
+
+
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of near duplicates, with all columns: the one with the smallest doc_id.
 
-    Of repeated rows that carry this doc_id one stays; rows without a doc_id all stay.
+    Of rows that carry this doc_id one stays, unless their texts are not linked; rows without a doc_id all stay.
     """
-    judged = near_duplicates(docs, words, percent).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_or("kept").alias("kept"))
-    special = judged.filter("doc_id is not null and (rows > 1 or not kept)")
-    special = special.select(F.struct(F.col("doc_id").alias("id"), "rows", "kept").alias("judged")).hint("shuffle_hash")
-    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-    met = whole.join(special, whole["id"] == special["judged.id"], "left")
+    rows = judged_rows(identified(docs).filter("id is not null"), words, percent)
+    # Texts of one doc_id that are not linked have components of their own; each of these keeps a row.
+    judged = rows.groupBy("id", "component").agg(
+        F.count(F.lit(1)).alias("rows"), F.bool_or(F.col("id") == F.col("component_id")).alias("kept"), F.collect_set("doc").alias("docs")
+    )
+    special = judged.filter("rows > 1 or not kept")
+    special = special.select(F.explode("docs").alias("doc"), "id", (F.col("kept") & (F.col("doc") == F.array_min("docs"))).alias("kept"))
+    special = special.select(F.struct("doc", "id", "kept").alias("judged")).hint("shuffle_hash")
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), row_key().alias("doc"))
+    met = whole.join(special, (whole["id"] == special["judged.id"]) & (whole["doc"] == special["judged.doc"]), "left")
     single = met.filter("judged is null").select("row.*")
-    repeated = met.filter("judged.kept").dropDuplicates(["id"]).select("row.*")
+    repeated = met.filter("judged.kept").dropDuplicates(["id", "doc"]).select("row.*")
     return single.unionByName(repeated)

@@ -133,3 +133,19 @@ def test_keep_one(spark):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == ["3", "4", "9", "None", "None"]
     assert keep_one(documents(spark, [])).count() == 0
     assert near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_texts_that_share_a_doc_id(spark):
+    one, two = "a b c d e f g h i j k l m n", "p q r s t u v w x y z aa bb cc"
+    rows = [(1, one), (1, two), (1, two), (2, one + " o"), (3, two + " dd"), (4, "other words stand here"), (5, ""), (5, None), (6, one), (6, one + " o")]
+    docs = documents(spark, rows)
+    judged = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(docs, 2).collect()}
+    assert judged == {(1, 13, 1), (2, 14, 1), (3, 14, 1), (4, 3, 4), (5, 0, 5), (6, 13, 1), (6, 14, 1)}
+    assert sorted((r["doc_id"], r["text"] or "") for r in keep_one(docs, 2).collect()) == [(1, one), (1, two), (4, "other words stand here"), (5, "")]
+
+
+def test_texts_of_one_doc_id_link_nothing(spark):
+    one, two = "a b c d e f g h i j k l m n", "p q r s t u v w x y z aa bb cc"
+    rows = [(5, one), (5, two), (7, one + " o"), (3, two + " dd")]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(documents(spark, rows), 2).collect()}
+    assert got == {(5, 13, 5), (5, 13, 3), (7, 14, 5), (3, 14, 3)}
