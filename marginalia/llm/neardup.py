@@ -12,8 +12,10 @@ how many registers are greater, less and equal; an estimate under CUTOFF is more
 0.8 and is dropped.  The rest are confirmed on the full sets.
 
 Equal sets are one node.  Each node meets the smallest of each of its buckets first, and the most alike of these is
-confirmed.  Then what is not connected meets: buckets whose nodes are one component are done, in the others the nodes of different components are compared register by register
-within blocks, so that no pair inside a component and no list of all pairs is ever written.
+confirmed.  Then what is not connected meets: buckets whose nodes are one
+component are done, in the others the nodes of different components are compared register by register within blocks, so
+that no pair inside a component is written.  Likely pairs between components are all written, as one array per node; in a
+large group of texts that are alike by less than the threshold these are nearly all its pairs.
 
 Shingles are 64-bit hashes of their words; all sets stay apart unless those collide.
 """
