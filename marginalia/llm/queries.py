@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontaminate, language, licenses, neardup, packing, quality, sharding, substrings, token_rollups, tokens, url_rules
+from marginalia.llm import decontaminate, language, licenses, neardup, packing, quality, sharding, simhash, substrings, token_rollups, tokens, url_rules
 from marginalia.llm.common import table
 from marginalia.session import shared_folder
 
@@ -302,3 +302,12 @@ def urls(spark, folder):
     by_host = F.col("rule").isin([r.name for r in url_rules.HOST_RULES])
     rule, pattern = F.when(by_host, F.col("rule")), F.when(~by_host, F.col("rule"))
     return judged.select("page_id", "host", "path", rule.alias("rule"), pattern.alias("pattern"), "verdict")
+
+
+# --- 11
+
+
+@query("op11_simhash")
+def simhash_duplicates(spark, folder):
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
