@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontaminate, language, licenses, neardup, packing, quality, sharding, simhash, substrings, token_rollups, tokens, url_rules
+from marginalia.llm import audit, decontaminate, language, licenses, neardup, packing, quality, sharding, simhash, substrings, token_rollups, tokens, url_rules, whitening
 from marginalia.llm.common import table
 from marginalia.session import shared_folder
 
@@ -311,3 +311,48 @@ def urls(spark, folder):
 def simhash_duplicates(spark, folder):
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+# --- 12
+
+
+@query("op12_whitening")
+def whitened(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+# --- 13
+
+
+def audit_sql() -> str:
+    names = ", ".join(f"('{f}')" for f in audit.FILTERS)
+    order = " JOIN ".join(["names n1"] + [f"names n{i} ON n{i}.f NOT IN ({', '.join(f'n{k}.f' for k in range(1, i))})" for i in range(2, 6)])
+    return f"""
+        WITH names(f) AS (VALUES {names}),
+        orders AS (SELECT n1.f || n2.f || n3.f || n4.f || n5.f AS filter_order FROM {order}),
+        split AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS whole, {WORDS_SQL} AS words,
+            min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+        marks AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+        judged AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+            CASE WHEN len(words) < {audit.MIN_WORDS} THEN 'A' ELSE '' END
+            || CASE WHEN 100 * len(list_distinct(words)) < {audit.MIN_DISTINCT_PERCENT} * len(words) THEN 'B' ELSE '' END
+            || CASE WHEN 100 * (length(whole) - length(translate(whole, '{UPPER}', ''))) > {audit.MAX_CAPITAL_PERCENT} * length(whole) THEN 'C' ELSE '' END
+            || CASE WHEN translate(whole, '{audit.SYMBOLS}', '') <> whole THEN 'D' ELSE '' END
+            || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails FROM split LEFT JOIN marks USING (doc_id)),
+        patterns AS (SELECT part, fails, good, toxic, count(*) AS n FROM judged GROUP BY ALL),
+        steps AS (SELECT filter_order, CAST(s AS INTEGER) AS step, filter_order[s] AS own, filter_order[1:s - 1] AS earlier
+            FROM orders, generate_series(1, 5) AS g(s)),
+        met AS (SELECT part, filter_order, step, own, fails, n, good, toxic, contains(fails, own) AS failing,
+            translate(fails, earlier, '') <> fails AS gone FROM patterns, steps),
+        counted AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT failing AND NOT gone), 0) AS kept,
+            coalesce(sum(n) FILTER (failing AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (failing AND gone), 0) AS redundant,
+            coalesce(sum(n) FILTER (fails = own), 0) AS unique_fails, coalesce(sum(n) FILTER (failing AND NOT gone AND good), 0) AS good_lost,
+            coalesce(sum(n) FILTER (failing AND NOT gone AND toxic), 0) AS toxic_lost FROM met GROUP BY ALL)
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+            CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+            CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM counted"""
+
+
+@query("op13_filter_audit", audit_sql())
+def filter_audit(spark, folder):
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
