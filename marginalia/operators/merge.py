@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.geometry import axis_gap, overlap_ratio
@@ -18,11 +17,11 @@ WRAP_GAP_LINES = 1.0
 WRAP_INDENT = 20.0
 SHADOW_GAP = 100.0
 
-# Pages up to these sizes are compared pair by pair, and folded in one row; larger ones are cut up.
-PAIR_ROWS = 2_000
-PAGE_ROWS = 5_000
+# Rows of a page that are compared with one another, and folded in one row; larger pages are cut up.
+BUCKET_ROWS = 2_000
+PIECE_ROWS = 4_096
 GRAM = 3
-SHADOW_CELL = 256
+FAN = 64
 
 BOX = ["x", "y", "w", "h"]
 RUN = ["doc", "page", "color"]
@@ -31,10 +30,42 @@ RUN = ["doc", "page", "color"]
 # --- fragments inside their neighbours -------------------------------------------------------------------------------
 
 
-def _shadow_pairs(a: DataFrame, b: DataFrame, keys: list[str], max_gap: float) -> DataFrame:
-    """(page, a_seq, b_seq): a's text lies within b's longer text, in the same column, and near."""
-    left = a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in ("seq", "side", "text", *BOX)])
-    right = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("seq", "side", "text", *BOX)])
+def _grams(text: Column, shortest: int) -> Column:
+    """All runs of ``shortest`` to GRAM letters of ``text``, once each."""
+    runs = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))),
+        lambda p: F.array(*[F.substring(text, p, F.lit(n)) for n in range(shortest, GRAM + 1)]),
+    )
+    return F.array_distinct(F.flatten(runs))
+
+
+def _indexed(nodes: DataFrame, sizes: DataFrame, bucket_rows: int) -> DataFrame:
+    """``nodes`` of large pages with ``bucket``, where a text is looked up, and ``buckets``, where it is found.
+
+    A text has all runs of letters of a text that it contains, so it is enough to look for the shorter text's rarest
+    run on the page.  ``sizes (doc, page, n)`` sets how many buckets a page's runs are dealt to: one for each
+    ``bucket_rows`` rows.
+    """
+    known = nodes.join(sizes.withColumn("k", F.ceil(F.col("n") / bucket_rows).cast("int")).drop("n"), PAGE)
+    place = lambda gram: F.pmod(F.xxhash64(gram), F.col("k")).cast("int")
+    own = known.select(*PAGE, "seq", "text", F.explode(_grams(F.col("text"), 1)).alias("gram"))
+    often = own.groupBy(*PAGE, "gram").agg(F.count(F.lit(1)).alias("often"))
+    # Of a text shorter than GRAM the run is the text itself.
+    whole = F.length("gram") == F.least(F.length("text"), F.lit(GRAM))
+    rarest = own.filter(whole).join(often, PAGE + ["gram"]).groupBy(*PAGE, "seq").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram"))
+    found = F.array_distinct(F.transform(_grams(F.col("text"), 1), place))
+    return known.join(rarest, PAGE + ["seq"], "left").withColumns({"bucket": place(F.coalesce("gram", F.lit(""))), "buckets": found}).drop("gram", "k")
+
+
+def _held(asked: DataFrame, nodes: DataFrame, max_gap: float, **found: Column) -> DataFrame:
+    """Per node of ``asked`` that some of ``nodes`` hold, the aggregates ``found`` over these.
+
+    A holder has a longer text with the other's in it, in the same column, and near.  Pairs are compared where they
+    meet and never passed on.
+    """
+    left = asked.select(*PAGE, "bucket", *[F.col(c).alias(f"a_{c}") for c in ("seq", "side", "text", *BOX)])
+    right = nodes.withColumn("bucket", F.explode("buckets"))
+    right = right.select(*PAGE, "bucket", "waits", *[F.col(c).alias(f"b_{c}") for c in ("seq", "side", "text", *BOX)])
     gap = axis_gap(F.col("a_x"), F.col("a_w"), F.col("b_x"), F.col("b_w")) + axis_gap(
         F.col("a_y"), F.col("a_h"), F.col("b_y"), F.col("b_h")
     )
@@ -45,91 +76,54 @@ def _shadow_pairs(a: DataFrame, b: DataFrame, keys: list[str], max_gap: float) -
         & F.contains("b_text", "a_text")
         & (gap <= max_gap)
     )
-    return left.join(right, keys).filter(inside)
-
-
-def _shadow_pairs_on_large_pages(df: DataFrame, max_gap: float) -> DataFrame:
-    """The same pairs where a page is too large to compare whole: near cells, and a shared run of letters.
-
-    A text can only contain another one if it has that one's first letters, so the join key holds them.
-    """
-    c = F.col
-
-    def cells(low: Column, high: Column) -> Column:
-        return F.sequence(F.floor(low / SHADOW_CELL), F.floor(high / SHADOW_CELL))
-
-    inner = df.withColumn("gram", F.substring("text", 1, GRAM))
-    inner = inner.withColumn("cx", F.explode(cells(c("x"), c("x") + c("w")))).withColumn(
-        "cy", F.explode(cells(c("y"), c("y") + c("h")))
-    )
-    starts = F.sequence(F.lit(1), F.length("text"))
-    pieces = F.flatten(F.transform(starts, lambda p: F.array(*[F.substring(c("text"), p, F.lit(n)) for n in range(1, GRAM + 1)])))
-    outer = df.filter(F.length("text") > 1).withColumn("gram", F.explode(F.array_distinct(pieces)))
-    outer = outer.withColumn("cx", F.explode(cells(c("x") - max_gap, c("x") + c("w") + max_gap))).withColumn(
-        "cy", F.explode(cells(c("y") - max_gap, c("y") + c("h") + max_gap))
-    )
-    pairs = _shadow_pairs(inner, outer, PAGE + ["gram", "cx", "cy"], max_gap)
-    meet_x = F.floor(F.greatest(c("a_x"), c("b_x") - max_gap) / SHADOW_CELL) == c("cx")
-    meet_y = F.floor(F.greatest(c("a_y"), c("b_y") - max_gap) / SHADOW_CELL) == c("cy")
-    return pairs.filter(meet_x & meet_y).select(*PAGE, "a_seq", "b_seq")
+    met = left.join(right, PAGE + ["bucket"]).filter(inside)
+    return met.groupBy(*PAGE, "bucket", F.col("a_seq").alias("seq")).agg(*[c.alias(n) for n, c in found.items()]).drop("bucket")
 
 
-def _dropped_by_fold(pairs: DataFrame) -> DataFrame:
-    """Per page, in order: a fragment goes when a later one holds it, or an earlier one that was itself kept."""
-    holders = pairs.groupBy(*PAGE, "a_seq").agg(
-        (F.max("b_seq") > F.col("a_seq")).alias("held_later"),
-        F.collect_list(F.when(F.col("b_seq") < F.col("a_seq"), F.col("b_seq"))).alias("earlier"),
-    )
-    pages = holders.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("a_seq", "held_later", "earlier"))).alias("f"))
-
-    def step(gone: Column, f: Column) -> Column:
-        goes = f["held_later"] | (F.size(F.array_except(f["earlier"], gone)) > 0)
-        return F.when(goes, F.concat(gone, F.array(f["a_seq"]))).otherwise(gone)
-
-    gone = F.aggregate("f", F.array().cast("array<bigint>"), step)
-    return pages.select(*PAGE, F.explode(gone).alias("seq"))
-
+def _fates(nodes: DataFrame, max_gap: float) -> tuple[DataFrame, DataFrame]:
+    """(the last holder of each node that has one, the nodes that are dropped).
 
-def _dropped_on_large_pages(boxed: DataFrame, max_gap: float) -> DataFrame:
-    """The same decision without gathering a page.
-
-    Copies, alike in text and box, have the same holders.  A copy before the last holder goes; those after it share
-    one fate: they go if some holder is kept.  So copies are one node, known by its last ``seq``, and each round
-    settles the nodes whose holders are settled.
+    In order of ``seq`` a node goes when a later one holds it, or an earlier one that was itself kept.  So after one
+    search only those wait whose holders all come before them.  Each round settles those of which some holder is known
+    to be kept, or all are known to be dropped, and writes a row per node that waits, however many hold it.
     """
-    alike = PAGE + ["side", "text", *BOX]
-    nodes = durable(boxed.groupBy(*alike).agg(F.max("seq").alias("seq")))
-    pairs = durable(_shadow_pairs_on_large_pages(nodes, max_gap))
     node = PAGE + ["seq"]
-    last_holder = pairs.groupBy(*PAGE, F.col("a_seq").alias("seq")).agg(F.max("b_seq").alias("last_holder"))
-    dropped = durable(last_holder.filter(F.col("last_holder") > F.col("seq")).select(*node))
-    waiting = durable(pairs.join(dropped.withColumnRenamed("seq", "a_seq"), PAGE + ["a_seq"], "left_anti"))
+    last = durable(_held(nodes, nodes.withColumn("waits", F.lit(False)), max_gap, holder=F.max("b_seq")))
+    dropped = last.filter(F.col("holder") > F.col("seq")).select(*node)
+    waiting = last.filter(F.col("holder") < F.col("seq")).select(*node)
     while not waiting.isEmpty():
-        gone = dropped.select(*PAGE, F.col("seq").alias("b_seq"), F.lit(True).alias("gone"))
-        unsettled = waiting.select(*PAGE, F.col("a_seq").alias("b_seq")).distinct().withColumn("open", F.lit(True))
-        seen = waiting.join(gone, PAGE + ["b_seq"], "left").join(unsettled, PAGE + ["b_seq"], "left")
-        kept_holder = F.col("gone").isNull() & F.col("open").isNull()
-        settled = durable(
-            seen.groupBy(*PAGE, F.col("a_seq").alias("seq"))
-            .agg(F.bool_or(kept_holder).alias("goes"), F.count_if(F.col("gone").isNull()).alias("holders"))
-            .filter(F.col("goes") | (F.col("holders") == 0))
-        )
-        dropped = durable(dropped.unionByName(settled.filter("goes").select(*node)))
-        waiting = durable(waiting.join(settled.select(*PAGE, F.col("seq").alias("a_seq")), PAGE + ["a_seq"], "left_anti"))
-    fates = last_holder.join(dropped.withColumn("dropped", F.lit(True)), node, "left")
-    known = nodes.join(fates, node).select(*alike, "last_holder", "dropped")
-    goes = F.col("dropped").isNotNull() | (F.col("seq") < F.col("last_holder"))
-    return boxed.join(known, alike).filter(goes).select(*node)
+        known = dropped.withColumn("waits", F.lit(False)).unionByName(waiting.withColumn("waits", F.lit(True)))
+        marked = nodes.join(known, node, "left")
+        left = marked.filter(F.col("waits").isNull() | F.col("waits")).withColumn("waits", F.col("waits").isNotNull())
+        held = durable(_held(marked.filter("waits"), left, max_gap, kept=F.bool_or(~F.col("waits"))))
+        dropped = dropped.unionByName(held.filter("kept").select(*node))
+        waiting = held.filter(~F.col("kept")).select(*node)
+    return last, dropped
 
 
-def drop_shadowed(fragments: DataFrame, gutters: DataFrame, max_gap: float = SHADOW_GAP, limit: int = PAIR_ROWS) -> DataFrame:
-    """Drop fragments whose text is part of a longer one near them in the same column; boxless ones stay."""
+def drop_shadowed(fragments: DataFrame, gutters: DataFrame, max_gap: float = SHADOW_GAP, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Drop fragments whose text is part of a longer one near them in the same column; boxless ones stay.
+
+    The fragments of a page meet in buckets of an index over runs of letters, as many as the page has multiples of
+    ``bucket_rows`` rows; an ordinary page is one bucket.  On larger pages copies, alike in text and box, are one node,
+    known by its last ``seq``: their holders are the same, those before the last holder go, and the rest share one fate.
+    """
     boxed = with_side(fragments.filter(F.col("x").isNotNull()), gutters)
-    cold, hot, _ = split_hot(boxed, PAGE, limit, fragments)
-    dropped = _dropped_by_fold(_shadow_pairs(cold, cold, PAGE, max_gap))
-    if hot is not None:
-        dropped = dropped.unionByName(_dropped_on_large_pages(hot, max_gap))
-    return fragments.join(dropped, PAGE + ["seq"], "left_anti")
+    rows = durable(boxed.select(*PAGE, "seq", "side", "text", *BOX))
+    cold, hot, _ = split_hot(rows, PAGE, bucket_rows)
+    nodes = cold.withColumns({"bucket": F.lit(0), "buckets": F.array(F.lit(0))})
+    if hot is None:
+        _, dropped = _fates(nodes, max_gap)
+        return fragments.join(dropped, PAGE + ["seq"], "left_anti")
+    alike = PAGE + ["side", "text", *BOX]
+    copies = durable(hot.groupBy(*alike).agg(F.max("seq").alias("seq")))
+    sizes = durable(copies.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n")))
+    nodes = durable(nodes.unionByName(_indexed(copies, sizes, bucket_rows)))
+    last, dropped = _fates(nodes, max_gap)
+    fates = last.join(dropped.withColumn("dropped", F.lit(True)), PAGE + ["seq"], "left")
+    side = copies.join(fates, PAGE + ["seq"]).select(*[F.col(c).alias(f"_n_{c}") for c in alike], "holder", "dropped")
+    earlier = hot.join(side, same_keys(hot, side, alike, "_n_")).filter(F.col("dropped").isNotNull() | (F.col("seq") < F.col("holder"))).select(*PAGE, "seq")
+    return fragments.join(dropped.unionByName(earlier), PAGE + ["seq"], "left_anti")
 
 
 # --- fragments of one highlight --------------------------------------------------------------------------------------
@@ -195,7 +189,7 @@ def _fold_page(fragments: Column) -> Column:
 RUN_COLUMNS = ["seq", "text", "x", "y", "w", "h", "fragments"]
 
 
-def _merge_small_pages(boxed: DataFrame) -> DataFrame:
+def _merge_whole_pages(boxed: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("side", "y", "x", "seq", "w", "h", "text")))
     runs = boxed.groupBy(*RUN).agg(ordered.alias("f")).select(*RUN, F.inline(_fold_page(F.col("f"))))
     return runs.select(
@@ -203,66 +197,137 @@ def _merge_small_pages(boxed: DataFrame) -> DataFrame:
     )
 
 
-def _left_edges(left, x, along, wraps):
-    """Left edge of the run after each fragment, and whether the fragment starts a run."""
-    edges, starts = [], []
-    for xi, goes_along, may_wrap in zip(x, along, wraps):
-        goes_on = left is not None and (goes_along or (may_wrap and abs(xi - left) < WRAP_INDENT))
-        left = min(left, xi) if goes_on else xi
-        edges.append(left)
-        starts.append(not goes_on)
-    return edges, starts
+# How a stretch of fragments maps the left edge of the run that is open before it to that of the run open after it:
+# the first of ``entries`` that the edge does not pass gives the edge after (``to``); an edge that passes all of them
+# becomes ``rest``, or stays if that is null.  An edge passes an entry if it is not right of ``x`` and, unless the
+# fragment goes on along the line, not WRAP_INDENT left of it.  ``hi`` and ``lo`` are what all entries let pass.
+ENTRY = "struct<x:double,along:boolean,to:double>"
+
+
+def _edge_after(left: Column, x: Column, along: Column, wraps: Column) -> Column:
+    return F.when(along | (wraps & (F.abs(x - left) < WRAP_INDENT)), F.least(left, x)).otherwise(x)
+
+
+def _mapped(edges: Column, left: Column) -> Column:
+    """The edge that ``left`` becomes; a null one is before the page's first fragment."""
+    stops = F.filter(edges["entries"], lambda e: (left > e["x"]) | (~e["along"] & (F.abs(e["x"] - left) >= WRAP_INDENT)))
+    return F.coalesce(F.get(stops, F.lit(0))["to"], edges["rest"], left)
+
+
+def _entry(x: Column, along: Column, to: Column) -> Column:
+    return F.struct(x.alias("x"), along.alias("along"), to.alias("to"))
+
+
+def _edge_map(fragments: Column) -> Column:
+    """The map of an ordered array of fragments (x, along, wraps)."""
+    null = F.lit(None).cast("double")
+    none = F.array().cast(f"array<{ENTRY}>")
+    start = F.struct(none.alias("entries"), null.alias("hi"), null.alias("lo"), null.alias("rest"))
+
+    def step(edges: Column, f: Column) -> Column:
+        x, along, wraps = f["x"], f["along"], f["wraps"]
+        passed = edges["rest"].isNull() & (along | wraps)
+        moved = F.transform(edges["entries"], lambda e: _entry(e["x"], e["along"], _edge_after(e["to"], x, along, wraps)))
+        higher = edges["hi"].isNull() | (x < edges["hi"])
+        lower = ~along & (edges["lo"].isNull() | (x > edges["lo"]))
+        rest = F.when(edges["rest"].isNotNull(), _edge_after(edges["rest"], x, along, wraps)).when(~(along | wraps), x)
+        return F.struct(
+            F.when(passed & (higher | lower), F.concat(moved, F.array(_entry(x, along, x)))).otherwise(moved).alias("entries"),
+            F.when(passed, F.least(edges["hi"], x)).otherwise(edges["hi"]).alias("hi"),
+            F.when(passed & ~along, F.greatest(edges["lo"], x)).otherwise(edges["lo"]).alias("lo"),
+            rest.alias("rest"),
+        )
+
+    return F.aggregate(fragments, start, step)
+
+
+def _composed(maps: Column) -> Column:
+    """One map in place of an ordered array of them."""
+
+    def step(first: Column, then: Column) -> Column:
+        moved = F.transform(first["entries"], lambda e: _entry(e["x"], e["along"], _mapped(then, e["to"])))
+        met = F.filter(
+            then["entries"],
+            lambda e: first["hi"].isNull() | (e["x"] < first["hi"]) | (~e["along"] & (first["lo"].isNull() | (e["x"] > first["lo"]))),
+        )
+        rest = F.when(first["rest"].isNotNull(), _mapped(then, first["rest"])).otherwise(then["rest"])
+        return F.struct(
+            F.when(first["rest"].isNull(), F.concat(moved, met)).otherwise(moved).alias("entries"),
+            F.when(first["rest"].isNull(), F.least(first["hi"], then["hi"])).otherwise(first["hi"]).alias("hi"),
+            F.when(first["rest"].isNull(), F.greatest(first["lo"], then["lo"])).otherwise(first["lo"]).alias("lo"),
+            rest.alias("rest"),
+        )
+
+    return F.aggregate(F.slice(maps, 2, F.size(maps)), F.get(maps, F.lit(0)), step)
+
+
+def _edges_before(maps: DataFrame, pieces: int, fan: int) -> DataFrame:
+    """(run columns, piece, left): the open left edge before each piece of ``maps`` (run columns, piece, map).
+
+    A tree: maps of ``fan`` neighbours are composed until a page has at most ``fan``; then the edges go down again.
+    """
+    group = RUN + ["above"]
+    levels = [maps]
+    while pieces > fan:
+        pieces = -(-pieces // fan)
+        gathered = levels[-1].withColumn("above", F.floor(F.col("piece") / fan)).groupBy(*group)
+        gathered = gathered.agg(F.array_sort(F.collect_list(F.struct("piece", "map"))).alias("m"))
+        levels.append(gathered.select(*RUN, F.col("above").alias("piece"), _composed(F.col("m.map")).alias("map")))
+    edges = None
+    for level in reversed(levels):
+        spread = level.withColumn("above", F.floor(F.col("piece") / fan) if edges is not None else F.lit(0).cast("bigint"))
+        gathered = spread.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("piece", "map"))).alias("m"))
+        if edges is None:
+            gathered = gathered.withColumn("left", F.lit(None).cast("double"))
+        else:
+            side = edges.select(*[F.col(k).alias(f"_a_{k}") for k in RUN], F.col("piece").alias("_a_above"), "left")
+            gathered = gathered.join(side, same_keys(gathered, side, group, "_a_"))
+        handed = F.aggregate(
+            F.slice("m", 1, F.size("m") - 1),
+            F.array(F.col("left")),
+            lambda lefts, p: F.concat(lefts, F.array(_mapped(p["map"], F.element_at(lefts, -1)))),
+        )
+        pairs = F.explode(F.arrays_zip(F.col("m.piece").alias("piece"), handed.alias("left"))).alias("e")
+        edges = gathered.select(*RUN, pairs).select(*RUN, F.col("e.piece").alias("piece"), F.col("e.left").alias("left"))
+    return edges
+
+
+def _run_starts(fragments: Column, left: Column) -> Column:
+    """Which of an ordered array of fragments (seq, x, along, wraps) start a run, after an open run with that left edge."""
+    start = F.struct(left.alias("left"), F.array().cast("array<struct<seq:bigint,starts:boolean>>").alias("marked"))
+
+    def step(state: Column, f: Column) -> Column:
+        goes_on = F.coalesce(f["along"] | (f["wraps"] & (F.abs(f["x"] - state["left"]) < WRAP_INDENT)), F.lit(False))
+        mark = F.struct(f["seq"].alias("seq"), (~goes_on).alias("starts"))
+        return F.struct(
+            F.when(goes_on, F.least(state["left"], f["x"])).otherwise(f["x"]).alias("left"), F.concat(state["marked"], F.array(mark)).alias("marked")
+        )
+
+    return F.aggregate(fragments, start, step, lambda s: s["marked"])
 
 
-def _merge_large_pages(boxed: DataFrame, limit: int) -> DataFrame:
-    """The same runs on pages cut into ordered chunks.
+def _merge_in_pieces(boxed: DataFrame, piece_rows: int, fan: int) -> DataFrame:
+    """The same runs on pages cut into ordered pieces, folded side by side.
 
-    Only the run's left edge crosses a chunk's border.  Every chunk starts from a guess; edges are handed on until
-    none changes, which takes two or three rounds unless one run spans many chunks.
+    Only the run's left edge crosses a piece's border.  Each piece is folded twice: into its map of that edge, and,
+    when the maps have told the edge before it, into the starts of its runs.
     """
-    groups = OrderedGroups(boxed, RUN, ["side", "y", "x", "seq"], limit).previous("_last", F.struct(*BOX))
+    groups = OrderedGroups(boxed, RUN, ["side", "y", "x", "seq"], piece_rows).previous("_last", F.struct(*BOX))
     last = {c: F.col("_last")[c] for c in BOX}
     along, wraps = _continues(last, {c: F.col(c) for c in BOX})
     rows = groups.df if groups.hot else groups.df.withColumn(CHUNK, F.lit(-1))
     rows = durable(
         rows.withColumn("_along", F.coalesce(along, F.lit(False))).withColumn("_wraps", F.coalesce(wraps, F.lit(False))).drop("_last")
     )
-    chunk = RUN + [CHUNK]
-    across = Window.partitionBy(*RUN).orderBy(CHUNK)
-    lines = rows.select(*chunk, "side", "y", "x", "seq", "_along", "_wraps")
-    chunk_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema if f.name in chunk)
-
-    def with_edge(df: DataFrame, edges: DataFrame) -> DataFrame:
-        side = edges.select(*[F.col(k).alias(f"_e_{k}") for k in chunk], "_left")
-        return df.join(side, same_keys(df, side, chunk, "_e_"), "left").drop(*[f"_e_{k}" for k in chunk])
-
-    def walk(pdf: pd.DataFrame):
-        pdf = pdf.sort_values(["side", "y", "x", "seq"])
-        left = pdf["_left"].iloc[0]
-        return pdf, *_left_edges(None if pd.isna(left) else left, pdf["x"], pdf["_along"], pdf["_wraps"])
-
-    def final_edge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, edges, _ = walk(pdf)
-        return pdf.iloc[:1][chunk].assign(_out=float(edges[-1]))
-
-    def run_starts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, _, starts = walk(pdf)
-        return pdf[chunk + ["seq"]].assign(_starts=starts)
-
-    edges = durable(rows.select(*chunk).distinct().withColumn("_left", F.lit(None).cast("double")))
-    while True:
-        ends = with_edge(lines, edges).groupBy(*chunk).applyInPandas(final_edge, f"{chunk_type}, _out double")
-        fresh = durable(ends.select(*chunk, F.lag("_out").over(across).alias("_left")))
-        was = edges.withColumnRenamed("_left", "_was")
-        changed = with_edge(was, fresh).filter(~F.col("_was").eqNullSafe(F.col("_left"))).count()
-        edges = fresh
-        if not changed:
-            break
-    starts = with_edge(lines, edges).groupBy(*chunk).applyInPandas(run_starts, f"{chunk_type}, seq bigint, _starts boolean")
-    marked = starts.select(*[F.col(k).alias(f"_s_{k}") for k in RUN], F.col("seq").alias("_s_seq"), "_starts")
-    rows = rows.join(marked, same_keys(rows, marked, RUN + ["seq"], "_s_")).drop(*[f"_s_{k}" for k in RUN], "_s_seq")
-    groups.df = rows
-    numbered = groups.running_sum("_run", F.col("_starts").cast("long")).result()
+    # Pages within the limit are the piece -1, which is their only one.
+    line = F.struct("side", "y", "x", "seq", F.col("_along").alias("along"), F.col("_wraps").alias("wraps"))
+    pieces = rows.groupBy(*RUN, F.col(CHUNK).cast("bigint").alias("piece")).agg(F.array_sort(F.collect_list(line)).alias("f"))
+    edges = _edges_before(pieces.select(*RUN, "piece", _edge_map(F.col("f")).alias("map")), groups.chunks if groups.hot else 1, fan)
+    side = edges.select(*[F.col(k).alias(f"_e_{k}") for k in [*RUN, "piece"]], "left")
+    known = pieces.join(side, same_keys(pieces, side, [*RUN, "piece"], "_e_")).select(*RUN, F.inline(_run_starts(F.col("f"), F.col("left"))))
+    marked = known.select(*[F.col(k).alias(f"_s_{k}") for k in [*RUN, "seq"]], "starts")
+    groups.df = rows.join(marked, same_keys(rows, marked, RUN + ["seq"], "_s_")).drop(*[f"_s_{k}" for k in [*RUN, "seq"]])
+    numbered = groups.running_sum("_run", F.col("starts").cast("long")).result()
     ordered = F.array_sort(F.collect_list(F.struct("side", "y", "x", "seq", "text")))
     runs = numbered.groupBy(*RUN, "_run").agg(
         ordered.alias("f"),
@@ -280,19 +345,20 @@ def _merge_large_pages(boxed: DataFrame, limit: int) -> DataFrame:
 
 
 def merge_fragments(
-    fragments: DataFrame, gutters: DataFrame, limit: int = PAGE_ROWS, sizes: DataFrame | None = None
+    fragments: DataFrame, gutters: DataFrame, piece_rows: int = PIECE_ROWS, sizes: DataFrame | None = None, fan: int = FAN
 ) -> DataFrame:
     """Fragments of one page and colour that continue each other, along a line or on the next, as whole highlights.
 
-    A highlight keeps the ``seq`` of its first fragment.  Boxless fragments pass unchanged.  ``sizes`` may name a
-    cheaper table, with at least the same rows per page, to find large pages by.
+    A highlight keeps the ``seq`` of its first fragment.  Boxless fragments pass unchanged.  A page is folded in pieces of
+    about ``piece_rows`` rows; an ordinary page is one.  ``sizes`` may name a cheaper table, with at least the same rows
+    per page, to find by it the pages that have more.
     """
     boxless = fragments.filter(F.col("x").isNull()).withColumn("fragments", F.lit(1))
     boxed = with_side(fragments.filter(F.col("x").isNotNull()), gutters)
-    cold, hot, _ = split_hot(boxed, PAGE, limit, fragments if sizes is None else sizes)
-    merged = _merge_small_pages(cold)
+    cold, hot, _ = split_hot(boxed, PAGE, piece_rows, fragments if sizes is None else sizes)
+    merged = _merge_whole_pages(cold)
     if hot is not None:
-        merged = merged.unionByName(_merge_large_pages(hot, limit))
+        merged = merged.unionByName(_merge_in_pieces(hot, piece_rows, fan))
     columns = RUN + RUN_COLUMNS
     return merged.select(*columns).unionByName(boxless.select(*columns))
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.operators import merge
 from marginalia.operators.merge import drop_shadowed, merge_fragments, merge_stroke_regions, whole_highlights
 from marginalia.operators.spatial import reading_order
 
@@ -101,25 +102,71 @@ def test_large_pages_match_brute_force(spark):
     rows += [(*rows[i][:2], 300 + k, *rows[i][3:]) for k, i in enumerate(rng.choices(range(300), k=100))]
     df, none = spark.createDataFrame(rows, SCHEMA), gutters(spark)
     kept = brute_drop(rows)
-    for limit in (10_000, 150):
-        assert {r.seq for r in drop_shadowed(df, none, limit=limit).collect()} == kept
+    for rows_a_bucket in (10_000, 150, 7):
+        assert {r.seq for r in drop_shadowed(df, none, bucket_rows=rows_a_bucket).collect()} == kept
     runs = brute_merge(rows)
-    small = merge_fragments(df, none, limit=10_000)
-    large = merge_fragments(df, none, limit=150)
+    small = merge_fragments(df, none, piece_rows=10_000)
+    large = merge_fragments(df, none, piece_rows=150)
     assert {r.seq: r.fragments for r in small.collect()} == runs
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
 
 
-def test_long_drifting_run_across_chunks(spark):
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_shadows_in_chains(spark, seed):
+    """Texts that hold one another in chains, holders before and after, some too far; whole pages and many buckets."""
+    rng = random.Random(seed)
+    base = "the quick brown fox jumps over the lazy dog é漢"
+    rows = []
+    for i in range(160):
+        a = rng.randrange(len(base) - 1)
+        text = base[a : a + rng.randrange(1, 2 + rng.randrange(1, len(base)))]
+        rows.append(frag(i, text, float(rng.randrange(0, 500)), float(rng.randrange(0, 300)), float(rng.randrange(1, 60))))
+    rows += [(*rows[i][:2], 160 + k, *rows[i][3:]) for k, i in enumerate(rng.choices(range(160), k=40))]
+    rows += [frag(300, ""), frag(301, "", 5.0, 5.0), (*frag(302, "x", 9.0, 9.0)[:3], None, *frag(302, "x", 9.0, 9.0)[4:])]
+    df, none = spark.createDataFrame(rows, SCHEMA), gutters(spark)
+    kept = brute_drop([r for r in rows if r[3] and r[5] is not None]) | {300, 301, 302}
+    for rows_a_bucket in (10_000, 60, 3):
+        assert {r.seq for r in drop_shadowed(df, none, bucket_rows=rows_a_bucket).collect()} == kept
+
+
+def test_alike_texts_write_a_row_each(spark):
+    """500 texts each within all longer ones: what the search for holders hands on is a row per text."""
+    rows = [frag(i, "ab" * 3 + "c" * i, float(i % 40), 10.0) for i in range(500)]
+    df, none = spark.createDataFrame(rows, SCHEMA), gutters(spark)
+    for rows_a_bucket in (10_000, 200):
+        assert {r.seq for r in drop_shadowed(df, none, bucket_rows=rows_a_bucket).collect()} == {499}
+    nodes = merge.with_side(df, none).withColumns({"bucket": F.lit(0), "buckets": F.array(F.lit(0)), "waits": F.lit(False)})
+    assert merge._held(nodes, nodes, 100.0, holder=F.max("b_seq")).count() == 499
+
+
+def test_long_drifting_run_across_pieces(spark):
     rows = [frag(i, f"t{i}", 72.0 + (i * 7) % 23 + (i // 40) * 3, 20.0 * i, 100.0) for i in range(300)]
     df, none = spark.createDataFrame(rows, SCHEMA), gutters(spark)
-    assert {r.seq: r.fragments for r in merge_fragments(df, none, limit=80).collect()} == brute_merge(rows)
+    assert {r.seq: r.fragments for r in merge_fragments(df, none, piece_rows=80).collect()} == brute_merge(rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pieces_of_any_size(spark, seed):
+    """Pages where nearly every line may go on the one above, so that edges pass many pieces and tree levels."""
+    rng = random.Random(seed)
+    step = [0.001, 0.1, 3.0, 9.0][seed]
+    rows, x = [], 72.0
+    for i in range(240):
+        x += rng.choice([-1, 1, 1]) * step * rng.random() if rng.random() < 0.9 else rng.choice([-30, 30])
+        rows.append(frag(i, f"t{i}", x, 20.0 * (i // 2) + 0.01 * (i % 2), 12.0))
+    df, none = spark.createDataFrame(rows, SCHEMA), gutters(spark)
+    runs = brute_merge(rows)
+    for piece_rows, fan in ((10_000, 64), (100, 64), (20, 2)):
+        merged = merge_fragments(df, none, piece_rows=piece_rows, fan=fan).collect()
+        assert {r.seq: r.fragments for r in merged} == runs
 
 
-def test_no_python_on_ordinary_pages(spark):
-    df = spark.createDataFrame([frag(0, "a", 1.0, 1.0)], SCHEMA)
-    plan = whole_highlights(df, gutters(spark))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan
+def test_no_python_on_pages_of_any_size(spark):
+    df = spark.createDataFrame([frag(i, f"a{i % 5}", float(i % 7), 9.0 * i) for i in range(60)], SCHEMA)
+    for rows in (10_000, 20):
+        for result in (merge_fragments(df, gutters(spark), piece_rows=rows), drop_shadowed(df, gutters(spark), bucket_rows=rows)):
+            plan = result._jdf.queryExecution().executedPlan().toString()
+            assert "Python" not in plan and "Pandas" not in plan
 
 
 def test_stroke_regions(spark):
