@@ -14,11 +14,8 @@ def with_highlight_id(df: DataFrame) -> DataFrame:
     return df.withColumn("id", highlight_id(F.col("uuid"), F.col("page"), F.col("text")))
 
 
-def reduce_review(events: DataFrame, order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """Latest state per highlight from ``(highlight_id, ts, action, edited_text)``; batch or stream.
-
-    Accepting with a text means edited; dismissing keeps the text given before; undoing clears it.
-    """
+def _judgements(events: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """(highlight_id, moment, status, says, edited) of the events that judge; ``says`` is the moment of a word on the text."""
     edited = F.when(F.col("action") == "accept", F.col("edited_text"))
     status = (
         F.when(F.col("action") == "dismiss", "dismissed")
@@ -31,9 +28,28 @@ def reduce_review(events: DataFrame, order: tuple[str, ...] = ("ts",)) -> DataFr
         "highlight_id", moment.alias("moment"), status.alias("status"), edited.alias("edited")
     )
     # A dismissal says nothing about the text, so it is left out by a null ordering.
-    says = F.when(F.col("status") != "dismissed", F.col("moment"))
-    return marked.groupBy("highlight_id").agg(
-        F.max_by("status", "moment").alias("status"), F.max_by("edited", says).alias("edited_text")
+    return marked.withColumn("says", F.when(F.col("status") != "dismissed", F.col("moment")))
+
+
+def reduce_review(events: DataFrame, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """Latest state per highlight from ``(highlight_id, ts, action, edited_text)``; batch or stream.
+
+    Accepting with a text means edited; dismissing keeps the text given before; undoing clears it.
+    """
+    return _judgements(events, order).groupBy("highlight_id").agg(
+        F.max_by("status", "moment").alias("status"), F.max_by("edited", "says").alias("edited_text")
+    )
+
+
+def review_parts(events: DataFrame, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """One row per highlight that says what ``events`` say about it, and when, so that parts can be merged."""
+    return merged_parts(_judgements(events, order))
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """Parts of the same highlights as one; ``status`` and ``edited`` are those of ``reduce_review`` over all their events."""
+    return parts.groupBy("highlight_id").agg(
+        F.max("moment").alias("moment"), F.max_by("status", "moment").alias("status"), F.max("says").alias("says"), F.max_by("edited", "says").alias("edited")
     )
 
 

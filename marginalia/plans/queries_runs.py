@@ -12,7 +12,7 @@ from marginalia.plans.queries_notes import ORDER, STATE
 from marginalia.plans.queries_pages import RUNS
 from marginalia.plans.registry import query
 from marginalia.streaming import changes as feeds
-from marginalia.streaming.run import new_folder, newest_rows, run_batches, run_to_table, to_folder
+from marginalia.streaming.run import new_folder, newest_rows, run_to_table, to_folder
 
 
 @query(
@@ -239,6 +239,15 @@ def dedupe_highlights_stream(t):
 
 @query("review_state_stream", "review_events", STATE, "SELECT highlight_id, status, edited_text FROM state")
 def review_state_stream(t):
+    """In four batches, each merged into the buckets of the state that it touches."""
+    folder, events = new_folder(t.spark), t("review_events")
+    arriving = events.withColumn("part", F.floor(F.dayofmonth("ts") / 10))
+    run_arrivals(arriving, "part", folder, feeds.keep_review_state(f"{folder}/state", ORDER))
+    return feeds.review_state(events, f"{folder}/state", ORDER)
+
+
+@query("review_state_updates", "review_events", STATE, "SELECT highlight_id, status, edited_text FROM state")
+def review_state_updates(t):
     """In update mode: each batch hands on the highlights it changed, the table keeps the last row of each."""
     folder = new_folder(t.spark)
     arriving = t("review_events").withColumn("part", F.floor(F.dayofmonth("ts") / 10))
@@ -249,8 +258,10 @@ def review_state_stream(t):
 
 @query("streak_alerts_stream", "outcomes", STREAKS, "SELECT key, epoch_us(ts) AS at_us, streak FROM streaks WHERE failed AND streak = 3")
 def streak_alerts_stream(t):
+    """In four batches, one after the other in time, so that outages go on from one to the next."""
     folder = new_folder(t.spark)
-    run_batches(streamed(t, "events", "outcomes"), "append", folder, feeds.streak_alerts(folder, "bigint"))
+    arriving = t("outcomes").withColumn("part", F.floor(F.dayofmonth("ts") / 10))
+    run_arrivals(arriving, "part", folder, to_folder(f"{folder}/alerts"), feeds.streak_alerts, "update")
     alerts = t.spark.read.parquet(f"{folder}/alerts")
     return alerts.select("key", F.unix_micros("ts").alias("at_us"), "streak")
 

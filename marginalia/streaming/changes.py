@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from marginalia.functions.ids import extension
 from marginalia.operators.catalog import classify_readiness, since
-from marginalia.operators.fleet import failure_streaks
 from marginalia.operators.ordered import HOT_ROWS, OrderedGroups
+from marginalia.operators.review import merged_parts, review_parts
 from marginalia.operators.runs import next_cursor
+from marginalia.streaming.buckets import BUCKET, Buckets
 
 # Endings that count as a change, names that do not.
 WATCHED = [".rm", ".metadata", ".content"]
@@ -33,8 +37,9 @@ def debounced_changes(
 ) -> DataFrame:
     """One trigger per quiet period of a source: when it is due and how many changes it covers.
 
-    A stream uses session windows and emits a trigger once the watermark passes its end.  A batch cuts the ordered
-    changes at quiet gaps, which also holds when one source has most of the rows.
+    A stream uses session windows and emits a trigger once the watermark passes its end; under ``run.SETTINGS`` each task
+    merges the sessions of its own rows first, so a source that has most of the rows comes to its task as a few partial
+    sessions.  A batch cuts the ordered changes at quiet gaps, which also holds when one source has most of the rows.
     """
     kept = relevant_changes(changes, ignored)
     gap = F.expr(f"INTERVAL {gap_seconds} SECONDS")
@@ -58,51 +63,94 @@ def dedupe_highlights(highlights: DataFrame) -> DataFrame:
     return highlights.dropDuplicates(["id"])
 
 
-def publish_new_highlights(folder: str) -> Callable[[DataFrame, int], None]:
+def publish_new_highlights(folder: str, buckets: int = 64, generations: int = 8) -> Callable[[DataFrame, int], None]:
     """Function for ``foreachBatch``: highlights whose ``id`` no earlier batch had go to ``folder/batch=n``.
 
-    Identifiers are never forgotten: each batch is held against all that was published, of which only the identifiers
-    are read.  A repeated batch looks at the batches before it alone, so it writes the same again.
+    Identifiers are never forgotten.  They lie in ``folder/_ids`` by hash, and a batch reads those of the buckets its own
+    identifiers fall into.  A bucket is written as one again after ``generations`` additions.  A repeated batch looks at
+    the batches before it alone, so it writes the same again.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        fresh = dedupe_highlights(batch)
-        if number:
-            before = batch.sparkSession.read.parquet(*[f"{folder}/batch={n}" for n in range(number)])
-            fresh = fresh.join(before.select("id"), "id", "left_anti").select(*batch.columns)
-        fresh.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        spark = batch.sparkSession
+        known = Buckets(spark, f"{folder}/_ids", batch.select("id").schema, buckets)
+        fresh = dedupe_highlights(batch).withColumn(BUCKET, known.bucket("id")).persist()
+        touched = {r[0] for r in fresh.select(BUCKET).distinct().collect()}
+        before = known.rows(known.manifest(number - 1), touched)
+        fresh.join(before.select("id"), "id", "left_anti").select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        added = spark.read.schema(batch.schema).parquet(f"{folder}/batch={number}").select("id", known.bucket("id"))
+        known.commit(number, added, touched, added=True, most=generations)
+        fresh.unpersist()
 
     return run
 
 
-def streak_step(batch: DataFrame, state: DataFrame, n: int = 3) -> tuple[DataFrame, DataFrame]:
-    """One micro-batch of ``(key, ts, seq, failed)`` on top of ``state (key, streak)``: (alerts, new state)."""
-    order = ("ts", "seq")
-    counted = failure_streaks(batch, n, "key", order, before=state)
-    alerts = counted.filter("alert").select("key", "ts", "streak")
-    latest = counted.groupBy("key").agg(F.max_by("streak", F.struct(*order)).alias("streak"))
-    return alerts, latest.unionByName(state.join(latest, "key", "left_anti"))
-
+def keep_review_state(folder: str, order: tuple[str, ...] = ("ts",), buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """Function for ``foreachBatch`` over review events: the state of all highlights lies in ``folder``, by hash.
 
-def streak_alerts(folder: str, key_type: str, n: int = 3) -> Callable[[DataFrame, int], None]:
-    """Function for ``foreachBatch``: alerts go to ``folder/alerts``, streaks to ``folder/state``.
-
-    Every batch writes its own subfolder and reads the one before, so a repeated batch writes the same again.
+    A batch is reduced to a row per highlight and merged into the buckets these fall into; events may come in any order
+    and in any batch.  Old generations are removed, and a repeated batch changes nothing.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number == 0:
-            state = spark.createDataFrame([], f"key {key_type}, streak bigint")
-        else:
-            state = spark.read.parquet(f"{folder}/state/batch={number - 1}")
-        alerts, state = streak_step(batch, state, n)
-        alerts.write.mode("overwrite").parquet(f"{folder}/alerts/batch={number}")
-        state.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+        parts = review_parts(batch, order)
+        state = Buckets(batch.sparkSession, folder, parts.schema, buckets)
+        parts = parts.withColumn(BUCKET, state.bucket("highlight_id")).persist()
+        touched = {r[0] for r in parts.select(BUCKET).distinct().collect()}
+        before = state.rows(state.manifest(number - 1), touched)
+        merged = merged_parts(before.unionByName(parts)).withColumn(BUCKET, state.bucket("highlight_id"))
+        state.commit(number, merged, touched)
+        parts.unpersist()
 
     return run
 
 
+def review_state(events: DataFrame, folder: str, order: tuple[str, ...] = ("ts",), buckets: int = 64) -> DataFrame:
+    """What ``keep_review_state`` has in ``folder``, as ``reduce_review`` gives it; ``events`` lends its schema alone."""
+    kept = Buckets(events.sparkSession, folder, review_parts(events, order).schema, buckets)
+    return kept.rows(kept.manifest(kept.last_batch())).select("highlight_id", "status", F.col("edited").alias("edited_text"))
+
+
+class Streaks(StatefulProcessor):
+    """Per key the length of the outage that is going on; without one there is no state."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.streak = handle.getValueState("streak", "streak long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["at_us", "seq"], kind="stable")
+        failed = batch["failed"].fillna(False).to_numpy(bool)
+        before = self.streak.get()[0] if self.streak.exists() else 0
+        failures = failed.cumsum()
+        streak = failures - np.maximum.accumulate(np.where(failed, -before, failures))
+        if streak[-1] and streak[-1] != before:
+            self.streak.update((int(streak[-1]),))
+        elif before and not streak[-1]:
+            self.streak.clear()
+        alerts = failed & (streak == self.n)
+        yield pd.DataFrame({"key": key[0], "at_us": batch["at_us"].to_numpy()[alerts], "streak": streak[alerts]})
+
+    def close(self) -> None:
+        pass
+
+
+def streak_alerts(outcomes: DataFrame, n: int = 3) -> DataFrame:
+    """Stream of ``(key, ts, streak)``, the n-th failure of each outage, from a stream ``(key, ts, seq, failed)``.
+
+    The length of a going outage is a value in the state store; a batch writes it for the keys whose outage went on,
+    began or ended.  Rows of a batch are taken in order of ``ts`` and ``seq``, batches as they come; a null outcome is no
+    failure, and a null key is one.  The rows of a key in one batch are held by its task, so a trigger's limit bounds
+    them.  ``run.SETTINGS`` must hold when the stream starts, as ``run.run_batches`` sees to.
+    """
+    rows = outcomes.select("key", F.unix_micros("ts").alias("at_us"), "seq", "failed")
+    key_type = outcomes.schema["key"].dataType.simpleString()
+    found = rows.groupBy("key").transformWithStateInPandas(Streaks(n), f"key {key_type}, at_us long, streak long", "Update", "None")
+    return found.select("key", F.timestamp_micros("at_us").alias("ts"), "streak")
+
+
 def pending_hold(entries: DataFrame, contents: DataFrame, runs: DataFrame, prev: DataFrame, paths: DataFrame) -> DataFrame:
     """Cursors after a run in which documents without usable content hold their source back until they arrive."""
     ready = classify_readiness(entries, contents).select("source_id", "last_modified", "readiness")

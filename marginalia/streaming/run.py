@@ -3,12 +3,35 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.session import shared_folder
 
+# What a stream reads when it starts.  Sessions are merged in each task before they are dealt by key, so a busy source
+# reaches its one task as a few partial sessions.  State of ``transformWithState`` lies in RocksDB, of which a batch writes
+# the changes.
+SETTINGS = {
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
+@contextmanager
+def stream_settings(spark: SparkSession) -> Iterator[None]:
+    """SETTINGS while a stream is started; the caller's own settings afterwards."""
+    before = {name: spark.conf.get(name, None) for name in SETTINGS}
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
 
 def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/streams/{uuid.uuid4()}"
@@ -45,11 +68,7 @@ def newest_rows(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
 
 def run_batches(stream: DataFrame, mode: str, folder: str, handle) -> None:
     """Hand every batch that is available to ``handle`` and wait for the last."""
-    query = (
-        stream.writeStream.foreachBatch(handle)
-        .outputMode(mode)
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = stream.writeStream.foreachBatch(handle).outputMode(mode)
+    with stream_settings(stream.sparkSession):
+        query = writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()

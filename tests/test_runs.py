@@ -1,6 +1,7 @@
 """Review state, runs, fleets, streams, plan shapes."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from marginalia.operators import fleet, review, runs
 from marginalia.streaming import changes as feeds
-from marginalia.streaming.run import new_folder, run_to_table
+from marginalia.plans.bindings import run_arrivals
+from marginalia.streaming.buckets import Buckets, path_and_files
+from marginalia.streaming.run import SETTINGS, new_folder, run_to_table, stream_settings, to_folder
 
 
 def at(seconds):
@@ -87,13 +90,27 @@ def test_streaks(spark, limit):
 
 
 def test_streaks_over_batches(spark):
-    state = spark.createDataFrame([], "key string, streak bigint")
-    alerts = []
-    for start, batch in ((0, "ff"), (2, "f"), (3, "fsff"), (7, "f")):
-        df = spark.createDataFrame([("k", at(start + i), start + i, c == "f") for i, c in enumerate(batch)], "key string, ts timestamp, seq int, failed boolean")
-        found, state = feeds.streak_step(df, state)
-        alerts += [r.ts for r in found.collect()]
-    assert alerts == [at(2), at(7)]
+    """Outages that go on over batches, end in a later one, and start anew; a key without outage has no state."""
+    batches = [("ff", "s"), ("f", ""), ("fsff", "ss"), ("f", "f"), ("", "ff"), ("s", "f")]
+    rows, clock = [], 0
+    for part, outcomes in enumerate(batches):
+        for key, text in zip((1, None), outcomes):
+            rows += [(key, at(clock + i), i, c == "f", part) for i, c in enumerate(text)]
+        clock += 10
+    df = spark.createDataFrame(rows, "key bigint, ts timestamp, seq int, failed boolean, part int")
+    folder = new_folder(spark)
+    run_arrivals(df, "part", folder, to_folder(f"{folder}/alerts"), feeds.streak_alerts, "update")
+    found = {(r.key, r.ts) for r in spark.read.parquet(f"{folder}/alerts").collect()}
+    assert found == {(1, at(10)), (1, at(30)), (None, at(41))}
+    batch = df.na.fill(2, ["key"])
+    assert found == {(None if r.key == 2 else r.key, r.ts) for r in fleet.failure_streaks(batch, 3, "key", ("ts", "seq")).filter("alert").collect()}
+
+
+def test_state_settings_are_those_of_the_caller_afterwards(spark):
+    before = {name: spark.conf.get(name, None) for name in SETTINGS}
+    with stream_settings(spark):
+        assert all(spark.conf.get(name) == value for name, value in SETTINGS.items())
+    assert {name: spark.conf.get(name, None) for name in SETTINGS} == before
 
 
 def test_redaction(spark):
@@ -154,6 +171,66 @@ def test_debounce_stream(spark, tmp_path):
     assert [(r.first_ts, r.due_ts, r.changes) for r in run()] == [(at(0), at(22), 3), (at(23), at(33), 1)]
 
 
+def test_busy_source_is_merged_before_it_is_dealt(spark, tmp_path):
+    """Nine changes of ten are of one source: its task gets partial sessions of the map tasks, not the changes."""
+    rows = [(at(2 * i + (40 if i % 700 > 350 else 0)), "busy" if i % 10 else f"s{i % 3}", "a.rm") for i in range(6000)]
+    df = spark.createDataFrame(rows, CHANGES)
+    df.repartitionByRange(6, "ts").write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([(at(10**6), "busy", "z.rm"), (at(10**6 + 4000), "busy", "z.rm")], CHANGES).coalesce(1).write.parquet(f"{tmp_path}/late")
+    ignored = spark.createDataFrame([("SKIP",)], "uuid string")
+    received = []
+
+    def start(folder):
+        stream = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 100).parquet(folder)
+        feed = feeds.debounced_changes(stream, ignored, watermark="1 minute")
+        with stream_settings(spark):
+            query = feed.writeStream.format("memory").queryName("due").outputMode("complete").trigger(availableNow=True).start()
+        query.awaitTermination()
+        plan = query._jsq.streamingQuery().lastExecution().executedPlan().toString()
+        received.append(plan)
+        return spark.table("due").collect()
+
+    found = {(r.source_id, r.first_ts, r.due_ts, r.changes) for r in start(f"{tmp_path}/in")}
+    want = {(r.source_id, r.first_ts, r.due_ts, r.changes) for r in feeds.debounced_changes(df, ignored).collect()}
+    assert found == want and max(c for *_, c in found) > 100
+    steps = [line for line in received[0].splitlines() if "MergingSessions" in line or "Exchange" in line]
+    merged = [i for i, line in enumerate(steps) if "MergingSessions" in line]
+    dealt = [i for i, line in enumerate(steps) if "Exchange hashpartitioning(source_id" in line]
+    assert merged and dealt and min(merged) < dealt[0] < max(merged)
+
+
+def test_review_state_is_merged_by_bucket(spark):
+    """Events in any order and batch; a repeated batch changes nothing, old generations go, other buckets stay."""
+    rng = random.Random(3)
+    actions = ["accept", "accept", "dismiss", "undo", "look"]
+    events = [(f"h{rng.randrange(40)}", at(i), rng.choice(actions), rng.choice([None, f"t{i}"])) for i in range(300)]
+    rng.shuffle(events)
+    schema = "highlight_id string, ts timestamp, action string, edited_text string"
+    folder = new_folder(spark)
+    handle = feeds.keep_review_state(folder, buckets=8)
+    cuts = [0, 120, 121, 121, 200, 260, 300]
+    for number, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        df = spark.createDataFrame(events[a:b], schema)
+        handle(df, number)
+        if number % 2:
+            handle(df, number)
+    df = spark.createDataFrame(events, schema)
+    got = feeds.review_state(df, folder, buckets=8)
+    assert sorted(map(str, got.collect())) == sorted(map(str, review.reduce_review(df).collect()))
+    store = Buckets(spark, folder, review.review_parts(df).schema, 8)
+    assert store.last_batch() == 5 and all(len(gs) == 1 for gs in store.manifest(5).values())
+    listed = {(b, g) for n in (4, 5) for b, gs in store.manifest(n).items() for g in gs}
+    place, files = path_and_files(spark, f"{folder}/data")
+    there = set()
+    for generation in files.listStatus(place):
+        for bucket in files.listStatus(generation.getPath()):
+            if "=" in bucket.getPath().getName():
+                there.add((int(bucket.getPath().getName().split("=")[1]), int(generation.getPath().getName().split("=")[1])))
+    assert there == listed
+    place, files = path_and_files(spark, f"{folder}/manifest")
+    assert len(files.listStatus(place)) == 2
+
+
 def upkeep(spark):
     """(run a batch, uuids published by batch, cursors after a batch)"""
     folder = new_folder(spark)
@@ -195,12 +272,28 @@ def test_upkeep_loses_nothing_over_batches(spark):
 
 def test_highlights_are_published_once_however_late(spark):
     folder = new_folder(spark)
-    handle = feeds.publish_new_highlights(folder)
-    for number, (day, ids) in enumerate([(1, "ab"), (200, "bc"), (2, "ac"), (400, "ad")]):
+    handle = feeds.publish_new_highlights(folder, buckets=4, generations=2)
+    batches = [(1, "ab"), (200, "bc"), (2, "ac"), (400, "ad"), (5, ""), (6, "efgh"), (7, "aijk"), (8, "hlaa")]
+    for number, (day, ids) in enumerate(batches):
         batch = spark.createDataFrame([(i, day) for i in ids], "id string, day int")
         handle(batch, number)
         handle(batch, number)
-    assert sorted(r.id for r in spark.read.parquet(folder).collect()) == ["a", "b", "c", "d"]
+    assert sorted(r.id for r in spark.read.parquet(folder).collect()) == list("abcdefghijkl")
+    known = Buckets(spark, f"{folder}/_ids", "id string", 4)
+    manifest = known.manifest(known.last_batch())
+    assert sorted(r.id for r in known.rows(manifest).collect()) == list("abcdefghijkl")
+    assert all(len(gs) <= 2 for gs in manifest.values())
+
+
+def test_a_batch_reads_the_buckets_it_touches(spark):
+    folder = new_folder(spark)
+    handle = feeds.publish_new_highlights(folder, buckets=16)
+    handle(spark.createDataFrame([(f"i{k}",) for k in range(200)], "id string"), 0)
+    known = Buckets(spark, f"{folder}/_ids", "id string", 16)
+    manifest = known.manifest(0)
+    assert len(manifest) == 16
+    files = known.rows(manifest, {3}).inputFiles()
+    assert files and all("/bucket=3/" in f for f in files)
 
 
 FOLDER = "/root/testdata/sf0.001"
