@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.operators.tree import KEY, live_entries, resolve_folder_paths
+from marginalia.operators.tree import KEY, resolve_folder_paths
 
 
 def with_document_type(df: DataFrame, unknown: str = "drop") -> DataFrame:
@@ -97,7 +97,7 @@ def missing_errors(missing: DataFrame) -> DataFrame:
 
 def discover_documents(entries: DataFrame, contents: DataFrame, manifest: DataFrame) -> DataFrame:
     """Live, ready documents with type, folder path and source presence."""
-    placed = resolve_folder_paths(live_entries(entries))
+    placed = resolve_folder_paths(entries, live=True)
     ready = classify_readiness(placed, contents).filter(F.col("readiness") == "ready")
     return with_source_presence(with_document_type(ready), manifest)
 

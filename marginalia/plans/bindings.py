@@ -383,6 +383,14 @@ def run_arrivals(df: DataFrame, part: str, folder: str, handle, operator=lambda
         run_batches(operator(stream), mode, folder, handle)
 
 
+def run_files(df: DataFrame, part: str, folder: str, handle, operator=lambda rows: rows, mode: str = "append") -> None:
+    """``df`` arrives as one file per value of its column ``part``, in that order; one run of the stream takes a file at a time."""
+    for number in [r[0] for r in df.select(part).distinct().orderBy(part).collect()]:
+        df.filter(F.col(part) == number).coalesce(1).write.mode("append").parquet(f"{folder}/arrivals")
+    stream = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arrivals")
+    run_batches(operator(stream), mode, folder, handle)
+
+
 def _mentions(text: str, name: str) -> bool:
     words = text.replace(",", " ").replace("(", " ").replace(")", " ").split()
     return any(a in ("FROM", "JOIN") and b == name for a, b in zip(words, words[1:]))

@@ -40,7 +40,7 @@ def live_entries(t):
 
 @query("resolve_folder_paths", "entries", TRASH + "," + FOLDERS.format(source="live") + "," + PATHS, "SELECT uuid, name, folder_path FROM paths")
 def resolve_folder_paths(t):
-    return tree.resolve_folder_paths(tree.live_entries(t("entries"))).select("uuid", "name", "folder_path")
+    return tree.resolve_folder_paths(t("entries"), live=True).select("uuid", "name", "folder_path")
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text
 from marginalia.operators import catalog, fleet, merge, review, runs, tree
-from marginalia.plans.bindings import run_arrivals, streamed
+from marginalia.plans.bindings import run_arrivals, run_files, streamed
 from marginalia.plans.queries_catalog import FOLDERS, PATHS, TRASH
 from marginalia.plans.queries_notes import ORDER, STATE
 from marginalia.plans.queries_pages import RUNS
@@ -26,7 +26,7 @@ from marginalia.streaming.run import new_folder, newest_rows, run_to_table, to_f
 )
 def recent_documents(t):
     """Live documents with folder path and number of merged highlights, newest first."""
-    placed = tree.resolve_folder_paths(tree.live_entries(t("entries")))
+    placed = tree.resolve_folder_paths(t("entries"), live=True)
     ready = catalog.classify_readiness(placed, t("contents")).filter(F.col("readiness") == "ready")
     number = F.lpad(F.col("doc").cast("string"), 12, "0")
     counts = merge.merge_fragments(t("fragments"), t("fragment_gutters")).groupBy("doc").agg(F.count(F.lit(1)).alias("highlights"))
@@ -258,10 +258,10 @@ def review_state_updates(t):
 
 @query("streak_alerts_stream", "outcomes", STREAKS, "SELECT key, epoch_us(ts) AS at_us, streak FROM streaks WHERE failed AND streak = 3")
 def streak_alerts_stream(t):
-    """In four batches, one after the other in time, so that outages go on from one to the next."""
+    """In three batches, one after the other in time, so that outages go on from one to the next."""
     folder = new_folder(t.spark)
-    arriving = t("outcomes").withColumn("part", F.floor(F.dayofmonth("ts") / 10))
-    run_arrivals(arriving, "part", folder, to_folder(f"{folder}/alerts"), feeds.streak_alerts, "update")
+    arriving = t("outcomes").withColumn("part", F.floor(F.dayofmonth("ts") / 11))
+    run_files(arriving, "part", folder, to_folder(f"{folder}/alerts"), feeds.streak_alerts, "update")
     alerts = t.spark.read.parquet(f"{folder}/alerts")
     return alerts.select("key", F.unix_micros("ts").alias("at_us"), "streak")
 

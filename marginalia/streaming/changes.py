@@ -121,8 +121,10 @@ class Streaks(StatefulProcessor):
         self.streak = handle.getValueState("streak", "streak long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at_us", "seq"], kind="stable")
-        failed = batch["failed"].fillna(False).to_numpy(bool)
+        chunks = list(rows)
+        at, seq, failed = (np.concatenate([c[name].to_numpy() for c in chunks]) for name in ("at_us", "seq", "failed"))
+        order = np.lexsort((seq, at))
+        at, failed = at[order], failed[order] == True  # noqa: E712  null is no failure
         before = self.streak.get()[0] if self.streak.exists() else 0
         failures = failed.cumsum()
         streak = failures - np.maximum.accumulate(np.where(failed, -before, failures))
@@ -131,7 +133,8 @@ class Streaks(StatefulProcessor):
         elif before and not streak[-1]:
             self.streak.clear()
         alerts = failed & (streak == self.n)
-        yield pd.DataFrame({"key": key[0], "at_us": batch["at_us"].to_numpy()[alerts], "streak": streak[alerts]})
+        if alerts.any():
+            yield pd.DataFrame({"key": key[0], "at_us": at[alerts], "streak": streak[alerts]})
 
     def close(self) -> None:
         pass

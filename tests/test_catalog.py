@@ -1,5 +1,7 @@
 """Sidecars, catalogue, folder tree."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +114,73 @@ def test_tree_order_and_rollup(spark):
     assert rollup["h"].is_empty and not rollup["g"].is_empty
 
 
+def brute_tree(rows):
+    """uuid -> (path among all, path among live ones or None, counts below) by walking up from every entry."""
+    by = {u: (u, n, p, f, d) for u, n, p, f, d in rows}
+
+    def above(u, fits):
+        names, seen, p = [], set(), by[u][2]
+        while p in by and fits(by[p]):
+            if p in seen:
+                return None
+            seen.add(p)
+            names.insert(0, (p, by[p][1]))
+            p = by[p][2]
+        return names
+
+    def trashed(u):
+        seen, p = set(), by[u][2]
+        while p in by and p not in seen:
+            seen.add(p)
+            p = by[p][2]
+        return p == "trash"
+
+    every = {u: "/".join(n for _, n in above(u, lambda r: r[3]) or []) for u in by}
+    live = {u: "/".join(n for _, n in above(u, lambda r: r[3] and not r[4]) or []) for u in by if not by[u][4] and not trashed(u)}
+    sums = {u: [0, 0] for u in by if by[u][3]}
+    for u in by:
+        for p, _ in above(u, lambda r: r[3]) or []:
+            # An entry counts below every folder from whose chain nothing hangs on a cycle.
+            if above(p, lambda r: r[3]) is not None:
+                sums[p][by[u][3]] += 1
+    return every, live, sums
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_trees_with_cycles_trash_and_deep_chains(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(150):
+        parent = rng.choice([f"e{rng.randrange(150)}", f"e{max(0, i - 1)}", f"e{rng.randrange(max(1, i))}", "", "trash", "lost"])
+        rows.append((f"e{i}", f"n{i}", parent if parent != f"e{i}" else "", rng.random() < 0.75, rng.random() < 0.1))
+    every, live, sums = brute_tree(rows)
+    df = entries(spark, *rows)
+    assert {r.uuid: r.folder_path for r in tree.resolve_folder_paths(df).collect()} == every
+    assert {r.uuid: r.folder_path for r in tree.resolve_folder_paths(df, live=True).collect()} == live
+    assert {r.uuid for r in tree.live_entries(df).collect()} == set(live)
+    assert {r.uuid: [r.all_documents, r.all_subfolders] for r in tree.folder_rollup(df).collect()} == sums
+
+
+def test_deep_chain_writes_open_folders_only(spark, monkeypatch):
+    """3 000 folders one below the other: every round writes the folders that are still open, a row each."""
+    n, written = 3000, []
+    rows = [(f"f{i}", "n", f"f{i - 1}" if i else "", True, False) for i in range(n)] + [("d", "doc", f"f{n - 1}", False, False)]
+    df = entries(spark, *rows)
+    kept = tree._written
+    monkeypatch.setattr(tree, "_written", lambda rows, still: written.append(kept(rows, still)) or written[-1])
+    rollup = {r.uuid: (r.all_documents, r.all_subfolders) for r in tree.folder_rollup(df).collect()}
+    assert rollup == {f"f{i}": (1, n - 1 - i) for i in range(n)}
+    assert [w[0].count() for w in written] == [n - 1] + [max(0, n - 2**k) for k in range(1, 13)]
+    written.clear()
+    assert tree.trashed_ids(df).isEmpty()
+    assert [w[0].count() for w in written] == [n] + [n - 2**k for k in range(0, 12)]
+
+
+def test_empty_tree(spark):
+    df = spark.createDataFrame([], entries(spark, ("a", "a", "", True, False)).schema)
+    assert tree.folder_rollup(df).collect() == [] and tree.resolve_folder_paths(df, live=True).collect() == [] and tree.trashed_ids(df).collect() == []
+
+
 def test_types_and_readiness(spark):
     contents = spark.createDataFrame([("s", "1", "pdf", False), ("s", "2", "epub", False), ("s", "3", "", True), ("s", "4", "PDF", False)], "source_id string, uuid string, file_type string, is_corrupt boolean")
     assert {r.uuid: r.doc_type for r in catalog.with_document_type(contents).collect()} == {"1": "pdf", "2": "epub", "3": "notebook"}
