@@ -97,7 +97,7 @@ def screen_to_page(x: Column, y: Column, w: Column, h: Column, page_w: Column, p
 
 
 def canvas_to_page(
-    x0: Column, y0: Column, x1: Column, y1: Column, page_w: Column, scale: float = PHYSICAL_DPI / LOGICAL_DPI
+    x0: Column, y0: Column, x1: Column, y1: Column, page_w: Column, scale: Column | float = PHYSICAL_DPI / LOGICAL_DPI
 ) -> dict[str, Column]:
     """Corners in capture space, through the drawing canvas, to page points."""
     per_point = F.lit(float(SCREEN_WIDTH)) / page_w

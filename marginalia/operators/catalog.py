@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.operators.ordered import with_rank
 from marginalia.operators.tree import KEY, resolve_folder_paths
 
 
@@ -52,9 +53,10 @@ def filter_source(df: DataFrame, source_id: str = "all") -> DataFrame:
 
 
 def sort_library(df: DataFrame, field: str = "name", direction: str = "asc", collation: str = "UNICODE") -> DataFrame:
-    """Sort by name, last_modified, doc_type or highlight_count; texts in locale order; ties by uuid."""
+    """Sorted by name, last_modified, doc_type or highlight_count, with the place of each row as ``rank``; texts in locale
+    order, ties by uuid."""
     key = F.collate(F.col(field), collation) if field in ("name", "doc_type") else F.col(field)
-    return df.orderBy(key.asc() if direction == "asc" else key.desc(), "uuid")
+    return with_rank(df, [key.asc() if direction == "asc" else key.desc(), F.col("uuid").asc()]).orderBy("rank")
 
 
 def classify_readiness(entries: DataFrame, contents: DataFrame) -> DataFrame:
@@ -110,12 +112,19 @@ def union_sources(active: list[DataFrame], archived: DataFrame | None = None) ->
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def recent_annotated(docs: DataFrame, registry: DataFrame) -> DataFrame:
-    """PDF documents whose note holds a highlight, newest first.  Without content a document counts as PDF."""
+def recent_annotated(docs: DataFrame, registry: DataFrame, limit: int | None = None) -> DataFrame:
+    """PDF documents whose note holds a highlight, newest first, with their place as ``rank``; the first ``limit`` of them.
+
+    Without content a document counts as PDF.  With a limit each task keeps its own first rows.
+    """
     is_pdf = F.lower(F.coalesce(F.nullif(F.col("file_type"), F.lit("")), F.lit("pdf"))) == "pdf"
     documents = docs.filter(~F.col("deleted") & (F.col("entry_type") != "CollectionType") & is_pdf)
-    noted = registry.filter(F.col("highlight_count") > 0)
-    return documents.join(noted, "uuid").orderBy(F.desc("last_modified"), "uuid")
+    noted = documents.join(registry.filter(F.col("highlight_count") > 0), "uuid")
+    order = [F.desc("last_modified"), F.asc("uuid")]
+    if limit is None:
+        return with_rank(noted, order).orderBy("rank")
+    first = noted.orderBy(*order).limit(limit)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint")).orderBy("rank")
 
 
 def library_summary(df: DataFrame) -> DataFrame:

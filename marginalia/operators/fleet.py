@@ -85,8 +85,11 @@ def device_health(devices: DataFrame, budgets: DataFrame) -> DataFrame:
     """One row per device and check with severity and result; ``device_passed`` when no check of severity error failed.
 
     ``budgets (model, sync_memory_mb, min_free_memory_mb, min_free_storage_mb)``; a model without a budget takes the
-    one of ``unknown``, and where there is none either, no limits hold.
+    one of ``unknown``, and where there is none either, no limits hold.  A device whose model could not be read is judged
+    by its memory.  Where no installation path can be told from the version, a failed check says so.
     """
+    read = F.nullif(F.trim("model"), F.lit(""))
+    devices = devices.withColumn("model", F.coalesce(read, model_by_memory(F.col("mem_total_mb"))))
     named = budgets.withColumnRenamed("model", "b_model")
     known = budgets.select(F.col("model").alias("b_model"))
     matched = devices.join(known.withColumn("has_budget", F.lit(True)), devices["model"] == F.col("b_model"), "left").drop("b_model")
@@ -118,6 +121,7 @@ def device_health(devices: DataFrame, budgets: DataFrame) -> DataFrame:
         check("store", F.col("store_exists"), graded(~F.col("store_exists"), never)),
         check("model", F.lit(True), F.lit("warning")),
     )
-    listed = df.withColumn("checks", checks)
+    no_path = F.array(check("installation_path", never, F.lit("error")))
+    listed = df.withColumn("checks", F.when(F.col("install_path").isNull(), F.concat(checks, no_path)).otherwise(checks))
     passed = ~F.exists("checks", lambda k: (k["severity"] == "error") & ~k["passed"])
     return listed.select("device_id", passed.alias("device_passed"), F.inline("checks"))

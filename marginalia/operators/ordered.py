@@ -115,6 +115,20 @@ class OrderedGroups:
         return self.df.join(side, same_keys(self.df, side, keys, "_c_"), "left").drop(*[f"_c_{k}" for k in keys])
 
 
+def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Adds the place of each row in ``order``, 1-based; rows alike in it are in no certain order among each other.
+
+    The rows are cut into ranges of ``order``, ranked within their range, and moved on by the rows of the ranges before,
+    of which the driver sees one number each.
+    """
+    ranged = durable(df.repartitionByRange(*order).withColumn(CHUNK, F.spark_partition_id()))
+    before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    placed = ranged.join(F.broadcast(sizes.select(CHUNK, "_before")), CHUNK)
+    place = F.row_number().over(Window.partitionBy(CHUNK).orderBy(*order)) + F.col("_before")
+    return placed.withColumn(name, place.cast("bigint")).drop(CHUNK, "_before")
+
+
 def centred_mean(
     df: DataFrame,
     keys: list[str],

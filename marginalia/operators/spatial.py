@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.geometry import centred_to_page, column_side, padded_on_page
+from marginalia.functions.geometry import (
+    HIGHLIGHTERS,
+    LOGICAL_DPI,
+    PHYSICAL_DPI,
+    SCREEN_HEIGHT,
+    SCREEN_WIDTH,
+    canvas_to_page,
+    centred_to_page,
+    column_side,
+    padded_on_page,
+)
 from marginalia.functions.text import trimmed
 from marginalia.operators.ordered import HOT_ROWS, OrderedGroups
 
@@ -15,6 +25,10 @@ PAGE = ["doc", "page"]
 MIN_COLUMN_CHARS = 50
 MAX_CROSSING = 0.30
 
+# How far below the screen strokes of the finer capture reach, and the least width of a highlighter.
+FINE_CAPTURE = 1.05
+HIGHLIGHTER_WIDTH = 8.0
+
 # Grid of the range joins, in page points: about one line high, a third of a page wide.
 CELL_W = 256
 CELL_H = 64
@@ -69,30 +83,32 @@ def text_under_rects(rects: DataFrame, words: DataFrame, gutters: DataFrame) ->
     """Text of each highlight: the words that share area with any of its boxes, once each, in reading order.
 
     Words and boxes meet in grid cells, so a busy page spreads over many tasks.  A pair counts in the one cell
-    that holds the corner where its overlap starts.
+    that holds the corner where its overlap starts.  A box goes on without words where it meets none, so a highlight
+    without words has an empty text; the boxes are read once.
     """
-    boxes = rects.filter((F.col("w") > 0) & (F.col("h") > 0)).select(
+    real = (F.col("w") > 0) & (F.col("h") > 0)
+    boxes = rects.select(
         *PAGE, "hl_id", F.col("x").alias("rx0"), F.col("y").alias("ry0"),
-        (F.col("x") + F.col("w")).alias("rx1"), (F.col("y") + F.col("h")).alias("ry1"),
-    )
-    boxes = boxes.withColumn("cx", F.explode(_cells(F.col("rx0"), F.col("rx1"), CELL_W))).withColumn(
-        "cy", F.explode(_cells(F.col("ry0"), F.col("ry1"), CELL_H))
+        (F.col("x") + F.col("w")).alias("rx1"), (F.col("y") + F.col("h")).alias("ry1"), real.alias("real"),
     )
+    across, down = _cells(F.col("rx0"), F.col("rx1"), CELL_W), _cells(F.col("ry0"), F.col("ry1"), CELL_H)
+    boxes = boxes.withColumn("cx", F.explode_outer(F.when(F.col("real"), across))).withColumn("cy", F.explode_outer(F.when(F.col("real"), down)))
     sided = words.filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).join(gutters, PAGE, "left")
-    sided = sided.withColumn("side", column_side(F.col("x0"), F.col("x1") - F.col("x0"), F.col("gutter_x"))).drop("gutter_x")
-    sided = sided.withColumn("cx", F.explode(_cells(F.col("x0"), F.col("x1"), CELL_W))).withColumn(
-        "cy", F.explode(_cells(F.col("y0"), F.col("y1"), CELL_H))
-    )
+    sided = sided.withColumn("side", column_side(F.col("x0"), F.col("x1") - F.col("x0"), F.col("gutter_x")))
+    sided = sided.select(
+        *[F.col(c).alias(f"w_{c}") for c in PAGE], "side", "x0", "y0", "x1", "y1", "word_id", "word",
+        F.explode(_cells(F.col("x0"), F.col("x1"), CELL_W)).alias("wx"),
+    ).withColumn("wy", F.explode(_cells(F.col("y0"), F.col("y1"), CELL_H)))
     left, top = F.greatest("x0", "rx0"), F.greatest("y0", "ry0")
     overlap = (left < F.least("x1", "rx1")) & (top < F.least("y1", "ry1"))
     here = (F.floor(left / CELL_W) == F.col("cx")) & (F.floor(top / CELL_H) == F.col("cy"))
-    hits = boxes.join(sided, PAGE + ["cx", "cy"]).filter(overlap & here)
-    found = hits.groupBy(*PAGE, "hl_id").agg(
-        F.array_sort(F.collect_set(F.struct("side", "y0", "x0", "word_id", "word"))).alias("found")
-    )
-    joined = F.trim(F.array_join(F.col("found.word"), " "))
-    asked = rects.select(*PAGE, "hl_id").distinct()
-    return asked.join(found, PAGE + ["hl_id"], "left").select(*PAGE, "hl_id", F.coalesce(joined, F.lit("")).alias("text"))
+    meet = (F.col("cx") == F.col("wx")) & (F.col("cy") == F.col("wy")) & overlap & here
+    for column in PAGE:
+        meet = (F.col(column) == F.col(f"w_{column}")) & meet
+    word = F.when(F.col("word_id").isNotNull(), F.struct("side", "y0", "x0", "word_id", "word"))
+    found = F.array_sort(F.collect_set(word))
+    met = boxes.join(sided, meet, "left").groupBy(*PAGE, "hl_id").agg(found.alias("found"))
+    return met.select(*PAGE, "hl_id", F.trim(F.array_join(F.col("found.word"), " ")).alias("text"))
 
 
 def highlighter_rects(strokes: DataFrame, page_sizes: DataFrame) -> DataFrame:
@@ -106,3 +122,23 @@ def highlighter_rects(strokes: DataFrame, page_sizes: DataFrame) -> DataFrame:
     return strokes.join(page_sizes, PAGE).select(
         *PAGE, F.col("stroke_id").alias("hl_id"), F.lit(0).alias("rect_id"), *[c.alias(n) for n, c in box.items()]
     )
+
+
+def canvas_rects(strokes: DataFrame, points: DataFrame, page_sizes: DataFrame) -> DataFrame:
+    """Boxes of drawn highlighter strokes in page points, as they lie on the drawing canvas; ready for the text join.
+
+    On pages whose strokes reach well below the screen the capture is at the finer resolution and is scaled down.  A box
+    grows by half the pen's width and is cut at the page's edges; strokes off the page have none.
+    """
+    lowest = points.groupBy(*PAGE).agg(F.max("y").alias("lowest"))
+    drawn = strokes.filter(F.col("pen_type").isin(HIGHLIGHTERS)).select(*PAGE, "stroke_id", "width")
+    corners = points.groupBy(*PAGE, "stroke_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    known = drawn.join(corners, PAGE + ["stroke_id"]).join(lowest, PAGE).join(page_sizes, PAGE)
+    page_w, page_h = F.col("page_w"), F.col("page_h")
+    scale = F.when(F.col("lowest") > SCREEN_HEIGHT * FINE_CAPTURE, PHYSICAL_DPI / LOGICAL_DPI).otherwise(1.0)
+    box = canvas_to_page(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), page_w, scale)
+    pad = F.greatest(F.lit(HIGHLIGHTER_WIDTH), F.col("width")) * 0.5 * page_w / SCREEN_WIDTH
+    left, top = F.greatest(F.lit(0.0), box["x"] - pad), F.greatest(F.lit(0.0), box["y"] - pad)
+    right, bottom = F.least(page_w, box["x"] + box["w"] + pad), F.least(page_h, box["y"] + box["h"] + pad)
+    cut = known.select(*PAGE, F.col("stroke_id").alias("hl_id"), F.lit(0).alias("rect_id"), left.alias("x"), top.alias("y"), (right - left).alias("w"), (bottom - top).alias("h"))
+    return cut.filter((F.col("w") > 0) & (F.col("h") > 0))

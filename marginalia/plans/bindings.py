@@ -89,6 +89,9 @@ INPUTS: dict[str, str | tuple[str, str]] = {
             CASE WHEN doc_id % 11 = 0 THEN 'pending' WHEN doc_id % 11 = 1 THEN 'error' WHEN doc_id % 11 = 2 THEN 'archived'
                 ELSE 'synced' END AS sync_status
         FROM documents""",
+    "shelf": f"""
+        SELECT {U} AS uuid, concat(CASE doc_id % 5 WHEN 0 THEN lang WHEN 1 THEN upper(lang) WHEN 2 THEN concat('é', lang) WHEN 3 THEN concat('E', lang)
+            ELSE concat('É', lang) END, ' ', CAST(n_chars % 50 AS STRING)) AS name FROM documents""",
     "cursors": "SELECT 's0' AS source_id, CAST(2000000 AS BIGINT) AS cursor_ms UNION ALL SELECT 's1', 1000000",
     "metadata_json": f"""
         SELECT concat('s', CAST(doc_id % 3 AS STRING)) AS source_id, {U} AS uuid,
@@ -314,9 +317,10 @@ INPUTS: dict[str, str | tuple[str, str]] = {
         SELECT doc_id AS id, concat(text, CASE WHEN doc_id % 50 = 0 THEN concat(' curl -H ''x-api-key: tok', CAST(doc_id AS STRING), ''' SSHPASS=hunter2 rsync; sshpass -p hunter',
             CAST(doc_id AS STRING), ' x', {NL}, '--Password=abc d --password  efg') ELSE '' END) AS text FROM documents""",
     "devices": """
-        SELECT s_suppkey AS device_id, CASE s_nationkey % 3 WHEN 0 THEN 'model1' WHEN 1 THEN 'model2' ELSE 'other' END AS model,
+        SELECT s_suppkey AS device_id, CASE WHEN s_suppkey % 14 = 0 THEN ' ' WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_nationkey % 3 = 0 THEN 'model1'
+                WHEN s_nationkey % 3 = 1 THEN 'model2' ELSE 'other' END AS model,
             CASE WHEN s_suppkey % 13 = 0 THEN 'beta' ELSE concat(CAST(1 + s_suppkey % 4 AS STRING), '.', CAST(s_nationkey + 4 AS STRING), '.0.', CAST(s_suppkey AS STRING)) END AS fw,
-            CAST(512 AS INT) AS mem_total_mb, CAST(s_suppkey * 7 % 400 AS INT) AS mem_avail_mb, CAST(s_suppkey % 120 AS INT) AS home_avail_mb,
+            CAST(400 + s_suppkey % 3 * 400 AS INT) AS mem_total_mb, CAST(s_suppkey * 7 % 400 AS INT) AS mem_avail_mb, CAST(s_suppkey % 120 AS INT) AS home_avail_mb,
             CAST(80 + s_suppkey % 20 AS INT) AS root_used, s_suppkey % 10 <> 0 AS has_home, s_suppkey % 17 <> 0 AS store_exists FROM supplier""",
     "budgets": """
         SELECT 'model1' AS model, 64 AS sync_memory_mb, 100 AS min_free_memory_mb, 50 AS min_free_storage_mb

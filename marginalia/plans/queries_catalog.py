@@ -142,14 +142,24 @@ def filter_source(t):
     return catalog.filter_source(t("library"), "s1").select("uuid")
 
 
-@query("sort_library", "library", "", "SELECT uuid, name, highlight_count FROM library ORDER BY highlight_count DESC, uuid")
+@query(
+    "sort_library",
+    "library",
+    "",
+    "SELECT uuid, name, highlight_count, row_number() OVER (ORDER BY highlight_count DESC, uuid) AS rank FROM library",
+)
 def sort_library(t):
-    return catalog.sort_library(t("library"), "highlight_count", "desc").select("uuid", "name", "highlight_count")
+    return catalog.sort_library(t("library"), "highlight_count", "desc").select("uuid", "name", "highlight_count", "rank")
+
 
+# Locale order: letters first, then accents, then small before capital letters.
+SWAPPED = "translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZÉabcdefghijklmnopqrstuvwxyzé', 'abcdefghijklmnopqrstuvwxyzéABCDEFGHIJKLMNOPQRSTUVWXYZÉ')"
+COLLATED = f"lower(strip_accents(name)), CASE WHEN strip_accents(name) <> name THEN 1 ELSE 0 END, {SWAPPED}"
 
-@query("sort_library_by_name", "library", "", "SELECT uuid, name FROM library ORDER BY name, uuid")
+
+@query("sort_library_by_name", "shelf", "", f"SELECT uuid, name, row_number() OVER (ORDER BY {COLLATED}, uuid) AS rank FROM shelf")
 def sort_library_by_name(t):
-    return catalog.sort_library(t("library"), "name").select("uuid", "name")
+    return catalog.sort_library(t("shelf"), "name").select("uuid", "name", "rank")
 
 
 @query(
@@ -188,16 +198,26 @@ def union_sources(t):
     return catalog.union_sources([one, two], old).select("uuid", "source_id", "sync_status")
 
 
-@query(
-    "recent_annotated",
-    "entries contents registry",
-    "",
-    """SELECT e.uuid, r.base_name, e.last_modified FROM entries e LEFT JOIN contents c USING (source_id, uuid) JOIN registry r ON r.uuid = e.uuid
-    WHERE NOT e.deleted AND e.entry_type <> 'CollectionType' AND lower(coalesce(nullif(c.file_type, ''), 'pdf')) = 'pdf' AND r.highlight_count > 0""",
-)
-def recent_annotated(t):
+ANNOTATED = """
+noted AS (SELECT e.uuid, r.base_name, e.last_modified, row_number() OVER (ORDER BY e.last_modified DESC, e.uuid) AS rank
+    FROM entries e LEFT JOIN contents c USING (source_id, uuid) JOIN registry r ON r.uuid = e.uuid
+    WHERE NOT e.deleted AND e.entry_type <> 'CollectionType' AND lower(coalesce(nullif(c.file_type, ''), 'pdf')) = 'pdf' AND r.highlight_count > 0)"""
+
+
+def annotated(t, limit=None):
     docs = t("entries").join(t("contents").select("source_id", "uuid", "file_type"), ["source_id", "uuid"], "left")
-    return catalog.recent_annotated(docs, t("registry")).select("uuid", "base_name", "last_modified")
+    return catalog.recent_annotated(docs, t("registry"), limit).select("uuid", "base_name", "last_modified", "rank")
+
+
+@query("recent_annotated", "entries contents registry", ANNOTATED, "SELECT * FROM noted")
+def recent_annotated(t):
+    return annotated(t)
+
+
+@query("recent_annotated_first", "entries contents registry", ANNOTATED, "SELECT * FROM noted WHERE rank <= 25")
+def recent_annotated_first(t):
+    """The 25 newest, the list's own limit."""
+    return annotated(t, 25)
 
 
 @query(

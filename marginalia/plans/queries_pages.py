@@ -163,6 +163,41 @@ def highlighter_rects(t):
     return rounded(spatial.highlighter_rects(drawn, sizes).drop("rect_id"), "x", "y", "w", "h")
 
 
+@query(
+    "canvas_rects",
+    "strokes stroke_points",
+    """lowest AS (SELECT doc, page, CASE WHEN max(y) > 1872 * 1.05 THEN 226 / 300.0 ELSE 1.0 END AS scale FROM stroke_points GROUP BY doc, page),
+    b AS (SELECT doc, page, stroke_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM stroke_points GROUP BY doc, page, stroke_id),
+    c AS (SELECT doc, page, stroke_id, greatest(8.0, width) / 2 AS half, x0 * scale + 702 AS l, x1 * scale + 702 AS r, y0 * scale AS t, y1 * scale AS b
+        FROM b JOIN strokes s USING (doc, page, stroke_id) JOIN lowest USING (doc, page) WHERE pen_type IN (5, 18)),
+    p AS (SELECT doc, page, stroke_id, greatest(0, (l - half) * 612 / 1404) AS x, greatest(0, (t - half) * 612 / 1404) AS y,
+        least(612, (r + half) * 612 / 1404) AS r, least(792, (b + half) * 612 / 1404) AS b FROM c)""",
+    """SELECT doc, page, stroke_id AS hl_id, round(x, 6) AS x, round(y, 6) AS y, round(r - x, 6) AS w, round(b - y, 6) AS h FROM p WHERE r > x AND b > y""",
+)
+def canvas_rects(t):
+    sizes = t("strokes").select("doc", "page", F.lit(612.0).alias("page_w"), F.lit(792.0).alias("page_h")).distinct()
+    return rounded(spatial.canvas_rects(t("strokes"), t("stroke_points"), sizes).drop("rect_id"), "x", "y", "w", "h")
+
+
+@query(
+    "stroke_styles",
+    "strokes",
+    "",
+    """SELECT stroke_id, CASE pen_type WHEN 0 THEN 'black' WHEN 1 THEN 'gray' WHEN 2 THEN 'white' WHEN 3 THEN 'yellow' WHEN 4 THEN 'green' WHEN 5 THEN 'pink'
+            ELSE 'unknown_' || pen_type END AS legacy_colour,
+        CASE pen_type WHEN 1 THEN 'gray' WHEN 2 THEN 'white' WHEN 3 THEN 'yellow' WHEN 4 THEN 'green' WHEN 5 THEN 'pink'
+            WHEN 6 THEN 'blue' WHEN 7 THEN 'red' WHEN 8 THEN 'gray_overlap' WHEN 9 THEN 'yellow' ELSE 'black' END AS stroke_colour,
+        CAST(CASE pen_type WHEN 0 THEN 2.0 WHEN 2 THEN 1.2 WHEN 3 THEN 3.0 WHEN 5 THEN 15.0 WHEN 7 THEN 0.8 WHEN 12 THEN 2.0 WHEN 13 THEN 0.8 WHEN 15 THEN 1.2
+            WHEN 16 THEN 3.0 WHEN 18 THEN 15.0 WHEN 21 THEN 2.0 ELSE 1.0 END AS DOUBLE) AS pen_factor FROM strokes""",
+)
+def stroke_styles(t):
+    """The older format's colours, the stroke renderer's, and the base width of the pen, for every number."""
+    number = F.col("pen_type")
+    return t("strokes").select(
+        "stroke_id", geometry.colour_name(number, legacy=True).alias("legacy_colour"), geometry.stroke_colour_name(number).alias("stroke_colour"), geometry.pen_width(number).alias("pen_factor")
+    )
+
+
 @query(
     "colour_names",
     "strokes",

@@ -121,6 +121,25 @@ def relative_times(t):
     return t("library").select("uuid", text.relative_time(F.col("last_modified"), F.lit(4000000000)).alias("age"))
 
 
+LONG_NOW = (365 + 40) * 86400000
+
+
+@query(
+    "relative_times_long",
+    "library",
+    f"""e AS (SELECT uuid, CASE highlight_count WHEN 4 THEN NULL WHEN 3 THEN 0 ELSE {LONG_NOW // 1000} - last_modified % 4000000 END AS epoch FROM library),
+    g AS (SELECT uuid, epoch, {LONG_NOW // 1000} - epoch AS s, make_timestamp(epoch * 1000000) AS ts FROM e)""",
+    """SELECT uuid, CASE WHEN coalesce(epoch, 0) = 0 THEN 'Never' WHEN s < 60 THEN 'Just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago'
+        WHEN s // 86400 = 1 THEN 'Yesterday' WHEN s // 86400 < 7 THEN (s // 86400) || 'd ago' WHEN s // 86400 < 30 THEN (s // 604800) || 'w ago'
+        WHEN year(ts) = 1971 THEN strftime(ts, '%b %-d') ELSE strftime(ts, '%b %-d, %Y') END AS age FROM g""",
+)
+def relative_times_long(t):
+    """Ages up to 46 days, seen from 10 February 1971, some unknown."""
+    epoch = F.lit(LONG_NOW // 1000) - F.col("last_modified") % 4000000
+    epoch = F.when(F.col("highlight_count") == 4, F.lit(None)).when(F.col("highlight_count") == 3, F.lit(0)).otherwise(epoch)
+    return t("library").select("uuid", text.relative_time(epoch, F.lit(LONG_NOW), "long").alias("age"))
+
+
 # --- fleets ----------------------------------------------------------------------------------------------------------
 
 STREAKS = """
@@ -145,8 +164,9 @@ def redact_secrets(t):
 
 
 HEALTH = """
+d AS (SELECT * REPLACE (coalesce(nullif(trim(model), ''), CASE WHEN mem_total_mb < 600 THEN 'model1' WHEN mem_total_mb < 1200 THEN 'model2' ELSE 'unknown' END) AS model) FROM devices),
 v AS (SELECT d.*, regexp_matches(fw, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$') AS ok, TRY_CAST(split_part(fw, '.', 1) AS INTEGER) AS a, TRY_CAST(split_part(fw, '.', 2) AS INTEGER) AS b,
-    g.sync_memory_mb AS sm, g.min_free_memory_mb AS mm, g.min_free_storage_mb AS ms FROM devices d
+    g.sync_memory_mb AS sm, g.min_free_memory_mb AS mm, g.min_free_storage_mb AS ms FROM d
     JOIN budgets g ON g.model = CASE WHEN d.model IN ('model1', 'model2') THEN d.model ELSE 'unknown' END),
 c AS (SELECT device_id, 'firmware' AS "check", ok AND (a > 2 OR a = 2 AND b >= 6) AS passed,
         CASE WHEN NOT (ok AND (a > 2 OR a = 2 AND b >= 6)) THEN 'error' WHEN a = 3 AND b <= 26 THEN 'info' ELSE 'warning' END AS severity FROM v
@@ -154,7 +174,8 @@ c AS (SELECT device_id, 'firmware' AS "check", ok AND (a > 2 OR a = 2 AND b >= 6
     UNION ALL SELECT device_id, 'home_storage', has_home AND home_avail_mb >= ms, CASE WHEN has_home AND home_avail_mb >= ms THEN 'info' ELSE 'error' END FROM v
     UNION ALL SELECT device_id, 'root_partition', TRUE, CASE WHEN root_used > 95 THEN 'warning' ELSE 'info' END FROM v
     UNION ALL SELECT device_id, 'store', store_exists, CASE WHEN store_exists THEN 'info' ELSE 'error' END FROM v
-    UNION ALL SELECT device_id, 'model', TRUE, 'warning' FROM v)"""
+    UNION ALL SELECT device_id, 'model', TRUE, 'warning' FROM v
+    UNION ALL SELECT device_id, 'installation_path', FALSE, 'error' FROM v WHERE NOT (ok AND (a > 2 OR a = 2 AND b >= 6)))"""
 
 
 def devices_with_storage(t):

@@ -257,3 +257,15 @@ def test_quarantine(spark):
     assert found == {(1, 0): (None, True), (2, 0): ("highlight", False), (2, 1): (None, False), (3, None): ("structure", False)}
     with pytest.raises(Exception, match="invalid result payload"):
         sidecars.quarantine_invalid(df, strict=True).collect()
+
+
+def test_first_annotated(spark):
+    """With a limit the plan keeps the first rows of each task; ranks are those of the whole list."""
+    schema = "uuid string, last_modified bigint, file_type string, entry_type string, deleted boolean"
+    docs = spark.createDataFrame([(f"u{i:03}", i % 40, "pdf" if i % 2 else None, "DocumentType", False) for i in range(200)], schema)
+    notes = docs.select("uuid", F.lit(1).alias("highlight_count"))
+    whole = [tuple(r) for r in catalog.recent_annotated(docs, notes).select("uuid", "rank").collect()]
+    first = catalog.recent_annotated(docs, notes, 7).select("uuid", "rank")
+    assert [tuple(r) for r in first.collect()] == whole[:7]
+    assert [r[1] for r in whole] == list(range(1, 201))
+    assert "TakeOrderedAndProject" in first._jdf.queryExecution().executedPlan().toString()

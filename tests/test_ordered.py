@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marginalia.operators.ordered import OrderedGroups, centred_mean, split_hot
+from marginalia.operators.ordered import OrderedGroups, centred_mean, split_hot, with_rank
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +59,23 @@ def test_running_columns_over_nulls(spark, limit):
     expected = df.select("k", "i", F.sum("v").over(w).alias("s"), F.max("v").over(w).alias("m"), F.lag("v").over(Window.partitionBy("k").orderBy("i")).alias("p"))
     columns = ["k", "i", "s", "m", "p"]
     assert sorted(groups.result().select(columns).collect(), key=str) == sorted(expected.collect(), key=str)
+
+
+def test_rank_over_many_ranges(spark):
+    """Ties settled by the second key, nulls, texts in locale order; the ranks are those of the whole."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = random.Random(4)
+        rows = [(rng.choice([None, rng.randrange(9), 5, 5, 5]), i) for i in range(400)]
+        df = spark.createDataFrame(rows, "v int, id int").repartition(5)
+        ranked = with_rank(df, [F.col("v").desc(), F.col("id").asc()])
+        assert ranked.select(F.spark_partition_id()).distinct().count() > 1
+        want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+        assert [(r.v, r.id) for r in sorted(ranked.collect(), key=lambda r: r["rank"])] == want
+        assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, 401))
+        names = ["b", "a", "A", "é", "e", "E", "É", "f", "Z", "z", "ab"]
+        named = with_rank(spark.createDataFrame([(n,) for n in names], "n string").repartition(4), [F.collate("n", "UNICODE").asc()])
+        assert [r.n for r in sorted(named.collect(), key=lambda r: r["rank"])] == ["a", "A", "ab", "b", "e", "E", "é", "É", "f", "z", "Z"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert with_rank(df.limit(0), [F.col("id").asc()]).collect() == []

@@ -27,6 +27,31 @@ def test_line(spark):
     assert under(spark, words, [("h", 70.0, 98.0, 162.0, 18.0)]) == {"h": "one two three four five"}
     assert under(spark, words, [("h", 70.0, 98.0, 162.0, 18.0), ("h", 70.0, 99.0, 50.0, 5.0)]) == {"h": "one two three four five"}
     assert under(spark, words, [("far", 400.0, 700.0, 10.0, 10.0), ("touch", 0.0, 114.0, 600.0, 26.0)]) == {"far": "", "touch": ""}
+    flat = [("h", 70.0, 98.0, 0.0, 18.0), ("h", 70.0, 98.0, 50.0, 18.0), ("only flat", 70.0, 98.0, 50.0, 0.0), ("wide", 0.0, 0.0, 5000.0, 5000.0)]
+    assert under(spark, words, flat) == {"h": "one two", "only flat": "", "wide": "one two three four five Other"}
+
+
+def test_boxes_are_read_once(spark):
+    words, rects = spark.createDataFrame([], WORD), spark.createDataFrame([("d", 1, "h", 0, None, 1.0, 2.0, 3.0)], RECT)
+    found = spatial.text_under_rects(rects.repartition(3, "hl_id"), words, spark.createDataFrame([], GUTTER))
+    assert [tuple(r) for r in found.collect()] == [("d", 1, "h", "")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
+def test_boxes_on_the_canvas(spark):
+    """Grown by half the pen, cut at the page, scaled down where the page's strokes reach far below the screen."""
+    drawn = [("d", 1, 1, 5, "yellow", 1.0), ("d", 1, 2, 18, "pink", 20.0), ("d", 1, 3, 4, "black", 1.0), ("d", 2, 4, 5, "yellow", 1.0), ("d", 2, 5, 5, "yellow", 1.0)]
+    corners = [(1, 1, -702.0, 0.0), (1, 1, 0.0, 18.72), (1, 2, 0.0, 93.6), (1, 2, 140.4, 93.6), (1, 3, 0.0, 5.0), (2, 4, 0.0, 2400.0), (2, 4, 300.0, 2400.0), (2, 5, 5000.0, 0.0)]
+    points = [("d", page, stroke, i, x, y, 1.0, 1.0, 1.0, 0.0) for i, (page, stroke, x, y) in enumerate(corners)]
+    sizes = spark.createDataFrame([("d", 1, 612.0, 792.0), ("d", 2, 612.0, 792.0)], "doc string, page int, page_w double, page_h double")
+    found = spatial.canvas_rects(spark.createDataFrame(drawn, STROKE), spark.createDataFrame(points, POINT), sizes)
+    got = {r.hl_id: [round(v, 3) for v in (r.x, r.y, r.w, r.h)] for r in found.collect()}
+    point, fine = 612 / 1404, 226 / 300
+    assert got == {
+        1: [0.0, 0.0, round((702 + 4) * point, 3), round((18.72 + 4) * point, 3)],
+        2: [round((702 - 10) * point, 3), round((93.6 - 10) * point, 3), round((140.4 + 20) * point, 3), round(20 * point, 3)],
+        4: [round((702 - 4) * point, 3), round((2400 * fine - 4) * point, 3), round((300 * fine + 8) * point, 3), round(min(792, (2400 * fine + 4) * point) - (2400 * fine - 4) * point, 3)],
+    }
 
 
 def test_columns(spark):

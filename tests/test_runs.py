@@ -136,6 +136,14 @@ def test_devices(spark):
     assert {r.device_id: r.device_passed for r in found} == {"ok": True, "old": False, "odd": False}
     odd = {r.check: (r.passed, r.severity) for r in found if r.device_id == "odd"}
     assert odd["firmware"] == (True, "warning") and odd["memory"] == (True, "warning") and odd["home_storage"] == (False, "error") and odd["store"] == (False, "error")
+    assert "installation_path" not in odd
+    old = {r.check: (r.passed, r.severity) for r in found if r.device_id == "old"}
+    assert old["installation_path"] == (False, "error") and old["firmware"] == (False, "error")
+    # Without a model the memory tells which budget holds: 512 MB is the first model, 900 the second, 2 000 unknown.
+    rows = [(str(mb), model, "3.26.0.68", mb, 120, disks, True) for mb, model in ((512, None), (900, " "), (2000, None))]
+    limits = spark.createDataFrame([("model1", 64, 100, 50), ("model2", 64, 150, 50), ("unknown", 10, 100, 50)], "model string, sync_memory_mb int, min_free_memory_mb int, min_free_storage_mb int")
+    memory = fleet.device_health(spark.createDataFrame(rows, schema), limits).filter("check = 'memory'").collect()
+    assert {r.device_id: (r.passed, r.severity) for r in memory} == {"512": (True, "warning"), "900": (False, "error"), "2000": (True, "info")}
     versions = spark.createDataFrame([("2.6.0.1",), ("3.4.0.0",), ("3.3.9.9",), ("beta",)], "fw string")
     assert [tuple(r)[2:] for r in fleet.version_support(versions).collect()] == [("older", "toltec", False), ("tested", "entware", True), ("tested", "toltec", True), ("malformed", None, None)]
 
