@@ -17,7 +17,8 @@ component are done, in the others the nodes of different components are compared
 that no pair inside a component is written.  Likely pairs between components are all written, as one array per node; in a
 large group of texts that are alike by less than the threshold these are nearly all its pairs.
 
-Shingles are 64-bit hashes of their words; all sets stay apart unless those collide.
+Shingles are 64-bit hashes of their words; all sets stay apart unless those collide.  Sets are told apart by two sums of
+their hashes and their size, and numbered as they are stored; the same steps are taken for any number of them.
 """
 
 from __future__ import annotations
@@ -37,8 +38,6 @@ REGISTERS, BANDS = 128, 32
 SCALE, RATE = 1.001, 20.0
 CUTOFF = 0.6
 BLOCK = 512
-FEW_NODES = 200_000
-SENT_BYTES = 16 << 20
 
 _FACTORS = np.random.default_rng(11).integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -66,6 +65,12 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return sets
 
 
+def digests(sets: list[np.ndarray]) -> np.ndarray:
+    """Two sums that tell sets apart, a line each."""
+    sums = [(mixed(s).sum(dtype=np.uint64), mixed(s * _STEP).sum(dtype=np.uint64)) for s in sets]
+    return np.array(sums, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+
+
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
     """Registers of non-empty sets, a line each."""
     values = np.concatenate(sets)
@@ -110,10 +115,9 @@ def sign(docs: DataFrame, words: int) -> DataFrame:
             if full:
                 for i, line in zip(full, sketch([sets[i] for i in full]), strict=True):
                     registers[i] = line.tobytes()
-            sums = [(mixed(s).sum(dtype=np.uint64), mixed(s * _STEP).sum(dtype=np.uint64)) for s in sets]
-            digests = np.array(sums, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            sums = digests(sets)
             columns = [rest.column(c).combine_chunks() for c in ("doc", "id")] + [pa.array([len(s) for s in sets], pa.int64())]
-            columns += [pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(registers, pa.binary())]
+            columns += [pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy()), pa.array(registers, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "id", "n", "high", "low", "registers"])
 
     return in_arrow(docs, signed, SIGNED)
@@ -131,8 +135,8 @@ class Search:
         self.docs, self.words, self.percent = docs, words, percent
         self.signed = stored(sign(docs, words), "sketches")
         full = self.signed.filter("n > 0")
-        nodes = full.groupBy("high", "low", "n").agg(F.min("doc").alias("node"), F.min("id").alias("id"), F.any_value("registers").alias("registers"))
-        self.nodes = stored(nodes, "shingle-sets")
+        nodes = full.groupBy("high", "low", "n").agg(F.min("doc").alias("doc"), F.min("id").alias("id"), F.any_value("registers").alias("registers"))
+        self.nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "shingle-sets")
         banded = self.nodes.select(F.posexplode(band_keys(F.col("registers"))).alias("band", "key"), "node")
         hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
         self.buckets = stored(banded.join(hubs.select("key", "hub"), "key"), "buckets")
@@ -151,9 +155,6 @@ class Search:
             return found
         more = lists.select("node").union(others).distinct().join(nodes, "node", "left_anti")
         shingles = shingles.unionByName(self.shingles(stored(more, "nodes")))
-        sent = others.join(self.nodes, "node").agg(F.coalesce(F.sum(8 * F.col("n")), F.lit(0))).first()[0]
-        if sent <= SENT_BYTES:
-            return connected(found, self.confirmed_lists(lists, others.join(shingles, "node"), shingles))
         left = stored(self.likely(lists.select(F.col("node").alias("one"), F.explode("others").alias("two")).select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()), "candidates")
         # One link between two components is enough, so the most alike are tried first.
         for best_only in (True, True, False):
@@ -181,18 +182,20 @@ class Search:
         return in_arrow(sized.select("a", "b", "n_a", "n_b", "r_a", "r_b"), estimate, "a long, b long, estimate double")
 
     def shingles(self, nodes: DataFrame) -> DataFrame:
-        """(node, shingles) of the documents ``nodes``, as sorted 64-bit numbers."""
+        """(node, shingles) of ``nodes``, as sorted 64-bit numbers, from the texts of their documents."""
         words = self.words
 
         def listed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rest, texts in batches(stream):
-                values = [s.tobytes() for s in shingle_sets(texts, words)]
-                yield pa.RecordBatch.from_arrays([rest.column("doc").combine_chunks(), pa.array(values, pa.binary())], names=["node", "shingles"])
+                sets = shingle_sets(texts, words)
+                # A document is found by a hash; one whose set has another digest is not meant.
+                asked = np.stack([rest.column(c).to_numpy() for c in ("high", "low")], axis=1)
+                meant = pa.array((digests(sets) == asked).all(axis=1))
+                values = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([rest.column("node").combine_chunks(), values], names=["node", "shingles"]).filter(meant)
 
-        asked = nodes.select(F.col("node").alias("doc"))
-        few = nodes.count() <= FEW_NODES
-        asked = F.broadcast(asked) if few else asked.hint("shuffle_hash")
-        return stored(in_arrow(self.docs.join(asked, "doc", "left_semi"), listed, "node long, shingles binary"), "shingles")
+        asked = nodes.join(self.nodes.select("node", "doc", "high", "low"), "node")
+        return stored(in_arrow(self.docs.select("doc", "text").join(asked, "doc"), listed, "node long, shingles binary"), "shingles")
 
     def confirmed(self, pairs: DataFrame, shingles: DataFrame) -> DataFrame:
         """``pairs`` (a, b) that reach the similarity on their full sets."""
@@ -215,25 +218,6 @@ class Search:
         known = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
         return known.select(*pairs.columns, F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b"))
 
-    def confirmed_lists(self, lists: DataFrame, others: DataFrame, shingles: DataFrame) -> DataFrame:
-        """Links (a, b) of ``lists`` (node, others): the sets of ``others`` (node, shingles) go to all tasks."""
-        percent = self.percent
-        known = self.docs.sparkSession.sparkContext.broadcast({r["node"]: bytes(r["shingles"]) for r in others.distinct().collect()})
-
-        def check(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in stream:
-                one, two = [], []
-                for node, mine, asked in zip(*[batch.column(c).to_pylist() for c in ("node", "shingles", "others")], strict=True):
-                    first = np.frombuffer(mine, np.uint64)
-                    for other in asked:
-                        second = np.frombuffer(known.value[other], np.uint64)
-                        if alike(first, second, percent):
-                            one.append(min(node, other))
-                            two.append(max(node, other))
-                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["a", "b"])
-
-        return in_arrow(lists.join(shingles, "node").select("node", "shingles", "others"), check, "a long, b long").distinct()
-
     def apart(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
         """``pairs`` whose sides are not connected yet."""
         return self.named(pairs, found).filter("c_a <> c_b").select(*pairs.columns)

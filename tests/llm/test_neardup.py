@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.llm import neardup
 from marginalia.llm.components import chains, components, connected
@@ -118,13 +119,19 @@ def test_chains_and_added_links(spark):
     assert chains(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("sent", [0, 1 << 24])
-def test_sets_sent_or_joined(spark, monkeypatch, sent):
-    monkeypatch.setattr(neardup, "SENT_BYTES", sent)
+def test_short_texts_of_few_words(spark):
+    """Many texts alike by less than the threshold, so that components meet in shared buckets."""
     rows = list(enumerate(prose(11, 160, words=40, vocabulary=30)))
     assert found(near_duplicates(documents(spark, rows), 2)) == brute(rows, 2, 80)
 
 
+def test_documents_of_one_hash(spark, monkeypatch):
+    """All documents share the hash that texts are fetched by: the digests still tell their sets apart."""
+    monkeypatch.setattr(neardup, "row_key", lambda: F.lit(7).cast("long"))
+    rows = list(enumerate(prose(12, 60, words=60), 10)) + awkward()
+    assert found(near_duplicates(documents(spark, rows), 2)) == brute(rows, 2, 80)
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c d e f g"), (3, "a b c d e f g"), (3, "a b c d e f g"), (9, "other words are here too"), (None, "x"), (None, "x"), (4, None)]
     docs = documents(spark, rows)
