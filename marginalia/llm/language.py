@@ -3,7 +3,7 @@
 A document is a mixture of languages: each of its letter trigrams is drawn from one of them.  Expectation maximisation
 estimates the proportions; sets of the leading languages are then compared by likelihood less a penalty per language,
 and the first in the chosen set is predicted.  The model is the counts of hashed trigrams by language over all
-labelled documents, 512 KB per language.
+labelled documents, 512 KB per language; more than MOST_CELLS / BUCKETS languages share as much by coarser hashes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import END, Texts, batches, in_arrow, runs
 
 BUCKETS = 1 << 16
-MOST_LANGUAGES = 500
+MOST_CELLS = 1 << 25
 SMOOTHING = 0.1
 PENALTY = 6.0
 ROUNDS = 40
@@ -32,10 +32,13 @@ FOLD[128:] = np.arange(128, 256)
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each trigram that is not all blanks, number of trigrams before each text and in all)."""
-    batch = Texts(texts)
-    if len(batch.data) < 3:
-        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    """(bucket of each trigram that is not all blanks, number of trigrams before each text and in all).
+
+    A blank stands before and after each text, so that a single letter has a trigram.
+    """
+    batch = Texts([b" " + text + b" " for text in texts])
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
     data = FOLD[batch.data]
     a, b, c = data[:-2], data[1:-1], data[2:]
     codes = (a.astype(np.uint32) << 16) | (b.astype(np.uint32) << 8) | c
@@ -82,9 +85,10 @@ class Mixture:
     """Trigram probabilities by language."""
 
     def __init__(self, languages: list[str], counts: np.ndarray):
-        self.languages = languages
+        """``counts`` by bucket and language; its lines are a power of two, BUCKETS or fewer."""
+        self.languages, self.fold = languages, BUCKETS // len(counts)
         totals = counts.sum(axis=0, keepdims=True)
-        self.probability = np.ascontiguousarray((counts + SMOOTHING) / (totals + SMOOTHING * BUCKETS))
+        self.probability = np.ascontiguousarray((counts + SMOOTHING) / (totals + SMOOTHING * len(counts)))
 
     def proportions(self, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
         """Most likely proportions and the likelihood's logarithm, for ``p`` by trigram and language, ``n`` counts."""
@@ -102,7 +106,7 @@ class Mixture:
     def predict(self, buckets: np.ndarray) -> tuple[str, float]:
         if not self.languages or not len(buckets):
             return UNDETERMINED, 0.0
-        seen, n = np.unique(buckets, return_counts=True)
+        seen, n = np.unique(buckets // self.fold, return_counts=True)
         p, n = self.probability[seen], n.astype(np.float64)
         share, _ = self.proportions(p, n)
         lead = np.argsort(-share, kind="stable")
@@ -118,17 +122,21 @@ class Mixture:
 
 
 def learn(docs: DataFrame) -> Mixture:
-    """A mixture of the languages in ``docs`` (text, lang); rows without lang or text teach nothing."""
+    """A mixture of the languages in ``docs`` (text, lang); rows without lang or text teach nothing.
+
+    The model has at most MOST_CELLS counts: buckets are halved until those of all languages fit.
+    """
     known = docs.filter("lang is not null and text is not null").select("lang", F.col("text").cast("string").alias("text"))
     counts = count_trigrams(known)
-    languages = sorted(r["lang"] for r in known.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages: the model would not fit its bound")
-    table = np.zeros((BUCKETS, len(languages)))
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    size = BUCKETS
+    while size > 1 and size * len(languages) > MOST_CELLS:
+        size //= 2
+    table = np.zeros((size, len(languages)))
     place = {lang: i for i, lang in enumerate(languages)}
     packed = counts.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n"))
     for lang, bucket, n in packed.toLocalIterator():
-        table[np.array(bucket, dtype=np.int64), place[lang]] = n
+        np.add.at(table[:, place[lang]], np.array(bucket, dtype=np.int64) // (BUCKETS // size), n)
     return Mixture(languages, table)
 
 
