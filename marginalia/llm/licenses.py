@@ -1,10 +1,17 @@
-"""License scans (operator 5): exact retrieval by shared shingles, containment of 80 % in a window at any start.
+"""License scans (operator 5): MinHash bands over overlapping windows retrieve templates, exact containment verifies.
 
 Built of DataFrame functions only.  Words are runs of ASCII letters and digits in lower case, a shingle is five words.
 A template of s shingles is sought in every window of s + s // 2 shingles (s below four), whatever its start, so that up
-to s // 2 shingles of inserted words do not hide it at any place of a text.  Shingles of a text are joined with those of
-the templates, so every window that holds one is known; how many distinct ones it holds is a running sum: a shingle at
-place q, last met at place p, counts for the starts after max(p, q - length) up to q.
+to s // 2 shingles of inserted words do not hide it at any place of a text; the window must hold 80 % of them.
+
+Retrieval: templates fall into classes by the power of two that their length reaches.  For a class with windows of up to
+m shingles a text is cut into windows of 2 m that start every m, so each window of a template lies whole in one.  Of the
+shingles in it those of the class's templates count.  A match then has a Jaccard similarity with its template of at
+least 0.8 s / (2 m + 0.2 s), mostly more; MINHASHES bands of one value each miss it with probability (1 - J) ** MINHASHES:
+under 1e-6 for each template of TEMPLATES.
+
+Verification: how many of the template's shingles the windows at each start hold is a running sum over the places of a
+retrieved window: a shingle at place q, last met at place p, counts for the starts after max(p, q - length) up to q.
 
 Before that, texts that cannot hold any template are passed over without loss: the longest words of each template that
 stand in more of its shingles than a match may lack.  Where none of these words stands there is no match.
@@ -21,10 +28,12 @@ from importlib.resources import files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import stored
 from marginalia.llm.quality import bind
 
 SHINGLE = 5
 BROADCAST_SHINGLES = 200_000
+MINHASHES = 128
 LEAST = 80
 
 
@@ -53,6 +62,19 @@ class Template:
         size = max(1, len(self.words) - SHINGLE + 1)
         return size + size // 2 if size >= 4 else size, 1
 
+    @property
+    def span(self) -> int:
+        """Places that the window of a template of this class may have: 1.5 times a power of two."""
+        size = max(1, len(self.words) - SHINGLE + 1)
+        reach = 1 << (size - 1).bit_length()
+        return reach + reach // 2
+
+    @property
+    def miss(self) -> float:
+        """The most likely a match can be to share no MinHash value with the template."""
+        least = LEAST / 100 * self.shingles
+        return (1 - least / (2 * self.span + self.shingles - least)) ** MINHASHES
+
     @cached_property
     def gate(self) -> list[str]:
         """Words of which every shingle holds one: as long ones as possible, then as few as possible."""
@@ -118,11 +140,18 @@ def shingles_of(words: Column) -> Column:
 
 
 def templates_table(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
-    """(template, license_id, length, total, shingle), a row per distinct shingle of a template."""
-    lines = [(i, t.license_id, t.words, t.window[0], t.shingles) for i, t in enumerate(templates) if t.words]
-    table = spark.createDataFrame(lines, "template int, license_id string, words array<string>, length int, total long")
+    """(template, license_id, length, span, total, shingle), a row per distinct shingle of a template."""
+    lines = [(i, t.license_id, t.words, t.window[0], t.span, t.shingles) for i, t in enumerate(templates) if t.words]
+    table = spark.createDataFrame(lines, "template int, license_id string, words array<string>, length int, span int, total long")
     shingle = F.explode(F.array_distinct(shingles_of(F.col("words")))).alias("shingle")
-    return table.select("template", "license_id", "length", "total", shingle)
+    return table.select("template", "license_id", "length", "span", "total", shingle)
+
+
+def minhashes(groups) -> DataFrame:
+    """A row per group and band: the band's number and the least hash that its function gives to the shingles."""
+    values = groups.agg(*[F.min(F.xxhash64("shingle", F.lit(i))).alias(f"h{i}") for i in range(MINHASHES)])
+    keys = [c for c in values.columns if c not in {f"h{i}" for i in range(MINHASHES)}]
+    return values.select(*keys, F.posexplode(F.array(*[f"h{i}" for i in range(MINHASHES)])).alias("band", "value"))
 
 
 def fullest(hits: Column, length: Column, total: Column) -> Column:
@@ -155,18 +184,31 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     ``n_found`` is the most distinct shingles of the template in one window, which must be 80 % of them;
     ``first_word`` is where the first such window starts.  Null and empty texts hold none; rows that share a doc_id,
     null included, are reported together.  Further columns are ignored.  Templates of up to BROADCAST_SHINGLES shingles
-    are broadcast, more are joined by a shuffle.  One document's shingles in one template are held by one task.
+    are broadcast, more are joined by a shuffle.  A task holds the shingles of one window, at most six template lengths.
     """
     words = sorted({w for t in templates if t.words for w in t.anchors})
     gate = "(?<![a-z0-9])(?:" + "|".join(words) + ")(?![a-z0-9])" if words else "(?!)"
     lower = docs.select("doc_id", F.lower(F.col("text").cast("string")).alias("lower")).filter(F.col("lower").rlike(gate))
     # Rows of one doc_id and text have the same hits, so these two name a row.
-    split = lower.select("doc_id", F.md5("lower").alias("row"), F.regexp_extract_all("lower", F.lit("[a-z0-9]+"), 0).alias("words"))
+    own = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    row = F.md5(F.concat(own, F.lit(" "), "lower"))
+    split = lower.select("doc_id", row.alias("row"), F.regexp_extract_all("lower", F.lit("[a-z0-9]+"), 0).alias("words"))
     spread = split.select("doc_id", "row", F.posexplode(shingles_of(F.col("words"))).alias("place", "shingle"))
+    few = sum(t.shingles for t in templates) <= BROADCAST_SHINGLES
     known = templates_table(docs.sparkSession, templates)
-    known = F.broadcast(known) if sum(t.shingles for t in templates) <= BROADCAST_SHINGLES else known
-    met = spread.join(known, "shingle").groupBy("doc_id", "row", "template", "license_id", "length", "total")
-    held = met.agg(F.collect_set(F.struct("shingle", "place")).alias("hits"))
+    known, side = (F.broadcast(known), F.broadcast) if few else (known, lambda df: df)
+    hits = stored(spread.join(side(known.select("shingle").distinct()), "shingle").distinct(), "license-shingles")
+
+    # A place lies in two windows of each class that has its shingle.
+    at = F.floor(F.col("place") / F.col("span"))
+    both = F.explode(F.array_distinct(F.array(F.greatest(F.lit(0), at - 1), at))).alias("window")
+    placed = hits.join(side(known.select("shingle", "span").distinct()), "shingle").select("doc_id", "row", "span", both, "place", "shingle")
+    window = ["row", "span", "window"]
+    sought = side(minhashes(known.groupBy("template", "span")))
+    retrieved = minhashes(placed.groupBy(*window)).join(sought, ["span", "band", "value"]).select(*window, "template").distinct()
+
+    met = placed.join(retrieved, window).join(known.drop("span"), ["template", "shingle"])
+    held = met.groupBy("doc_id", *window, "template", "license_id", "length", "total").agg(F.collect_set(F.struct("shingle", "place")).alias("hits"))
     held = held.filter(100 * F.size(F.array_distinct("hits.shingle")) >= LEAST * F.col("total"))
     found = held.select("doc_id", "license_id", "total", fullest(F.col("hits"), F.col("length"), F.col("total")).alias("w"))
     best = found.filter(F.col("w.first").isNotNull()).groupBy("doc_id", "license_id").agg(

@@ -1,4 +1,5 @@
 import random
+import re
 
 from marginalia.llm.licenses import TEMPLATES, Template, scan_licenses
 from tests.llm.rows import awkward, documents
@@ -83,6 +84,31 @@ def test_no_match_without_an_anchor():
         assert 100 * without < 80 * t.shingles
 
 
+def test_bands_miss_no_match_that_counts():
+    assert max(t.miss for t in TEMPLATES if t.words) < 1e-6
+    for t in TEMPLATES:
+        assert t.window[0] <= t.span
+
+
+def test_plan_retrieves_by_minhash(spark):
+    """Band values meet in a join, and nothing leaves the JVM, also in what is written on the way."""
+    plan = scan_licenses(documents(spark, [(1, STANDARD_MIT)]))._jdf.queryExecution().executedPlan().toString()
+    assert "band#" in plan and "value#" in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_text_of_many_matches(spark):
+    """One text with a notice again and again, and others around it: the first place and the fullest window are found."""
+    mit = next(t for t in TEMPLATES if t.license_id == "MIT-notice" and t.shingles == 23)
+    filler = " ".join(f"word{i}" for i in range(97))
+    text = " ".join([filler, "of this software and associated documentation files", filler] + [STANDARD_MIT, filler] * 60 + [mit.text, filler] * 20)
+    got = scan_licenses(documents(spark, [(1, text)]), (mit,)).collect()
+    words = re.findall("[a-z0-9]+", text.lower())
+    shingles = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    counts = [len(mit.distinct & set(shingles[i : i + mit.window[0]])) for i in range(len(shingles))]
+    first = next(i for i, n in enumerate(counts) if 100 * n >= 80 * 23)
+    assert [(r["n_found"], r["first_word"]) for r in got] == [(max(counts), first)] and max(counts) == 23
+
+
 def test_usual_wordings_and_whole_texts(spark):
     gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     wordings = {
