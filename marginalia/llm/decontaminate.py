@@ -2,7 +2,9 @@
 
 Documents are taken in shards of some MB.  Each shard gets a suffix array over its words: the places of its words,
 sorted by the words that follow.  Every test suffix is then found in it by binary search, which gives the places of
-its first ten words; runs of consecutive places along one item are the longest verbatim matches.
+its first ten words; test suffixes that start alike are looked for once, so a place is found once for each length of
+window, however often the benchmark repeats itself.  From each place found, the longest verbatim match is the longer of
+the agreements with its two neighbours in the order of all test suffixes.
 
 Words outside the benchmark cannot be part of a match, so the words of a shard are numbered by the benchmark's
 vocabulary and places of other words are left out.  The array is sorted by as many words as fit into 64 bits first;
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import ALPHANUMERIC, LOWER, Hasher, Texts, batches, in_arrow, runs
+from marginalia.llm.common import ALPHANUMERIC, LOWER, Hasher, Texts, _powers, batches, in_arrow, mixed, runs
 
 WINDOW = 10
 ITEM_BYTES = 8 << 20
@@ -51,16 +53,22 @@ class TestSuffixes:
         starts = [np.arange(f, f + n - w + 1) for f, n, w in zip(firsts[:-1], counts, lengths, strict=True) if n]
         owners = [i for i, n in enumerate(counts) if n]
         self.place = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        self.item = np.repeat(owners, [len(s) for s in starts]).astype(np.int64)
+        item = np.repeat(owners, [len(s) for s in starts]).astype(np.int64)
         self.names = [name for name, _ in items]
-        self.length = lengths[self.item]
-        self.offset = self.place - firsts[self.item]
+        self.length = lengths[item]
         low, high = self._bounds(words)
+        _, first, same = np.unique(as_bytes(np.concatenate([low, high], axis=1)), return_index=True, return_inverse=True)
+        low, high, self.length = low[first], high[first], self.length[first]
         self.first_low, self.first_high = low[:, 0], high[:, 0]
         self.low, self.high = as_bytes(low), as_bytes(high)
+        # Items of each window: those of window w are item_of[items_at[w]:items_at[w + 1]].
+        pairs = np.unique(same * max(1, len(items)) + item)
+        self.item_of = pairs % max(1, len(items))
+        self.items_at = np.searchsorted(pairs // max(1, len(items)), np.arange(len(first) + 1))
+        self.order = SuffixOrder(numbers, firsts)
 
     def _bounds(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest keys of texts that start with each window."""
+        """Least and greatest keys of texts that start with the window of each suffix."""
         low = np.zeros((len(self.place), self.keys), np.uint64)
         high = np.zeros_like(low)
         full = np.uint64((1 << self.bits) - 1)
@@ -73,7 +81,7 @@ class TestSuffixes:
         return low, high
 
     def search(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, test suffix) of every occurrence of a window in ``numbers``, the words of a shard, 0 for others."""
+        """(place, window) of every occurrence of a window in ``numbers``, the words of a shard, 0 for others."""
         padded = np.concatenate([numbers, np.zeros(self.keys * self.per_key, np.uint64)])
         places = np.nonzero(numbers)[0]
         first = self._key(padded, places, 0)
@@ -90,9 +98,16 @@ class TestSuffixes:
         places, keys = places[order], keys[order]
         begin = np.searchsorted(keys, self.low, "left")
         found = np.maximum(np.searchsorted(keys, self.high, "right") - begin, 0)
-        suffix = np.repeat(np.arange(len(self.place)), found)
-        inside = np.arange(len(suffix)) - np.repeat(np.cumsum(found) - found, found)
-        return places[np.repeat(begin, found) + inside], suffix
+        window = np.repeat(np.arange(len(found)), found)
+        inside = np.arange(len(window)) - np.repeat(np.cumsum(found) - found, found)
+        return places[np.repeat(begin, found) + inside], window
+
+    def items(self, windows: np.ndarray) -> np.ndarray:
+        """The items that have any of ``windows``."""
+        windows = np.unique(windows)
+        begin, count = self.items_at[windows], np.diff(self.items_at)[windows]
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.unique(self.item_of[np.repeat(begin, count) + inside])
 
     def _key(self, padded: np.ndarray, places: np.ndarray, key: int) -> np.ndarray:
         """Words ``key * per_key`` onward of the suffixes at ``places``; a 0 ends the suffix."""
@@ -107,6 +122,93 @@ class TestSuffixes:
         return value
 
 
+class Sums:
+    """Hashes of stretches of numbers in constant time each."""
+
+    def __init__(self, codes: np.ndarray):
+        self.prefix = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * _powers("up", len(codes)), dtype=np.uint64, out=self.prefix[1:])
+
+    def of(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (self.prefix[start + size] - self.prefix[start]) * _powers("down", len(self.prefix))[start]
+
+
+class SuffixOrder:
+    """All suffixes of the items in the order of their words, to find how long a text agrees with any of them."""
+
+    def __init__(self, numbers: np.ndarray, firsts: np.ndarray):
+        """``numbers`` are the words of all items; item i has those from ``firsts[i]`` to ``firsts[i + 1]``."""
+        count = len(firsts) - 1
+        owner = np.repeat(np.arange(count), np.diff(firsts))
+        self.ends, place = count, np.arange(len(numbers)) + owner
+        # After each item stands an end of its own, below all words, so no two suffixes are the same.
+        self.words = np.zeros(len(numbers) + count, np.int64)
+        self.words[place] = numbers + count
+        self.words[firsts[1:] + np.arange(count)] = np.arange(count)
+        self.item = np.zeros(len(self.words), np.int32)
+        self.item[place] = owner
+        self.longest = int(np.diff(firsts).max(initial=0))
+        rank, reach = self.words, 1
+        while reach <= self.longest:
+            after = np.full(len(rank), -1, np.int64)
+            after[:-reach] = rank[reach:]
+            _, rank = np.unique(rank * (len(rank) + count + 2) + after + 1, return_inverse=True)
+            reach *= 2
+        self.sorted = np.argsort(rank, kind="stable")
+        self.sorted = self.sorted[self.words[self.sorted] >= count].astype(np.int32)
+        self.sums = Sums(mixed(self.words.astype(np.uint64)))
+
+    def agreement(self, sums: Sums, place: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        """How many words from each ``place`` of a text are those of the suffix at ``suffix``."""
+        same = np.zeros(len(place), np.int64)
+        step = 1 << self.longest.bit_length()
+        while step := step // 2:
+            longer = same + step
+            fits = (place + longer < len(sums.prefix)) & (suffix + longer < len(self.sums.prefix))
+            p, q, n = place[fits], suffix[fits], longer[fits]
+            equal = sums.of(p, n) == self.sums.of(q, n)
+            same[np.nonzero(fits)[0][equal]] += step
+        return same
+
+    def read(self, numbers: np.ndarray) -> tuple[np.ndarray, Sums]:
+        """A text's words as those of the items, -1 for others, and its sums; -1 agrees with nothing."""
+        words = np.where(numbers > 0, numbers.astype(np.int64) - 1 + self.ends, -1)
+        codes = np.where(words >= 0, words, np.arange(len(words)) + (1 << 40))
+        return words, Sums(mixed(codes.astype(np.uint64)))
+
+    def longest_match(self, words: np.ndarray, sums: Sums, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length of the longest agreement from each ``place``, where it would stand among the sorted suffixes)."""
+        low, high = np.zeros(len(place), np.int64), np.full(len(place), len(self.sorted), np.int64)
+        text, known = np.append(words, -1), np.append(self.words, -1)
+        while (open_ := np.nonzero(low < high)[0]).size:
+            middle = (low[open_] + high[open_]) // 2
+            suffix = self.sorted[middle]
+            same = self.agreement(sums, place[open_], suffix)
+            above = text[place[open_] + same] > known[suffix + same]
+            low[open_[above]] = middle[above] + 1
+            high[open_[~above]] = middle[~above]
+        best = np.zeros(len(place), np.int64)
+        for neighbour in (low - 1, low):
+            real = np.nonzero((neighbour >= 0) & (neighbour < len(self.sorted)))[0]
+            best[real] = np.maximum(best[real], self.agreement(sums, place[real], self.sorted[neighbour[real]]))
+        return best, low
+
+    def first_item(self, sums: Sums, place: int, length: int, at: int) -> int:
+        """The first item of those that agree with ``length`` words from ``place``; they stand around ``at``."""
+
+        def agrees(k: int) -> bool:
+            return int(self.agreement(sums, np.array([place]), self.sorted[k : k + 1])[0]) >= length
+
+        def edge(inside: int, outside: int) -> int:
+            while abs(outside - inside) > 1:
+                middle = (inside + outside) // 2
+                inside, outside = (middle, outside) if agrees(middle) else (inside, middle)
+            return inside
+
+        first = at if at < len(self.sorted) and agrees(at) else at - 1
+        return int(self.item[self.sorted[edge(first, -1) : edge(first, len(self.sorted)) + 1]].min())
+
+
 def as_bytes(keys: np.ndarray) -> np.ndarray:
     """Rows of 64-bit keys as byte strings in the same order."""
     return np.ascontiguousarray(keys.astype(">u8")).view(f"S{8 * keys.shape[1]}").ravel()
@@ -126,27 +228,30 @@ def matches(tests: TestSuffixes, texts: list[bytes]) -> dict[str, list]:
     shift = np.repeat(np.arange(len(texts)), np.diff(firsts))
     numbers = np.zeros(len(hashes) + len(texts) + 1, np.uint64)
     numbers[np.arange(len(hashes)) + shift] = np.where(known, spot + 1, 0)
-    place, suffix = tests.search(numbers)
+    place, window = tests.search(numbers)
     text = np.searchsorted(firsts + np.arange(len(firsts)), place, "right") - 1
-    start = place - firsts[text] - text
     columns = {"n_words": np.diff(firsts), "items": [[]] * len(texts), "spans": [[]] * len(texts)}
     columns |= {"longest": [0] * len(texts), "longest_item": [None] * len(texts), "longest_start": [None] * len(texts)}
-    order = np.argsort(text, kind="stable")
-    text, start, suffix = text[order], start[order], suffix[order]
+    if not len(place):
+        return columns
+    order = np.lexsort((place, text))
+    text, place, window = text[order], place[order], window[order]
+    words, sums = tests.order.read(numbers)
+    # A window that is a whole short item counts as long as it is; an agreement counts from a window's length on.
+    agreed, among = tests.order.longest_match(words, sums, place)
+    long = np.where(agreed >= tests.window, agreed, tests.length[window])
     for t, part in runs(text):
-        s, x = start[part], suffix[part]
-        columns["items"][t] = sorted({tests.names[i] for i in np.unique(tests.item[x]) if tests.names[i] is not None})
-        columns["spans"][t] = union(s, s + tests.length[x])
-        item, diagonal = tests.item[x], s - tests.offset[x]
-        by = np.lexsort((s, diagonal, item))
-        fresh = (np.diff(item[by], prepend=-1) != 0) | (np.diff(diagonal[by], prepend=-1) != 0) | (np.diff(s[by], prepend=-2) != 1)
-        run = np.nonzero(fresh)[0]
-        ends = np.concatenate([run[1:], [len(by)]])
-        long = ends - run - 1 + tests.length[x][by][run]
-        best = run[int(np.argmax(long))]
-        columns["longest"][t] = int(long.max())
-        columns["longest_item"][t] = tests.names[int(item[by][best])]
-        columns["longest_start"][t] = int(s[by][best])
+        start = place[part] - firsts[t] - t
+        columns["items"][t] = sorted({tests.names[i] for i in tests.items(window[part]) if tests.names[i] is not None})
+        columns["spans"][t] = union(start, start + tests.length[window[part]])
+        best = part.start + int(np.argmax(long[part]))
+        columns["longest"][t] = int(long[best])
+        columns["longest_start"][t] = int(place[best] - firsts[t] - t)
+        if agreed[best] >= tests.window:
+            item = tests.order.first_item(sums, int(place[best]), int(long[best]), int(among[best]))
+        else:
+            item = int(tests.items(window[best : best + 1])[0])
+        columns["longest_item"][t] = tests.names[item]
     return columns
 
 
@@ -181,7 +286,8 @@ def find_benchmark(
 
     ``items`` has item_id and text.  A window is ``window`` consecutive words of an item, or the whole of a shorter
     item; items without words, null or empty ones, have none, and items without an id are found but not named.
-    Documents without text have no words.  Repeated rows are rows of their own.  The columns of ``docs`` in ``carry``,
+    Documents without text have no words.  Repeated rows are rows of their own.  Of equally long matches the first of the
+    document counts, and of items that have it the first by name.  The columns of ``docs`` in ``carry``,
     all by default, are carried; those named like a result are replaced.
     """
     names = T.StructType.fromDDL(FOUND).names

@@ -1,7 +1,10 @@
 import random
 import re
+import tracemalloc
 
-from marginalia.llm.decontaminate import drop_contaminated, find_benchmark
+import pytest
+
+from marginalia.llm.decontaminate import TestSuffixes, drop_contaminated, find_benchmark, matches
 from tests.llm.rows import awkward, documents
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -55,6 +58,47 @@ def test_longest_match(spark):
     assert rows[2]["longest"] == 0 and rows[2]["longest_item"] is None and rows[2]["spans"] == []
 
 
+def longest_of(text, items, window):
+    """(length, item, place) of the first longest match that holds a window, by comparing all places."""
+    words, best = words_of(text), (0, None, None)
+    for s in range(len(words)):
+        for name, item in sorted(items, key=lambda i: (i[0] is not None, str(i[0]), i[1] or "")):
+            known = words_of(item)
+            for o in range(len(known)):
+                n = 0
+                while s + n < len(words) and o + n < len(known) and words[s + n] == known[o + n]:
+                    n += 1
+                if (n >= window or (o == 0 and 0 < n == len(known) < window)) and n > best[0]:
+                    best = (n, name, s)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_longest_matches_by_brute_force(seed):
+    rng = random.Random(seed)
+    items = [(str(i), random_text(rng, 0, 14)) for i in range(20)] + [("30", "a a a a a a a"), ("31", "a a a a a a a"), ("32", "gg")]
+    items = sorted(items)
+    tests = TestSuffixes([(n, t.encode()) for n, t in items], 4)
+    texts = [random_text(rng, 0, 40) for _ in range(40)] + ["a " * 30, "", "zz a a a a zz", "gg", items[3][1] + " " + items[5][1]]
+    got = matches(tests, [t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        want = longest_of(t, items, 4)
+        assert (got["longest"][i], got["longest_item"][i], got["longest_start"][i]) == want
+
+
+def test_a_benchmark_that_repeats_itself(spark):
+    """One word over and over, in the item and in the document: a place is one row, not one per place of the item."""
+    tests = TestSuffixes([("i", b"a " * 1000), *[(f"j{i}", b"a " * 50) for i in range(100)]], 10)
+    assert len(tests.low) == 1
+    tracemalloc.start()
+    got = matches(tests, [b"a " * 500_000, b"b " + b"a " * 20])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+    assert got["longest"] == [1000, 20] and got["longest_item"] == ["i", "i"] and len(got["items"][0]) == 101
+    assert got["spans"][0] == [{"start": 0, "end": 500_000}] and got["spans"][1] == [{"start": 1, "end": 21}]
+
+
 def test_many_words(spark):
     """A vocabulary of so many words that a window needs several keys."""
     rng = random.Random(9)
