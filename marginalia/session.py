@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,9 +28,16 @@ def local_session(cpus: int | str = "*", name: str = "marginalia", shared: str |
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The reliable folder the cluster names in ``spark.checkpoint.dir``, else one in the warehouse, which is shared too."""
+    """The reliable folder the cluster names in ``spark.checkpoint.dir``, else one in the warehouse, which is shared too.
+
+    A cluster that names none is told so, as its warehouse may be a folder of the driver alone.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        warnings.warn("spark.checkpoint.dir is unset: intermediate tables go to the warehouse, which all executors must reach", stacklevel=2)
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def durable(df: DataFrame) -> DataFrame:
