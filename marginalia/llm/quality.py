@@ -27,20 +27,27 @@ class Rule:
     most: int | None = None
 
 
-# The measured languages' common words: fixed values.
+# Common words of the languages measured (en, de, fr, es, it, pt, nl, sv, pl, ru), and letters of their scripts: fixed values.
 STOP_WORDS = (
     "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were "
     "der die das und ist nicht ein eine zu den mit von auf für im dem des sich als auch es an "
     "le la les de des et un une est que pour dans qui sur pas par au avec ce il en du "
-    "el los las que y del se por con una su para como más al lo no o"
+    "el los las que y del se por con una su para como más al lo no o "
+    "il che di non gli della sono è nel anche "
+    "os uma não dos mais foi são seu ou "
+    "het een dat niet zijn op voor met aan ook "
+    "och att det som är inte till av ett "
+    "i w nie na się jest że z do jak "
+    "и в не на что с он как это по я но к у из за то от для"
 ).split()
+LISTED_SCRIPTS = ("A-Za-z", ("00C0", "024F"), ("0400", "04FF"))
 
 RULES = (
     Rule("word_length_low", "word_chars", "n_words", least=200),
     Rule("word_length_high", "word_chars", "n_words", most=1200),
     Rule("symbols", "n_symbols", "n_words", most=30),
-    Rule("stop_words", "n_stop_words", "n_words", least=3),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", most=30),
+    Rule("stop_words", "n_stop_words", "n_listed_words", least=3),
+    Rule("repeated_lines", "dup_line_chars", "line_chars", most=30),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", most=90),
     Rule("cut_lines", "n_cut_lines", "n_lines", most=30),
 )
@@ -50,6 +57,12 @@ BASE_RULES = (
 )
 
 
+def letters_class(form: str) -> str:
+    """The pattern of a letter of LISTED_SCRIPTS; ``form`` writes a code point as the pattern's engine does."""
+    latin, *ranges = LISTED_SCRIPTS
+    return "[" + latin + "".join(form.format(a) + "-" + form.format(b) for a, b in ranges) + "]"
+
+
 def bind(value: Column, body) -> Column:
     """``body`` of ``value``, which is evaluated once per row."""
     return F.transform(F.array(value), body)[0]
@@ -102,7 +115,12 @@ def listed(docs: DataFrame, *kept: Column | str) -> DataFrame:
 
 
 def measures() -> dict[str, Column]:
-    """The figures of a row of ``listed``; lengths are in code points."""
+    """The figures of a row of ``listed``; lengths are in code points.
+
+    Repeated lines count by their characters, so short ones among long ones do not condemn a text.  Stop words are sought
+    among words that have a letter of LISTED_SCRIPTS; a text without such words has none to miss.
+    """
+    chars = lambda lines: F.length(F.array_join(lines, "")).cast("long")
     count = lambda array: F.size(array).cast("long")
     words, lines = F.col("_words"), F.col("_lines")
     stop = [form for w in dict.fromkeys(STOP_WORDS) for form in (w, w.capitalize())]
@@ -113,7 +131,10 @@ def measures() -> dict[str, Column]:
         "n_symbols": F.length(F.regexp_replace("_whole", f"[^{SYMBOLS}]+", "")).cast("long"),
         "n_lines": count(lines),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "line_chars": chars(lines),
+        "dup_line_chars": chars(lines) - chars(F.array_distinct(lines)),
         "n_repeat_words": repeated_words(words),
+        "n_listed_words": count(F.filter(words, lambda w: w.rlike(letters_class("\\x{{{}}}")))),
         "n_stop_words": count(F.filter(words, lambda w: w.isin(*stop))),
         "n_bullet_lines": count(F.filter(lines, lambda line: start(line).startswith("- ") | start(line).startswith("• "))),
         "n_cut_lines": count(F.filter(lines, lambda line: line.endswith("...") | line.endswith("…"))),

@@ -191,7 +191,9 @@ def quality_sql() -> str:
             (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM twice) GROUP BY r),
         figures AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(whole, '[ \\x09-\\x0D]+', '', 'g')) AS word_chars,
             length(whole) - length(translate(whole, '{quality.SYMBOLS}', '')) AS n_symbols, len(lines) AS n_lines,
-            len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+            len(lines) - len(list_distinct(lines)) AS n_dup_lines, length(array_to_string(lines, '')) AS line_chars,
+            length(array_to_string(lines, '')) - length(array_to_string(list_distinct(lines), '')) AS dup_line_chars,
+            len(list_filter(words, lambda x: regexp_matches(x, '{quality.letters_class("\\x{{{}}}")}'))) AS n_listed_words, coalesce(n, 0) AS n_repeat_words,
             len(list_filter(words, lambda x: x IN ({stop}))) AS n_stop_words,
             len(list_filter(lines, lambda x: starts_with(ltrim(x, ' '), '- ') OR starts_with(ltrim(x, ' '), '• '))) AS n_bullet_lines,
             len(list_filter(lines, lambda x: ends_with(x, '...') OR ends_with(x, '…'))) AS n_cut_lines,

@@ -48,6 +48,24 @@ def test_verdicts(spark):
     assert keep_good(documents(spark, [])).count() == 0
 
 
+def test_clean_texts_stay(spark):
+    """Languages with stop words of their own, scripts without listed words, and a few short lines repeated."""
+    sentence = "The house stands on a hill and the road to it is long, so people of the town walk there in summer and rest by the river"
+    other = "Nobody knows which of them came first or why it was built there, but all agree that this is the best place for a view"
+    texts = [
+        "Дом стоит на холме, и дорога к нему длинная. Люди из города ходят туда летом, а дети бегут к реке, но это не так далеко, как он думает.",
+        "La casa sta su una collina e la strada che porta al paese è lunga, ma gli abitanti della valle non sono soli: anche nel bosco il sentiero va avanti.",
+        "Dom stoi na wzgórzu i droga do miasta jest długa, ale ludzie nie boją się tego, że w lesie z rana jest zimno jak w zimie.",
+        " ".join(["पहाड़ी पर एक घर है और रास्ता लंबा है"] + [f"शब्द{i}" for i in range(20)]),
+        "\n".join([sentence, "yes", "no", "yes", "no", "yes", other, "yes"]),
+    ]
+    docs = documents(spark, list(enumerate(texts)))
+    rows = {r["doc_id"]: r for r in judge_quality(docs).collect()}
+    assert {i: r["failed_rules"] for i, r in rows.items()} == {i: [] for i in range(5)}
+    assert rows[4]["n_dup_lines"] == 4 and all(not r["base_failed"] for r in rows.values())
+    assert keep_good(docs).count() == 5
+
+
 def test_no_user_functions(spark):
     plan = judge_quality(documents(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
