@@ -13,9 +13,10 @@ how many registers are greater, less and equal; an estimate under CUTOFF is more
 
 Equal sets are one node.  Each node meets the smallest of each of its buckets first, and the most alike of these is
 confirmed.  Then what is not connected meets: buckets whose nodes are one
-component are done, in the others the nodes of different components are compared register by register within blocks, so
-that no pair inside a component is written.  Likely pairs between components are all written, as one array per node; in a
-large group of texts that are alike by less than the threshold these are nearly all its pairs.
+component are done, in the others the nodes of different components are compared register by register within cells, so
+that no pair inside a component is written.  Likely partners go on as an array per node and part of the partners' sets; a
+task holds one such part, confirms until the components are connected, and hands on a forest of links.  A pair is never a
+row; in a large group of texts that are alike by less than the threshold the arrays hold nearly all its pairs.
 
 Shingles are 64-bit hashes of their words; all sets stay apart unless those collide.  Sets are told apart by two sums of
 their hashes and their size, and numbered as they are stored; the same steps are taken for any number of them.
@@ -38,6 +39,7 @@ REGISTERS, BANDS = 128, 32
 SCALE, RATE = 1.001, 20.0
 CUTOFF = 0.6
 BLOCK = 512
+PART_BYTES = 16 << 20  # sets of partners that a task holds, and sets that it holds against them at a time
 
 _FACTORS = np.random.default_rng(11).integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -149,20 +151,7 @@ class Search:
         shingles = self.shingles(nodes)
         best = stars.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
         found = stored(chains(self.confirmed(best, shingles)), "components")
-        lists, others = self.across(found)
-        lists, others = stored(lists, "candidates"), stored(others, "nodes")
-        if lists.isEmpty():
-            return found
-        more = lists.select("node").union(others).distinct().join(nodes, "node", "left_anti")
-        shingles = shingles.unionByName(self.shingles(stored(more, "nodes")))
-        left = stored(self.likely(lists.select(F.col("node").alias("one"), F.explode("others").alias("two")).select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()), "candidates")
-        # One link between two components is enough, so the most alike are tried first.
-        for best_only in (True, True, False):
-            tried = stored(self.most_alike(left, found), "candidates") if best_only else left
-            found = stored(connected(found, self.confirmed(tried, shingles)), "components")
-            if best_only:
-                left = stored(self.apart(left, found).join(tried, ["a", "b"], "left_anti"), "candidates")
-        return found
+        return self.joined_across(found, nodes, shingles)
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """``pairs`` whose sizes allow the similarity and whose registers make it likely, with the estimate."""
@@ -212,28 +201,55 @@ class Search:
         both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "s_a", "s_b")
         return in_arrow(both, check, "a long, b long").distinct()
 
-    def named(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
-        """``pairs`` with the components ``c_a`` and ``c_b`` of their sides."""
-        side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-        known = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-        return known.select(*pairs.columns, F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b"))
-
-    def apart(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
-        """``pairs`` whose sides are not connected yet."""
-        return self.named(pairs, found).filter("c_a <> c_b").select(*pairs.columns)
-
-    def most_alike(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
-        """For each node and each component it has pairs with, the pair of the highest estimate."""
-        known = self.named(pairs, found)
-        ways = F.array(F.struct(F.col("a").alias("one"), F.col("c_b").alias("to")), F.struct(F.col("b").alias("one"), F.col("c_a").alias("to")))
-        best = known.select("a", "b", "estimate", F.explode(ways).alias("way")).groupBy("way").agg(F.max(F.struct("estimate", "a", "b")).alias("best"))
-        return best.select("best.a", "best.b").distinct()
+    def joined_across(self, found: DataFrame, nodes: DataFrame, shingles: DataFrame) -> DataFrame:
+        """``found`` with the links between its components; ``shingles`` has the sets of ``nodes``."""
+        lists, partners = self.across(found)
+        if partners is None:
+            return found
+        size = self.nodes.select("node", (8 * F.col("n")).alias("bytes"))
+        lists = lists.groupBy("node", "component", "part").agg(F.flatten(F.collect_list("others")).alias("others"))
+        lists = stored(lists.join(size, "node").withColumn("bytes", F.col("bytes") + 8 * F.size("others")), "candidates")
+        more = lists.select("node").union(partners.select("node")).distinct().join(nodes, "node", "left_anti")
+        shingles = shingles.unionByName(self.shingles(stored(more, "nodes")))
+        # As many tasks take a part as the sets held against it need.
+        tasks = lists.groupBy("part").agg(F.ceil(F.sum("bytes") / PART_BYTES).cast("int").alias("tasks"))
+        left = lists.join(tasks, "part").withColumn("task", F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int"))
+        left = left.select("part", "task", "node", "component", "others").join(shingles, "node")
+        right = partners.join(tasks, "part").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+        right = right.select("part", "task", "node", "component").join(shingles.withColumnRenamed("shingles", "known"), "node")
+        percent = self.percent
 
-    def across(self, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Likely pairs of buckets between different components, as (node, others), and the nodes that may be others.
+        def confirm(asked: pa.Table, known: pa.Table) -> pa.Table:
+            sets = {n: (c, s) for n, c, s in zip(*[known.column(k).to_pylist() for k in ("node", "component", "known")], strict=True)}
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while root.get(c, c) != c:
+                    root[c] = root.get(root[c], root[c])
+                    c = root[c]
+                return c
+
+            links = []
+            for node, own, others, mine in zip(*[asked.column(k).to_pylist() for k in ("node", "component", "others", "shingles")], strict=True):
+                first = np.frombuffer(mine, np.uint64)
+                for other in others:
+                    component, second = sets[other]
+                    a, b = find(own), find(component)
+                    if a != b and alike(first, np.frombuffer(second, np.uint64), percent):
+                        root[a] = b
+                        links.append((min(node, other), max(node, other)))
+            one, two = zip(*links, strict=True) if links else ((), ())
+            return pa.table([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["a", "b"])
+
+        links = left.groupBy("part", "task").cogroup(right.groupBy("part", "task")).applyInArrow(confirm, "a long, b long")
+        return stored(connected(found, stored(links, "links")), "components")
+
+    def across(self, found: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+        """Likely partners in buckets that hold several components, as (node, component, part, others), and where the
+        partners' sets are, as (node, component, part); None if there is no such bucket.
 
         Of each bucket the largest component's nodes meet the others' and the others' meet one another, in blocks of
-        BLOCK nodes; a cell of two blocks is one group.
+        BLOCK nodes; a cell of two blocks is one group.  Partners that share buckets are put into the same parts.
         """
         labelled = self.buckets.select("key", "band", "node").join(found, "node", "left")
         labelled = labelled.select("key", "band", "node", F.coalesce("component", "node").alias("component"))
@@ -241,6 +257,13 @@ class Search:
         whole = per.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("big")).filter("all > big.n")
         whole = whole.select("key", F.col("big.component").alias("main"), F.ceil(F.col("big.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("big.n")) / BLOCK).cast("int").alias("others"))
         rows = labelled.join(whole, "key").withColumn("is_main", F.col("component") == F.col("main"))
+        homes = rows.filter("not is_main").groupBy("node", "component").agg(F.min("key").alias("home"))
+        homes = stored(homes.join(self.nodes.select("node", "n"), "node"), "homes")
+        held = homes.agg(F.sum(8 * F.col("n"))).first()[0]
+        if not held:
+            return None, None
+        spread = homes.repartitionByRange(-(-held // PART_BYTES), "home", "node")
+        partners = stored(spread.select("node", "component", F.spark_partition_id().alias("part")), "partners")
         block = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
         rows = rows.withColumn("block", block)
         cell = lambda kind, x, y, left: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), F.lit(left).alias("left"))
@@ -254,6 +277,7 @@ class Search:
         )
         cells = rows.select("key", "band", "node", "component", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_other)).alias("c"))
         met = cells.select("key", "band", "node", "component", "c.*").join(self.nodes.select("node", "n", "registers"), "node")
+        met = met.join(partners.select("node", "part"), "node", "left")
         percent = self.percent
 
         def compare(group: pa.Table) -> pa.Table:
@@ -262,21 +286,22 @@ class Search:
             lines = lambda t: np.frombuffer(b"".join(t.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
             a, b, ca, cb = get(left, "node"), get(right, "node"), get(left, "component"), get(right, "component")
             na, nb, ra, rb = get(left, "n"), get(right, "n"), lines(left), lines(right)
-            band = group.column("band")[0].as_py()
-            found_nodes, found_others = [], []
+            band, part = group.column("band")[0].as_py(), right.column("part").to_numpy()
+            found: list[tuple] = []
             for i in range(len(a)):
                 fit = (ca[i] != cb) & (100 * np.minimum(na[i], nb) >= percent * np.maximum(na[i], nb))
                 spot = np.nonzero(fit)[0]
                 same = ra[i] == rb[spot]
                 first = same.reshape(len(spot), BANDS, REGISTERS // BANDS).all(axis=2).argmax(axis=1)  # a pair counts in its first band only
                 spot = spot[(same.sum(axis=1) >= CUTOFF * REGISTERS) & (first == band)]
-                if len(spot):
-                    found_nodes.append(a[i])
-                    found_others.append(b[spot])
-            return pa.table([pa.array(found_nodes, pa.int64()), pa.array(found_others, pa.list_(pa.int64()))], names=["node", "others"])
-
-        lists = met.groupBy("key", "kind", "x", "y").applyInArrow(compare, "node long, others array<long>")
-        return lists, rows.filter("not is_main").select("node").distinct()
+                for one in np.unique(part[spot]):
+                    found.append((a[i], ca[i], one, b[spot][part[spot] == one]))
+            nodes, components, parts, others = zip(*found, strict=True) if found else ((), (), (), ())
+            columns = [pa.array(nodes, pa.int64()), pa.array(components, pa.int64()), pa.array(parts, pa.int32()), pa.array(others, pa.list_(pa.int64()))]
+            return pa.table(columns, names=["node", "component", "part", "others"])
+
+        lists = met.groupBy("key", "kind", "x", "y").applyInArrow(compare, "node long, component long, part int, others array<long>")
+        return lists, partners
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
