@@ -38,7 +38,7 @@ from marginalia.llm.components import chains, connected
 REGISTERS, BANDS = 128, 32
 SCALE, RATE = 1.001, 20.0
 CUTOFF = 0.6
-BLOCK = 512
+BLOCK = 2048
 PART_BYTES = 16 << 20  # sets of partners that a task holds, and sets that it holds against them at a time
 
 _FACTORS = np.random.default_rng(11).integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
