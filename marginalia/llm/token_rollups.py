@@ -35,7 +35,7 @@ def summed(rows: DataFrame) -> DataFrame:
 
 
 class Rollups:
-    """Totals in ``folder``, which every executor can reach: one folder of deltas per committed batch or merged base."""
+    """Totals in ``folder``, which every executor can reach: one folder of deltas per committed batch."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -59,10 +59,13 @@ class Rollups:
         return not self._files.exists(target) and self._files.rename(self._path(attempt), target)
 
     def totals(self) -> DataFrame:
-        """documents and tokens per key over all committed batches; keys without documents are left out."""
+        """documents and tokens per key over all committed batches; keys with neither are left out.
+
+        A key with tokens but no documents, or the other way round below zero, tells of changes that do not fit together.
+        """
         paths = [f"{self.folder}/batches/{name}" for name in self.committed()]
         rows = self.spark.read.schema(DELTAS).parquet(*paths) if paths else self.spark.createDataFrame([], DELTAS)
-        return summed(rows).filter("documents <> 0")
+        return summed(rows).filter("documents <> 0 or tokens <> 0")
 
 
 def side(source: Column, lang: Column, version: Column, tokens: Column) -> Column:

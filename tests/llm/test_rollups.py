@@ -19,3 +19,11 @@ def test_batches_are_applied_once_and_add_up(spark):
     assert state.apply(3, changes(spark, []))
     got = sorted(tuple(map(str, r)) for r in Rollups(spark, folder).totals().collect())
     assert got == [("None", "None", "1", "1", "0"), ("b", "en", "1", "1", "12")]
+
+
+def test_changes_that_do_not_fit_are_shown(spark):
+    """A document that came with ten tokens and goes with seven leaves three behind, and they are seen."""
+    state = Rollups(spark, f"{shared_folder(spark)}/rollups-{uuid.uuid4().hex}")
+    state.apply(1, changes(spark, [(None, ("a", "en", "1", 10), ""), (None, ("b", "en", "1", 4), "")]))
+    state.apply(2, changes(spark, [(("a", "en", "1", 7), None, ""), (("b", "en", "1", 4), None, "")]))
+    assert [tuple(r) for r in state.totals().collect()] == [("a", "en", "1", 0, 3)]
