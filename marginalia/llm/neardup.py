@@ -262,8 +262,11 @@ class Search:
         held = homes.agg(F.sum(8 * F.col("n"))).first()[0]
         if not held:
             return None, None
-        spread = homes.repartitionByRange(-(-held // PART_BYTES), "home", "node")
-        partners = stored(spread.select("node", "component", F.spark_partition_id().alias("part")), "partners")
+        # A home whose sets are more than a part is split; all homes are dealt to as many parts as all sets need.
+        split = homes.groupBy("home").agg(F.ceil(F.sum(8 * F.col("n")) / PART_BYTES).alias("pieces"))
+        piece = F.pmod(F.xxhash64("node"), F.col("pieces"))
+        part = F.pmod(F.xxhash64("home", piece), F.lit(-(-held // PART_BYTES))).cast("int")
+        partners = stored(homes.join(split, "home").select("node", "component", part.alias("part")), "partners")
         block = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
         rows = rows.withColumn("block", block)
         cell = lambda kind, x, y, left: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), F.lit(left).alias("left"))
