@@ -177,6 +177,13 @@ def test_highlight_id(spark):
     assert {r.text: r.id for r in with_highlight_id(df).collect()} == {t: f"u:p7:{djb2(t)}" for t in texts}
 
 
+def test_long_texts_are_hashed_without_a_loop_over_letters(spark):
+    texts = ["é😀z" * n for n in (16_384, 21_846, 50_000)] + ["a" * 65_535, "b" * 65_536, "c" * 65_537, None]
+    named = with_highlight_id(spark.createDataFrame([("u", 7, t) for t in texts], "uuid string, page int, text string"))
+    assert {r.text: r.id for r in named.collect()} == {t: t and f"u:p7:{djb2(t)}" for t in texts}
+    assert "lambda" not in named._jdf.queryExecution().toString()
+
+
 def test_text_helpers(spark):
     df = spark.range(1).select(
         text.yaml_escaped(F.lit('a"b\\c\nd')).alias("yaml"),
