@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import (
     BLANK,
     BLANK_IN_LINE,
+    BLANKS,
     day,
     note_name,
     ordered_join,
@@ -24,7 +25,7 @@ from marginalia.functions.text import (
     without_tail,
     yaml_escaped,
 )
-from marginalia.session import durable
+from marginalia.session import written
 
 DOC_PAGE = ["doc", "page"]
 
@@ -67,11 +68,16 @@ MIN_CONFIDENCE = 30
 # --- the managed section ---------------------------------------------------------------------------------------------
 
 
-def _first_found(body: Column, wanted: list[str]) -> tuple[Column, Column]:
+def _places(body: Column, wanted: list[str], name: str) -> dict[str, Column]:
+    """Columns with the position of each marker, 0 when it does not occur; a search letter by letter only where one does."""
+    return {f"{name}{i}": F.when(body.contains(text), F.instr(body, text)).otherwise(F.lit(0)) for i, text in enumerate(wanted)}
+
+
+def _first_found(wanted: list[str], name: str) -> tuple[Column, Column]:
     """(position, marker) of the first generation that occurs; position 0 and null when none does."""
     at, marker = F.lit(0), F.lit(None).cast("string")
-    for text in reversed(wanted):
-        here = F.instr(body, text)
+    for i, text in reversed(list(enumerate(wanted))):
+        here = F.col(f"{name}{i}")
         at, marker = F.when(here > 0, here).otherwise(at), F.when(here > 0, F.lit(text)).otherwise(marker)
     return at, marker
 
@@ -83,9 +89,10 @@ def _tail(text: Column, start: Column) -> Column:
 def split_managed_section(notes: DataFrame, markers: tuple[Markers, ...] = MARKERS, body: str = "body") -> DataFrame:
     """Adds ``before``, ``managed`` (between the markers), ``after`` and the two markers found; null without a section."""
     text = F.col(body)
-    start, start_marker = _first_found(text, [m.start for m in markers])
-    end, end_marker = _first_found(text, [m.end for m in markers])
-    df = notes.withColumns({"_s": start, "_e": end, "_sm": start_marker, "_em": end_marker})
+    starts, ends = [m.start for m in markers], [m.end for m in markers]
+    places = _places(text, starts, "_s") | _places(text, ends, "_e")
+    (start, start_marker), (end, end_marker) = _first_found(starts, "_s"), _first_found(ends, "_e")
+    df = notes.withColumns(places).withColumns({"_s": start, "_e": end, "_sm": start_marker, "_em": end_marker}).drop(*places)
     inner = F.col("_s") + F.length("_sm")
     whole = (F.col("_s") > 0) & (F.col("_e") >= inner)
     return df.withColumns(
@@ -257,8 +264,7 @@ def merge_notes(existing: DataFrame, fresh: DataFrame, overwrite: bool = False,
     Of an existing note only the managed section and the header count change; without a section it is appended.
     ``overwrite`` takes the fresh note.  Typed blocks are carried over either way.
     """
-    old = split_managed_section(existing.select("doc", F.col("body").alias("old_body")), markers, "old_body")
-    joined = fresh.join(old, "doc", "left")
+    joined = split_managed_section(fresh.join(existing.select("doc", F.col("body").alias("old_body")), "doc", "left"), markers, "old_body")
     spliced = F.concat(_with_count(F.col("before"), F.col("highlight_count")), F.col("section"), F.col("after"))
     appended = F.concat(without_tail(F.col("old_body")), F.lit("\n\n"), F.col("section"), F.lit("\n"))
     kept = F.col("body") if overwrite else F.coalesce(spliced, appended)
@@ -266,26 +272,33 @@ def merge_notes(existing: DataFrame, fresh: DataFrame, overwrite: bool = False,
     return preserve_typed_notes(merged, markers)
 
 
-def _structural(markers: tuple[Markers, ...]) -> str:
+def _stopping(markers: tuple[Markers, ...]) -> str:
+    """A line that is blank or holds a marker alone."""
     names = "|".join(re.escape(m.name).replace("\\-", "-") for m in markers)
-    return f"^<!--\\s*(/?notes|({names}):(start|end))\\s*-->$"
+    return f"\\A[{BLANKS}]*+(\\z|<!--\\s*(/?notes|({names}):(start|end))\\s*-->\\x85?[{BLANKS}]*\\z)"
 
 
 def _lines_above(text: Column, markers: tuple[Markers, ...]) -> Column:
     """The unbroken run of content lines at the end of a text, blank lines after it aside."""
     lines = F.split(without_tail(text), "\n")
-    stops = F.transform(
-        lines, lambda line, i: F.when((trimmed(line) == "") | trimmed(line).rlike(_structural(markers)), i + 1).otherwise(F.lit(0))
-    )
+    stops = F.transform(lines, lambda line, i: F.when(line.rlike(_stopping(markers)), i + 1).otherwise(F.lit(0)))
     last_stop = F.array_max(stops)
     return F.array_join(F.slice(lines, last_stop + 1, F.greatest(F.size(lines) - last_stop, F.lit(0))), "\n")
 
 
 def anchor_key(anchor: Column) -> Column:
     """Anchor text without what changes on a fresh rendering: image hashes, embed sizes, blanks, case."""
-    text = F.regexp_replace(anchor, "(?i)_p(\\d+)_[0-9a-f]+\\.(png|svg|jpg|jpeg)", "_p$1.$2")
-    text = F.regexp_replace(text, "\\|[^\\]]*\\]\\]", "]]")
-    key = F.lower(trimmed(F.regexp_replace(text, f"{BLANK}+", " ")))
+
+    def where(text: Column, due: Column, changed: Column) -> Column:
+        return F.when(due, changed).otherwise(text)
+
+    # Most anchors are long passages without any of these, which a plain search tells sooner than a replacement.
+    images = F.regexp_replace(anchor, "(?i)_p(\\d+)_[0-9a-f]+\\.(png|svg|jpg|jpeg)", "_p$1.$2")
+    text = where(anchor, anchor.contains("_p") | anchor.contains("_P"), images)
+    text = where(text, text.contains("]]"), F.regexp_replace(text, "\\|[^\\]]*\\]\\]", "]]"))
+    text = F.replace(text, F.lit("\n"), F.lit(" "))
+    text = where(text, text.rlike(f"[{BLANK}&&[^ ]]"), F.regexp_replace(text, BLANK, " "))
+    key = F.lower(F.trim(where(text, text.contains("  "), F.regexp_replace(text, "  +", " "))))
     return F.coalesce(F.nullif(key, F.lit("")), F.lit(SECTION_START_KEY))
 
 
@@ -326,13 +339,13 @@ def carry_notes_forward(old_blocks: DataFrame, new_blocks: DataFrame) -> DataFra
 
     Per document and anchor the notes queue up in order and fill the empty slots in order.  A slot that already holds
     the note at the head of the queue takes it out; what is left has no slot.  Both sides come out of single notes,
-    so a group never exceeds one note.
+    so a group never exceeds one note, and rows are dealt by document once for all groupings that follow.
     """
     old = old_blocks.filter(F.col("content") != "").select(
         "doc", "key", F.struct("pos", "content", "anchor_text").alias("note"), F.lit(None).cast(SLOT).alias("slot")
     )
     new = new_blocks.select("doc", "key", F.lit(None).cast(NOTE).alias("note"), F.struct("pos", "content").alias("slot"))
-    queues = old.unionByName(new).groupBy("doc", "key").agg(
+    queues = old.unionByName(new).repartition("doc").groupBy("doc", "key").agg(
         F.array_sort(F.collect_list("note")).alias("queue"), F.array_sort(F.collect_list("slot")).alias("slots")
     )
 
@@ -354,8 +367,12 @@ def carry_notes_forward(old_blocks: DataFrame, new_blocks: DataFrame) -> DataFra
     )
 
 
+def _summary(anchor: Column) -> Column:
+    return shortened(trimmed(F.substring_index(anchor, "\n", 1)))
+
+
 def _orphan_text(note: Column) -> Column:
-    summary = shortened(trimmed(F.substring_index(note["anchor_text"], "\n", 1)))
+    summary = _summary(note["anchor_text"])
     under = F.concat(F.lit("**Originally under:** `"), summary, F.lit("`\n"))
     return F.concat(
         F.when(note["anchor_text"] != "", under).otherwise(F.lit("")),
@@ -371,14 +388,17 @@ def preserve_typed_notes(pairs: DataFrame, markers: tuple[Markers, ...] = MARKER
     Notes without a slot end up in a callout at the end of the managed section; none is lost.
     """
     # Both bodies are read for their blocks and again for the result.
-    pairs = durable(pairs)
+    pairs = written(pairs)
     old = anchor_blocks(pairs.filter(F.col("old_body").isNotNull()), markers, "old_body")
-    carried = carry_notes_forward(old, anchor_blocks(pairs, markers, "body"))
+    # Blocks travel with a digest of their anchor and what is shown of its text, not with the passages themselves.
+    digest = {"key": F.sha2("key", 256)}
+    old = old.withColumns(digest | {"anchor_text": _summary(F.col("anchor_text"))})
+    carried = carry_notes_forward(old, anchor_blocks(pairs, markers, "body").withColumns(digest))
     per_doc = carried.groupBy("doc").agg(
         F.array_sort(F.flatten(F.collect_list("fills"))).alias("fills"),
         F.array_sort(F.collect_list(F.when(F.size("orphans") > 0, F.struct("first_pos", "orphans")))).alias("left"),
     )
-    df = split_managed_section(pairs, markers).join(per_doc, "doc", "left")
+    df = split_managed_section(pairs.select("doc", "body").join(per_doc, "doc", "left"), markers)
     section = F.concat("start_marker", "managed", "end_marker")
     gaps = F.split(section, BLOCK)
     raw = F.regexp_extract_all(section, F.lit(BLOCK), F.lit(1))

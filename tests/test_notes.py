@@ -159,6 +159,33 @@ def test_names(spark):
     assert named([("a", "???.PDF")]) == {"a": "Untitled"}
 
 
+def test_blocks_travel_without_their_passages(spark):
+    def rows_moved(length):
+        passage = "> " + "q" * length
+        old = f"<!-- marginalia:start -->\n{passage}\n<!-- notes -->\nmine\n<!-- /notes -->\n<!-- marginalia:end -->"
+        pairs = spark.createDataFrame([(1, old, "<!-- marginalia:start -->\n<!-- marginalia:end -->")], "doc bigint, old_body string, body string")
+        merged = notes.preserve_typed_notes(pairs)
+        body = merged.collect()[0].body
+        assert body.count("mine") == 1 and "`> " + "q" * min(length, 98) in body
+        plan = merged._jdf.queryExecution().executedPlan()
+        return plan.toString()
+
+    assert "sha2" in rows_moved(300)
+
+
+@pytest.mark.parametrize("line", ["", " \t", "\u00a0", "<!-- notes -->", "  <!--  /notes-->\u3000", "<!-- marginalia-v0:end -->", "x <!-- notes -->", "<!-- notes --> x", "> q", "<!-- other -->"])
+def test_lines_that_stop_an_anchor(spark, line):
+    stops = line.strip("\u00a0\u3000 \t") in ("", "<!-- notes -->", "<!--  /notes-->", "<!-- marginalia-v0:end -->")
+    df = spark.createDataFrame([(f"above\n{line}\nlast",)], "t string")
+    assert df.select(notes._lines_above(F.col("t"), notes.MARKERS)).first()[0] == ("last" if stops else f"above\n{line}\nlast")
+
+
+def test_anchor_keys_ignore_blanks(spark):
+    texts = ["a b", " a  b ", "a\tb", "A\u00a0\u3000 b\n", "a \n b", "a\ufeffb"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(notes.anchor_key(F.col("t"))).collect()] == ["a b"] * len(texts)
+
+
 def djb2(s):
     h = 5381
     data = s.encode("utf-16-le")
