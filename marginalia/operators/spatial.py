@@ -29,9 +29,9 @@ MAX_CROSSING = 0.30
 FINE_CAPTURE = 1.05
 HIGHLIGHTER_WIDTH = 8.0
 
-# Grid of the range joins, in page points: about one line high, a third of a page wide.
-CELL_W = 256
-CELL_H = 64
+# Grid of the range joins, in page points: a sixth of a page high and as wide as most, so that few words and boxes lie in two.
+CELL_W = 1024
+CELL_H = 128
 
 
 def detect_gutters(blocks: DataFrame) -> DataFrame:
@@ -83,20 +83,20 @@ def text_under_rects(rects: DataFrame, words: DataFrame, gutters: DataFrame) ->
     """Text of each highlight: the words that share area with any of its boxes, once each, in reading order.
 
     Words and boxes meet in grid cells, so a busy page spreads over many tasks.  A pair counts in the one cell
-    that holds the corner where its overlap starts.  A box goes on without words where it meets none, so a highlight
+    that holds the corner where its overlap starts.  The boxes, which are fewer, carry the page's gutter to the words, so
+    words are dealt once.  A box goes on without words where it meets none, so a highlight
     without words has an empty text; the boxes are read once.
     """
     real = (F.col("w") > 0) & (F.col("h") > 0)
-    boxes = rects.select(
-        *PAGE, "hl_id", F.col("x").alias("rx0"), F.col("y").alias("ry0"),
+    boxes = rects.join(gutters.select(*PAGE, "gutter_x"), PAGE, "left").select(
+        *PAGE, "hl_id", "gutter_x", F.col("x").alias("rx0"), F.col("y").alias("ry0"),
         (F.col("x") + F.col("w")).alias("rx1"), (F.col("y") + F.col("h")).alias("ry1"), real.alias("real"),
     )
     across, down = _cells(F.col("rx0"), F.col("rx1"), CELL_W), _cells(F.col("ry0"), F.col("ry1"), CELL_H)
     boxes = boxes.withColumn("cx", F.explode_outer(F.when(F.col("real"), across))).withColumn("cy", F.explode_outer(F.when(F.col("real"), down)))
-    sided = words.filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).join(gutters, PAGE, "left")
-    sided = sided.withColumn("side", column_side(F.col("x0"), F.col("x1") - F.col("x0"), F.col("gutter_x")))
-    sided = sided.select(
-        *[F.col(c).alias(f"w_{c}") for c in PAGE], "side", "x0", "y0", "x1", "y1", "word_id", "word",
+    solid = words.filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+    placed = solid.select(
+        *[F.col(c).alias(f"w_{c}") for c in PAGE], "x0", "y0", "x1", "y1", "word_id", "word",
         F.explode(_cells(F.col("x0"), F.col("x1"), CELL_W)).alias("wx"),
     ).withColumn("wy", F.explode(_cells(F.col("y0"), F.col("y1"), CELL_H)))
     left, top = F.greatest("x0", "rx0"), F.greatest("y0", "ry0")
@@ -105,9 +105,10 @@ def text_under_rects(rects: DataFrame, words: DataFrame, gutters: DataFrame) ->
     meet = (F.col("cx") == F.col("wx")) & (F.col("cy") == F.col("wy")) & overlap & here
     for column in PAGE:
         meet = (F.col(column) == F.col(f"w_{column}")) & meet
-    word = F.when(F.col("word_id").isNotNull(), F.struct("side", "y0", "x0", "word_id", "word"))
+    side = column_side(F.col("x0"), F.col("x1") - F.col("x0"), F.col("gutter_x")).alias("side")
+    word = F.when(F.col("word_id").isNotNull(), F.struct(side, "y0", "x0", "word_id", "word"))
     found = F.array_sort(F.collect_set(word))
-    met = boxes.join(sided, meet, "left").groupBy(*PAGE, "hl_id").agg(found.alias("found"))
+    met = boxes.join(placed, meet, "left").groupBy(*PAGE, "hl_id").agg(found.alias("found"))
     return met.select(*PAGE, "hl_id", F.trim(F.array_join(F.col("found.word"), " ")).alias("text"))
 
 

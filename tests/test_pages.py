@@ -179,3 +179,13 @@ def test_widths(spark):
     assert found[3] == pytest.approx([2 * 1.21 * 1.01 * 2.54] * 3)
     stats = {r.stroke_id: r.drawn_width for r in strokes.stroke_stats(pens(spark, {1: 2, 2: 18, 4: 3}, 1.0), df).collect()}
     assert stats == {1: 2.5, 2: 8.0, 4: 1.0}
+
+
+def test_words_are_dealt_once(spark):
+    rects = spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 50.0, 10.0)], "doc bigint, page int, hl_id bigint, x double, y double, w double, h double")
+    words = spark.createDataFrame([(1, 1, 1, "a", 0.0, 0.0, 9.0, 9.0), (1, 1, 2, "b", 20.0, 0.0, 29.0, 9.0)], "doc bigint, page int, word_id bigint, word string, x0 double, y0 double, x1 double, y1 double")
+    found = spatial.text_under_rects(rects, words, spark.createDataFrame([(1, 1, 15.0)], GUTTER))
+    assert found.first().text == "a b"
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joined = next(i for i, line in enumerate(lines) if "Join LeftOuter" in line and "cx#" not in line)
+    assert "hl_id" in next(line for line in lines[joined:] if "LogicalRDD" in line)
