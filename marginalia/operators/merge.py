@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.geometry import axis_gap, overlap_ratio
 from marginalia.operators.ordered import CHUNK, HOT_ROWS, OrderedGroups, same_keys, split_hot
 from marginalia.operators.spatial import PAGE, with_side
-from marginalia.session import durable
+from marginalia.session import durable, written
 
 # When two fragments belong together, in page points and parts of a line.
 SAME_LINE_OVERLAP = 0.5
@@ -76,7 +76,8 @@ def _held(asked: DataFrame, nodes: DataFrame, max_gap: float, **found: Column) -
         & F.contains("b_text", "a_text")
         & (gap <= max_gap)
     )
-    met = left.join(right, PAGE + ["bucket"]).filter(inside)
+    # A small table of columns is many times as large in memory, so its size on disk must not have it broadcast.
+    met = left.join(right.hint("merge"), PAGE + ["bucket"]).filter(inside)
     return met.groupBy(*PAGE, "bucket", F.col("a_seq").alias("seq")).agg(*[c.alias(n) for n, c in found.items()]).drop("bucket")
 
 
@@ -109,7 +110,7 @@ def drop_shadowed(fragments: DataFrame, gutters: DataFrame, max_gap: float = SHA
     known by its last ``seq``: their holders are the same, those before the last holder go, and the rest share one fate.
     """
     boxed = with_side(fragments.filter(F.col("x").isNotNull()), gutters)
-    rows = durable(boxed.select(*PAGE, "seq", "side", "text", *BOX))
+    rows = written(boxed.select(*PAGE, "seq", "side", "text", *BOX))
     cold, hot, _ = split_hot(rows, PAGE, bucket_rows)
     nodes = cold.withColumns({"bucket": F.lit(0), "buckets": F.array(F.lit(0))})
     if hot is None:
@@ -190,7 +191,8 @@ RUN_COLUMNS = ["seq", "text", "x", "y", "w", "h", "fragments"]
 
 
 def _merge_whole_pages(boxed: DataFrame) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("side", "y", "x", "seq", "w", "h", "text")))
+    # Sorted natively; array_sort would call a comparator for each pair.
+    ordered = F.sort_array(F.collect_list(F.struct("side", "y", "x", "seq", "w", "h", "text")))
     runs = boxed.groupBy(*RUN).agg(ordered.alias("f")).select(*RUN, F.inline(_fold_page(F.col("f"))))
     return runs.select(
         *RUN, "seq", "text", "x", "y", (F.col("right") - F.col("x")).alias("w"), (F.col("bottom") - F.col("y")).alias("h"), "fragments"
