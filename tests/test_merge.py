@@ -182,3 +182,13 @@ def test_stroke_regions(spark):
     assert counts((100.0, "yellow"), (120.0, "green")) == [1, 1]
     many = [(25.0 * i + (100 if i % 9 == 0 else 0), "yellow") for i in range(200)]
     assert counts(*many) == counts(*many, limit=30)
+
+
+def test_fragments_are_numbered_once(spark):
+    from marginalia.plans.bindings import Tables
+
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    merged = merge_fragments(tables("fragments"), tables("fragment_gutters"))
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "array_sort" not in plan
+    assert merged.count() > 0
