@@ -25,7 +25,6 @@ from marginalia.functions.text import (
     without_tail,
     yaml_escaped,
 )
-from marginalia.session import written
 
 DOC_PAGE = ["doc", "page"]
 
@@ -269,7 +268,7 @@ def merge_notes(existing: DataFrame, fresh: DataFrame, overwrite: bool = False,
     appended = F.concat(without_tail(F.col("old_body")), F.lit("\n\n"), F.col("section"), F.lit("\n"))
     kept = F.col("body") if overwrite else F.coalesce(spliced, appended)
     merged = joined.select("doc", "old_body", F.when(F.col("old_body").isNull(), F.col("body")).otherwise(kept).alias("body"))
-    return preserve_typed_notes(merged, markers)
+    return _with_typed_notes(merged, markers)
 
 
 def _stopping(markers: tuple[Markers, ...]) -> str:
@@ -302,18 +301,13 @@ def anchor_key(anchor: Column) -> Column:
     return F.coalesce(F.nullif(key, F.lit("")), F.lit(SECTION_START_KEY))
 
 
-def anchor_blocks(notes: DataFrame, markers: tuple[Markers, ...] = MARKERS, body: str = "body") -> DataFrame:
-    """Typed blocks ``(doc, pos, key, anchor_text, content)`` of the managed section, with the lines they hang on."""
-    sections = split_managed_section(notes.select("doc", body), markers, body)
+def _typed_blocks(notes: DataFrame, markers: tuple[Markers, ...], body: str, *carried: str) -> DataFrame:
+    """The blocks of ``anchor_blocks`` with the columns ``carried``; a note without any has one row, with a null ``pos``."""
+    sections = split_managed_section(notes, markers, body)
     section = F.concat("start_marker", "managed", "end_marker")
-    sections = sections.select("doc", section.alias("section"))
+    sections = sections.select("doc", *carried, section.alias("section"))
     sections = sections.withColumn("gaps", F.split("section", BLOCK)).withColumn("inner", F.regexp_extract_all("section", F.lit(BLOCK), F.lit(1)))
-    blocks = sections.select(
-        "doc",
-        "gaps",
-        "inner",
-        _each(F.col("inner"), "typed"),
-    ).filter(F.col("pos").isNotNull())
+    blocks = sections.select("doc", *carried, "gaps", "inner", _each(F.col("inner"), "typed"))
     gap = F.get("gaps", F.col("pos"))
     # The block before ends in a marker line, where the anchor stops, unless text follows on that very line.
     marker_line = F.concat(F.substring_index(F.get("inner", F.col("pos") - 1), "\n", -1), F.lit(BLOCK_CLOSE))
@@ -324,11 +318,16 @@ def anchor_blocks(notes: DataFrame, markers: tuple[Markers, ...] = MARKERS, body
     whole = F.concat(F.array_join(written, ""), gap)
     runs_on = (F.col("pos") > 0) & (F.col("above") == F.col("near"))
     anchor = F.when(runs_on, _lines_above(whole, markers)).otherwise(F.col("above"))
-    return blocks.select("doc", "pos", anchor.alias("anchor_text"), trimmed(F.col("typed")).alias("content")).select(
-        "doc", "pos", anchor_key(F.col("anchor_text")).alias("key"), "anchor_text", "content"
+    return blocks.select("doc", *carried, "pos", anchor.alias("anchor_text"), trimmed(F.col("typed")).alias("content")).select(
+        "doc", *carried, "pos", anchor_key(F.col("anchor_text")).alias("key"), "anchor_text", "content"
     )
 
 
+def anchor_blocks(notes: DataFrame, markers: tuple[Markers, ...] = MARKERS, body: str = "body") -> DataFrame:
+    """Typed blocks ``(doc, pos, key, anchor_text, content)`` of the managed section, with the lines they hang on."""
+    return _typed_blocks(notes.select("doc", body), markers, body).filter(F.col("pos").isNotNull())
+
+
 SLOT = "struct<pos:int,content:string>"
 FILL = "struct<pos:int,content:string,filled:boolean>"
 NOTE = "struct<pos:int,content:string,anchor_text:string>"
@@ -348,6 +347,11 @@ def carry_notes_forward(old_blocks: DataFrame, new_blocks: DataFrame) -> DataFra
     queues = old.unionByName(new).repartition("doc").groupBy("doc", "key").agg(
         F.array_sort(F.collect_list("note")).alias("queue"), F.array_sort(F.collect_list("slot")).alias("slots")
     )
+    return _filled(queues)
+
+
+def _filled(queues: DataFrame, *carried: str) -> DataFrame:
+    """The queue of notes and the slots of each document and anchor as what ``carry_notes_forward`` returns."""
 
     def step(state: Column, slot: Column) -> Column:
         head = F.get(F.col("queue"), state["used"])["content"]
@@ -363,7 +367,7 @@ def carry_notes_forward(old_blocks: DataFrame, new_blocks: DataFrame) -> DataFra
     done = queues.withColumn("done", F.aggregate("slots", start, step))
     return done.select(
         "doc", "key", F.col("done.fills").alias("fills"), F.slice("queue", F.col("done.used") + 1, F.size("queue")).alias("orphans"),
-        F.array_min(F.transform("queue", lambda n: n["pos"])).alias("first_pos"),
+        F.array_min(F.transform("queue", lambda n: n["pos"])).alias("first_pos"), *carried,
     )
 
 
@@ -387,18 +391,32 @@ def preserve_typed_notes(pairs: DataFrame, markers: tuple[Markers, ...] = MARKER
 
     Notes without a slot end up in a callout at the end of the managed section; none is lost.
     """
-    # Both bodies are read for their blocks and again for the result.
-    pairs = written(pairs)
-    old = anchor_blocks(pairs.filter(F.col("old_body").isNotNull()), markers, "old_body")
-    # Blocks travel with a digest of their anchor and what is shown of its text, not with the passages themselves.
-    digest = {"key": F.sha2("key", 256)}
-    old = old.withColumns(digest | {"anchor_text": _summary(F.col("anchor_text"))})
-    carried = carry_notes_forward(old, anchor_blocks(pairs, markers, "body").withColumns(digest))
-    per_doc = carried.groupBy("doc").agg(
+    return _with_typed_notes(pairs.repartition("doc"), markers)
+
+
+def _with_typed_notes(pairs: DataFrame, markers: tuple[Markers, ...]) -> DataFrame:
+    """``preserve_typed_notes`` of pairs that are dealt by document: they pass once, and are neither kept nor dealt again.
+
+    Both bodies give their blocks, and the first row of a new one carries it whole through the groupings, which are all
+    within a document.
+    """
+    sides = F.array(*[F.struct(F.lit(old).alias("old"), F.col(c).alias("body")) for old, c in ((True, "old_body"), (False, "body"))])
+    texts = pairs.select("doc", F.inline_outer(sides)).filter(~F.col("old") | F.col("body").isNotNull())
+    blocks = _typed_blocks(texts, markers, "body", "old", "body")
+    old, typed = F.col("old"), F.col("pos").isNotNull()
+    # Blocks are grouped by a digest of their anchor, with what is shown of its text, not with the passages themselves.
+    note = F.struct("pos", "content", _summary(F.col("anchor_text")).alias("anchor_text"))
+    queues = blocks.groupBy("doc", F.sha2("key", 256).alias("key")).agg(
+        F.array_sort(F.collect_list(F.when(old & typed & (F.col("content") != ""), note))).alias("queue"),
+        F.array_sort(F.collect_list(F.when(~old & typed, F.struct("pos", "content")))).alias("slots"),
+        F.collect_list(F.when(~old & (F.coalesce("pos", F.lit(0)) == 0), F.struct("body"))).alias("bodies"),
+    )
+    per_doc = _filled(queues, "bodies").groupBy("doc").agg(
         F.array_sort(F.flatten(F.collect_list("fills"))).alias("fills"),
         F.array_sort(F.collect_list(F.when(F.size("orphans") > 0, F.struct("first_pos", "orphans")))).alias("left"),
+        F.flatten(F.collect_list("bodies")).alias("bodies"),
     )
-    df = split_managed_section(pairs.select("doc", "body").join(per_doc, "doc", "left"), markers)
+    df = split_managed_section(per_doc.select("doc", "fills", "left", F.inline("bodies")), markers)
     section = F.concat("start_marker", "managed", "end_marker")
     gaps = F.split(section, BLOCK)
     raw = F.regexp_extract_all(section, F.lit(BLOCK), F.lit(1))
@@ -418,7 +436,7 @@ def preserve_typed_notes(pairs: DataFrame, markers: tuple[Markers, ...] = MARKER
     managed = F.when(F.col("appendix").isNull(), F.col("rebuilt")).otherwise(closed)
     homeless_note = F.concat(without_tail(F.col("body")), F.lit("\n\n"), F.col("appendix"), F.lit("\n"))
     body = (
-        F.when(F.col("fills").isNull(), F.col("body"))
+        F.when(F.col("doc").isNull(), F.col("body"))
         .when(F.col("managed").isNull(), F.coalesce(homeless_note, F.col("body")))
         .otherwise(F.concat("before", managed, "after"))
     )

@@ -272,3 +272,31 @@ def test_template_has_the_highlights_own_day(spark):
     o = spark.createDataFrame([], "doc string, page int, ocr_text string")
     body = template.render_with_template(docs, h, d, o, "{{#each highlights}}{{created_at}};{{/each}}").first().body
     assert body.split("\n") == ["1970-01-04;", "1970-01-02;"]
+
+
+@pytest.mark.parametrize("overwrite", [False, True])
+def test_merging_deals_bodies_once_and_keeps_none(spark, overwrite):
+    old = [(i, f"{START}\n{Q1}\n{block(f'mine {i}')}\n{END}") for i in range(4)] + [(None, f"{START}\n{Q1}\n{block('no one')}\n{END}")]
+    section = f"{START}\n{Q1}\n{block()}\n{END}"
+    existing = spark.createDataFrame(old, "doc int, body string")
+    fresh = spark.createDataFrame([(i, "new\n" + section, section, 1) for i in (0, 1, 2, 5, None)], "doc int, body string, section string, highlight_count bigint")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        merged = notes.merge_notes(existing, fresh, overwrite)
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        found = {r.doc: r.body for r in merged.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange") == 2 and "parquet" not in plan.lower()
+    assert found == {i: f"{'new' + chr(10) if overwrite else ''}{START}\n{Q1}\n{block(f'mine {i}')}\n{END}" for i in range(3)} | {i: "new\n" + section for i in (5, None)}
+
+
+def test_repeated_notes_share_their_blocks(spark):
+    old, new = note(Q1, block("a")), note(Q1, block())
+    pairs = spark.createDataFrame([(1, old, new), (1, old, new), (None, old, new), (2, None, new), (3, old, None)], "doc int, old_body string, body string")
+    found = sorted(((r.doc, r.body) for r in notes.preserve_typed_notes(pairs).collect()), key=str)
+    assert found == sorted([(1, note(Q1, block("a")))] * 2 + [(None, new), (2, new), (3, None)], key=str)
