@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.geometry import axis_gap, overlap_ratio
+from marginalia.functions.geometry import axis_gap, column_side, overlap_ratio
 from marginalia.operators.ordered import CHUNK, HOT_ROWS, OrderedGroups, same_keys, split_hot
 from marginalia.operators.spatial import PAGE, with_side
 from marginalia.session import durable, written
@@ -57,27 +57,30 @@ def _indexed(nodes: DataFrame, sizes: DataFrame, bucket_rows: int) -> DataFrame:
     return known.join(rarest, PAGE + ["seq"], "left").withColumns({"bucket": place(F.coalesce("gram", F.lit(""))), "buckets": found}).drop("gram", "k")
 
 
-def _held(asked: DataFrame, nodes: DataFrame, max_gap: float, **found: Column) -> DataFrame:
-    """Per node of ``asked`` that some of ``nodes`` hold, the aggregates ``found`` over these.
-
-    A holder has a longer text with the other's in it, in the same column, and near.  Pairs are compared where they
-    meet and never passed on.
-    """
-    left = asked.select(*PAGE, "bucket", *[F.col(c).alias(f"a_{c}") for c in ("seq", "side", "text", *BOX)])
-    right = nodes.withColumn("bucket", F.explode("buckets"))
-    right = right.select(*PAGE, "bucket", "waits", *[F.col(c).alias(f"b_{c}") for c in ("seq", "side", "text", *BOX)])
+def _inside(max_gap: float) -> Column:
+    """Whether the node of the columns ``b_`` holds that of ``a_``: a longer text with the other's in it, in the same column, and near."""
     gap = axis_gap(F.col("a_x"), F.col("a_w"), F.col("b_x"), F.col("b_w")) + axis_gap(
         F.col("a_y"), F.col("a_h"), F.col("b_y"), F.col("b_h")
     )
-    inside = (
+    return (
         (F.col("a_side") == F.col("b_side"))
         & (F.length("a_text") >= 1)
         & (F.length("a_text") < F.length("b_text"))
         & F.contains("b_text", "a_text")
         & (gap <= max_gap)
     )
+
+
+def _held(asked: DataFrame, nodes: DataFrame, max_gap: float, **found: Column) -> DataFrame:
+    """Per node of ``asked`` that some of ``nodes`` hold, the aggregates ``found`` over these.
+
+    Pairs are compared where they meet and never passed on.
+    """
+    left = asked.select(*PAGE, "bucket", *[F.col(c).alias(f"a_{c}") for c in ("seq", "side", "text", *BOX)])
+    right = nodes.withColumn("bucket", F.explode("buckets"))
+    right = right.select(*PAGE, "bucket", "waits", *[F.col(c).alias(f"b_{c}") for c in ("seq", "side", "text", *BOX)])
     # A small table of columns is many times as large in memory, so its size on disk must not have it broadcast.
-    met = left.join(right.hint("merge"), PAGE + ["bucket"]).filter(inside)
+    met = left.join(right.hint("merge"), PAGE + ["bucket"]).filter(_inside(max_gap))
     return met.groupBy(*PAGE, "bucket", F.col("a_seq").alias("seq")).agg(*[c.alias(n) for n, c in found.items()]).drop("bucket")
 
 
@@ -102,31 +105,71 @@ def _fates(nodes: DataFrame, max_gap: float) -> tuple[DataFrame, DataFrame]:
     return last, dropped
 
 
-def drop_shadowed(fragments: DataFrame, gutters: DataFrame, max_gap: float = SHADOW_GAP, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Drop fragments whose text is part of a longer one near them in the same column; boxless ones stay.
+def _drop_on_pages(fragments: DataFrame, gutters: DataFrame, max_gap: float) -> DataFrame:
+    """``drop_shadowed`` on pages that are small enough to be one row each.
 
-    The fragments of a page meet in buckets of an index over runs of letters, as many as the page has multiples of
-    ``bucket_rows`` rows; an ordinary page is one bucket.  On larger pages copies, alike in text and box, are one node,
-    known by its last ``seq``: their holders are the same, those before the last holder go, and the rest share one fate.
+    Fragments are dealt by page once: those of a page are compared, settled and left out where they lie.
     """
+    rest = [c for c in fragments.columns if c not in PAGE]
+    # Set apart ahead of the exchange: where both readers of it ask for the same rows, Spark makes it once.
+    known = F.col("doc").isNotNull() & F.col("page").isNotNull()
+    placed, unplaced = fragments.filter(known), fragments.filter(~known)
+    # The columns of a page a fragment lies in, a bit each: two gutters of one page may say different ones.
+    lanes = gutters.groupBy(*PAGE).agg(F.collect_set(F.struct("gutter_x")).alias("_gutters"))
+    sides = F.transform("_gutters", lambda g: column_side(F.col("x"), F.col("w"), g["gutter_x"]))
+    bits = F.when(F.array_contains(sides, 0), 1).otherwise(0) + F.when(F.array_contains(sides, 1), 2).otherwise(0)
+    row = F.struct(*rest, F.when(F.col("_gutters").isNull(), 1).otherwise(bits).alias("_side"))
+    pages = placed.repartition(*PAGE).join(lanes, PAGE, "left").select(*PAGE, row.alias("_row")).groupBy(*PAGE).agg(F.collect_list("_row").alias("_rows"))
+    pairs = pages.select(*PAGE, "_rows", F.explode("_rows").alias("a")).select(*PAGE, "a", F.explode("_rows").alias("b"))
+    columns = {f"{s}_{c}": F.col(f"{s}.{c}") for s in "ab" for c in ("seq", "text", *BOX)}
+    met = pairs.select(
+        *PAGE, *[c.alias(n) for n, c in columns.items()], F.lit(0).alias("a_side"), F.when(F.col("a._side").bitwiseAND(F.col("b._side")) != 0, 0).alias("b_side")
+    ).filter(F.col("a_x").isNotNull() & F.col("b_x").isNotNull() & _inside(max_gap))
+    held = met.groupBy(*PAGE, F.col("a_seq").alias("seq")).agg(
+        F.max("b_seq").alias("last"), F.collect_set(F.when(F.col("b_seq") < F.col("a_seq"), F.col("b_seq"))).alias("holders"), F.bool_or(F.col("b_seq").isNull()).alias("nameless")
+    )
+    # In order of ``seq`` a node goes when a later one holds it, or an earlier one that was itself kept.
+    waits = F.col("last") < F.col("seq")
+    node = F.struct("seq", (F.col("last") > F.col("seq")).alias("goes"), (waits & F.col("nameless")).alias("nameless"), F.when(waits, F.col("holders")).alias("holders"))
+    none = F.array().cast(f"array<{fragments.schema['seq'].dataType.simpleString()}>")
+
+    def step(dropped: Column, n: Column) -> Column:
+        kept_before = n["nameless"] | (F.size(F.array_except(n["holders"], dropped)) > 0)
+        return F.when(n["goes"] | kept_before, F.concat(dropped, F.array(n["seq"]))).otherwise(dropped)
+
+    dropped = held.groupBy(*PAGE).agg(F.array_sort(F.collect_list(node)).alias("nodes")).select(*PAGE, F.aggregate("nodes", none, step).alias("_dropped"))
+    stays = lambda r: ~F.coalesce(F.array_contains("_dropped", r["seq"]), F.lit(False))
+    kept = pages.join(dropped.hint("merge"), PAGE, "left").select(*PAGE, F.inline_outer(F.filter("_rows", stays)))
+    return kept.filter(F.col("_side").isNotNull()).select(*fragments.columns).unionByName(unplaced)
+
+
+def _drop_on_large_pages(fragments: DataFrame, gutters: DataFrame, max_gap: float, bucket_rows: int) -> DataFrame:
+    """``drop_shadowed`` on pages whose fragments meet in buckets of an index over runs of letters."""
     boxed = with_side(fragments.filter(F.col("x").isNotNull()), gutters)
     rows = written(boxed.select(*PAGE, "seq", "side", "text", *BOX))
-    cold, hot, _ = split_hot(rows, PAGE, bucket_rows)
-    nodes = cold.withColumns({"bucket": F.lit(0), "buckets": F.array(F.lit(0))})
-    if hot is None:
-        _, dropped = _fates(nodes, max_gap)
-        return fragments.join(dropped, PAGE + ["seq"], "left_anti")
     alike = PAGE + ["side", "text", *BOX]
-    copies = durable(hot.groupBy(*alike).agg(F.max("seq").alias("seq")))
+    copies = durable(rows.groupBy(*alike).agg(F.max("seq").alias("seq")))
     sizes = durable(copies.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n")))
-    nodes = durable(nodes.unionByName(_indexed(copies, sizes, bucket_rows)))
+    nodes = durable(_indexed(copies, sizes, bucket_rows))
     last, dropped = _fates(nodes, max_gap)
     fates = last.join(dropped.withColumn("dropped", F.lit(True)), PAGE + ["seq"], "left")
     side = copies.join(fates, PAGE + ["seq"]).select(*[F.col(c).alias(f"_n_{c}") for c in alike], "holder", "dropped")
-    earlier = hot.join(side, same_keys(hot, side, alike, "_n_")).filter(F.col("dropped").isNotNull() | (F.col("seq") < F.col("holder"))).select(*PAGE, "seq")
+    earlier = rows.join(side, same_keys(rows, side, alike, "_n_")).filter(F.col("dropped").isNotNull() | (F.col("seq") < F.col("holder"))).select(*PAGE, "seq")
     return fragments.join(dropped.unionByName(earlier), PAGE + ["seq"], "left_anti")
 
 
+def drop_shadowed(fragments: DataFrame, gutters: DataFrame, max_gap: float = SHADOW_GAP, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Drop fragments whose text is part of a longer one near them in the same column; boxless ones stay.
+
+    The fragments of a page are compared in one row.  Those of a page of more than ``bucket_rows`` rows meet in buckets
+    of an index over runs of letters, as many as the page has multiples of that.  There copies, alike in text and box, are
+    one node, known by its last ``seq``: their holders are the same, those before the last holder go, and the rest share one fate.
+    """
+    cold, hot, _ = split_hot(fragments, PAGE, bucket_rows)
+    kept = _drop_on_pages(cold, gutters, max_gap)
+    return kept if hot is None else kept.unionByName(_drop_on_large_pages(hot, gutters, max_gap, bucket_rows))
+
+
 # --- fragments of one highlight --------------------------------------------------------------------------------------
 
 

@@ -192,3 +192,43 @@ def test_fragments_are_numbered_once(spark):
     plan = merged._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan and "array_sort" not in plan
     assert merged.count() > 0
+
+
+def test_pages_are_dealt_once_to_drop_what_is_shadowed(spark, monkeypatch):
+    def kept_nothing(df):
+        raise AssertionError("a table is written")
+
+    monkeypatch.setattr(merge, "durable", kept_nothing)
+    monkeypatch.setattr(merge, "written", kept_nothing)
+    rows = [("d", p, i, ("word", "a word", "other")[i % 3], "yellow", 10.0 * i, 5.0, 60.0, 14.0) for p in range(3) for i in range(6)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        kept = drop_shadowed(df, gutters(spark))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        found = {(r.page, r.seq) for r in kept.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {(p, i) for p in range(3) for i in range(6) if i % 3}
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") == 2
+
+
+def test_shadows_with_odd_keys(spark):
+    box = (10.0, 5.0, 60.0, 14.0)
+    rows = [
+        ("d", 1, 0, "word", "c", *box), ("d", 1, 1, "a word", "c", *box), ("d", 1, 1, "a word", "c", *box),  # held by a row that comes twice
+        ("d", 2, 5, "word", "c", *box), ("d", 2, 5, "a word", "c", *box),  # the holder has the same number
+        ("d", 3, None, "a word", "c", *box), ("d", 3, 1, "word", "c", *box),  # the only holder has none
+        (None, 4, 0, "word", "c", *box), (None, 4, 1, "a word", "c", *box), ("d", None, 0, "word", "c", *box), ("d", None, 1, "a word", "c", *box),
+        ("d", 5, 0, "a word", "c", None, None, None, None), ("d", 5, 1, "word", "c", *box),  # a boxless one holds nothing
+        ("d", 6, 0, "so a word", "c", *box), ("d", 6, 1, "a word", "c", *box), ("d", 6, 2, "word", "c", *box),  # held by an earlier one that stays
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    gone = [rows[i] for i in (0, 14, 15)]
+    twice = spark.createDataFrame([("d", 6, 200.0), ("d", 6, 200.0), ("d", 1, 20.0), ("d", 1, 300.0)], "doc string, page int, gutter_x double")
+    for lines in (gutters(spark), twice):
+        assert sorted(map(tuple, drop_shadowed(df, lines).collect()), key=str) == sorted((r for r in rows if r not in gone), key=str)
