@@ -25,6 +25,22 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[prefix + k]) for k in keys])
 
 
+def hot_groups(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> tuple[DataFrame | None, int]:
+    """(keys of the groups of ``df`` above ``limit``, renamed by ``_hot_``, or None; how many rows these have)."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    groups, rows = counts.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    if not groups:
+        return None, 0
+    hot_keys = durable(counts.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    return F.broadcast(hot_keys) if groups <= BROADCAST_ROWS else hot_keys, rows
+
+
+def split_at(df: DataFrame, keys: list[str], hot_keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of other groups, rows of those that ``hot_groups`` found)."""
+    match = same_keys(df, hot_keys, keys, "_hot_")
+    return df.join(hot_keys, match, "left_anti"), df.join(hot_keys, match, "left_semi")
+
+
 def split_hot(
     df: DataFrame, keys: list[str], limit: int = HOT_ROWS, sizes: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None, int]:
@@ -32,14 +48,8 @@ def split_hot(
 
     ``sizes`` is counted instead of ``df``: a cheaper table that has at least the groups' rows.
     """
-    counts = (df if sizes is None else sizes).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    groups, rows = counts.agg(F.count(F.lit(1)), F.sum("_n")).first()
-    if not groups:
-        return df, None, 0
-    hot_keys = durable(counts.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
-    side = F.broadcast(hot_keys) if groups <= BROADCAST_ROWS else hot_keys
-    match = same_keys(df, side, keys, "_hot_")
-    return df.join(side, match, "left_anti"), df.join(side, match, "left_semi"), rows
+    hot_keys, rows = hot_groups(df if sizes is None else sizes, keys, limit)
+    return (df, None, 0) if hot_keys is None else (*split_at(df, keys, hot_keys), rows)
 
 
 class OrderedGroups:

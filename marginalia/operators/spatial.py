@@ -17,7 +17,7 @@ from marginalia.functions.geometry import (
     padded_on_page,
 )
 from marginalia.functions.text import trimmed
-from marginalia.operators.ordered import HOT_ROWS, OrderedGroups
+from marginalia.operators.ordered import HOT_ROWS, OrderedGroups, hot_groups, split_at
 
 PAGE = ["doc", "page"]
 
@@ -29,10 +29,13 @@ MAX_CROSSING = 0.30
 FINE_CAPTURE = 1.05
 HIGHLIGHTER_WIDTH = 8.0
 
-# Grid of the range joins, in page points: a sixth of a page high and as wide as most, so that few words and boxes lie in two.
+# Grid of the range joins on busy pages, in page points: a sixth of a page high and as wide as most, so that few words and boxes lie in two.
 CELL_W = 1024
 CELL_H = 128
 
+# Words of a page that are compared with all its boxes; those of larger pages only within a cell.
+PAGE_WORDS = 5_000
+
 
 def detect_gutters(blocks: DataFrame) -> DataFrame:
     """Pages with a gutter down the middle: enough text wholly on both sides and little across."""
@@ -79,37 +82,61 @@ def _cells(low: Column, high: Column, size: int) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
-def text_under_rects(rects: DataFrame, words: DataFrame, gutters: DataFrame) -> DataFrame:
+def text_under_rects(rects: DataFrame, words: DataFrame, gutters: DataFrame, page_words: int = PAGE_WORDS) -> DataFrame:
     """Text of each highlight: the words that share area with any of its boxes, once each, in reading order.
 
-    Words and boxes meet in grid cells, so a busy page spreads over many tasks.  A pair counts in the one cell
-    that holds the corner where its overlap starts.  The boxes, which are fewer, carry the page's gutter to the words, so
-    words are dealt once.  A box goes on without words where it meets none, so a highlight
-    without words has an empty text; the boxes are read once.
+    Words and boxes are dealt by page, once, and the highlights are put together where they meet.  On a page of more than
+    ``page_words`` words they meet in grid cells, so a busy page spreads over many tasks; a pair counts in the one cell that
+    holds the corner where its overlap starts.  The boxes, which are fewer, carry the page's gutter to the words.  A box
+    goes on without words where it meets none, so a highlight without words has an empty text.
     """
+    busy, _ = hot_groups(words, PAGE, page_words)
+    if busy is None:
+        return _text_on_pages(rects, words, gutters)
+    (boxes, busy_boxes), (words, busy_words) = split_at(rects, PAGE, busy), split_at(words, PAGE, busy)
+    return _text_on_pages(boxes, words, gutters).unionByName(_text_in_cells(busy_boxes, busy_words, gutters))
+
+
+def _met(rects: DataFrame, words: DataFrame, gutters: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """Boxes with their corners and the page's gutter, words with an area, and whether they meet."""
     real = (F.col("w") > 0) & (F.col("h") > 0)
     boxes = rects.join(gutters.select(*PAGE, "gutter_x"), PAGE, "left").select(
         *PAGE, "hl_id", "gutter_x", F.col("x").alias("rx0"), F.col("y").alias("ry0"),
         (F.col("x") + F.col("w")).alias("rx1"), (F.col("y") + F.col("h")).alias("ry1"), real.alias("real"),
     )
-    across, down = _cells(F.col("rx0"), F.col("rx1"), CELL_W), _cells(F.col("ry0"), F.col("ry1"), CELL_H)
-    boxes = boxes.withColumn("cx", F.explode_outer(F.when(F.col("real"), across))).withColumn("cy", F.explode_outer(F.when(F.col("real"), down)))
     solid = words.filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
-    placed = solid.select(
-        *[F.col(c).alias(f"w_{c}") for c in PAGE], "x0", "y0", "x1", "y1", "word_id", "word",
-        F.explode(_cells(F.col("x0"), F.col("x1"), CELL_W)).alias("wx"),
-    ).withColumn("wy", F.explode(_cells(F.col("y0"), F.col("y1"), CELL_H)))
-    left, top = F.greatest("x0", "rx0"), F.greatest("y0", "ry0")
-    overlap = (left < F.least("x1", "rx1")) & (top < F.least("y1", "ry1"))
-    here = (F.floor(left / CELL_W) == F.col("cx")) & (F.floor(top / CELL_H) == F.col("cy"))
-    meet = (F.col("cx") == F.col("wx")) & (F.col("cy") == F.col("wy")) & overlap & here
+    # What stays alike along a line stands side by side, and so does what changes: such rows pack far better.
+    solid = solid.select(*[F.col(c).alias(f"w_{c}") for c in PAGE], "y0", "y1", "x0", "x1", "word_id", "word")
+    overlap = (F.greatest("x0", "rx0") < F.least("x1", "rx1")) & (F.greatest("y0", "ry0") < F.least("y1", "ry1"))
     for column in PAGE:
-        meet = (F.col(column) == F.col(f"w_{column}")) & meet
+        overlap = (F.col(column) == F.col(f"w_{column}")) & overlap
+    return boxes, solid, overlap
+
+
+def _texts(met: DataFrame) -> DataFrame:
+    """(doc, page, hl_id, text) of boxes and the words they meet."""
     side = column_side(F.col("x0"), F.col("x1") - F.col("x0"), F.col("gutter_x")).alias("side")
     word = F.when(F.col("word_id").isNotNull(), F.struct(side, "y0", "x0", "word_id", "word"))
-    found = F.array_sort(F.collect_set(word))
-    met = boxes.join(placed, meet, "left").groupBy(*PAGE, "hl_id").agg(found.alias("found"))
-    return met.select(*PAGE, "hl_id", F.trim(F.array_join(F.col("found.word"), " ")).alias("text"))
+    found = met.groupBy(*PAGE, "hl_id").agg(F.array_sort(F.collect_set(word)).alias("found"))
+    return found.select(*PAGE, "hl_id", F.trim(F.array_join(F.col("found.word"), " ")).alias("text"))
+
+
+def _text_on_pages(rects: DataFrame, words: DataFrame, gutters: DataFrame) -> DataFrame:
+    """``text_under_rects`` where all boxes and words of a page are compared."""
+    boxes, solid, overlap = _met(rects, words, gutters)
+    meet = F.col("real") & F.col("rx0").isNotNull() & F.col("ry0").isNotNull() & overlap
+    # The page alone is the key, so that the join deals by it, and the grouping by highlight need not deal again.
+    return _texts(boxes.join(solid.hint("merge"), meet, "left"))
+
+
+def _text_in_cells(rects: DataFrame, words: DataFrame, gutters: DataFrame) -> DataFrame:
+    """``text_under_rects`` where boxes and words of a grid cell are compared."""
+    boxes, solid, overlap = _met(rects, words, gutters)
+    across, down = _cells(F.col("rx0"), F.col("rx1"), CELL_W), _cells(F.col("ry0"), F.col("ry1"), CELL_H)
+    boxes = boxes.withColumn("cx", F.explode_outer(F.when(F.col("real"), across))).withColumn("cy", F.explode_outer(F.when(F.col("real"), down)))
+    placed = solid.withColumn("wx", F.explode(_cells(F.col("x0"), F.col("x1"), CELL_W))).withColumn("wy", F.explode(_cells(F.col("y0"), F.col("y1"), CELL_H)))
+    here = (F.floor(F.greatest("x0", "rx0") / CELL_W) == F.col("cx")) & (F.floor(F.greatest("y0", "ry0") / CELL_H) == F.col("cy"))
+    return _texts(boxes.join(placed, (F.col("cx") == F.col("wx")) & (F.col("cy") == F.col("wy")) & overlap & here, "left"))
 
 
 def highlighter_rects(strokes: DataFrame, page_sizes: DataFrame) -> DataFrame:

@@ -189,3 +189,42 @@ def test_words_are_dealt_once(spark):
     lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     joined = next(i for i, line in enumerate(lines) if "Join LeftOuter" in line and "cx#" not in line)
     assert "hl_id" in next(line for line in lines[joined:] if "LogicalRDD" in line)
+
+
+def test_words_are_dealt_once_by_page(spark):
+    words = spark.createDataFrame([("d", p, i, f"w{i}", 20.0 * i, 10.0, 20.0 * i + 15, 22.0) for p in range(3) for i in range(6)], WORD)
+    rects = spark.createDataFrame([("d", p, f"h{h}", 0, 40.0 * h, 12.0, 50.0, 5.0) for p in range(3) for h in range(2)], RECT)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = spatial.text_under_rects(rects, words, spark.createDataFrame([], GUTTER))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        texts = {(r.page, r.hl_id): r.text for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning") == 3  # words, boxes, gutters
+    assert texts == {(p, h): t for p in range(3) for h, t in (("h0", "w0 w1 w2"), ("h1", "w2 w3 w4"))}
+
+
+@pytest.mark.parametrize("page_words", [0, 60, 5_000])
+def test_text_on_pages_of_any_size(spark, page_words):
+    """Pages below and above the limit, boxes off any word, without an area, without a place or a page, repeated rows and gutters."""
+    rng = random.Random(3)
+    words = [("d", 1 + i % 3 // 2, i, f"w{i}", x := rng.uniform(-50, 2500), y := rng.uniform(-50, 900), x + rng.uniform(0, 90), y + rng.uniform(0, 30)) for i in range(150)]
+    words += words[:5] + [("d", 1, None, "none", 0.0, 0.0, 900.0, 900.0), ("d", 1, 900, None, 0.0, 0.0, 900.0, 900.0), ("d", None, 901, "x", 0.0, 0.0, 9.0, 9.0), ("d", 1, 902, "flat", 0.0, 0.0, 900.0, 0.0)]
+    rects = [("d", 1 + i % 2, f"h{i % 20}", i, rng.uniform(-50, 2000), rng.uniform(-50, 800), rng.uniform(-20, 900), rng.uniform(-5, 300)) for i in range(40)]
+    rects += rects[:3] + [("d", None, "p", 0, 0.0, 0.0, 9.0, 9.0), ("d", 1, "x", 0, None, 0.0, 900.0, 900.0), ("d", 2, "y", 0, 0.0, None, 900.0, 900.0), ("d", 7, "z", 0, 0.0, 0.0, 9.0, 9.0)]
+    gutters = [("d", 1, 700.0), ("d", 1, 700.0)]
+    expected = {}
+    for d, p, h, _, x, y, w, height in rects:
+        hits = expected.setdefault((d, p, h), set())
+        for _, page, i, text, x0, y0, x1, y1 in words:
+            if p is not None and None not in (x, y, i) and page == p and w > 0 and height > 0 and x1 > x0 and y1 > y0 and max(x, x0) < min(x + w, x1) and max(y, y0) < min(y + height, y1):
+                hits.add((int(p == 1 and x0 + (x1 - x0) / 2 >= 700.0), y0, x0, i, text))
+    expected = {k: " ".join(t for *_, t in sorted(v, key=lambda r: r[:4]) if t is not None).strip() for k, v in expected.items()}
+    tables = spark.createDataFrame(rects, RECT), spark.createDataFrame(words, WORD), spark.createDataFrame(gutters, GUTTER)
+    found = spatial.text_under_rects(*tables, page_words).collect()
+    assert {(r.doc, r.page, r.hl_id): r.text for r in found} == expected and len(found) == len(expected)
